@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from strataflow.llm import mixing
+from strataflow.llm import mixing, packing
 from strataflow.tables import table
 
 
@@ -14,8 +14,12 @@ def op4_source_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mix(table(spark, sf_dir, "documents"))
 
 
+def op6_harmonic_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return packing.pack(table(spark, sf_dir, "documents"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {"op4_source_mixing": op4_source_mixing}
+    return {"op4_source_mixing": op4_source_mixing, "op6_harmonic_packing": op6_harmonic_packing}
 
 
 def oracles() -> dict[str, str]:

@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from strataflow.llm import mixing, packing
+from strataflow.llm import mixing, packing, quality
 from strataflow.tables import table
 
 
@@ -18,8 +18,16 @@ def op6_harmonic_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(table(spark, sf_dir, "documents"))
 
 
+def op8_robust_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return quality.quality(table(spark, sf_dir, "documents"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {"op4_source_mixing": op4_source_mixing, "op6_harmonic_packing": op6_harmonic_packing}
+    return {
+        "op4_source_mixing": op4_source_mixing,
+        "op6_harmonic_packing": op6_harmonic_packing,
+        "op8_robust_quality": op8_robust_quality,
+    }
 
 
 def oracles() -> dict[str, str]:

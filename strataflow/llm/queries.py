@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from strataflow.llm import mixing, packing, quality
+from strataflow.llm import jaccard, mixing, packing, quality
 from strataflow.tables import table
 
 
@@ -14,6 +14,10 @@ def op4_source_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mix(table(spark, sf_dir, "documents"))
 
 
+def op5_ngram_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return jaccard.near_duplicates(table(spark, sf_dir, "documents"))
+
+
 def op6_harmonic_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(table(spark, sf_dir, "documents"))
 
@@ -25,6 +29,7 @@ def op8_robust_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op4_source_mixing": op4_source_mixing,
+        "op5_ngram_jaccard": op5_ngram_jaccard,
         "op6_harmonic_packing": op6_harmonic_packing,
         "op8_robust_quality": op8_robust_quality,
     }

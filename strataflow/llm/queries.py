@@ -6,10 +6,14 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from strataflow.llm import jaccard, mixing, packing, quality
+from strataflow.llm import jaccard, mixing, packing, quality, warc
 from strataflow.tables import table
 
 
+def op1_warc_archive(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return warc.round_trip(table(spark, sf_dir, "pages"))
+
+
 def op4_source_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mix(table(spark, sf_dir, "documents"))
 
@@ -28,6 +32,7 @@ def op8_robust_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
+        "op1_warc_archive": op1_warc_archive,
         "op4_source_mixing": op4_source_mixing,
         "op5_ngram_jaccard": op5_ngram_jaccard,
         "op6_harmonic_packing": op6_harmonic_packing,
@@ -36,4 +41,4 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
 
 
 def oracles() -> dict[str, str]:
-    return {"op4_source_mixing": mixing.ORACLE}
+    return {"op1_warc_archive": warc.ORACLE, "op4_source_mixing": mixing.ORACLE}

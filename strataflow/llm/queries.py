@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from strataflow.llm import jaccard, mixing, packing, quality, warc
+from strataflow.llm import extraction, jaccard, mixing, packing, quality, warc
 from strataflow.tables import table
 
 
@@ -14,6 +14,10 @@ def op1_warc_archive(spark: SparkSession, sf_dir: str) -> DataFrame:
     return warc.round_trip(table(spark, sf_dir, "pages"))
 
 
+def op3_text_density(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return extraction.extract(table(spark, sf_dir, "pages"))
+
+
 def op4_source_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mix(table(spark, sf_dir, "documents"))
 
@@ -33,6 +37,7 @@ def op8_robust_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op1_warc_archive": op1_warc_archive,
+        "op3_text_density": op3_text_density,
         "op4_source_mixing": op4_source_mixing,
         "op5_ngram_jaccard": op5_ngram_jaccard,
         "op6_harmonic_packing": op6_harmonic_packing,

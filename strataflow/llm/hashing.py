@@ -115,3 +115,36 @@ def shingle_sets(texts: list[str | None], k: int = 5) -> list[np.ndarray]:
         else:
             out.append(h[:0])
     return out
+
+
+#: ASCII letters and all bytes of characters beyond ASCII.
+_LETTER = np.zeros(256, bool)
+_LETTER[[*range(65, 91), *range(97, 123), *range(128, 256)]] = True
+
+
+class Letters:
+    """The runs of letters of several texts, lower-cased: their places, hashes and where each text's runs begin."""
+
+    def __init__(self, texts: list[str | None]):
+        raw = [(t or "").lower().encode("utf-8", "surrogatepass") for t in texts]
+        self.b = np.frombuffer(b"\n".join(raw), np.uint8)
+        edge = np.diff(_LETTER[self.b].astype(np.int8), prepend=0, append=0)
+        self.starts, self.ends = np.flatnonzero(edge == 1), np.flatnonzero(edge == -1)
+        self.at = np.searchsorted(self.starts, np.cumsum([0] + [len(r) + 1 for r in raw]))
+        self.total = np.zeros(len(self.b) + 1, np.uint64)
+        np.cumsum(_BYTE[self.b] * _power(_BASE, len(self.b)), out=self.total[1:])
+        self.back = _power(_INVERSE, len(self.b) + 1)
+
+    def hashes(self) -> np.ndarray:
+        """The hash of every run."""
+        h = (self.total[self.ends] - self.total[self.starts]) * self.back[self.starts]
+        return mix(h + (self.ends - self.starts).astype(np.uint64))
+
+    def prefix_hashes(self, n: int) -> tuple[np.ndarray, np.ndarray]:
+        """Which runs have more than n bytes, and the hashes of their first n."""
+        long = np.flatnonzero(self.ends - self.starts > n)
+        s = self.starts[long]
+        return long, mix((self.total[s + n] - self.total[s]) * self.back[s] + np.uint64(1000 + n))
+
+    def spelling(self, runs: np.ndarray) -> str:
+        return bytes(self.b[self.starts[runs] : self.ends[runs]]).decode("utf-8", "replace")

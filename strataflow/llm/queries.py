@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from strataflow.llm import extraction, jaccard, mixing, packing, quality, warc
+from strataflow.llm import extraction, jaccard, language, mixing, packing, quality, toxicity, warc
 from strataflow.tables import table
 
 
@@ -34,6 +34,14 @@ def op8_robust_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.quality(table(spark, sf_dir, "documents"))
 
 
+def op9_counterfactual_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return toxicity.classify(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
+def op10_language_crf(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return language.identify(table(spark, sf_dir, "documents"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op1_warc_archive": op1_warc_archive,
@@ -42,6 +50,8 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op5_ngram_jaccard": op5_ngram_jaccard,
         "op6_harmonic_packing": op6_harmonic_packing,
         "op8_robust_quality": op8_robust_quality,
+        "op9_counterfactual_toxicity": op9_counterfactual_toxicity,
+        "op10_language_crf": op10_language_crf,
     }
 
 

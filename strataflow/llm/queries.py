@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from strataflow.llm import extraction, jaccard, language, mixing, packing, quality, toxicity, warc
+from strataflow.llm import extraction, jaccard, language, mixing, neighbours, packing, quality, toxicity, warc
 from strataflow.tables import table
 
 
@@ -30,6 +30,10 @@ def op6_harmonic_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(table(spark, sf_dir, "documents"))
 
 
+def op7_hnsw_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return neighbours.nearest(table(spark, sf_dir, "embeddings"))
+
+
 def op8_robust_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.quality(table(spark, sf_dir, "documents"))
 
@@ -49,6 +53,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op4_source_mixing": op4_source_mixing,
         "op5_ngram_jaccard": op5_ngram_jaccard,
         "op6_harmonic_packing": op6_harmonic_packing,
+        "op7_hnsw_neighbours": op7_hnsw_neighbours,
         "op8_robust_quality": op8_robust_quality,
         "op9_counterfactual_toxicity": op9_counterfactual_toxicity,
         "op10_language_crf": op10_language_crf,

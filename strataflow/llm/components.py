@@ -38,4 +38,5 @@ def components(edges: DataFrame, rounds: int = 50) -> DataFrame:
         seen = now
     else:
         raise RuntimeError(f"components did not settle in {rounds} rounds")
-    return edges.select(F.col("a").alias("id"), F.col("b").alias("comp"))
+    roots = edges.select(F.col("b").alias("id"), F.col("b").alias("comp")).distinct()
+    return edges.select(F.col("a").alias("id"), F.col("b").alias("comp")).unionByName(roots)

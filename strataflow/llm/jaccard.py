@@ -11,12 +11,14 @@ occurrences meet, and gets back which occur in more than one document, with the
 document can't be shared, so only the others are ever indexed; documents that have none of them in
 their prefix are done.
 
-Components: equal sets are one node. Nodes of a prefix token form a bucket. In each round every bucket
-that still holds several components picks a leader, and its nodes of other components are compared
-with the leader only, so a bucket of m near copies costs m comparisons rather than m * m. In the end all
-pairs of nodes in a bucket that are in different components still are compared, so no link that would
-join two components is missed; pairs already joined need no comparison. Buckets of any size are spread
-over tasks; joins are between written tables, so that adaptive execution can split hot keys.
+Components: equal sets are one node. Nodes of a prefix token form a bucket, and nodes that buckets connect
+a family; only nodes of one family can link. Families are cut into blocks of at most ``BLOCK`` nodes (small
+families share one), and each node's tokens travel with its block, not with its pairs. First every block
+compares its own nodes. A family of several blocks then compares all of them with one block, twice, which
+joins most of it into one component. Last, its nodes are dealt into blocks again, those of its largest
+component apart, and all pairs of blocks that can still hold two components are compared. Pairs of one
+component need no comparison; no link that would join two components is missed. A family that holds a
+third of all rows is thus many blocks in many tasks, and never all pairs.
 
 Defined cases: null or empty texts have an empty set and link with nothing; rows with a null doc_id come back
 with a null component; equal texts are in one component; repeated rows come back as often as they came in;
@@ -42,17 +44,19 @@ NUM, DEN = 75, 100
 #: Tokens that one task counts together, and that one chunk of documents sends; about 60 bytes each in memory.
 TOKENS_PER_PART = 500_000
 TOKENS_PER_CHUNK = 1_000_000
-#: Leader rounds before all pairs that are left are compared, and how many pairs per index entry make more rounds worthwhile.
-ROUNDS = 3
-MORE_ROUNDS = 12
-PAIRS_PER_ENTRY = 2.0
+#: Nodes of a block; rounds in which the blocks of a family meet one of them; from how many blocks on pairs of blocks need a token in common.
+BLOCK = 64
+ROUNDS = 2
+MANY_BLOCKS = 64
+#: Columns of a block's token matrix that are multiplied at once.
+COLUMNS = 16_384
 ORDERS = 3
 _SALTS = (np.uint64(0), np.uint64(0x5851F42D4C957F2D), np.uint64(0x14057B7EF767814F))
 
 _SETS = pa.schema([("doc_id", pa.int64()), ("n_shingles", pa.int64()), ("node", pa.int64())])
 _SENT = pa.schema([("part", pa.int64()), ("chunk", pa.int64()), ("counts", pa.binary()), ("low", pa.binary()), ("high", pa.binary())])
 _BACK = pa.schema([("chunk", pa.int64()), ("docs", pa.binary()), ("tokens", pa.binary()), ("df", pa.binary())])
-_DOCS = pa.schema([("node", pa.int64()), ("n", pa.int64()), ("ones", pa.int64()), ("keys", pa.list_(pa.int64())), ("tokens", pa.binary()), ("bits", pa.binary())])
+_DOCS = pa.schema([("node", pa.int64()), ("n", pa.int64()), ("keys", pa.list_(pa.int64())), ("tokens", pa.binary()), ("bits", pa.binary())])
 _LOW = np.uint64(0xFFFFFFFF)
 
 
@@ -187,7 +191,7 @@ def _prefixes(table: pa.Table) -> pa.Table:
             docs.append(np.frombuffer(d, "<u4"))
             tokens.append(np.frombuffer(t, "<u8"))
             df.append(np.frombuffer(f, "<u4"))
-    rows = [], [], [], [], [], []
+    rows = [], [], [], [], []
     if docs:
         doc, tok, freq = np.concatenate(docs), np.concatenate(tokens), np.concatenate(df)
         order = np.lexsort((tok, doc))
@@ -203,121 +207,179 @@ def _prefixes(table: pa.Table) -> pa.Table:
             for k, grade in enumerate(_grades(freq[a:b])):
                 bits[np.lexsort((hashing.mix(tok[a:b] ^ _SALTS[k]), grade))[:first]] |= np.uint8(1 << k)
             keys = tok[a:b][(bits & 1) > 0].view(np.int64)
-            for col, x in zip(rows, (int(nodes[doc[a]]), n, ones, keys, tok[a:b].tobytes(), bits.tobytes()), strict=True):
+            for col, x in zip(rows, (int(nodes[doc[a]]), n, keys, tok[a:b].tobytes(), bits.tobytes()), strict=True):
                 col.append(x)
     return pa.table([pa.array(c, t.type) for c, t in zip(rows, _DOCS, strict=True)], schema=_DOCS)
 
 
-def _verify(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Of rows (a, b, both nodes' sizes, tokens, bits), the pairs that link."""
-    for batch in batches:
-        cols = {n: batch.column(n).to_pylist() for n in ("na", "nb", "ta", "tb", "ba", "bb")}
-        keep = []
-        for na, nb, ta, tb, ba, bb in zip(*cols.values(), strict=True):
-            ta, tb = np.frombuffer(ta, "<u8"), np.frombuffer(tb, "<u8")
-            ba, bb = np.frombuffer(ba, "u1"), np.frombuffer(bb, "u1")
-            keep.append(_meet(ta, tb, ba, bb) and _links(na, nb, ta, tb))
-        kept = pa.array(keep, pa.bool_())
-        yield pa.RecordBatch.from_arrays([batch.column("a").filter(kept), batch.column("b").filter(kept)], names=["a", "b"])
-
-
-def _meet(ta: np.ndarray, tb: np.ndarray, ba: np.ndarray, bb: np.ndarray) -> bool:
-    """Whether the prefixes share a token under every order."""
-    for k in range(ORDERS):
-        x, y = ta[ba & (1 << k) > 0], tb[bb & (1 << k) > 0]
-        at = np.minimum(np.searchsorted(y, x), len(y) - 1)
-        if not (y[at] == x).any():
-            return False
-    return True
-
-
-def _links(na: int, nb: int, ta: np.ndarray, tb: np.ndarray) -> bool:
-    if len(ta) > len(tb):
-        ta, tb = tb, ta
-    at = np.minimum(np.searchsorted(tb, ta), len(tb) - 1)
-    both = int((tb[at] == ta).sum())
-    return DEN * both >= NUM * (na + nb - both)
-
+def _block_links(n: np.ndarray, tokens: list[np.ndarray], bits: list[np.ndarray], allowed: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The pairs (i, j) of a block that are allowed, pass the filters under every order and link."""
+    m = len(n)
+    near = (n[:, None] * NUM <= n[None, :] * DEN) & (n[None, :] * NUM <= n[:, None] * DEN)
+    open_pairs = np.triu(allowed & near, 1)
+    rows = np.flatnonzero((open_pairs | open_pairs.T).any(axis=1))
+    if not len(rows):
+        return rows, rows
+    owner = np.repeat(rows, [len(tokens[i]) for i in rows])
+    flag = np.concatenate([bits[i] for i in rows])
+    _, col, count = np.unique(np.concatenate([tokens[i] for i in rows]), return_inverse=True, return_counts=True)
+    shared = count[col] > 1
+    owner, flag, col = owner[shared], flag[shared], col[shared]
+    _, col = np.unique(col, return_inverse=True)
+    order = np.argsort(col, kind="stable")
+    owner, flag, col = owner[order], flag[order], col[order]
+    width = int(col[-1]) + 1 if len(col) else 0
+
+    def products(on: np.ndarray) -> np.ndarray:
+        total = np.zeros((m, m))
+        o, c = owner[on], col[on]
+        for lo in range(0, width, COLUMNS):
+            a, b = np.searchsorted(c, (lo, lo + COLUMNS))
+            part = np.zeros((m, min(COLUMNS, width - lo)), np.float32)
+            part[o[a:b], c[a:b] - lo] = 1
+            total += part @ part.T
+        return total
 
-def _compare(pairs: DataFrame, sets: DataFrame) -> DataFrame:
-    """The pairs (a, b) that link."""
-    side = lambda x, y: sets.select(F.col("node").alias(x), F.col("n").alias(f"n{y}"), F.col("tokens").alias(f"t{y}"), F.col("bits").alias(f"b{y}"))
-    full = pairs.select("a", "b").join(side("b", "b"), "b").join(side("a", "a"), "a")
-    return full.mapInArrow(_verify, "a long, b long")
+    for k in range(ORDERS):
+        open_pairs &= products((flag & (1 << k)) > 0) > 0
+        if not open_pairs.any():
+            return np.zeros(0, np.int64), np.zeros(0, np.int64)
+    both = products(np.ones(len(col), bool))
+    return np.nonzero(open_pairs & (DEN * both >= NUM * (n[:, None] + n[None, :] - both)))
+
+
+def _merge(labels: list[int], links: tuple[np.ndarray, np.ndarray]) -> dict[int, int]:
+    """Labels that links join, each with the least label of its component."""
+    root: dict[int, int] = {}
+
+    def find(x: int) -> int:
+        while (y := root.get(x, x)) != x:
+            root[x] = root.get(y, y)
+            x = y
+        return x
+
+    for i, j in zip(*(x.tolist() for x in links), strict=True):
+        a, b = find(labels[i]), find(labels[j])
+        if a != b:
+            root[max(a, b)] = min(a, b)
+    return {x: find(x) for x in list(root)}
+
+
+def _arrays(table: pa.Table) -> tuple[np.ndarray, list[np.ndarray], list[np.ndarray], np.ndarray]:
+    n = table.column("n").to_numpy()
+    tokens = [np.frombuffer(x, "<u8") for x in table.column("tokens").to_pylist()]
+    bits = [np.frombuffer(x, "u1") for x in table.column("bits").to_pylist()]
+    return n, tokens, bits, table.column("label").to_numpy()
+
+
+def _within(table: pa.Table) -> pa.Table:
+    """(node, label) of one block, after all its pairs of one family are compared."""
+    n, tokens, bits, label = _arrays(table)
+    family = table.column("family").to_numpy()
+    links = _block_links(n, tokens, bits, family[:, None] == family[None, :])
+    merged = _merge(label.tolist(), links)
+    return pa.table({"node": table.column("node"), "label": pa.array([merged.get(x, x) for x in label.tolist()], pa.int64())})
+
+
+def _across(table: pa.Table) -> pa.Table:
+    """Links between the labels of two blocks."""
+    n, tokens, bits, label = _arrays(table)
+    side = table.column("side").to_numpy()
+    links = _block_links(n, tokens, bits, (label[:, None] != label[None, :]) & (side[:, None] | side[None, :] == 3))
+    merged = _merge(label.tolist(), links)
+    pairs = [(a, b) for a, b in merged.items() if a != b]
+    return pa.table({"a": pa.array([a for a, _ in pairs], pa.int64()), "b": pa.array([b for _, b in pairs], pa.int64())})
+
+
+def _relabel(nodes: DataFrame, links: DataFrame) -> DataFrame:
+    """``nodes`` with their labels after the components of ``links`` (a, b) are merged."""
+    comp = scratch.write(components(links), "jaccard-comp").withColumnsRenamed({"id": "label", "comp": "merged"})
+    out = nodes.join(comp, "label", "left").withColumn("label", F.coalesce("merged", "label")).select(*nodes.columns)
+    return scratch.write(out, "jaccard-labels")
 
 
-def _near_sizes(a: str, b: str):
-    return (F.col(a) * NUM <= F.col(b) * DEN) & (F.col(b) * NUM <= F.col(a) * DEN)
+def _compare_blocks(meetings: DataFrame, nodes: DataFrame, sets: DataFrame) -> DataFrame:
+    """Links found in meetings (family, x, y) of blocks x and y, given nodes (node, family, block, label)."""
+    meetings = scratch.write(meetings.withColumn("meeting", F.xxhash64("family", "x", "y")), "jaccard-meetings")
+    sides = meetings.select("meeting", "family", F.explode(F.array(F.struct(F.col("x").alias("block"), F.lit(1).alias("side")), F.struct(F.col("y").alias("block"), F.lit(2).alias("side")))).alias("s"))
+    # a block that meets itself takes part once, on both sides
+    sides = sides.groupBy("meeting", "family", "s.block").agg(F.sum("s.side").cast("int").alias("side"))
+    rows = scratch.write(nodes.join(sides, ["family", "block"]).select("meeting", "node", "label", "side"), "jaccard-guests")
+    full = rows.join(sets.select("node", "n", "tokens", "bits"), "node")
+    return scratch.write(full.groupBy("meeting").applyInArrow(_across, "a long, b long"), "jaccard-links")
 
 
-def _join_labels(labels: DataFrame, links: DataFrame) -> DataFrame:
-    """Labels after the components that ``links`` (labels a, b) touch are merged."""
-    comp = scratch.write(components(links), "jaccard-comp").withColumnsRenamed({"id": "label", "comp": "merged"})
-    out = labels.join(comp, "label", "left").select("node", F.coalesce("merged", "label").alias("label"))
-    return scratch.write(out, "jaccard-labels")
+def families(index: DataFrame) -> DataFrame:
+    """(node, family) for the nodes of ``index`` (token, node) that share a token with another one."""
+    low = scratch.write(index.groupBy("token").agg(F.min("node").alias("low"), F.count(F.lit(1)).alias("m")).where("m > 1"), "jaccard-buckets")
+    edges = index.join(low, "token").where("node <> low").select(F.col("node").alias("a"), F.col("low").alias("b"))
+    found = components(scratch.write(edges.distinct(), "jaccard-stars"))
+    return scratch.write(found.select(F.col("id").alias("node"), F.col("comp").alias("family")), "jaccard-families")
 
 
 def link_components(sets: DataFrame) -> DataFrame:
-    """(node, label) for the nodes of ``sets``; nodes are in one component if links lead from one to the other."""
-    index = sets.select("node", "n", "ones", F.explode("keys").alias("token"))
-    index = scratch.write(index, "jaccard-index")
-    labels = scratch.write(sets.select("node", F.col("node").alias("label")), "jaccard-labels")
-    entries, spent = index.count(), 0
-    for step in range(MORE_ROUNDS + 1):
-        held = scratch.write(index.join(labels, "node"), "jaccard-held")
-        h = F.xxhash64("node", F.lit(step)).alias("h")
-        first = (F.col("ones"), h) if step == 0 else (h, F.col("ones"))
-        by_label = held.groupBy("token", "label").agg(
-            F.count(F.lit(1)).alias("m"), F.min(F.struct(*first, "node", "n")).alias("best")
-        )
-        # the leader is of the largest component of its bucket; among equals the one with fewest tokens of its own
-        buckets = by_label.groupBy("token").agg(
-            F.sum("m").alias("size"), F.sum(F.col("m") * F.col("m")).alias("inside"), F.count(F.lit(1)).alias("labels"),
-            F.max_by(F.struct("label", "best"), F.struct("m", *[-F.col(f"best.{x}") / 2 for x in (("ones", "h") if step == 0 else ("h", "ones"))])).alias("leader"),
-        ).where("labels > 1")
-        buckets = scratch.write(buckets.select("token", "size", "inside", "leader.label", "leader.best"), "jaccard-buckets")
-        left = buckets.agg(F.sum((F.col("size") * F.col("size") - F.col("inside")) / 2)).first()[0] or 0
-        if not left:
-            break
-        # few enough, or leaders no longer help: compare all pairs of different components that share a bucket
-        last = left <= PAIRS_PER_ENTRY * entries and (step >= ROUNDS or left <= entries) or step == MORE_ROUNDS or spent is None
-        live = held.join(buckets.select("token"), "token", "left_semi") if last else held
-        if last:
-            live = scratch.write(live, "jaccard-live")
-            mine = live.select("token", F.col("node").alias("a"), F.col("label").alias("la"), F.col("n").alias("na"))
-            other = live.select(F.col("token").alias("t"), F.col("node").alias("b"), F.col("label").alias("lb"), F.col("n").alias("nb"))
-            pairs = mine.join(other, (F.col("token") == F.col("t")) & (F.col("la") < F.col("lb")) & _near_sizes("na", "nb"))
-        else:
-            lead = buckets.select(F.col("token").alias("t"), F.col("best.node").alias("a"), F.col("label").alias("la"), F.col("best.n").alias("na"))
-            mine = held.select("token", F.col("node").alias("b"), F.col("label").alias("lb"), F.col("n").alias("nb"))
-            pairs = mine.join(lead, (F.col("token") == F.col("t")) & (F.col("la") != F.col("lb")) & _near_sizes("na", "nb"))
-        pairs = scratch.write(pairs.select("a", "b", "la", "lb").distinct(), "jaccard-pairs")
-        good = scratch.write(_compare(pairs, sets), "jaccard-good")
-        links = pairs.join(good, ["a", "b"]).select(F.col("la").alias("a"), F.col("lb").alias("b"))
-        links = scratch.write(links, "jaccard-links")
-        found = not links.isEmpty()
-        if found:
-            labels = _join_labels(labels, links)
-        if last:
-            break
-        if not found and step >= ROUNDS:
-            spent = None
-    return labels
+    """(node, label) for the nodes of ``sets`` that may link; nodes are in one component if links lead from one to the other."""
+    index = scratch.write(sets.select("node", F.explode("keys").alias("token")), "jaccard-index")
+    family = families(index)
+    sizes = scratch.write(family.groupBy("family").agg(F.count(F.lit(1)).alias("m")), "jaccard-sizes")
+    count = family.count()
+    if not count:
+        return family.withColumnRenamed("family", "label")
+    nodes = family.join(sizes, "family").withColumn("blocks", F.ceil(F.col("m") / BLOCK).cast("long"))
+    part = F.pmod(F.xxhash64("node", F.lit(0)), F.col("blocks"))
+    shared = F.pmod(F.xxhash64("family"), F.lit(-(-count // BLOCK)))
+    nodes = nodes.withColumn("block", part).withColumn("home", F.when(F.col("blocks") > 1, F.xxhash64("family", "block")).otherwise(shared))
+    nodes = scratch.write(nodes, "jaccard-placed")
+    full = nodes.select("node", "family", "home", F.col("node").alias("label")).join(sets.select("node", "n", "tokens", "bits"), "node")
+    labels = scratch.write(full.groupBy("home").applyInArrow(_within, "node long, label long"), "jaccard-labels")
+    large = nodes.where("blocks > 1").select("node", "family", "block", "blocks").join(labels, "node")
+    large = scratch.write(large, "jaccard-large")
+    if large.isEmpty():
+        return labels
+    for step in range(ROUNDS):
+        host = F.pmod(F.lit(step), F.col("blocks"))
+        meetings = large.groupBy("family", "block", "blocks").agg(F.count(F.lit(1)).alias("m"))
+        meetings = meetings.withColumn("x", host).where("block <> x").select("family", "x", F.col("block").alias("y"))
+        large = _relabel(large, _compare_blocks(meetings, large, sets))
+    large = _relabel(large, _compare_blocks(*_last_meetings(large, index), sets))
+    small = labels.join(large.select("node"), "node", "left_anti")
+    return scratch.write(small.unionByName(large.select("node", "label")), "jaccard-labels")
+
+
+def _last_meetings(large: DataFrame, index: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """All pairs of blocks that may hold a link between two components, and the nodes in new blocks."""
+    by_label = large.groupBy("family", "label").agg(F.count(F.lit(1)).alias("m"))
+    top = by_label.groupBy("family").agg(F.max_by("label", F.struct("m", "label")).alias("top"), F.sum("m").alias("all"), F.max("m").alias("most"))
+    top = scratch.write(top.where("all > most"), "jaccard-top")
+    apart = F.col("label") != F.col("top")
+    deal = F.ceil(F.when(apart, F.col("all") - F.col("most")).otherwise(F.col("most")) / BLOCK).cast("long")
+    nodes = large.join(top, "family").withColumn("block", F.pmod(F.xxhash64("node", F.lit(1)), deal) * 2 + apart.cast("long"))
+    nodes = scratch.write(nodes.select("node", "family", "block", "label"), "jaccard-dealt")
+    span = [F.min("label").alias("lo"), F.max("label").alias("hi")]
+    blocks = scratch.write(nodes.groupBy("family", "block").agg(*span), "jaccard-dealt-blocks")
+    wide = blocks.groupBy("family").agg(F.count(F.lit(1)).alias("k"))
+    wide = scratch.write(wide, "jaccard-wide")
+    few = blocks.join(wide.where(F.col("k") <= MANY_BLOCKS), "family").withColumn("token", F.lit(0).cast("long"))
+    some = nodes.join(wide.where(F.col("k") > MANY_BLOCKS), "family").join(index, "node").groupBy("family", "token", "block").agg(*span)
+    either = scratch.write(few.select("family", "token", "block", "lo", "hi").unionByName(some.select("family", "token", "block", "lo", "hi")), "jaccard-spans")
+    x = either.select("family", "token", F.col("block").alias("x"), F.col("lo").alias("lo1"), F.col("hi").alias("hi1"))
+    y = either.select(F.col("family").alias("f"), F.col("token").alias("t"), F.col("block").alias("y"), F.col("lo").alias("lo2"), F.col("hi").alias("hi2"))
+    mixed = F.least("lo1", "lo2") < F.greatest("hi1", "hi2")
+    pairs = x.join(y, (F.col("family") == F.col("f")) & (F.col("token") == F.col("t")) & (F.col("x") <= F.col("y")) & mixed)
+    return pairs.select("family", "x", "y").distinct(), nodes
 
 
 def _shared_sets(docs: DataFrame, tokens: int) -> DataFrame:
-    """Nodes with a shared token in their prefix: node, n, ones, keys, tokens, bits."""
+    """Nodes with a shared token in their prefix: node, n, keys, tokens, bits."""
     parts = max(32, -(-tokens // TOKENS_PER_PART))
     sent = docs.select("text").mapInArrow(_sender(parts), _ddl(_SENT))
     back = sent.groupBy("part").applyInArrow(_count, _ddl(_BACK))
     sets = back.groupBy("chunk").applyInArrow(_prefixes, _ddl(_DOCS))
-    one = [F.any_value(c).alias(c) for c in ("n", "ones", "keys", "tokens", "bits")]
-    return scratch.write(scratch.write(sets, "jaccard-sets").groupBy("node").agg(*one), "jaccard-nodes")
+    return scratch.write(sets.groupBy("node").agg(*[F.any_value(c).alias(c) for c in ("n", "keys", "tokens", "bits")]), "jaccard-nodes")
 
 
-def near_duplicates(docs: DataFrame) -> DataFrame:
-    """A row for each document: doc_id, n_shingles, component_id."""
-    docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
+def _rows_and_components(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """(doc_id, n_shingles, node) of each row, and (_node, component_id) of the nodes whose component has several rows."""
     rows = scratch.write(docs.mapInArrow(_sets, _ddl(_SETS)), "jaccard-docs")
     tokens = rows.agg(F.sum("n_shingles")).first()[0] or 0
     nodes = rows.where("doc_id is not null and node is not null").groupBy("node").agg(F.min("doc_id").alias("least"), F.count(F.lit(1)).alias("copies"))
@@ -327,6 +389,45 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
     known = scratch.write(known, "jaccard-known")
     least = known.groupBy("label").agg(F.min("least").alias("component_id"), F.sum("copies").alias("size"))
     least = scratch.write(least.where("size > 1"), "jaccard-least")
-    found = scratch.write(known.join(least, "label").select(F.col("node").alias("_node"), "component_id"), "jaccard-found")
+    return rows, scratch.write(known.join(least, "label").select(F.col("node").alias("_node"), "component_id"), "jaccard-found")
+
+
+def near_duplicates(docs: DataFrame) -> DataFrame:
+    """A row for each document: doc_id, n_shingles, component_id."""
+    rows, found = _rows_and_components(docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text"))
     out = rows.join(found, F.col("node") == F.col("_node"), "left")
     return out.select("doc_id", "n_shingles", F.when(F.col("doc_id").isNotNull(), F.coalesce("component_id", "doc_id")).alias("component_id"))
+
+
+def deduplicate(docs: DataFrame) -> DataFrame:
+    """Of each component the row with the least doc_id, with the columns of the input; of rows that repeat it, the first text.
+
+    Rows without words link with nothing and stay; so do rows without doc_id.
+    """
+    cols = docs.columns
+    marks = scratch.write(near_duplicates(docs), "jaccard-marks")
+    drop = marks.where(F.col("doc_id") != F.col("component_id")).select(F.col("doc_id").alias("_id")).distinct()
+    drop = scratch.write(drop, "jaccard-drop")
+    kept = docs.join(drop, docs["doc_id"] == drop["_id"], "left_anti").select(*[F.col(f"`{c}`") for c in cols])
+    again = marks.where("doc_id is not null and n_shingles > 0").groupBy("doc_id").count().where("count > 1").select(F.col("doc_id").alias("_id"))
+    again = scratch.write(again, "jaccard-again")
+    if again.isEmpty():
+        return kept
+    once = kept.join(again, kept["doc_id"] == again["_id"], "left_anti")
+    repeated = kept.join(again, kept["doc_id"] == again["_id"], "left_semi").dropDuplicates(["doc_id", "text"])
+    return once.unionByName(repeated)
+
+
+ORACLE = r"""
+WITH RECURSIVE w AS (SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+') AS w FROM documents),
+s AS (SELECT doc_id, CASE WHEN len(w) = 0 THEN [] WHEN len(w) < 5 THEN [hash(array_to_string(w, ' '))]
+      ELSE list_distinct(list_transform(range(1, len(w) - 3), lambda i: hash(array_to_string(w[i:i + 4], ' ')))) END AS s FROM w),
+n AS (SELECT doc_id, CAST(len(s) AS BIGINT) AS n FROM s),
+e AS (SELECT doc_id, unnest(s) AS t FROM s),
+p AS (SELECT a.doc_id AS a, b.doc_id AS b, count(*) AS k FROM e a JOIN e b ON a.t = b.t AND a.doc_id < b.doc_id GROUP BY ALL),
+l AS (SELECT a, b FROM p JOIN n x ON x.doc_id = a JOIN n y ON y.doc_id = b WHERE 100 * k >= 75 * (x.n + y.n - k)),
+b AS (SELECT a, b FROM l UNION ALL SELECT b, a FROM l),
+r(doc_id, c) AS (SELECT a, a FROM b UNION SELECT b.b, r.c FROM r JOIN b ON r.doc_id = b.a WHERE r.c < b.b)
+SELECT n.doc_id, n.n AS n_shingles, least(n.doc_id, coalesce(min(r.c), n.doc_id)) AS component_id
+FROM n LEFT JOIN r ON r.doc_id = n.doc_id GROUP BY n.doc_id, n.n
+"""

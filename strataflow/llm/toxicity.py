@@ -31,7 +31,7 @@ from strataflow.llm import hashing
 from strataflow.llm.language import held_out
 
 #: Parameters of the sample and the fit.
-PER_LABEL = 4000
+PER_LABEL = 1500
 MAX_CHARS = 20_000
 PREFIXES = (4, 5, 6)
 MAX_FEATURES = 4096
@@ -109,7 +109,9 @@ def fit(texts: list[str], labels: list[int], prior: float) -> Weights:
     if not n1 or n1 == n:
         p = min(max(prior, 0.0), 1.0)
         return Weights(np.zeros(0, np.uint64), np.zeros(0), float(np.log((p + 1e-6) / (1 - p + 1e-6))))
-    o, h = features(texts)
+    parts = [(np.array(block)[o], h) for block in hashing.blocks(texts) for o, h in [features([texts[i] for i in block])]]
+    o, h = np.concatenate([x[0] for x in parts]).astype(np.int32), np.concatenate([x[1] for x in parts])
+    del parts
     keys, index, count = np.unique(h, return_inverse=True, return_counts=True)
     toxic = np.bincount(index, y[o], len(keys))
     gain = _gain(toxic, count - toxic, n1, n - n1)

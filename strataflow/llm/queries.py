@@ -6,7 +6,8 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from strataflow.llm import extraction, jaccard, language, mixing, neighbours, packing, quality, toxicity, warc
+import corpus_pipeline
+from strataflow.llm import chat, extraction, jaccard, language, mixing, neighbours, packing, quality, toxicity, warc
 from strataflow.tables import table
 
 
@@ -14,6 +15,10 @@ def op1_warc_archive(spark: SparkSession, sf_dir: str) -> DataFrame:
     return warc.round_trip(table(spark, sf_dir, "pages"))
 
 
+def op2_preference_chat(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return chat.preference(table(spark, sf_dir, "conversations"))
+
+
 def op3_text_density(spark: SparkSession, sf_dir: str) -> DataFrame:
     return extraction.extract(table(spark, sf_dir, "pages"))
 
@@ -49,6 +54,7 @@ def op10_language_crf(spark: SparkSession, sf_dir: str) -> DataFrame:
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op1_warc_archive": op1_warc_archive,
+        "op2_preference_chat": op2_preference_chat,
         "op3_text_density": op3_text_density,
         "op4_source_mixing": op4_source_mixing,
         "op5_ngram_jaccard": op5_ngram_jaccard,
@@ -57,8 +63,14 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op8_robust_quality": op8_robust_quality,
         "op9_counterfactual_toxicity": op9_counterfactual_toxicity,
         "op10_language_crf": op10_language_crf,
+        "pipeline": corpus_pipeline.run,
     }
 
 
 def oracles() -> dict[str, str]:
-    return {"op1_warc_archive": warc.ORACLE, "op4_source_mixing": mixing.ORACLE}
+    return {
+        "op1_warc_archive": warc.ORACLE,
+        "op2_preference_chat": chat.ORACLE,
+        "op4_source_mixing": mixing.ORACLE,
+        "op5_ngram_jaccard": jaccard.ORACLE,
+    }

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import importlib
 
-NAMES: tuple[str, ...] = ()
+NAMES: tuple[str, ...] = ("sequences",)
 
 
 def load() -> None:

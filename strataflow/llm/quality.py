@@ -211,7 +211,7 @@ def passing(docs: DataFrame) -> DataFrame:
     """The documents that are kept, with the columns of the input."""
     cols = docs.columns
     rows = docs.select(F.struct(*[F.col(f"`{c}`") for c in cols]).alias("row"), "lang", "source", "text")
-    fitted = scratch.write(with_features(with_statistics(docs.select("lang", "source", "text")).drop("text")), "quality-stats")
-    model = fit(fitted.where(~F.col("q_base_failed")))
-    out = judge(with_features(with_statistics(rows).drop("text")), model)
-    return out.where("q_kept").select("row.*")
+    # written once: a filter on statistics that are not yet computed would have the optimizer compute them again and again
+    rows = scratch.write(with_features(with_statistics(rows)).drop("text"), "quality-rows")
+    model = fit(rows.where(~F.col("q_base_failed")))
+    return judge(rows, model).where("q_kept").select("row.*")

@@ -60,7 +60,11 @@ def rolling(col: str | Column, width: int, kind: str = "mean", key: str = KEY, o
         raise ValueError("centred windows have an odd width")
     w = ordered(key, order).rowsBetween(-(width // 2), width // 2)
     c = F.col(col) if isinstance(col, str) else col
-    return {"mean": F.avg, "max": F.max, "min": F.min, "std": F.stddev_samp, "median": F.median}[kind](c).over(w)
+    if kind == "median":  # of a bounded frame: its middle values after sorting
+        a = F.sort_array(F.collect_list(c).over(w))
+        mid = lambda i: F.get(a, i.cast("int"))
+        return (mid(F.floor((F.size(a) - 1) / 2)) + mid(F.floor(F.size(a) / 2))) / 2.0
+    return {"mean": F.avg, "max": F.max, "min": F.min, "std": F.stddev_samp}[kind](c).over(w)
 
 
 def difference(col: str, times: int = 1) -> Column:

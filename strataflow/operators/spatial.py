@@ -26,7 +26,7 @@ def axis_scales(points: DataFrame) -> tuple[float, float, dict[str, float]]:
 
 
 def knn_join(queries: DataFrame, points: DataFrame, k: int, query_id: str = "query_id", exclude: tuple[str, str] | None = None, sx: float = 1.0, sy: float = 1.0, extent: dict | None = None) -> DataFrame:
-    """(query_id, point_id, value, px, py, dist, rank) of the k nearest points; ties to the smaller point_id.
+    """(query_id, point_id, value, px, py, dist, rank) of the k nearest points; distances that agree to nine places are ties, which go to the smaller point_id.
 
     ``exclude`` names a query and a point column that must differ (own well, own fold). Distances are scaled by ``sx`` and ``sy``.
     """
@@ -55,7 +55,7 @@ def knn_join(queries: DataFrame, points: DataFrame, k: int, query_id: str = "que
         near = around.join(placed, on)
         dx, dy = F.col("px") / sx - F.col("qx"), F.col("py") / sy - F.col("qy")
         near = near.withColumn("dist", F.sqrt(dx * dx + dy * dy))
-        near = near.withColumn("rank", F.row_number().over(W.partitionBy(query_id).orderBy("dist", "point_id"))).where(F.col("rank") <= k)
+        near = near.withColumn("rank", F.row_number().over(W.partitionBy(query_id).orderBy(F.round("dist", 9), "point_id"))).where(F.col("rank") <= k)
         cols = [query_id, "point_id", "value", "px", "py", "dist", "rank"]
         if last:
             part = near.select(cols)

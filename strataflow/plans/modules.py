@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import importlib
 
-NAMES: tuple[str, ...] = ("sequences",)
+NAMES: tuple[str, ...] = ("sequences", "lookups", "statistics", "candidates")
 
 
 def load() -> None:

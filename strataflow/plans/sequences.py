@@ -90,8 +90,8 @@ _rolled(15, "std", "stddev_samp")
 _rolled(11, "median", "median")
 
 
-@query("w2_differences", sql(f"""SELECT well_id, row_idx, round(coalesce(z - lag(z) OVER w, 0), 6) AS d1,
- round(coalesce(z - lag(z) OVER w - coalesce(lag(z) OVER w - lag(z, 2) OVER w, 0), 0), 6) AS d2 FROM h WINDOW w AS ({O})"""))
+@query("w2_differences", sql(f"""SELECT well_id, row_idx, round(coalesce(z - lag(z) OVER w, 0), 6) + 0.0 AS d1,
+ round(coalesce(z - lag(z) OVER w - coalesce(lag(z) OVER w - lag(z, 2) OVER w, 0), 0), 6) + 0.0 AS d2 FROM h WINDOW w AS ({O})"""))
 def w2(spark, sf_dir):
     return wells(spark, sf_dir).select("well_id", "row_idx", R(S.difference("z")).alias("d1"), R(S.difference("z", 2)).alias("d2"))
 
@@ -112,9 +112,9 @@ def w3_runs(spark, sf_dir):
 
 @query("w4_fill_linear", sql(f"""
 , f AS (SELECT *, last_value(CASE WHEN gr IS NOT NULL THEN row_idx END IGNORE NULLS) OVER ({O} {RUN}) AS bt, last_value(gr IGNORE NULLS) OVER ({O} {RUN}) AS bv,
- first_value(CASE WHEN gr IS NOT NULL THEN row_idx END IGNORE NULLS) OVER ({O} ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING) AS at,
+ first_value(CASE WHEN gr IS NOT NULL THEN row_idx END IGNORE NULLS) OVER ({O} ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING) AS ft,
  first_value(gr IGNORE NULLS) OVER ({O} ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING) AS av FROM h)
-SELECT well_id, row_idx, round(coalesce(CASE WHEN gr IS NOT NULL THEN gr WHEN bt IS NULL THEN av WHEN at IS NULL THEN bv ELSE bv + (av - bv) * (row_idx - bt) / (at - bt) END, 85.0), 6) AS gr FROM f"""))
+SELECT well_id, row_idx, round(coalesce(CASE WHEN gr IS NOT NULL THEN gr WHEN bt IS NULL THEN av WHEN ft IS NULL THEN bv ELSE bv + (av - bv) * (row_idx - bt) / (ft - bt) END, 85.0), 6) AS gr FROM f"""))
 def w4(spark, sf_dir):
     return wells(spark, sf_dir).select("well_id", "row_idx", R(S.fill_linear("gr", fallback=F.lit(85.0))).alias("gr"))
 

@@ -1,0 +1,237 @@
+"""State-space kernels: particle filters, grid filters, hidden Markov smoothing. NumPy only, vectorised over states."""
+
+from __future__ import annotations
+
+import zlib
+
+import numpy as np
+
+
+class Curve:
+    """A reference curve on a uniform grid; its end values hold beyond its ends."""
+
+    def __init__(self, t: np.ndarray, g: np.ndarray, step: float = 0.2):
+        self.lo, self.hi, self.step = float(t[0]), float(t[-1]), step
+        self.grid = np.interp(np.arange(self.lo, self.hi + step / 2, step), t, g)
+
+    def __call__(self, v: np.ndarray) -> np.ndarray:
+        p = np.clip((v - self.lo) / self.step, 0, len(self.grid) - 1)
+        i = np.minimum(p.astype(int), max(len(self.grid) - 2, 0))
+        j = np.minimum(i + 1, len(self.grid) - 1)
+        return self.grid[i] + (self.grid[j] - self.grid[i]) * (p - i)
+
+
+def seed_of(*parts) -> int:
+    """A seed from names, the same in any process."""
+    return zlib.crc32(":".join(map(str, parts)).encode())
+
+
+def noise(residual: np.ndarray) -> float:
+    """Deviation of known residuals within 10 and 60; 30 with fewer than 20."""
+    r = residual[np.isfinite(residual)]
+    return float(np.clip(r.std(), 10, 60)) if len(r) >= 20 else 30.0
+
+
+def steps(md: np.ndarray, last: float) -> np.ndarray:
+    """Moves along the well, at least 1."""
+    return np.maximum(np.diff(md, prepend=last), 1.0)
+
+
+def likelihood(misfit: np.ndarray, sigma: float) -> np.ndarray:
+    return np.maximum(np.exp(-0.5 * np.minimum((misfit / sigma) ** 2, 600.0)), 1e-300)
+
+
+def _resample(rng: np.random.Generator, w: np.ndarray) -> np.ndarray:
+    """Systematic draws by row of weights."""
+    s, n = w.shape
+    u = (rng.random((s, 1)) + np.arange(n)) / n
+    c = np.cumsum(w, axis=1)
+    c[:, -1] = 1.0
+    return np.array([np.searchsorted(c[i], u[i]) for i in range(s)])
+
+
+def particle_filters(dm: np.ndarray, z: np.ndarray, gr: np.ndarray, curve: Curve, sigma: float, level: float, z0: float, rate: float, seeds: list[int], particles: int = 600, spread: float = 0.3, momentum: float = 0.998, rate_noise: float = 0.002, level_noise: float = 0.005) -> tuple[np.ndarray, np.ndarray]:
+    """Mean path of each of several filters and their log-evidence. States are level plus z, and its rate."""
+    rng = np.random.default_rng(seed_of(*seeds))
+    s, n = len(seeds), particles
+    pos = level + z0 + spread * rng.standard_normal((s, n))
+    vel = rate + 0.01 * rng.standard_normal((s, n))
+    w = np.full((s, n), 1.0 / n)
+    evidence, out = np.zeros(s), np.empty((s, len(dm)))
+    for t in range(len(dm)):
+        vel = momentum * vel + rate_noise * rng.standard_normal((s, n))
+        pos = pos + vel * dm[t] + level_noise * rng.standard_normal((s, n))
+        tvt = np.clip(pos - z[t], curve.lo - 50, curve.hi + 50)
+        pos = tvt + z[t]
+        if np.isfinite(gr[t]):
+            w = w * likelihood(gr[t] - curve(tvt), sigma)
+            total = w.sum(axis=1, keepdims=True)
+            evidence += np.log(np.maximum(total[:, 0], 1e-300))
+            w = np.where(total > 0, w / np.maximum(total, 1e-300), 1.0 / n)
+        out[:, t] = (w * tvt).sum(axis=1)
+        poor = np.flatnonzero(1.0 / (w * w).sum(axis=1) < 0.5 * n)
+        if len(poor):
+            pick = _resample(rng, w[poor])
+            pos[poor] = np.take_along_axis(pos[poor], pick, 1) + 0.1 * rng.standard_normal((len(poor), n))
+            vel[poor] = np.take_along_axis(vel[poor], pick, 1) + 0.001 * rng.standard_normal((len(poor), n))
+            w[poor] = 1.0 / n
+    return out, evidence
+
+
+def evidence_weights(evidence: np.ndarray, scale: float = 5.0) -> np.ndarray:
+    w = np.exp((evidence - evidence.max()) / scale)
+    return w / w.sum()
+
+
+def _blur(p: np.ndarray, sigma: float, axis: int) -> np.ndarray:
+    """Gaussian blur with end values repeated, cut at four deviations."""
+    r = int(4 * sigma + 0.5)
+    k = np.exp(-0.5 * (np.arange(-r, r + 1) / sigma) ** 2)
+    k /= k.sum()
+    pad = [(0, 0)] * p.ndim
+    pad[axis] = (r, r)
+    q = np.pad(p, pad, mode="edge")
+    return sum(k[i] * np.take(q, np.arange(i, i + p.shape[axis]), axis=axis) for i in range(2 * r + 1))
+
+
+def grid_filter(dm: np.ndarray, z: np.ndarray, gr: np.ndarray, curve: Curve, sigma: float, level: float, z0: float, rate: float, reach: float = 50.0, step: float = 0.5) -> np.ndarray:
+    """Mean level by a filter on a grid of levels and rates (no randomness)."""
+    levels = level + np.arange(-reach, reach + step / 2, step)
+    rates = rate + np.arange(-0.05, 0.05 + 1e-9, 0.0025)
+    p = np.zeros((len(rates), len(levels)))
+    p[len(rates) // 2, len(levels) // 2] = 1.0
+    dz = np.diff(z, prepend=z0)
+    out = np.empty(len(dm))
+    cells = np.arange(len(levels))
+    for t in range(len(dm)):
+        p = _blur(p, max(0.002 / 0.0025, 0.3), 0)
+        shift = (rates * dm[t] - dz[t]) / step
+        whole = np.floor(shift).astype(int)
+        part = (shift - whole)[:, None]
+        moved = np.zeros_like(p)
+        for k, share in ((0, 1 - part), (1, part)):
+            src = cells[None, :] - (whole + k)[:, None]
+            ok = (src >= 0) & (src < len(levels))
+            moved += share * np.where(ok, np.take_along_axis(p, np.clip(src, 0, len(levels) - 1), 1), 0.0)
+        p = _blur(moved, max(0.005 / step, 0.3), 1)
+        if np.isfinite(gr[t]):
+            p = p * likelihood(gr[t] - curve(levels), sigma)[None, :]
+        total = p.sum()
+        p = p / total if total > 0 else np.full_like(p, 1.0 / p.size)
+        out[t] = (p.sum(0) * levels).sum()
+    return out
+
+
+def smooth_states(log_emit: np.ndarray, dm: np.ndarray, dz: np.ndarray, rates: np.ndarray, step: float, rate_noise: float = 0.002, level_noise: float = 0.05, momentum: float = 0.998, start: int | None = None) -> tuple[np.ndarray, float]:
+    """Posterior over levels by column, and the log-evidence, of a chain of (rate, level) by forward-backward.
+
+    The rate walks by at most one cell with momentum toward 0; the level moves by rate * dm - dz, spread over five cells.
+    """
+    cols, n = log_emit.shape
+    k = len(rates)
+    dr = rates[1] - rates[0] if k > 1 else 1.0
+    e = np.exp(log_emit - log_emit.max(axis=1, keepdims=True))
+    cells = np.arange(n)
+
+    def rate_moves(t: int) -> np.ndarray:
+        mean, var = -(1 - momentum) * rates * dm[t], (rate_noise * np.sqrt(dm[t])) ** 2
+        second = (var + mean * mean) / dr**2
+        up, down = np.clip((second + mean / dr) / 2, 1e-12, 0.45), np.clip((second - mean / dr) / 2, 1e-12, 0.45)
+        m = np.zeros((k, k))
+        i = np.arange(k)
+        m[i, i] = 1 - up - down
+        m[i, np.minimum(i + 1, k - 1)] += up
+        m[i, np.maximum(i - 1, 0)] += down
+        return m
+
+    def kernel(t: int) -> tuple[np.ndarray, np.ndarray]:
+        shift = (rates * dm[t] - dz[t]) / step
+        mid = np.round(shift).astype(int)
+        s = max(level_noise, 0.35 * step) / step
+        w = np.exp(-0.5 * ((mid[:, None] + np.arange(-2, 3) - shift[:, None]) / s) ** 2)
+        return mid, w / w.sum(1, keepdims=True)
+
+    def push(a: np.ndarray, t: int, sign: int) -> np.ndarray:
+        mid, w = kernel(t)
+        out = np.zeros_like(a)
+        for j in range(5):
+            src = cells[None, :] - sign * (mid + j - 2)[:, None]
+            ok = (src >= 0) & (src < n)
+            out += w[:, j : j + 1] * np.where(ok, np.take_along_axis(a, np.clip(src, 0, n - 1), 1), 0.0)
+        return out
+
+    alpha = np.zeros((cols, k, n))
+    a = np.zeros((k, n))
+    a[k // 2, n // 2 if start is None else start] = 1.0
+    evidence = 0.0
+    for t in range(cols):
+        a = push(rate_moves(t).T @ a, t, 1) * e[t][None, :]
+        total = a.sum()
+        evidence += float(np.log(max(total, 1e-300)) + log_emit[t].max())
+        a = a / total if total > 0 else np.full((k, n), 1.0 / (k * n))
+        alpha[t] = a
+    post = np.empty((cols, n))
+    b = np.ones((k, n))
+    for t in range(cols - 1, -1, -1):
+        p = alpha[t] * b
+        post[t] = p.sum(0) / max(p.sum(), 1e-300)
+        b = rate_moves(t) @ push(e[t][None, :] * b, t, -1)
+        b /= max(b.max(), 1e-300)
+    return post, evidence
+
+
+def smooth_levels(log_emit: np.ndarray, shift: np.ndarray, sigma: float, band: int, start: int) -> np.ndarray:
+    """Posterior over levels by column of a banded Gaussian walk around expected shifts (cells)."""
+    cols, n = log_emit.shape
+    e = np.exp(log_emit - log_emit.max(axis=1, keepdims=True))
+    cells = np.arange(n)
+
+    def move(a: np.ndarray, t: int, sign: int) -> np.ndarray:
+        mid = int(np.round(shift[t]))
+        d = np.arange(mid - band, mid + band + 1)
+        w = np.exp(-0.5 * ((d - shift[t]) / sigma) ** 2)
+        w /= w.sum()
+        out = np.zeros(n)
+        for dj, wj in zip(d, w, strict=True):
+            src = cells - sign * dj
+            ok = (src >= 0) & (src < n)
+            out += wj * np.where(ok, a[np.clip(src, 0, n - 1)], 0.0)
+        return out
+
+    alpha = np.empty((cols, n))
+    a = np.zeros(n)
+    a[start] = 1.0
+    for t in range(cols):
+        a = move(a, t, 1) * e[t]
+        a = a / a.sum() if a.sum() > 0 else np.full(n, 1.0 / n)
+        alpha[t] = a
+    post, b = np.empty((cols, n)), np.ones(n)
+    for t in range(cols - 1, -1, -1):
+        p = alpha[t] * b
+        post[t] = p / max(p.sum(), 1e-300)
+        b = move(e[t] * b, t, -1)
+        b /= max(b.max(), 1e-300)
+    return post
+
+
+def summary(post: np.ndarray, levels: np.ndarray) -> dict[str, np.ndarray]:
+    """Mean, deviation, most likely level and the 0.4 and 0.6 quantiles of each column."""
+    mean = post @ levels
+    c = np.cumsum(post, axis=1)
+    at = lambda q: levels[np.minimum((c < q).sum(1), len(levels) - 1)]
+    return {"mean": mean, "std": np.sqrt(np.maximum(post @ levels**2 - mean**2, 0)), "map": levels[post.argmax(1)], "q40": at(0.4), "q60": at(0.6)}
+
+
+def segment_posterior(emissions: np.ndarray, transitions: np.ndarray) -> np.ndarray:
+    """Posterior over candidates by segment from log emissions (S, K) and log transitions (S - 1, K, K)."""
+    s, k = emissions.shape
+    top = lambda m, axis: np.log(np.exp(m - m.max(axis=axis, keepdims=True)).sum(axis=axis)) + m.max(axis=axis)
+    f, b = np.empty((s, k)), np.zeros((s, k))
+    f[0] = emissions[0]
+    for t in range(1, s):
+        f[t] = emissions[t] + top(f[t - 1][:, None] + transitions[t - 1], 0)
+    for t in range(s - 2, -1, -1):
+        b[t] = top(transitions[t] + (emissions[t + 1] + b[t + 1])[None, :], 1)
+    p = f + b
+    p = np.exp(p - p.max(axis=1, keepdims=True))
+    return p / p.sum(axis=1, keepdims=True)

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import importlib
 
-NAMES: tuple[str, ...] = ("sequences", "lookups", "statistics", "candidates")
+NAMES: tuple[str, ...] = ("sequences", "lookups", "statistics", "candidates", "decoders")
 
 
 def load() -> None:

@@ -102,7 +102,8 @@ def correlations(df: DataFrame, key: str, a: str, b: str) -> DataFrame:
     """Pearson and Spearman by group, 0 where a side does not vary."""
     r = df.where(F.col(a).isNotNull() & F.col(b).isNotNull()).withColumns({"_ra": average_rank(key, a), "_rb": average_rank(key, b)})
     def safe(x: str, y: str) -> Column:
-        return F.when((F.stddev_pop(x) > 1e-9) & (F.stddev_pop(y) > 1e-9), F.corr(x, y)).otherwise(F.lit(0.0))
+        sx, sy = F.stddev_pop(x), F.stddev_pop(y)  # corr() itself fails on a side that does not vary
+        return F.when((sx > 1e-9) & (sy > 1e-9), F.try_divide(F.covar_pop(x, y), sx * sy)).otherwise(F.lit(0.0))
     return r.groupBy(key).agg(safe(a, b).alias("pearson"), safe("_ra", "_rb").alias("spearman"))
 
 

@@ -43,7 +43,7 @@ WORDS = 5
 NUM, DEN = 75, 100
 #: Tokens that one task counts together, and that one chunk of documents sends; about 60 bytes each in memory.
 TOKENS_PER_PART = 500_000
-TOKENS_PER_CHUNK = 1_000_000
+TOKENS_PER_CHUNK = 500_000
 #: Nodes of a block; rounds in which the blocks of a family meet one of them; from how many blocks on pairs of blocks need a token in common.
 BLOCK = 64
 ROUNDS = 2

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import importlib
 
-NAMES: tuple[str, ...] = ("sequences", "lookups", "statistics", "candidates", "decoders", "learning")
+NAMES: tuple[str, ...] = ("sequences", "lookups", "statistics", "candidates", "decoders", "learning", "evidence")
 
 
 def load() -> None:

@@ -37,7 +37,7 @@ PREFIXES = (4, 5, 6)
 MAX_FEATURES = 4096
 MIN_COUNT = 3
 MIN_GAIN = 12.0
-RIDGE = 0.02
+RIDGE = 0.004
 SWAP_PENALTY = 4.0
 STEPS = 300
 #: Terms that name a group, by kind; a swap stays within its kind.
@@ -229,7 +229,9 @@ def sample(docs: DataFrame, labels: DataFrame, per_label: int = PER_LABEL) -> tu
 
 
 def train(docs: DataFrame, labels: DataFrame) -> Weights:
-    return fit(*sample(docs.select("doc_id", "text"), labels.select("doc_id", "toxic")))
+    model = fit(*sample(docs.select("doc_id", "text"), labels.select("doc_id", "toxic")))
+    hashing.release()
+    return model
 
 
 def score(docs: DataFrame, model: Weights) -> DataFrame:

@@ -31,3 +31,9 @@ def write(df: DataFrame, name: str) -> DataFrame:
     path = new_dir(spark, name)
     df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
+
+
+def clear(spark: SparkSession) -> None:
+    """Remove all intermediate tables of all runs; only when no result that reads them is still needed."""
+    path = spark._jvm.org.apache.hadoop.fs.Path(f"{shared_dir(spark)}/strataflow")
+    path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)

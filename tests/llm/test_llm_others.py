@@ -232,3 +232,13 @@ def test_pipeline_stages_on_odd_and_empty_tables(spark, odd_docs, no_docs, tmp_p
             docs = scratch.write(stage(spark, docs, str(tmp_path)), "stage")
     for name, stage in corpus_pipeline.STAGES:
         assert stage(spark, odd_docs, str(tmp_path)).count() >= 0, name
+
+
+def test_scratch_tables_can_be_cleared(spark):
+    kept = scratch.write(spark.range(3).toDF("i"), "cleared")
+    assert kept.count() == 3
+    path = kept.inputFiles()[0].removeprefix("file://")
+    scratch.clear(spark)
+    import os
+
+    assert not os.path.exists(path)

@@ -2,7 +2,7 @@
 
 Points and queries are put into square cells. A query looks at its own cell and the eight around it; if its
 k-th neighbour there is no farther than the cell is wide, no point outside can be nearer and it is done. The
-others try again with cells twice as wide. Cells hold a few points each to begin with, so a crowded cloud
+others try again with cells four times as wide, until none is left. Cells hold a few points each to begin with, so a crowded cloud
 stays spread over tasks, and only queries far from all points see wide cells.
 """
 
@@ -10,11 +10,19 @@ from __future__ import annotations
 
 import math
 
+from pyspark import StorageLevel
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
 
+def cut(df: DataFrame) -> DataFrame:
+    """``df``, computed once: checkpointed where the cluster names a shared folder, else kept on disk by its executors."""
+    if df.sparkSession.sparkContext.getCheckpointDir() is not None:
+        return df.checkpoint()
+    return df.persist(StorageLevel.DISK_ONLY)
+
+
 def axis_scales(points: DataFrame) -> tuple[float, float, dict[str, float]]:
     """Population deviations of x and y (1 where below 0.001), and the extent of the cloud."""
     r = points.agg(
@@ -56,14 +64,15 @@ def knn_join(queries: DataFrame, points: DataFrame, k: int, query_id: str = "que
         dx, dy = F.col("px") / sx - F.col("qx"), F.col("py") / sy - F.col("qy")
         near = near.withColumn("dist", F.sqrt(dx * dx + dy * dy))
         near = near.withColumn("rank", F.row_number().over(W.partitionBy(query_id).orderBy(F.round("dist", 9), "point_id"))).where(F.col("rank") <= k)
-        cols = [query_id, "point_id", "value", "px", "py", "dist", "rank"]
+        near = cut(near.select(query_id, "point_id", "value", "px", "py", "dist", "rank"))
         if last:
-            part = near.select(cols)
-            return part if found is None else found.unionByName(part)
+            return near if found is None else found.unionByName(near)
         full = near.where((F.col("rank") == k) & (F.col("dist") <= cell)).select(F.col(query_id).alias("_done"))
-        part = near.join(full, F.col(query_id) == F.col("_done"), "left_semi").select(cols)
+        part = near.join(full, F.col(query_id) == F.col("_done"), "left_semi")
         found = part if found is None else found.unionByName(part)
-        q = q.join(full, F.col(query_id) == F.col("_done"), "left_anti")
+        q = cut(q.join(full, F.col(query_id) == F.col("_done"), "left_anti"))
+        if q.isEmpty():
+            return found
         cell *= 4.0
 
 

@@ -27,7 +27,7 @@ def components(edges: DataFrame, rounds: int = 50) -> DataFrame:
         large = edges.join(least.withColumnRenamed("a", "b"), "b").select("a", F.col("m").alias("b")).where("a <> b").distinct()
         # the vertex itself keeps its link to the least one
         own = least.where("m <> a").select("a", F.col("m").alias("b"))
-        large = scratch.write(large.unionByName(own).distinct(), "cc-large")
+        large = large.unionByName(own).distinct()
         # small-star: the smaller neighbours of a vertex and itself go to the least of them
         low = scratch.write(large.groupBy("a").agg(F.min("b").alias("m")), "cc-low")
         small = large.join(low, "a").where("b <> m").select(F.col("b").alias("a"), F.col("m").alias("b"))

@@ -19,6 +19,15 @@ _STEP = np.uint64(0xD6E8FEB86659FD93)
 _powers: dict[int, np.ndarray] = {}
 
 
+def release() -> None:
+    """Hand freed memory back to the system; later stages run in the same Python workers."""
+    import ctypes
+
+    trim = getattr(ctypes.CDLL(None), "malloc_trim", None)
+    if trim is not None:
+        trim(0)
+
+
 def mix(h: np.ndarray) -> np.ndarray:
     """A bijection of 64-bit values that spreads every bit."""
     h = (h ^ (h >> np.uint64(30))) * np.uint64(0xBF58476D1CE4E5B9)

@@ -42,7 +42,7 @@ from strataflow.llm.components import components
 WORDS = 5
 NUM, DEN = 75, 100
 #: Tokens that one task counts together, and that one chunk of documents sends; about 60 bytes each in memory.
-TOKENS_PER_PART = 500_000
+TOKENS_PER_PART = 300_000
 TOKENS_PER_CHUNK = 500_000
 #: Nodes of a block; rounds in which the blocks of a family meet one of them; from how many blocks on pairs of blocks need a token in common.
 BLOCK = 64
@@ -80,6 +80,7 @@ def _sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             sets = hashing.shingle_sets(texts[run[0] : run[1]].to_pylist(), WORDS)
             rows = [ids[run[0] : run[1]], [len(s) for s in sets], [_node(s) if len(s) else None for s in sets]]
             yield pa.RecordBatch.from_arrays([pa.array(r, pa.int64()) for r in rows], schema=_SETS)
+    hashing.release()
 
 
 def _runs(texts: pa.Array) -> Iterator[tuple[int, int]]:
@@ -143,6 +144,8 @@ def _sender(parts: int):
                     seen.clear()
         if sets:
             yield from messages(chunk, sets, nodes)
+        del sets, nodes
+        hashing.release()
 
     return run
 
@@ -165,6 +168,7 @@ def _count(table: pa.Table) -> pa.Table:
     tokens |= np.uint64(parts[0]) << np.uint64(40)
     ends = np.cumsum(sizes)
     rows = [], [], [], []
+    del low, high, inverse
     for chunk, c, a, b in zip(chunks, counts, (ends - sizes).tolist(), ends.tolist(), strict=True):
         keep = df[a:b] > 1
         if keep.any():

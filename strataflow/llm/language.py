@@ -308,7 +308,10 @@ def sample(docs: DataFrame, per_language: int = DOCS_PER_LANGUAGE) -> list[tuple
 def train(docs: DataFrame) -> Model | None:
     """The model of a documents table, or None if it has no labelled row to learn from."""
     found = sample(docs.select("doc_id", "text", "lang"))
-    return fit([t for t, _ in found], [y for _, y in found]) if found else None
+    model = fit([t for t, _ in found], [y for _, y in found]) if found else None
+    del found
+    hashing.release()
+    return model
 
 
 def apply(docs: DataFrame, model: Model | None) -> DataFrame:
@@ -326,6 +329,7 @@ def apply(docs: DataFrame, model: Model | None) -> DataFrame:
                         languages[i], scores[i] = a, b
             cols = [*batch.columns, pa.array(languages, pa.string()), pa.array(scores, pa.float64())]
             yield pa.RecordBatch.from_arrays(cols, names=[*batch.schema.names, "lang_pred", "lang_score"])
+        hashing.release()
 
     from pyspark.sql.types import DoubleType, StringType, StructField, StructType
 

@@ -68,10 +68,10 @@ def j11(spark, sf_dir):
 i AS (SELECT q.well_id, q.row_idx, q.tvt - 2.5 AS a, q.tvt + 2.5 AS z, lo, hi, greatest(t0, q.tvt - 2.5) AS x0, least(t1, q.tvt + 2.5) AS x1, t0, t1, g0, g1
       FROM q JOIN b USING (curve_id) JOIN s ON s.curve_id = q.curve_id AND t1 > q.tvt - 2.5 AND t0 < q.tvt + 2.5),
 w AS (SELECT well_id, row_idx, sum((x1 - x0) * ((g0 + (g1 - g0) * (x0 - t0) / (t1 - t0)) + (g0 + (g1 - g0) * (x1 - t0) / (t1 - t0))) / 2) / 5.0 AS v FROM i WHERE a >= lo AND z <= hi GROUP BY ALL)
-SELECT q.well_id, q.row_idx, round(v, 4) AS v FROM q LEFT JOIN w ON w.well_id = q.well_id AND w.row_idx = q.row_idx""")
+SELECT q.well_id, q.row_idx, round(v, 6) AS v FROM q LEFT JOIN w ON w.well_id = q.well_id AND w.row_idx = q.row_idx""")
 def w21(spark, sf_dir):
     out = L.window_average(queries_of(spark, sf_dir), curves(spark, sf_dir), "curve_id", "at", 2.5)
-    return out.select("well_id", "row_idx", R(F.col("curve_average"), 4).alias("v"))
+    return out.select("well_id", "row_idx", R(F.col("curve_average"), 6).alias("v"))
 
 
 @query("p12_likelihoods", """SELECT event_id, round(greatest(exp(-least(z * z, 600) / 2), 1e-300), 9) AS gauss, round(pow(1 + z * z / 4, -2.5), 9) AS student, round(1 / (1 + z * z), 9) AS cauchy,

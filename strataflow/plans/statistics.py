@@ -177,7 +177,7 @@ def a15_trim(spark, sf_dir):
 
 
 @query("a16_bins", f"""WITH {WELLS} SELECT well_id, row_idx // 8 AS bin, round(avg(gr), 6) AS mean, round(stddev_pop(gr), 5) AS std, count(gr) AS n, round(count(gr) / 8.0, 6) AS rate, min(gr) AS low, max(gr) AS high,
- round(arg_max(gr, row_idx) FILTER (WHERE gr IS NOT NULL) - arg_min(gr, row_idx) FILTER (WHERE gr IS NOT NULL), 6) + 0.0 AS change, round(regr_slope(gr, CASE WHEN gr IS NOT NULL THEN md END), 8) + 0.0 AS slope FROM h GROUP BY ALL""")
+ round(arg_max(gr, row_idx) FILTER (WHERE gr IS NOT NULL) - arg_min(gr, row_idx) FILTER (WHERE gr IS NOT NULL), 6) + 0.0 AS change, CASE WHEN count(gr) >= 2 THEN round(regr_slope(gr, CASE WHEN gr IS NOT NULL THEN md END), 8) + 0.0 END AS slope FROM h GROUP BY ALL""")
 def a16(spark, sf_dir):
     b = A.bins(wells(spark, sf_dir), 8)
     return b.select("well_id", "bin", R(F.col("mean")).alias("mean"), R(F.col("std"), 5).alias("std"), "n", R(F.col("rate")).alias("rate"), "low", "high", R(F.col("change")).alias("change"), R(F.col("slope"), 8).alias("slope"))

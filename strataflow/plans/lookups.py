@@ -97,15 +97,20 @@ kk AS (SELECT * FROM kr WHERE rank <= 10)"""
 
 
 def near_points(spark, sf_dir, k=10):
-    p = points(spark, sf_dir)
+    """Queries and their neighbours, keyed by the pair of well and row; ``numbered`` gives the number that the SQL makes of a pair."""
+    p = points(spark, sf_dir).withColumn("point_id", F.struct("well_id", (F.col("point_id") - F.col("well_id") * 100000).alias("row_idx")))
     sx, sy, extent = P.axis_scales(p)
-    q = wells(spark, sf_dir).where("row_idx % 16 = 3").select("well_id", (F.col("well_id") * 1000 + F.col("row_idx")).alias("query_id"), "x", "y")
+    q = wells(spark, sf_dir).where("row_idx % 16 = 3").select("well_id", F.struct("well_id", "row_idx").alias("query_id"), "x", "y")
     return q, P.knn_join(q, p, k, exclude=("well_id", "well_id"), sx=sx, sy=sy, extent=extent)
 
 
+def numbered(key: str, rows: int):
+    return (F.col(f"{key}.well_id") * rows + F.col(f"{key}.row_idx")).alias(key)
+
+
 @query("j4_knn_other_wells", f"WITH {WELLS}, {POINTS}, {KNN} SELECT query_id, rank, point_id, round(dist, 6) AS dist FROM kk")
 def j4(spark, sf_dir):
-    return near_points(spark, sf_dir)[1].select("query_id", "rank", "point_id", R(F.col("dist")).alias("dist"))
+    return near_points(spark, sf_dir)[1].select(numbered("query_id", 1000), "rank", numbered("point_id", 100000), R(F.col("dist")).alias("dist"))
 
 
 @query("j4_idw", f"""WITH {WELLS}, {POINTS}, {KNN}, w AS (SELECT *, 1 / pow(dist + 1e-3, 1.0) AS w FROM kk)
@@ -113,14 +118,14 @@ SELECT query_id, round(sum(w * value) / sum(w), 5) AS idw, round(sqrt(greatest(s
 FROM w GROUP BY query_id""")
 def j4_idw(spark, sf_dir):
     d = P.inverse_distance(near_points(spark, sf_dir)[1])
-    return d.select("query_id", R(F.col("idw"), 5).alias("idw"), R(F.col("spread"), 4).alias("spread"), R(F.col("nearest")).alias("nearest"), "n_near")
+    return d.select(numbered("query_id", 1000), R(F.col("idw"), 5).alias("idw"), R(F.col("spread"), 4).alias("spread"), R(F.col("nearest")).alias("nearest"), "n_near")
 
 
 @query("j6_idw_power_two", f"""WITH {WELLS}, {POINTS}, {KNN}, w AS (SELECT *, 1 / pow(greatest(dist, 1e-6), 2.0) AS w FROM kk)
 SELECT query_id, round(sum(w * value) / sum(w), 5) AS idw FROM w GROUP BY query_id""")
 def j6(spark, sf_dir):
     d = P.inverse_distance(near_points(spark, sf_dir)[1], power=2.0, offset=0.0, floor=1e-6)
-    return d.select("query_id", R(F.col("idw"), 5).alias("idw"))
+    return d.select(numbered("query_id", 1000), R(F.col("idw"), 5).alias("idw"))
 
 
 @query("j5_local_plane", f"""WITH {WELLS}, {POINTS}, {KNN}, w AS (SELECT query_id, 1 / (dist + 1e-3) AS w, px - qx AS u, py - qy AS v, value AS z FROM kk),
@@ -129,7 +134,7 @@ d AS (SELECT *, s0 * (suu * svv - suv * suv) - su * (su * svv - suv * sv) + sv *
 SELECT query_id, CASE WHEN abs(det) > 1e-9 * abs(s0 * suu * svv) THEN round((sz * (suu * svv - suv * suv) - su * (suz * svv - suv * svz) + sv * (suz * suv - suu * svz)) / det, 3) END AS plane FROM d""")
 def j5(spark, sf_dir):
     q, near = near_points(spark, sf_dir)
-    return P.local_plane(near, q).select("query_id", R(F.col("plane"), 3).alias("plane"))
+    return P.local_plane(near, q).select(numbered("query_id", 1000), R(F.col("plane"), 3).alias("plane"))
 
 
 @query("j8_fold_exclusion", f"WITH {WELLS} SELECT well_id, count(*) AS n FROM h WHERE well_id % 5 <> 2 GROUP BY well_id")

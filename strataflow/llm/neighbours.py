@@ -258,6 +258,11 @@ def match(graph: Graph, x: np.ndarray, ids: np.ndarray, first: np.ndarray, query
     v = ids[np.repeat(first[node], many) + spot]
     other = v != query_ids[r]
     r, s, v = r[other], s[other], v[other]
+    # an id takes one place, with its best vector
+    order = np.lexsort((-s, v, r))
+    r, s, v = r[order], s[order], v[order]
+    new = np.append(True, (r[1:] != r[:-1]) | (v[1:] != v[:-1]))[: len(r)]
+    r, s, v = r[new], s[new], v[new]
     order = np.lexsort((v, -s, r))
     r, s, v = r[order], s[order], v[order]
     rank = np.arange(len(r)) - np.searchsorted(r, r, side="left")
@@ -282,17 +287,17 @@ def _search(index: pa.Table, queries: pa.Table) -> pa.Table:
 
 
 def valid(vectors: DataFrame) -> DataFrame:
-    """(vec_id, embedding, dim) of the rows that take part."""
+    """(vec_id, embedding, dim) of the rows that take part, repeated rows once."""
     x = F.col("embedding")
     bad = F.exists(x, lambda v: v.isNull() | F.isnan(v) | (F.abs(v) == float("inf")))
     some = F.exists(x, lambda v: v != 0)
     rows = vectors.where(F.col("vec_id").isNotNull() & x.isNotNull() & ~bad & some)
-    return rows.select(F.col("vec_id").cast("long").alias("vec_id"), x.cast("array<float>").alias("embedding"), F.size(x).alias("dim"))
+    return rows.select(F.col("vec_id").cast("long").alias("vec_id"), x.cast("array<float>").alias("embedding"), F.size(x).alias("dim")).distinct()
 
 
 def nearest(vectors: DataFrame, k: int = K, step: int = QUERY_STEP) -> DataFrame:
     """The k nearest found for every row whose id ``step`` divides: query_id, rank, vec_id, score."""
-    rows = valid(vectors)
+    rows = scratch.write(valid(vectors), "hnsw-rows")
     total = rows.count()
     shards = max(MIN_SHARDS, -(-total // SHARD_ROWS))
     placed = rows.withColumn("shard", F.pmod(F.xxhash64("vec_id"), F.lit(shards)))
@@ -305,5 +310,5 @@ def nearest(vectors: DataFrame, k: int = K, step: int = QUERY_STEP) -> DataFrame
     keys = ("dim", "shard", "block")
     found = held.groupBy(*keys).cogroup(asked.groupBy(*keys)).applyInArrow(_search, "query_id long, vec_id long, score double")
     order = W.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")
-    ranked = found.dropDuplicates(["query_id", "vec_id"]).withColumn("rank", F.row_number().over(order))
+    ranked = found.groupBy("query_id", "vec_id").agg(F.max("score").alias("score")).withColumn("rank", F.row_number().over(order))
     return ranked.where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")

@@ -130,8 +130,11 @@ def fit(docs: DataFrame, weights: tuple[int, ...] = WEIGHTS, cap: int = CAP) ->
     after = _join(docs, plan).where((F.col("p") > 0) & F.col("cut_place").isNotNull())
     after = after.withColumn("place", _place(F.col("u"), F.col("p"))).where(~_before_cut())
     miss = F.col("rest") - F.col("spent")
-    off = F.abs(F.col("size") - miss)
-    after = after.where((F.col("size") > 0) & (off < miss))
+    # rows that are taken together close together
+    tie = ("source", "place", "doc_id", "size", "rest", "spent")
+    after = after.where(F.col("size") > 0).groupBy(*tie).agg(F.sum("size").alias("words"))
+    off = F.abs(F.col("words") - miss)
+    after = after.where(off < miss)
     close = after.groupBy("source").agg(F.min(F.struct(off.alias("off"), "place", "doc_id", "size")).alias("closing"))
     return scratch.write(_join(plan, close, how="left"), "mix-plan")
 

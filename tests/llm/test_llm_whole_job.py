@@ -2,7 +2,7 @@
 
 import numpy as np
 
-from strataflow.llm import neighbours
+from strataflow.llm import mixing, neighbours
 
 
 def ranked(spark, rows):
@@ -30,3 +30,15 @@ def test_an_id_with_many_vectors_takes_one_place():
     graph = neighbours.Graph.build(neighbours.level_norms(x), np.zeros(60, np.int64))
     _, v, s = neighbours.match(graph, x, ids, np.arange(61), np.array([0]), np.array([[1.0, 0.0]]))
     assert v.tolist() == [7, *range(100, 119)] and s[0] == 1.5
+
+
+def test_repeated_document_does_not_overshoot_the_mix(spark):
+    """The closing document of a source is chosen by the words of all its rows."""
+    from pyspark.sql import functions as F
+
+    rows = [(1, "a", 60, 0.10), (2, "a", 500, 0.20)] + [(3, "a", 40, 0.30)] * 10 + [(4, "a", 38, 0.40)] + [(5, "b", 2, 0.5)]
+    docs = spark.createDataFrame(rows, "doc_id long, source string, size long, u double")
+    plan = mixing.fit(docs, weights=(100, 900), cap=1000)
+    got = mixing.copies(docs, plan).where("source = 'a'")
+    words, target = got.agg(F.sum(F.col("copies") * F.col("size")), F.max("target")).first()
+    assert words == 98 and abs(target - 100) < 1

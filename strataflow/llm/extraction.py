@@ -1,19 +1,25 @@
 """Main text of web pages by composite text density.
 
 A page is parsed into a tree the way browsers recover from missing end tags, as far as text extraction needs
-it. Elements that are no article text by what they are (menus, forms, scripts and the like) or by what their
-class, id or role says are cut off first. Every node then gets its composite density: characters per tag,
-scaled down by the logarithm of its share of link characters and link tags. A node's density sum is that of
-its children. The node with the largest sum is the core of the article; the least density on its path to
-the body is the threshold, at or above which further subtrees with several text children count as parts of
-the article. A core is widened to the article or main element, or to a parent, that holds little else.
+it. Elements that hold no prose whatever is around them (scripts, styles, templates, controls of forms) are
+left out. Every other node gets its composite density: characters per tag, scaled down by the logarithm of
+its share of link characters and link tags. A node's density sum is that of its children. The node with the
+largest sum is the core of the article; the least density on its path to the body is the threshold, at or
+above which further subtrees with several text children count as parts of the article. A core is widened to
+the article or main element, or to a parent, that holds little else. Inside the core, blocks below the
+threshold that are mostly links are left out.
+
+What menus, headers, footers, asides, forms and dialogs are called, and words of class, id or role, are a weight
+and no verdict: their text counts as if it were link text, which lowers its density. A name does not count
+on what holds the article or main element or the first heading, nor where nearly all text of the page is
+below that name ('layout has-sidebar', a form around the page).
 
 Whole pages are read, nothing is capped; trees are walked without recursion. Each page is on its own, so
 memory is that of one Arrow batch and one page.
 
 Defined cases: a null page is empty; a page without text gives an empty text; references without a semicolon are
-decoded as browsers do; an unclosed comment, tag or script runs to the end of the page; repeated rows come
-back as often; other columns are ignored.
+decoded as browsers do; an unclosed comment, tag or script runs to the end of the page; very long pages are read
+whole; repeated rows come back as often; other columns are ignored.
 """
 
 from __future__ import annotations
@@ -50,8 +56,10 @@ ENDS = {
     "tfoot": (("tbody", "thead", "tfoot"), ("table",)),
 }
 SCOPE = frozenset("table td th caption button object template".split())
-#: Elements and words of class, id or role that mark what is no article text.
-NO_TEXT = RAW | frozenset("noscript template svg math canvas object audio video map nav footer aside form button select datalist input menu dialog".split())
+#: Elements that hold no prose.
+NO_TEXT = RAW | frozenset("noscript template svg math canvas object audio video map button select datalist input".split())
+#: Elements, and words of class, id or role, whose text weighs as link text.
+MARK_TAGS = frozenset("nav footer aside header form menu dialog".split())
 MARKS = frozenset(
     "ad ads advert adverts advertisement advertising sponsor sponsored promo promotion banner cookie cookies consent gdpr notice notices popup "
     "modal overlay sidebar sidenav menu nav navbar navigation breadcrumb breadcrumbs comment comments disqus respond reply replies footer "
@@ -67,18 +75,23 @@ _WORD = re.compile(r"[a-z]+")
 _SPACE = re.compile(r"\s+")
 #: Share of its parent's or article's characters that a core must hold to be widened to it.
 PARENT_SHARE, ARTICLE_SHARE = 0.7, 0.5
+#: Share of the text that must be under no name for names to count, where no article or heading tells.
+FREE_SHARE = 0.2
+#: Share of link characters from which a block inside the core that is below the threshold is left out.
+LINK_SHARE = 0.6
+HIDDEN = "hidden"
 
 
 class Page:
     """Nodes in document order, by parallel lists; the node 0 is the body. Texts hang on their parent node."""
 
-    def __init__(self, source: str):
-        self.tag, self.parent, self.hint = ["body"], [-1], [False]
+    def __init__(self, source: str, names: bool = True):
+        """Without ``names``, density is on its own."""
+        self.tag, self.parent, self.mark = ["body"], [-1], [""]
         #: (node, text, number of the block that the text is in)
         self.texts: list[tuple[int, str, int]] = []
-        self.block = 0
+        self.block, self.names = 0, names
         self._parse(source)
-        self._cut()
 
     def _parse(self, source: str) -> None:
         stack, at, n = [0], 0, len(source)
@@ -135,7 +148,8 @@ class Page:
             self.texts.append((stack[-1], " ", self.block))
         self.tag.append(name)
         self.parent.append(stack[-1])
-        self.hint.append(bool(attrs) and name not in ("article", "main") and _marked(attrs))
+        mark = "" if name in ("article", "main") else name if name in MARK_TAGS else _marked(attrs) if attrs else ""
+        self.mark.append(mark)
         if name not in VOID:
             stack.append(len(self.tag) - 1)
 
@@ -149,33 +163,59 @@ class Page:
             if inline and tag in BLOCK:
                 return
 
-    def _cut(self) -> None:
-        """Which nodes are kept: not those that are no text, nor below one; marks don't count on what holds the article."""
-        n, tag, parent = len(self.tag), self.tag, self.parent
-        holds = [t in ("article", "main", "h1") for t in tag]
+    def _kept(self) -> list[bool]:
+        """Which nodes may hold prose: not those that are hidden or hold none, nor those below one."""
+        keep = [True] * len(self.tag)
+        for i in range(1, len(keep)):
+            keep[i] = keep[self.parent[i]] and self.tag[i] not in NO_TEXT and self.mark[i] != HIDDEN
+        return keep
+
+    def _weighed(self, chars: list[int]) -> list[bool]:
+        """Which nodes' own text counts as link text for the name of a node above; ``chars`` are those of each node alone."""
+        n, tag, parent, mark = len(self.tag), self.tag, self.parent, self.mark
+        if not self.names or not any(mark):
+            return [False] * n
+        holds, inside = [t in ("article", "main", "h1") for t in tag], [False] * n
         for i in range(n - 1, 0, -1):
             holds[parent[i]] |= holds[i]
-        inside = [False] * n
-        keep = self.keep = [True] * n
         for i in range(1, n):
-            p, t = parent[i], tag[i]
-            inside[i] = inside[p] or t == "article"
-            keep[i] = keep[p] and t not in NO_TEXT and not (t == "header" and not inside[i]) and not (self.hint[i] and not holds[i])
+            inside[i] = inside[parent[i]] or tag[i] == "article"
+        # a header inside an article belongs to it, one outside is a header whatever it holds
+        own = [m if m and ((tag[i] == "header" and not inside[i]) or not (holds[i] or tag[i] == "header")) else "" for i, m in enumerate(mark)]
+        off: set[str] = set()
+        while True:
+            name = [""] * n
+            for i in range(1, n):
+                name[i] = name[parent[i]] or (own[i] if own[i] not in off else "")
+            if any(holds[i] and chars[i] and not name[i] for i in range(n) if tag[i] in ("article", "main", "h1")):
+                break
+            by_name: dict[str, int] = {}
+            for m, c in zip(name, chars, strict=True):
+                by_name[m] = by_name.get(m, 0) + c
+            free = by_name.pop("", 0)
+            largest = max(by_name, key=lambda m: (by_name[m], m), default=None)
+            if largest is None or free >= FREE_SHARE * (free + by_name[largest]):
+                break
+            off.add(largest)
+        return [bool(m) for m in name]
 
     def text(self) -> str:
         n, tag, parent = len(self.tag), self.tag, self.parent
+        keep = self._kept()
         chars, links = [0] * n, [0] * n
         texts = []
         for node, raw, block in self.texts:
-            if self.keep[node]:
+            if keep[node]:
                 t = html.unescape(raw) if "&" in raw else raw
                 texts.append((node, t, block))
                 chars[node] += sum(map(len, t.split()))
+        weighed = self._weighed(chars)
+        links = [c if w else 0 for c, w in zip(chars, weighed, strict=True)]
         tags, link_tags = [0] * n, [0] * n
-        for i in range(n):
-            if self.keep[i] and i:
+        for i in range(1, n):
+            if keep[i]:
                 tags[i] = 1
-                link_tags[i] = 1 if tag[i] == "a" else 0
+                link_tags[i] = 1 if tag[i] == "a" or weighed[i] else 0
         for i in range(n - 1, 0, -1):
             p = parent[i]
             if tag[i] == "a":
@@ -186,14 +226,7 @@ class Page:
             link_tags[p] += link_tags[i]
         if not chars[0]:
             return ""
-        share = links[0] / chars[0]
-        density, sums, filled = [0.0] * n, [0.0] * n, [0] * n
-        for i in range(n - 1, -1, -1):
-            if chars[i]:
-                density[i] = composite(chars[i], links[i], max(tags[i], 1), link_tags[i], share)
-                if i:
-                    sums[parent[i]] += density[i]
-                    filled[parent[i]] += 1
+        density, sums, filled = self._densities(chars, links, tags, link_tags)
         core = max(range(n), key=lambda i: (sums[i], -i))
         threshold, i = density[core], core
         while i > 0:
@@ -204,7 +237,7 @@ class Page:
         for i in range(n - 1, 0, -1):
             if sums[best[i]] > sums[best[parent[i]]]:
                 best[parent[i]] = best[i]
-        top = i = self._widen(core, chars)
+        top = i = self._widen(core, [c - lc for c, lc in zip(chars, links, strict=True)])
         path = set()
         while i >= 0:
             path.add(i)
@@ -212,11 +245,29 @@ class Page:
         covered = [False] * n
         for i in range(n):
             covered[i] = i == top or (i > 0 and covered[parent[i]])
-            if not covered[i] and i not in path and chars[i] and tag[i] in BLOCK:
+            block = tag[i] in BLOCK and chars[i] and i not in path
+            if covered[i] and block:
+                many = weighed[i] or link_tags[i] > 1
+                covered[i] = not (many and density[i] < threshold and links[i] >= LINK_SHARE * chars[i])
+            elif block:
                 covered[i] = density[i] >= threshold and filled[best[i]] > 1
         return self._render(texts, covered)
 
+    def _densities(self, chars: list[int], links: list[int], tags: list[int], link_tags: list[int]) -> tuple[list[float], list[float], list[int]]:
+        """Of every node the composite density, the sum of its children's, and how many of them have text."""
+        n, parent = len(self.tag), self.parent
+        share = links[0] / chars[0]
+        density, sums, filled = [0.0] * n, [0.0] * n, [0] * n
+        for i in range(n - 1, -1, -1):
+            if chars[i]:
+                density[i] = composite(chars[i], links[i], max(tags[i], 1), link_tags[i], share)
+                if i:
+                    sums[parent[i]] += density[i]
+                    filled[parent[i]] += 1
+        return density, sums, filled
+
     def _widen(self, core: int, chars: list[int]) -> int:
+        """The article, main element or parent that holds little else than the core, by characters that are no links."""
         i = core
         while i > 0:
             if self.tag[i] in ("article", "main") and chars[core] >= ARTICLE_SHARE * chars[i]:
@@ -244,22 +295,24 @@ def composite(chars: int, links: int, tags: int, link_tags: int, body_share: flo
     return chars / tags * max(math.log(max(adjusted, 1.0)) / math.log(max(base, math.e)), 0.0)
 
 
-def _marked(attrs: str) -> bool:
+def _marked(attrs: str) -> str:
+    """The first name in a start tag's attributes that marks its text, HIDDEN if it is not shown, or nothing."""
+    found = ""
     for name, a, b, c in _HINT.findall(attrs):
         name, value = name.lower(), (a or b or c).lower()
         if name == "hidden" or (name == "aria-hidden" and value == "true"):
-            return True
+            return HIDDEN
         if name == "style":
             if re.search(r"display\s*:\s*none|visibility\s*:\s*hidden", value):
-                return True
-        elif name != "aria-hidden" and not MARKS.isdisjoint(_WORD.findall(value)):
-            return True
-    return False
+                return HIDDEN
+        elif name != "aria-hidden" and not found:
+            found = next((w for w in _WORD.findall(value) if w in MARKS), "")
+    return found
 
 
-def main_text(source: str | None) -> str:
+def main_text(source: str | None, names: bool = True) -> str:
     """The article of one page."""
-    return Page(source).text() if source else ""
+    return Page(source, names).text() if source else ""
 
 
 def extract(pages: DataFrame) -> DataFrame:

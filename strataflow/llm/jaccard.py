@@ -6,23 +6,26 @@ here put rare tokens first, by three grades of document frequency and three hash
 that many documents share are rarely in a prefix. A pair is a candidate only if its prefixes meet under
 every order; then its exact overlap is counted.
 
-Frequencies: each task sends its tokens, in bulk, to the task that owns their hash range, where all
-occurrences meet, and gets back which occur in more than one document, with the count. Tokens of one
-document can't be shared, so only the others are ever indexed; documents that have none of them in
-their prefix are done.
-
-Components: equal sets are one node. Nodes of a prefix token form a bucket, and nodes that buckets connect
-a family; only nodes of one family can link. Families are cut into blocks of at most ``BLOCK`` nodes (small
-families share one), and each node's tokens travel with its block, not with its pairs. First every block
-compares its own nodes. A family of several blocks then compares all of them with one block, twice, which
-joins most of it into one component. Last, its nodes are dealt into blocks again, those of its largest
-component apart, and all pairs of blocks that can still hold two components are compared. Pairs of one
-component need no comparison; no link that would join two components is missed. A family that holds a
-third of all rows is thus many blocks in many tasks, and never all pairs.
+Frequencies: each task sums the tokens of a chunk of documents and sends every distinct one, once, to the
+task that owns its hash range, and gets back which occur in more than one document, with the count; where
+else a token stands in the chunk stays with the chunk. A token that all documents have thus makes one
+entry for each chunk. Tokens of one document can't be shared, so only the others are ever indexed;
+documents that have none of them in their prefix are done. All 64 bits of a token travel.
+
+Components: equal sets are one node. Nodes of a first-order prefix token form a bucket, and nodes that buckets
+connect a family; only nodes of one family can link. Families are cut into blocks of at most ``BLOCK`` nodes
+(small families share one). A block is compared in two steps: first only the prefixes of the three orders
+travel, and their filters are intersected; then the whole sets of the nodes that still have a candidate
+there follow, for the exact overlaps. Families of several blocks go on with one node for each component
+found so far, dealt into blocks again, until nothing more joins: the number of nodes falls by up to the
+size of a block each time. Last, blocks of different components that share a prefix token meet, again
+prefixes first. Pairs of one component need no comparison; no link that would join two is missed. A family
+that holds a third of all rows is thus many blocks in many tasks, and never all pairs.
 
 Defined cases: null or empty texts have an empty set and link with nothing; rows with a null doc_id come back
 with a null component; equal texts are in one component; repeated rows come back as often as they came in;
-an empty table gives an empty result; other columns are ignored.
+very long texts are hashed piece by piece and counted whole; an empty table gives an empty result; other
+columns are ignored.
 """
 
 from __future__ import annotations
@@ -32,7 +35,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from strataflow.llm import hashing, scratch
@@ -44,20 +47,21 @@ NUM, DEN = 75, 100
 #: Tokens that one task counts together, and that one chunk of documents sends; about 60 bytes each in memory.
 TOKENS_PER_PART = 300_000
 TOKENS_PER_CHUNK = 500_000
-#: Nodes of a block; rounds in which the blocks of a family meet one of them; from how many blocks on pairs of blocks need a token in common.
+#: Documents of a chunk at most; parts at least, so that what a token is beside its part fits into seven bytes.
+DOCS_PER_CHUNK = 65_535
+LEAST_PARTS = 256
+#: Nodes of a block; rounds of components' nodes at most before blocks of different components meet.
 BLOCK = 64
-ROUNDS = 2
-MANY_BLOCKS = 64
+ROUNDS = 6
 #: Columns of a block's token matrix that are multiplied at once.
 COLUMNS = 16_384
 ORDERS = 3
 _SALTS = (np.uint64(0), np.uint64(0x5851F42D4C957F2D), np.uint64(0x14057B7EF767814F))
 
 _SETS = pa.schema([("doc_id", pa.int64()), ("n_shingles", pa.int64()), ("node", pa.int64())])
-_SENT = pa.schema([("part", pa.int64()), ("chunk", pa.int64()), ("counts", pa.binary()), ("low", pa.binary()), ("high", pa.binary())])
-_BACK = pa.schema([("chunk", pa.int64()), ("docs", pa.binary()), ("tokens", pa.binary()), ("df", pa.binary())])
-_DOCS = pa.schema([("node", pa.int64()), ("n", pa.int64()), ("keys", pa.list_(pa.int64())), ("tokens", pa.binary()), ("bits", pa.binary())])
-_LOW = np.uint64(0xFFFFFFFF)
+_SENT = pa.schema([("part", pa.int64()), ("chunk", pa.int64()), ("tokens", pa.binary()), ("docs", pa.binary()), ("more", pa.binary())])
+_BACK = pa.schema([("part", pa.int64()), ("chunk", pa.int64()), ("tokens", pa.binary()), ("docs", pa.binary()), ("df", pa.binary())])
+_DOCS = pa.schema([("node", pa.int64()), ("chunk", pa.int64()), ("n", pa.int64()), ("keys", pa.list_(pa.int64())), ("heads", pa.binary()), ("tokens", pa.binary())])
 
 
 def _ddl(schema: pa.Schema) -> str:
@@ -98,28 +102,46 @@ def _runs(texts: pa.Array) -> Iterator[tuple[int, int]]:
         yield start, len(lengths)
 
 
+def _planes(x: np.ndarray, count: int) -> bytes:
+    """Numbers below 256 ** count by their lowest bytes, then the next ones and so on, which compresses well."""
+    return np.ascontiguousarray(x.astype("<u8").view(np.uint8).reshape(-1, 8)[:, :count].T).tobytes()
+
+
+def _unplaned(raw: bytes, count: int) -> np.ndarray:
+    out = np.zeros((len(raw) // count, 8), np.uint8)
+    out[:, :count] = np.frombuffer(raw, np.uint8).reshape(count, -1).T
+    return out.view("<u8").ravel()
+
+
 def _sender(parts: int):
-    """Tokens of whole chunks of documents by part: counts by document, then the tokens without their part."""
+    """The distinct tokens of whole chunks of documents by part, with the first document of each."""
     p = np.uint64(parts)
 
     def messages(chunk: int, sets: list[np.ndarray], nodes: list[int]) -> Iterator[pa.RecordBatch]:
         sizes = np.array([len(s) for s in sets], np.int64)
         tokens = np.concatenate(sets)
         doc = np.repeat(np.arange(len(sets), dtype=np.uint32), sizes)
-        part = (tokens >> np.uint64(40)) % p
-        order = np.argsort(part.astype(np.uint32), kind="stable")
-        tokens, doc, part = tokens[order], doc[order], part[order]
+        order = np.argsort(tokens, kind="stable")
+        tokens, doc = tokens[order], doc[order]
+        new = np.ones(len(tokens), bool)
+        np.not_equal(tokens[1:], tokens[:-1], out=new[1:])
+        # where else in the chunk a token stands goes with the chunk
+        again = tokens[~new].astype("<u8").tobytes() + doc[~new].astype("<u4").tobytes()
+        first = np.flatnonzero(new)
+        count = np.diff(first, append=len(tokens))
+        tokens, doc = tokens[first], doc[first]
+        part = tokens % p
+        order = np.lexsort((doc, part))
+        tokens, doc, part, count = tokens[order] // p, doc[order].astype(np.int64), part[order], count[order]
         edges = np.flatnonzero(np.diff(part, prepend=part[0] + np.uint64(1)))
-        ends = np.append(edges[1:], len(part))
-        low, high = (tokens & _LOW).astype("<u4"), (tokens >> np.uint64(32)).astype("u1")
         rows = [], [], [], [], []
-        for a, b in zip(edges.tolist(), ends.tolist(), strict=True):
-            counts = np.bincount(doc[a:b], minlength=len(sets)).astype("<u4")
-            for col, x in zip(rows, (int(part[a]), chunk, counts.tobytes(), low[a:b].tobytes(), high[a:b].tobytes()), strict=True):
+        for a, b in zip(edges.tolist(), [*edges[1:].tolist(), len(part)], strict=True):
+            many = np.flatnonzero(count[a:b] > 1)
+            more = np.concatenate([many, count[a:b][many]]).astype("<u4").tobytes()
+            for col, x in zip(rows, (int(part[a]), chunk, _planes(tokens[a:b], 7), _planes(np.diff(doc[a:b], prepend=0), 2), more), strict=True):
                 col.append(x)
         # what the chunk's documents are, to be met again when the counts come back
-        info = np.array(nodes, "<i8").tobytes(), sizes.astype("<i8").tobytes()
-        for col, x in zip(rows, (-1 - chunk % parts, chunk, b"", *info), strict=True):
+        for col, x in zip(rows, (-1 - chunk % parts, chunk, np.array(nodes, "<i8").tobytes(), sizes.astype("<i8").tobytes(), again), strict=True):
             col.append(x)
         yield pa.RecordBatch.from_arrays([pa.array(c, t.type) for c, t in zip(rows, _SENT, strict=True)], schema=_SENT)
 
@@ -138,10 +160,10 @@ def _sender(parts: int):
                     sets.append(s)
                     nodes.append(node)
                     held += len(s)
-                if held >= TOKENS_PER_CHUNK:
-                    yield from messages(chunk, sets, nodes)
-                    chunk, held, sets, nodes = chunk + 1, 0, [], []
-                    seen.clear()
+                    if held >= TOKENS_PER_CHUNK or len(sets) >= DOCS_PER_CHUNK:
+                        yield from messages(chunk, sets, nodes)
+                        chunk, held, sets, nodes = chunk + 1, 0, [], []
+                        seen.clear()
         if sets:
             yield from messages(chunk, sets, nodes)
         del sets, nodes
@@ -153,27 +175,25 @@ def _sender(parts: int):
 def _count(table: pa.Table) -> pa.Table:
     """Of one part, the tokens that several documents have, sent back to the chunks they came from."""
     table = table.combine_chunks()
-    parts = table.column("part").to_pylist()
-    chunks = table.column("chunk").to_pylist()
-    counts = [np.frombuffer(x, "<u4") for x in table.column("counts").to_pylist()]
-    if parts[0] < 0:
-        cols = table.column("low"), table.column("high")
-        return pa.table([table.column("chunk"), cols[0], cols[1], pa.array([None] * len(parts), pa.binary())], schema=_BACK)
-    low = [np.frombuffer(x, "<u4") for x in table.column("low").to_pylist()]
-    high = [np.frombuffer(x, "u1") for x in table.column("high").to_pylist()]
-    sizes = np.array([len(x) for x in low])
-    tokens = np.concatenate(high).astype(np.uint64) << np.uint64(32) | np.concatenate(low)
-    _, inverse, df = np.unique(tokens, return_inverse=True, return_counts=True)
-    df = df[inverse].astype("<u4")
-    tokens |= np.uint64(parts[0]) << np.uint64(40)
+    if table.column("part")[0].as_py() < 0:
+        return pa.table([table.column(x) for x in ("part", "chunk", "tokens", "docs", "more")], schema=_BACK)
+    tokens = [_unplaned(x, 7) for x in table.column("tokens").to_pylist()]
+    sizes = np.array([len(x) for x in tokens])
     ends = np.cumsum(sizes)
-    rows = [], [], [], []
-    del low, high, inverse
-    for chunk, c, a, b in zip(chunks, counts, (ends - sizes).tolist(), ends.tolist(), strict=True):
+    count = np.ones(int(ends[-1]), np.int64)
+    for start, more in zip((ends - sizes).tolist(), table.column("more").to_pylist(), strict=True):
+        at, n = np.frombuffer(more, "<u4").reshape(2, -1)
+        count[start + at.astype(np.int64)] = n
+    tokens = np.concatenate(tokens)
+    _, inverse = np.unique(tokens, return_inverse=True)
+    df = np.bincount(inverse, count).astype(np.int64)[inverse]
+    del inverse, count
+    rows = [], [], [], [], []
+    for part, chunk, docs, a, b in zip(table.column("part").to_pylist(), table.column("chunk").to_pylist(), table.column("docs").to_pylist(), (ends - sizes).tolist(), ends.tolist(), strict=True):
         keep = df[a:b] > 1
         if keep.any():
-            doc = np.repeat(np.arange(len(c), dtype="<u4"), c)
-            for col, x in zip(rows, (chunk, doc[keep].tobytes(), tokens[a:b][keep].tobytes(), df[a:b][keep].tobytes()), strict=True):
+            doc = np.cumsum(_unplaned(docs, 2).astype(np.int64))[keep]
+            for col, x in zip(rows, (part, chunk, _planes(tokens[a:b][keep], 7), _planes(np.diff(doc, prepend=0), 2), _planes(df[a:b][keep], 6)), strict=True):
                 col.append(x)
     return pa.table([pa.array(c, t.type) for c, t in zip(rows, _BACK, strict=True)], schema=_BACK)
 
@@ -184,72 +204,90 @@ def _grades(df: np.ndarray) -> tuple[np.ndarray, ...]:
     return df.astype(np.int64), log, (log + 2) // 3
 
 
-def _prefixes(table: pa.Table) -> pa.Table:
-    """Of one chunk, the documents with a shared token in their prefix, with their shared tokens and prefix marks."""
-    nodes = sizes = None
-    docs, tokens, df = [], [], []
-    for d, t, f in zip(*(table.column(x).to_pylist() for x in ("docs", "tokens", "df")), strict=True):
-        if f is None:
-            nodes, sizes = np.frombuffer(d, "<i8"), np.frombuffer(t, "<i8")
-        else:
-            docs.append(np.frombuffer(d, "<u4"))
-            tokens.append(np.frombuffer(t, "<u8"))
-            df.append(np.frombuffer(f, "<u4"))
-    rows = [], [], [], [], []
-    if docs:
-        doc, tok, freq = np.concatenate(docs), np.concatenate(tokens), np.concatenate(df)
-        order = np.lexsort((tok, doc))
-        doc, tok, freq = doc[order], tok[order], freq[order]
-        edges = np.flatnonzero(np.diff(doc, prepend=-1))
-        for a, b in zip(edges.tolist(), [*edges[1:].tolist(), len(doc)], strict=True):
-            n = int(sizes[doc[a]])
-            ones = n - (b - a)
-            first = prefix_length(n) - ones
-            if first <= 0:
-                continue
-            bits = np.zeros(b - a, np.uint8)
-            for k, grade in enumerate(_grades(freq[a:b])):
-                bits[np.lexsort((hashing.mix(tok[a:b] ^ _SALTS[k]), grade))[:first]] |= np.uint8(1 << k)
-            keys = tok[a:b][(bits & 1) > 0].view(np.int64)
-            for col, x in zip(rows, (int(nodes[doc[a]]), n, keys, tok[a:b].tobytes(), bits.tobytes()), strict=True):
-                col.append(x)
-    return pa.table([pa.array(c, t.type) for c, t in zip(rows, _DOCS, strict=True)], schema=_DOCS)
+def _prefixes(parts: int):
+    """Of one chunk, the documents with a shared token in their prefix: prefixes of all orders, then all shared tokens."""
+
+    def run(table: pa.Table) -> pa.Table:
+        nodes = sizes = again = None
+        docs, tokens, df = [], [], []
+        for part, t, d, f in zip(*(table.column(x).to_pylist() for x in ("part", "tokens", "docs", "df")), strict=True):
+            if part < 0:
+                nodes, sizes = np.frombuffer(t, "<i8"), np.frombuffer(d, "<i8")
+                again = np.frombuffer(f[: len(f) // 3 * 2], "<u8"), np.frombuffer(f[len(f) // 3 * 2 :], "<u4")
+            else:
+                docs.append(np.cumsum(_unplaned(d, 2).astype(np.int64)))
+                tokens.append(_unplaned(t, 7) * np.uint64(parts) + np.uint64(part))
+                df.append(_unplaned(f, 6).astype(np.int64))
+        rows = [], [], [], [], [], []
+        chunk = table.column("chunk")[0].as_py()
+        if docs:
+            doc, tok, freq = np.concatenate(docs), np.concatenate(tokens), np.concatenate(df)
+            order = np.argsort(tok)
+            more = freq[order[np.searchsorted(tok, again[0], sorter=order)]]
+            doc, tok, freq = np.concatenate([doc, again[1]]), np.concatenate([tok, again[0]]), np.concatenate([freq, more])
+            order = np.lexsort((tok, doc))
+            doc, tok, freq = doc[order], tok[order], freq[order]
+            edges = np.flatnonzero(np.diff(doc, prepend=-1))
+            for a, b in zip(edges.tolist(), [*edges[1:].tolist(), len(doc)], strict=True):
+                n = int(sizes[doc[a]])
+                ones = n - (b - a)
+                first = prefix_length(n) - ones
+                if first <= 0:
+                    continue
+                bits = np.zeros(b - a, np.uint8)
+                for k, grade in enumerate(_grades(freq[a:b])):
+                    bits[np.lexsort((hashing.mix(tok[a:b] ^ _SALTS[k]), grade))[:first]] |= np.uint8(1 << k)
+                keys = tok[a:b][(bits & 1) > 0].view(np.int64)
+                for col, x in zip(rows, (int(nodes[doc[a]]), chunk, n, keys, heads(tok[a:b], bits), tok[a:b].tobytes()), strict=True):
+                    col.append(x)
+        return pa.table([pa.array(c, t.type) for c, t in zip(rows, _DOCS, strict=True)], schema=_DOCS)
 
+    return run
 
-def _block_links(n: np.ndarray, tokens: list[np.ndarray], bits: list[np.ndarray], allowed: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """The pairs (i, j) of a block that are allowed, pass the filters under every order and link."""
-    m = len(n)
-    near = (n[:, None] * NUM <= n[None, :] * DEN) & (n[None, :] * NUM <= n[:, None] * DEN)
-    open_pairs = np.triu(allowed & near, 1)
-    rows = np.flatnonzero((open_pairs | open_pairs.T).any(axis=1))
-    if not len(rows):
-        return rows, rows
-    owner = np.repeat(rows, [len(tokens[i]) for i in rows])
-    flag = np.concatenate([bits[i] for i in rows])
-    _, col, count = np.unique(np.concatenate([tokens[i] for i in rows]), return_inverse=True, return_counts=True)
+
+def heads(tokens: np.ndarray, bits: np.ndarray) -> bytes:
+    """The tokens of any order's prefix, by half of their bits, then the orders of each; enough to rule pairs out."""
+    on = bits > 0
+    return (tokens[on] & np.uint64(0xFFFFFFFF)).astype("<u4").tobytes() + bits[on].tobytes()
+
+
+def _meets(owner: np.ndarray, tokens: np.ndarray, m: int) -> np.ndarray:
+    """How many tokens each two of m nodes have in common; ``owner`` says whose a token is."""
+    _, col, count = np.unique(tokens, return_inverse=True, return_counts=True)
     shared = count[col] > 1
-    owner, flag, col = owner[shared], flag[shared], col[shared]
-    _, col = np.unique(col, return_inverse=True)
-    order = np.argsort(col, kind="stable")
-    owner, flag, col = owner[order], flag[order], col[order]
-    width = int(col[-1]) + 1 if len(col) else 0
-
-    def products(on: np.ndarray) -> np.ndarray:
-        total = np.zeros((m, m))
-        o, c = owner[on], col[on]
+    owner, col = owner[shared], col[shared]
+    total = np.zeros((m, m))
+    if len(col):
+        _, col = np.unique(col, return_inverse=True)
+        order = np.argsort(col, kind="stable")
+        owner, col = owner[order], col[order]
+        width = int(col[-1]) + 1
         for lo in range(0, width, COLUMNS):
-            a, b = np.searchsorted(c, (lo, lo + COLUMNS))
+            a, b = np.searchsorted(col, (lo, lo + COLUMNS))
             part = np.zeros((m, min(COLUMNS, width - lo)), np.float32)
-            part[o[a:b], c[a:b] - lo] = 1
+            part[owner[a:b], col[a:b] - lo] = 1
             total += part @ part.T
-        return total
+    return total
+
+
+def _candidates(allowed: np.ndarray, n: np.ndarray, raw: list[bytes]) -> np.ndarray:
+    """The pairs of a block that are allowed, are near enough in size and meet in the prefixes of every order."""
+    m = len(n)
+    pairs = np.triu(allowed & (n[:, None] * NUM <= n[None, :] * DEN) & (n[None, :] * NUM <= n[:, None] * DEN), 1)
+    if pairs.any():
+        owner = np.repeat(np.arange(m), [len(x) // 5 for x in raw])
+        tokens = np.concatenate([np.frombuffer(x[: len(x) // 5 * 4], "<u4") for x in raw])
+        bits = np.concatenate([np.frombuffer(x[len(x) // 5 * 4 :], np.uint8) for x in raw])
+        for k in range(ORDERS):
+            on = (bits & (1 << k)) > 0
+            pairs &= _meets(owner[on], tokens[on], m) > 0
+    return pairs
 
-    for k in range(ORDERS):
-        open_pairs &= products((flag & (1 << k)) > 0) > 0
-        if not open_pairs.any():
-            return np.zeros(0, np.int64), np.zeros(0, np.int64)
-    both = products(np.ones(len(col), bool))
-    return np.nonzero(open_pairs & (DEN * both >= NUM * (n[:, None] + n[None, :] - both)))
+
+def _links(pairs: np.ndarray, n: np.ndarray, tokens: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
+    """Those of the candidate pairs whose sets are similar enough."""
+    both = _meets(np.repeat(np.arange(len(n)), [len(x) for x in tokens]), np.concatenate(tokens), len(n))
+    return np.nonzero(pairs & (DEN * both >= NUM * (n[:, None] + n[None, :] - both)))
 
 
 def _merge(labels: list[int], links: tuple[np.ndarray, np.ndarray]) -> dict[int, int]:
@@ -269,117 +307,133 @@ def _merge(labels: list[int], links: tuple[np.ndarray, np.ndarray]) -> dict[int,
     return {x: find(x) for x in list(root)}
 
 
-def _arrays(table: pa.Table) -> tuple[np.ndarray, list[np.ndarray], list[np.ndarray], np.ndarray]:
-    n = table.column("n").to_numpy()
-    tokens = [np.frombuffer(x, "<u8") for x in table.column("tokens").to_pylist()]
-    bits = [np.frombuffer(x, "u1") for x in table.column("bits").to_pylist()]
-    return n, tokens, bits, table.column("label").to_numpy()
+def _allowed(table: pa.Table) -> np.ndarray:
+    """Pairs of a block: of one family, not of one component, and of both sides."""
+    family, label, side = (table.column(x).to_numpy() for x in ("family", "label", "side"))
+    return (family[:, None] == family[None, :]) & (label[:, None] != label[None, :]) & ((side[:, None] | side[None, :]) == 3)
 
 
-def _within(table: pa.Table) -> pa.Table:
-    """(node, label) of one block, after all its pairs of one family are compared."""
-    n, tokens, bits, label = _arrays(table)
-    family = table.column("family").to_numpy()
-    links = _block_links(n, tokens, bits, family[:, None] == family[None, :])
-    merged = _merge(label.tolist(), links)
-    return pa.table({"node": table.column("node"), "label": pa.array([merged.get(x, x) for x in label.tolist()], pa.int64())})
+_GUEST = ("grp", "node", "chunk", "family", "label", "side")
+_GUEST_DDL = "grp long, node long, chunk long, family long, label long, side long"
 
 
-def _across(table: pa.Table) -> pa.Table:
-    """Links between the labels of two blocks."""
-    n, tokens, bits, label = _arrays(table)
-    side = table.column("side").to_numpy()
-    links = _block_links(n, tokens, bits, (label[:, None] != label[None, :]) & (side[:, None] | side[None, :] == 3))
-    merged = _merge(label.tolist(), links)
-    pairs = [(a, b) for a, b in merged.items() if a != b]
-    return pa.table({"a": pa.array([a for a, _ in pairs], pa.int64()), "b": pa.array([b for _, b in pairs], pa.int64())})
+def _filter(table: pa.Table) -> pa.Table:
+    """The guests of one block that have a candidate there."""
+    pairs = _candidates(_allowed(table), table.column("n").to_numpy(), table.column("heads").to_pylist())
+    return table.select(list(_GUEST)).filter(pa.array(pairs.any(axis=0) | pairs.any(axis=1)))
 
 
-def _relabel(nodes: DataFrame, links: DataFrame) -> DataFrame:
-    """``nodes`` with their labels after the components of ``links`` (a, b) are merged."""
-    comp = scratch.write(components(links), "jaccard-comp").withColumnsRenamed({"id": "label", "comp": "merged"})
-    out = nodes.join(comp, "label", "left").withColumn("label", F.coalesce("merged", "label")).select(*nodes.columns)
-    return scratch.write(out, "jaccard-labels")
+def _verify(table: pa.Table) -> pa.Table:
+    """(label, merged) for the components that links of one block join."""
+    n, label = table.column("n").to_numpy(), table.column("label").to_pylist()
+    pairs = _candidates(_allowed(table), n, table.column("heads").to_pylist())
+    tokens = [np.frombuffer(x, "<u8") for x in table.column("tokens").to_pylist()]
+    merged = [(a, b) for a, b in _merge(label, _links(pairs, n, tokens)).items() if a != b]
+    return pa.table({"label": pa.array([a for a, _ in merged], pa.int64()), "merged": pa.array([b for _, b in merged], pa.int64())})
 
 
-def _compare_blocks(meetings: DataFrame, nodes: DataFrame, sets: DataFrame) -> DataFrame:
-    """Links found in meetings (family, x, y) of blocks x and y, given nodes (node, family, block, label)."""
-    meetings = scratch.write(meetings.withColumn("meeting", F.xxhash64("family", "x", "y")), "jaccard-meetings")
-    sides = meetings.select("meeting", "family", F.explode(F.array(F.struct(F.col("x").alias("block"), F.lit(1).alias("side")), F.struct(F.col("y").alias("block"), F.lit(2).alias("side")))).alias("s"))
-    # a block that meets itself takes part once, on both sides
-    sides = sides.groupBy("meeting", "family", "s.block").agg(F.sum("s.side").cast("int").alias("side"))
-    rows = scratch.write(nodes.join(sides, ["family", "block"]).select("meeting", "node", "label", "side"), "jaccard-guests")
-    full = rows.join(sets.select("node", "n", "tokens", "bits"), "node")
-    return scratch.write(full.groupBy("meeting").applyInArrow(_across, "a long, b long"), "jaccard-links")
+def _compare(guests: DataFrame, sets: DataFrame) -> DataFrame:
+    """(label, merged) for all groups of ``guests``: prefixes are sent and intersected first, then the sets that are left."""
+    on = ["node", "chunk"]
+    first = guests.select(*_GUEST).join(sets.select(*on, "n", "heads"), on)
+    left = scratch.write(first.groupBy("grp").applyInArrow(_filter, _GUEST_DDL), "jaccard-candidates")
+    whole = left.join(sets.select(*on, "n", "heads", "tokens"), on)
+    return scratch.write(whole.groupBy("grp").applyInArrow(_verify, "label long, merged long"), "jaccard-links")
+
+
+def _relabel(nodes: DataFrame, merged: DataFrame) -> DataFrame:
+    """``nodes`` with the labels that ``merged`` (label, merged) gives them."""
+    out = nodes.join(merged, "label", "left").withColumn("label", F.coalesce("merged", "label")).select(*nodes.columns)
+    return scratch.write(out, "jaccard-labels")
 
 
 def families(index: DataFrame) -> DataFrame:
     """(node, family) for the nodes of ``index`` (token, node) that share a token with another one."""
-    low = scratch.write(index.groupBy("token").agg(F.min("node").alias("low"), F.count(F.lit(1)).alias("m")).where("m > 1"), "jaccard-buckets")
+    low = index.groupBy("token").agg(F.min("node").alias("low"), F.max("node").alias("high")).where("low < high")
+    low = scratch.write(low.select("token", "low"), "jaccard-buckets")
     edges = index.join(low, "token").where("node <> low").select(F.col("node").alias("a"), F.col("low").alias("b"))
     found = components(scratch.write(edges.distinct(), "jaccard-stars"))
     return scratch.write(found.select(F.col("id").alias("node"), F.col("comp").alias("family")), "jaccard-families")
 
 
 def link_components(sets: DataFrame) -> DataFrame:
-    """(node, label) for the nodes of ``sets`` that may link; nodes are in one component if links lead from one to the other."""
+    """(node, label) for the nodes of ``sets`` that may link; nodes are in one component if links lead from one to the other.
+
+    A label is the least node of its component, so that a node that is its own label stands for it.
+    """
     index = scratch.write(sets.select("node", F.explode("keys").alias("token")), "jaccard-index")
     family = families(index)
-    sizes = scratch.write(family.groupBy("family").agg(F.count(F.lit(1)).alias("m")), "jaccard-sizes")
     count = family.count()
     if not count:
         return family.withColumnRenamed("family", "label")
-    nodes = family.join(sizes, "family").withColumn("blocks", F.ceil(F.col("m") / BLOCK).cast("long"))
-    part = F.pmod(F.xxhash64("node", F.lit(0)), F.col("blocks"))
+    sizes = family.groupBy("family").agg(F.count(F.lit(1)).alias("m"))
+    # a set that several chunks sent is taken from one of them
+    chosen = sets.groupBy("node").agg(F.min("chunk").alias("chunk"))
+    nodes = family.join(scratch.write(sizes, "jaccard-sizes"), "family").join(chosen, "node").withColumn("label", F.col("node"))
+    nodes = scratch.write(nodes.select("node", "chunk", "family", "m", "label"), "jaccard-placed")
     shared = F.pmod(F.xxhash64("family"), F.lit(-(-count // BLOCK)))
-    nodes = nodes.withColumn("block", part).withColumn("home", F.when(F.col("blocks") > 1, F.xxhash64("family", "block")).otherwise(shared))
-    nodes = scratch.write(nodes, "jaccard-placed")
-    full = nodes.select("node", "family", "home", F.col("node").alias("label")).join(sets.select("node", "n", "tokens", "bits"), "node")
-    labels = scratch.write(full.groupBy("home").applyInArrow(_within, "node long, label long"), "jaccard-labels")
-    large = nodes.where("blocks > 1").select("node", "family", "block", "blocks").join(labels, "node")
-    large = scratch.write(large, "jaccard-large")
-    if large.isEmpty():
-        return labels
+    guests = nodes.withColumn("grp", F.when(F.col("m") > BLOCK, _block("m", 0)).otherwise(shared)).withColumn("side", F.lit(3).cast("long"))
+    nodes = _relabel(nodes, _compare(guests, sets))
+    large = nodes.where(F.col("m") > BLOCK)
+    if not large.isEmpty():
+        small = nodes.where(F.col("m") <= BLOCK)
+        nodes = small.unionByName(_join_blocks(scratch.write(large, "jaccard-large"), sets, index))
+    return nodes.select("node", "label")
+
+
+def _block(size: str, salt: int) -> Column:
+    """The block of a node in a family of which ``size`` nodes are dealt."""
+    return F.xxhash64("family", F.pmod(F.xxhash64("node", F.lit(salt)), F.ceil(F.col(size) / BLOCK)))
+
+
+def _join_blocks(large: DataFrame, sets: DataFrame, index: DataFrame) -> DataFrame:
+    """Families of several blocks, with the labels that links between blocks give."""
     for step in range(ROUNDS):
-        host = F.pmod(F.lit(step), F.col("blocks"))
-        meetings = large.groupBy("family", "block", "blocks").agg(F.count(F.lit(1)).alias("m"))
-        meetings = meetings.withColumn("x", host).where("block <> x").select("family", "x", F.col("block").alias("y"))
-        large = _relabel(large, _compare_blocks(meetings, large, sets))
-    large = _relabel(large, _compare_blocks(*_last_meetings(large, index), sets))
-    small = labels.join(large.select("node"), "node", "left_anti")
-    return scratch.write(small.unionByName(large.select("node", "label")), "jaccard-labels")
-
-
-def _last_meetings(large: DataFrame, index: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """All pairs of blocks that may hold a link between two components, and the nodes in new blocks."""
-    by_label = large.groupBy("family", "label").agg(F.count(F.lit(1)).alias("m"))
-    top = by_label.groupBy("family").agg(F.max_by("label", F.struct("m", "label")).alias("top"), F.sum("m").alias("all"), F.max("m").alias("most"))
+        alone = large.where("node = label")
+        counts = alone.groupBy("family").agg(F.count(F.lit(1)).alias("k")).where("k > 1")
+        guests = alone.join(scratch.write(counts, "jaccard-open"), "family")
+        guests = guests.withColumn("grp", _block("k", step + 1)).withColumn("side", F.lit(3).cast("long"))
+        merged = _compare(guests, sets)
+        if merged.isEmpty():
+            break
+        large = _relabel(large, merged)
+    merged = _compare(_last_meetings(large, index), sets)
+    if merged.isEmpty():
+        return large
+    joined = components(merged.select(F.col("label").alias("a"), F.col("merged").alias("b")))
+    return _relabel(large, joined.select(F.col("id").alias("label"), F.col("comp").alias("merged")))
+
+
+def _last_meetings(large: DataFrame, index: DataFrame) -> DataFrame:
+    """Blocks of different components that have a prefix token in common, as guests of a group for each two."""
+    by_label = large.groupBy("family", "label").agg(F.count(F.lit(1)).alias("k"))
+    top = by_label.groupBy("family").agg(F.max_by("label", F.struct("k", "label")).alias("top"), F.sum("k").alias("all"), F.max("k").alias("most"))
     top = scratch.write(top.where("all > most"), "jaccard-top")
     apart = F.col("label") != F.col("top")
     deal = F.ceil(F.when(apart, F.col("all") - F.col("most")).otherwise(F.col("most")) / BLOCK).cast("long")
-    nodes = large.join(top, "family").withColumn("block", F.pmod(F.xxhash64("node", F.lit(1)), deal) * 2 + apart.cast("long"))
-    nodes = scratch.write(nodes.select("node", "family", "block", "label"), "jaccard-dealt")
-    span = [F.min("label").alias("lo"), F.max("label").alias("hi")]
-    blocks = scratch.write(nodes.groupBy("family", "block").agg(*span), "jaccard-dealt-blocks")
-    wide = blocks.groupBy("family").agg(F.count(F.lit(1)).alias("k"))
-    wide = scratch.write(wide, "jaccard-wide")
-    few = blocks.join(wide.where(F.col("k") <= MANY_BLOCKS), "family").withColumn("token", F.lit(0).cast("long"))
-    some = nodes.join(wide.where(F.col("k") > MANY_BLOCKS), "family").join(index, "node").groupBy("family", "token", "block").agg(*span)
-    either = scratch.write(few.select("family", "token", "block", "lo", "hi").unionByName(some.select("family", "token", "block", "lo", "hi")), "jaccard-spans")
-    x = either.select("family", "token", F.col("block").alias("x"), F.col("lo").alias("lo1"), F.col("hi").alias("hi1"))
-    y = either.select(F.col("family").alias("f"), F.col("token").alias("t"), F.col("block").alias("y"), F.col("lo").alias("lo2"), F.col("hi").alias("hi2"))
-    mixed = F.least("lo1", "lo2") < F.greatest("hi1", "hi2")
-    pairs = x.join(y, (F.col("family") == F.col("f")) & (F.col("token") == F.col("t")) & (F.col("x") <= F.col("y")) & mixed)
-    return pairs.select("family", "x", "y").distinct(), nodes
+    nodes = large.join(top, "family").withColumn("block", F.pmod(F.xxhash64("node", F.lit(-1)), deal) * 2 + apart.cast("long"))
+    nodes = scratch.write(nodes.select("node", "chunk", "family", "block", "label"), "jaccard-dealt")
+    spans = nodes.join(index.distinct(), "node").groupBy("family", "token", "block").agg(F.min("label").alias("lo"), F.max("label").alias("hi"))
+    spans = scratch.write(spans, "jaccard-spans")
+    mixed = spans.groupBy("family", "token").agg(F.min("lo").alias("l"), F.max("hi").alias("h")).where("l < h").select("family", "token")
+    spans = scratch.write(spans.join(mixed, ["family", "token"]), "jaccard-mixed")
+    x = spans.select("family", "token", F.col("block").alias("x"), F.col("lo").alias("lo1"), F.col("hi").alias("hi1"))
+    y = spans.select("family", "token", F.col("block").alias("y"), F.col("lo").alias("lo2"), F.col("hi").alias("hi2"))
+    pairs = x.join(y, ["family", "token"]).where((F.col("x") <= F.col("y")) & (F.least("lo1", "lo2") < F.greatest("hi1", "hi2")))
+    meetings = scratch.write(pairs.select("family", "x", "y").distinct().withColumn("grp", F.xxhash64("family", "x", "y")), "jaccard-meetings")
+    ends = F.array(F.struct(F.col("x").alias("block"), F.lit(1).alias("side")), F.struct(F.col("y").alias("block"), F.lit(2).alias("side")))
+    sides = meetings.select("grp", "family", F.explode(ends).alias("s"))
+    # a block that meets itself takes part once, on both sides
+    sides = sides.groupBy("grp", "family", "s.block").agg(F.sum("s.side").alias("side"))
+    return nodes.join(sides, ["family", "block"])
 
 
 def _shared_sets(docs: DataFrame, tokens: int) -> DataFrame:
-    """Nodes with a shared token in their prefix: node, n, keys, tokens, bits."""
-    parts = max(32, -(-tokens // TOKENS_PER_PART))
+    """Sets with a shared token in their prefix: node, chunk, n, keys, heads, tokens; a node may come from several chunks."""
+    parts = max(LEAST_PARTS, -(-tokens // TOKENS_PER_PART))
     sent = docs.select("text").mapInArrow(_sender(parts), _ddl(_SENT))
     back = sent.groupBy("part").applyInArrow(_count, _ddl(_BACK))
-    sets = back.groupBy("chunk").applyInArrow(_prefixes, _ddl(_DOCS))
-    return scratch.write(sets.groupBy("node").agg(*[F.any_value(c).alias(c) for c in ("n", "keys", "tokens", "bits")]), "jaccard-nodes")
+    return scratch.write(back.groupBy("chunk").applyInArrow(_prefixes(parts), _ddl(_DOCS)), "jaccard-nodes")
 
 
 def _rows_and_components(docs: DataFrame) -> tuple[DataFrame, DataFrame]:

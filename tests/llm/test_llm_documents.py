@@ -76,15 +76,38 @@ def test_shingles_do_not_depend_on_pieces(monkeypatch):
         assert (a == b).all()
 
 
-@pytest.mark.parametrize("block", [64, 4])
-def test_jaccard_components_match_all_pairs(spark, monkeypatch, block):
+@pytest.mark.parametrize("block, chunk", [(64, 500_000), (4, 500_000), (4, 700)])
+def test_jaccard_components_match_all_pairs(spark, monkeypatch, block, chunk):
     monkeypatch.setattr(jaccard, "BLOCK", block)
-    monkeypatch.setattr(jaccard, "MANY_BLOCKS", 3)
+    monkeypatch.setattr(jaccard, "TOKENS_PER_CHUNK", chunk)
     rows = near_copies()
     got = jaccard.near_duplicates(spark.createDataFrame(rows, "doc_id long, text string").repartition(3))
     assert {tuple(r) for r in got.collect()} == brute_components(rows)
 
 
+def test_jaccard_with_a_passage_in_every_row_and_a_large_family(spark, monkeypatch):
+    """A third of the rows are near copies, in components that only chains of links hold together; all share a passage."""
+    monkeypatch.setattr(jaccard, "BLOCK", 8)
+    monkeypatch.setattr(jaccard, "TOKENS_PER_CHUNK", 4000)
+    r, passage = random.Random(11), prose(99, 30)
+    base, rows = prose(1, 90, 5000).split(), []
+    for i in range(100):
+        if r.random() < 0.3:
+            base[r.randrange(len(base))] = f"n{i}"
+        mine = list(base)
+        for _ in range(r.choice([0, 1, 1, 2, 3])):
+            mine[r.randrange(len(mine))] = f"v{r.randrange(10**6)}"
+        rows.append((i, passage + " " + " ".join(mine)))
+    rows += [(i, passage + " " + prose(i, r.choice([3, 9, 60, 120]), 5000)) for i in range(100, 300)]
+    got = jaccard.near_duplicates(spark.createDataFrame(rows, "doc_id long, text string").repartition(4))
+    assert {tuple(x) for x in got.collect()} == brute_components(rows)
+
+
+def test_bytes_by_planes_come_back():
+    x = np.array([0, 1, 255, 256, 65535, 2**40 + 3, 2**56 - 1], np.uint64)
+    assert (jaccard._unplaned(jaccard._planes(x, 7), 7) == x).all()
+
+
 def test_jaccard_odd_documents(spark, odd_docs, no_docs):
     got = {(r[0], r[2]) for r in jaccard.near_duplicates(odd_docs).collect()}
     assert (5, 4) in got and (4, 4) in got and (1, 1) in got and (2, 2) in got and (None, None) in got

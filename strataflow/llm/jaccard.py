@@ -10,7 +10,9 @@ Frequencies: each task sums the tokens of a chunk of documents and sends every d
 task that owns its hash range, and gets back which occur in more than one document, with the count; where
 else a token stands in the chunk stays with the chunk. A token that all documents have thus makes one
 entry for each chunk. Tokens of one document can't be shared, so only the others are ever indexed;
-documents that have none of them in their prefix are done. All 64 bits of a token travel.
+documents that have none of them in their prefix are done. A token is a hash of 56 bits, all of which travel
+(its part and six bytes beside it): two different shingles are taken for one in a comparison of two sets of
+400 once in 4e11 comparisons.
 
 Components: equal sets are one node. Nodes of a first-order prefix token form a bucket, and nodes that buckets
 connect a family; only nodes of one family can link. Families are cut into blocks of at most ``BLOCK`` nodes
@@ -47,7 +49,8 @@ NUM, DEN = 75, 100
 #: Tokens that one task counts together, and that one chunk of documents sends; about 60 bytes each in memory.
 TOKENS_PER_PART = 300_000
 TOKENS_PER_CHUNK = 500_000
-#: Documents of a chunk at most; parts at least, so that what a token is beside its part fits into seven bytes.
+#: Bytes of a token; documents of a chunk at most; parts at least, so that what a token is beside its part fits into a byte less.
+WIDTH = 7
 DOCS_PER_CHUNK = 65_535
 LEAST_PARTS = 256
 #: Nodes of a block; rounds of components' nodes at most before blocks of different components meet.
@@ -138,7 +141,7 @@ def _sender(parts: int):
         for a, b in zip(edges.tolist(), [*edges[1:].tolist(), len(part)], strict=True):
             many = np.flatnonzero(count[a:b] > 1)
             more = np.concatenate([many, count[a:b][many]]).astype("<u4").tobytes()
-            for col, x in zip(rows, (int(part[a]), chunk, _planes(tokens[a:b], 7), _planes(np.diff(doc[a:b], prepend=0), 2), more), strict=True):
+            for col, x in zip(rows, (int(part[a]), chunk, _planes(tokens[a:b], WIDTH - 1), _planes(np.diff(doc[a:b], prepend=0), 2), more), strict=True):
                 col.append(x)
         # what the chunk's documents are, to be met again when the counts come back
         for col, x in zip(rows, (-1 - chunk % parts, chunk, np.array(nodes, "<i8").tobytes(), sizes.astype("<i8").tobytes(), again), strict=True):
@@ -157,7 +160,7 @@ def _sender(parts: int):
                     if not len(s) or (node := _node(s)) in seen:
                         continue
                     seen.add(node)
-                    sets.append(s)
+                    sets.append(s >> np.uint64(64 - 8 * WIDTH))
                     nodes.append(node)
                     held += len(s)
                     if held >= TOKENS_PER_CHUNK or len(sets) >= DOCS_PER_CHUNK:
@@ -177,7 +180,7 @@ def _count(table: pa.Table) -> pa.Table:
     table = table.combine_chunks()
     if table.column("part")[0].as_py() < 0:
         return pa.table([table.column(x) for x in ("part", "chunk", "tokens", "docs", "more")], schema=_BACK)
-    tokens = [_unplaned(x, 7) for x in table.column("tokens").to_pylist()]
+    tokens = [_unplaned(x, WIDTH - 1) for x in table.column("tokens").to_pylist()]
     sizes = np.array([len(x) for x in tokens])
     ends = np.cumsum(sizes)
     count = np.ones(int(ends[-1]), np.int64)
@@ -193,7 +196,7 @@ def _count(table: pa.Table) -> pa.Table:
         keep = df[a:b] > 1
         if keep.any():
             doc = np.cumsum(_unplaned(docs, 2).astype(np.int64))[keep]
-            for col, x in zip(rows, (part, chunk, _planes(tokens[a:b][keep], 7), _planes(np.diff(doc, prepend=0), 2), _planes(df[a:b][keep], 6)), strict=True):
+            for col, x in zip(rows, (part, chunk, _planes(tokens[a:b][keep], WIDTH - 1), _planes(np.diff(doc, prepend=0), 2), _planes(df[a:b][keep], 6)), strict=True):
                 col.append(x)
     return pa.table([pa.array(c, t.type) for c, t in zip(rows, _BACK, strict=True)], schema=_BACK)
 
@@ -216,7 +219,7 @@ def _prefixes(parts: int):
                 again = np.frombuffer(f[: len(f) // 3 * 2], "<u8"), np.frombuffer(f[len(f) // 3 * 2 :], "<u4")
             else:
                 docs.append(np.cumsum(_unplaned(d, 2).astype(np.int64)))
-                tokens.append(_unplaned(t, 7) * np.uint64(parts) + np.uint64(part))
+                tokens.append(_unplaned(t, WIDTH - 1) * np.uint64(parts) + np.uint64(part))
                 df.append(_unplaned(f, 6).astype(np.int64))
         rows = [], [], [], [], [], []
         chunk = table.column("chunk")[0].as_py()
@@ -238,7 +241,7 @@ def _prefixes(parts: int):
                 for k, grade in enumerate(_grades(freq[a:b])):
                     bits[np.lexsort((hashing.mix(tok[a:b] ^ _SALTS[k]), grade))[:first]] |= np.uint8(1 << k)
                 keys = tok[a:b][(bits & 1) > 0].view(np.int64)
-                for col, x in zip(rows, (int(nodes[doc[a]]), chunk, n, keys, heads(tok[a:b], bits), tok[a:b].tobytes()), strict=True):
+                for col, x in zip(rows, (int(nodes[doc[a]]), chunk, n, keys, heads(tok[a:b], bits), _planes(tok[a:b], WIDTH)), strict=True):
                     col.append(x)
         return pa.table([pa.array(c, t.type) for c, t in zip(rows, _DOCS, strict=True)], schema=_DOCS)
 
@@ -313,31 +316,34 @@ def _allowed(table: pa.Table) -> np.ndarray:
     return (family[:, None] == family[None, :]) & (label[:, None] != label[None, :]) & ((side[:, None] | side[None, :]) == 3)
 
 
-_GUEST = ("grp", "node", "chunk", "family", "label", "side")
-_GUEST_DDL = "grp long, node long, chunk long, family long, label long, side long"
+_LEFT = "grp long, node long, chunk long, label long, n long, place int, mates binary"
 
 
 def _filter(table: pa.Table) -> pa.Table:
-    """The guests of one block that have a candidate there."""
+    """The guests of one block that have a candidate there, with their place in it and a bit for each place, set for candidates."""
+    table = table.sort_by("node")
     pairs = _candidates(_allowed(table), table.column("n").to_numpy(), table.column("heads").to_pylist())
-    return table.select(list(_GUEST)).filter(pa.array(pairs.any(axis=0) | pairs.any(axis=1)))
+    on = np.flatnonzero(pairs.any(axis=0) | pairs.any(axis=1))
+    left = table.select(["grp", "node", "chunk", "label", "n"]).take(pa.array(on))
+    mates = [row.tobytes() for row in np.packbits(pairs[on], axis=1)]
+    return left.append_column("place", pa.array(on, pa.int32())).append_column("mates", pa.array(mates, pa.binary()))
 
 
 def _verify(table: pa.Table) -> pa.Table:
     """(label, merged) for the components that links of one block join."""
-    n, label = table.column("n").to_numpy(), table.column("label").to_pylist()
-    pairs = _candidates(_allowed(table), n, table.column("heads").to_pylist())
-    tokens = [np.frombuffer(x, "<u8") for x in table.column("tokens").to_pylist()]
-    merged = [(a, b) for a, b in _merge(label, _links(pairs, n, tokens)).items() if a != b]
+    place = table.column("place").to_numpy()
+    mates = np.unpackbits(np.stack([np.frombuffer(x, np.uint8) for x in table.column("mates").to_pylist()]), axis=1)
+    tokens = [_unplaned(x, WIDTH) for x in table.column("tokens").to_pylist()]
+    links = _links(mates[:, place] > 0, table.column("n").to_numpy(), tokens)
+    merged = [(a, b) for a, b in _merge(table.column("label").to_pylist(), links).items() if a != b]
     return pa.table({"label": pa.array([a for a, _ in merged], pa.int64()), "merged": pa.array([b for _, b in merged], pa.int64())})
 
 
 def _compare(guests: DataFrame, sets: DataFrame) -> DataFrame:
     """(label, merged) for all groups of ``guests``: prefixes are sent and intersected first, then the sets that are left."""
-    on = ["node", "chunk"]
-    first = guests.select(*_GUEST).join(sets.select(*on, "n", "heads"), on)
-    left = scratch.write(first.groupBy("grp").applyInArrow(_filter, _GUEST_DDL), "jaccard-candidates")
-    whole = left.join(sets.select(*on, "n", "heads", "tokens"), on)
+    first = guests.select("grp", "node", "chunk", "family", "label", F.col("side").cast("long").alias("side"), "n", "heads")
+    left = scratch.write(first.groupBy("grp").applyInArrow(_filter, _LEFT), "jaccard-candidates")
+    whole = left.join(sets.select("node", "chunk", "tokens"), ["node", "chunk"])
     return scratch.write(whole.groupBy("grp").applyInArrow(_verify, "label long, merged long"), "jaccard-links")
 
 
@@ -369,16 +375,19 @@ def link_components(sets: DataFrame) -> DataFrame:
     sizes = family.groupBy("family").agg(F.count(F.lit(1)).alias("m"))
     # a set that several chunks sent is taken from one of them
     chosen = sets.groupBy("node").agg(F.min("chunk").alias("chunk"))
-    nodes = family.join(scratch.write(sizes, "jaccard-sizes"), "family").join(chosen, "node").withColumn("label", F.col("node"))
-    nodes = scratch.write(nodes.select("node", "chunk", "family", "m", "label"), "jaccard-placed")
+    nodes = family.join(scratch.write(sizes, "jaccard-sizes"), "family").join(chosen, "node")
+    nodes = nodes.join(sets.select("node", "chunk", "n", "heads"), ["node", "chunk"])
+    nodes = scratch.write(nodes.select("node", "chunk", "family", "m", "n", "heads"), "jaccard-placed")
     shared = F.pmod(F.xxhash64("family"), F.lit(-(-count // BLOCK)))
-    guests = nodes.withColumn("grp", F.when(F.col("m") > BLOCK, _block("m", 0)).otherwise(shared)).withColumn("side", F.lit(3).cast("long"))
-    nodes = _relabel(nodes, _compare(guests, sets))
-    large = nodes.where(F.col("m") > BLOCK)
+    guests = nodes.withColumn("grp", F.when(F.col("m") > BLOCK, _block("m", 0)).otherwise(shared))
+    merged = _compare(guests.withColumn("label", F.col("node")).withColumn("side", F.lit(3)), sets)
+    labels = _relabel(nodes.select("node", "family", "m", F.col("node").alias("label")), merged)
+    large = labels.where(F.col("m") > BLOCK)
     if not large.isEmpty():
-        small = nodes.where(F.col("m") <= BLOCK)
-        nodes = small.unionByName(_join_blocks(scratch.write(large, "jaccard-large"), sets, index))
-    return nodes.select("node", "label")
+        small = labels.where(F.col("m") <= BLOCK)
+        large = _join_blocks(scratch.write(large.select("node", "family", "label"), "jaccard-large"), nodes.where(F.col("m") > BLOCK), sets, index)
+        labels = small.select("node", "label").unionByName(large.select("node", "label"))
+    return labels.select("node", "label")
 
 
 def _block(size: str, salt: int) -> Column:
@@ -386,18 +395,19 @@ def _block(size: str, salt: int) -> Column:
     return F.xxhash64("family", F.pmod(F.xxhash64("node", F.lit(salt)), F.ceil(F.col(size) / BLOCK)))
 
 
-def _join_blocks(large: DataFrame, sets: DataFrame, index: DataFrame) -> DataFrame:
-    """Families of several blocks, with the labels that links between blocks give."""
+def _join_blocks(large: DataFrame, nodes: DataFrame, sets: DataFrame, index: DataFrame) -> DataFrame:
+    """Families of several blocks (node, family, label), with the labels that links between blocks give."""
+    prefixes = nodes.select("node", "chunk", "n", "heads")
     for step in range(ROUNDS):
         alone = large.where("node = label")
         counts = alone.groupBy("family").agg(F.count(F.lit(1)).alias("k")).where("k > 1")
         guests = alone.join(scratch.write(counts, "jaccard-open"), "family")
-        guests = guests.withColumn("grp", _block("k", step + 1)).withColumn("side", F.lit(3).cast("long"))
-        merged = _compare(guests, sets)
+        guests = guests.withColumn("grp", _block("k", step + 1)).withColumn("side", F.lit(3))
+        merged = _compare(guests.join(prefixes, "node"), sets)
         if merged.isEmpty():
             break
         large = _relabel(large, merged)
-    merged = _compare(_last_meetings(large, index), sets)
+    merged = _compare(_last_meetings(large, index).join(prefixes, "node"), sets)
     if merged.isEmpty():
         return large
     joined = components(merged.select(F.col("label").alias("a"), F.col("merged").alias("b")))
@@ -412,8 +422,8 @@ def _last_meetings(large: DataFrame, index: DataFrame) -> DataFrame:
     apart = F.col("label") != F.col("top")
     deal = F.ceil(F.when(apart, F.col("all") - F.col("most")).otherwise(F.col("most")) / BLOCK).cast("long")
     nodes = large.join(top, "family").withColumn("block", F.pmod(F.xxhash64("node", F.lit(-1)), deal) * 2 + apart.cast("long"))
-    nodes = scratch.write(nodes.select("node", "chunk", "family", "block", "label"), "jaccard-dealt")
-    spans = nodes.join(index.distinct(), "node").groupBy("family", "token", "block").agg(F.min("label").alias("lo"), F.max("label").alias("hi"))
+    nodes = scratch.write(nodes.select("node", "family", "block", "label"), "jaccard-dealt")
+    spans = nodes.join(index, "node").groupBy("family", "token", "block").agg(F.min("label").alias("lo"), F.max("label").alias("hi"))
     spans = scratch.write(spans, "jaccard-spans")
     mixed = spans.groupBy("family", "token").agg(F.min("lo").alias("l"), F.max("hi").alias("h")).where("l < h").select("family", "token")
     spans = scratch.write(spans.join(mixed, ["family", "token"]), "jaccard-mixed")

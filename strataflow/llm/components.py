@@ -23,13 +23,13 @@ def components(edges: DataFrame, rounds: int = 50) -> DataFrame:
     for _ in range(rounds):
         # large-star: every larger neighbour of a vertex goes to the least of its neighbours and itself
         both = edges.unionByName(edges.select(F.col("b").alias("a"), F.col("a").alias("b")))
-        least = scratch.write(both.groupBy("a").agg(F.least(F.min("b"), F.col("a")).alias("m")), "cc-min")
+        least = both.groupBy("a").agg(F.least(F.min("b"), F.col("a")).alias("m"))
         large = edges.join(least.withColumnRenamed("a", "b"), "b").select("a", F.col("m").alias("b")).where("a <> b").distinct()
         # the vertex itself keeps its link to the least one
         own = least.where("m <> a").select("a", F.col("m").alias("b"))
-        large = large.unionByName(own).distinct()
+        large = scratch.write(large.unionByName(own).distinct(), "cc-large")
         # small-star: the smaller neighbours of a vertex and itself go to the least of them
-        low = scratch.write(large.groupBy("a").agg(F.min("b").alias("m")), "cc-low")
+        low = large.groupBy("a").agg(F.min("b").alias("m"))
         small = large.join(low, "a").where("b <> m").select(F.col("b").alias("a"), F.col("m").alias("b"))
         edges = scratch.write(small.unionByName(low.select("a", F.col("m").alias("b"))).distinct(), "cc-small")
         now = edges.agg(F.count(F.lit(1)), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)"))).first()

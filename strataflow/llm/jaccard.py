@@ -342,7 +342,7 @@ def _verify(table: pa.Table) -> pa.Table:
 def _compare(guests: DataFrame, sets: DataFrame) -> DataFrame:
     """(label, merged) for all groups of ``guests``: prefixes are sent and intersected first, then the sets that are left."""
     first = guests.select("grp", "node", "chunk", "family", "label", F.col("side").cast("long").alias("side"), "n", "heads")
-    left = scratch.write(first.groupBy("grp").applyInArrow(_filter, _LEFT), "jaccard-candidates")
+    left = first.groupBy("grp").applyInArrow(_filter, _LEFT)
     whole = left.join(sets.select("node", "chunk", "tokens"), ["node", "chunk"])
     return scratch.write(whole.groupBy("grp").applyInArrow(_verify, "label long, merged long"), "jaccard-links")
 
@@ -356,9 +356,8 @@ def _relabel(nodes: DataFrame, merged: DataFrame) -> DataFrame:
 def families(index: DataFrame) -> DataFrame:
     """(node, family) for the nodes of ``index`` (token, node) that share a token with another one."""
     low = index.groupBy("token").agg(F.min("node").alias("low"), F.max("node").alias("high")).where("low < high")
-    low = scratch.write(low.select("token", "low"), "jaccard-buckets")
-    edges = index.join(low, "token").where("node <> low").select(F.col("node").alias("a"), F.col("low").alias("b"))
-    found = components(scratch.write(edges.distinct(), "jaccard-stars"))
+    edges = index.join(low.select("token", "low"), "token").where("node <> low").select(F.col("node").alias("a"), F.col("low").alias("b"))
+    found = components(edges)
     return scratch.write(found.select(F.col("id").alias("node"), F.col("comp").alias("family")), "jaccard-families")
 
 
@@ -375,7 +374,7 @@ def link_components(sets: DataFrame) -> DataFrame:
     sizes = family.groupBy("family").agg(F.count(F.lit(1)).alias("m"))
     # a set that several chunks sent is taken from one of them
     chosen = sets.groupBy("node").agg(F.min("chunk").alias("chunk"))
-    nodes = family.join(scratch.write(sizes, "jaccard-sizes"), "family").join(chosen, "node")
+    nodes = family.join(sizes, "family").join(chosen, "node")
     nodes = nodes.join(sets.select("node", "chunk", "n", "heads"), ["node", "chunk"])
     nodes = scratch.write(nodes.select("node", "chunk", "family", "m", "n", "heads"), "jaccard-placed")
     shared = F.pmod(F.xxhash64("family"), F.lit(-(-count // BLOCK)))
@@ -385,7 +384,7 @@ def link_components(sets: DataFrame) -> DataFrame:
     large = labels.where(F.col("m") > BLOCK)
     if not large.isEmpty():
         small = labels.where(F.col("m") <= BLOCK)
-        large = _join_blocks(scratch.write(large.select("node", "family", "label"), "jaccard-large"), nodes.where(F.col("m") > BLOCK), sets, index)
+        large = _join_blocks(large.select("node", "family", "label"), nodes.where(F.col("m") > BLOCK), sets, index)
         labels = small.select("node", "label").unionByName(large.select("node", "label"))
     return labels.select("node", "label")
 
@@ -401,7 +400,7 @@ def _join_blocks(large: DataFrame, nodes: DataFrame, sets: DataFrame, index: Dat
     for step in range(ROUNDS):
         alone = large.where("node = label")
         counts = alone.groupBy("family").agg(F.count(F.lit(1)).alias("k")).where("k > 1")
-        guests = alone.join(scratch.write(counts, "jaccard-open"), "family")
+        guests = alone.join(counts, "family")
         guests = guests.withColumn("grp", _block("k", step + 1)).withColumn("side", F.lit(3))
         merged = _compare(guests.join(prefixes, "node"), sets)
         if merged.isEmpty():
@@ -418,7 +417,7 @@ def _last_meetings(large: DataFrame, index: DataFrame) -> DataFrame:
     """Blocks of different components that have a prefix token in common, as guests of a group for each two."""
     by_label = large.groupBy("family", "label").agg(F.count(F.lit(1)).alias("k"))
     top = by_label.groupBy("family").agg(F.max_by("label", F.struct("k", "label")).alias("top"), F.sum("k").alias("all"), F.max("k").alias("most"))
-    top = scratch.write(top.where("all > most"), "jaccard-top")
+    top = top.where("all > most")
     apart = F.col("label") != F.col("top")
     deal = F.ceil(F.when(apart, F.col("all") - F.col("most")).otherwise(F.col("most")) / BLOCK).cast("long")
     nodes = large.join(top, "family").withColumn("block", F.pmod(F.xxhash64("node", F.lit(-1)), deal) * 2 + apart.cast("long"))
@@ -426,11 +425,11 @@ def _last_meetings(large: DataFrame, index: DataFrame) -> DataFrame:
     spans = nodes.join(index, "node").groupBy("family", "token", "block").agg(F.min("label").alias("lo"), F.max("label").alias("hi"))
     spans = scratch.write(spans, "jaccard-spans")
     mixed = spans.groupBy("family", "token").agg(F.min("lo").alias("l"), F.max("hi").alias("h")).where("l < h").select("family", "token")
-    spans = scratch.write(spans.join(mixed, ["family", "token"]), "jaccard-mixed")
+    spans = spans.join(mixed, ["family", "token"])
     x = spans.select("family", "token", F.col("block").alias("x"), F.col("lo").alias("lo1"), F.col("hi").alias("hi1"))
     y = spans.select("family", "token", F.col("block").alias("y"), F.col("lo").alias("lo2"), F.col("hi").alias("hi2"))
     pairs = x.join(y, ["family", "token"]).where((F.col("x") <= F.col("y")) & (F.least("lo1", "lo2") < F.greatest("hi1", "hi2")))
-    meetings = scratch.write(pairs.select("family", "x", "y").distinct().withColumn("grp", F.xxhash64("family", "x", "y")), "jaccard-meetings")
+    meetings = pairs.select("family", "x", "y").distinct().withColumn("grp", F.xxhash64("family", "x", "y"))
     ends = F.array(F.struct(F.col("x").alias("block"), F.lit(1).alias("side")), F.struct(F.col("y").alias("block"), F.lit(2).alias("side")))
     sides = meetings.select("grp", "family", F.explode(ends).alias("s"))
     # a block that meets itself takes part once, on both sides
@@ -451,13 +450,11 @@ def _rows_and_components(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
     rows = scratch.write(docs.mapInArrow(_sets, _ddl(_SETS)), "jaccard-docs")
     tokens = rows.agg(F.sum("n_shingles")).first()[0] or 0
     nodes = rows.where("doc_id is not null and node is not null").groupBy("node").agg(F.min("doc_id").alias("least"), F.count(F.lit(1)).alias("copies"))
-    nodes = scratch.write(nodes, "jaccard-classes")
     labels = link_components(_shared_sets(docs, tokens))
     known = nodes.join(labels, "node", "left").withColumn("label", F.coalesce("label", "node"))
     known = scratch.write(known, "jaccard-known")
     least = known.groupBy("label").agg(F.min("least").alias("component_id"), F.sum("copies").alias("size"))
-    least = scratch.write(least.where("size > 1"), "jaccard-least")
-    return rows, scratch.write(known.join(least, "label").select(F.col("node").alias("_node"), "component_id"), "jaccard-found")
+    return rows, known.join(least.where("size > 1"), "label").select(F.col("node").alias("_node"), "component_id")
 
 
 def near_duplicates(docs: DataFrame) -> DataFrame:

@@ -1,19 +1,26 @@
 """Mixing sources to target weights by Pareto order sampling, with DataFrame operations only.
 
-Each source gets a target number of words. A document is expected ``target / source size`` times
-in the mix: the whole part is given to every document of the source as certain copies, the rest is
-its inclusion probability ``p`` for one copy more. Documents are ordered by the ratio of their random
-odds ``u / (1 - u)`` to their inclusion odds ``p / (1 - p)``, and the copies go to the first ones until
-the source's remaining words are spent. One more document, of the size nearest to the words still
-missing, closes the gap. ``u`` is a hash of the document's id, so that reruns agree.
-
-The order is never sorted as a whole. The place of the cut is found by counting words in fine slices
-of the order, then in slices of the slice that holds the cut; only the rows of one slice of a slice
-are sorted, so a source that holds most rows is no burden to one task.
-
-Defined cases: a null text has size 0 and takes 0; a null source is a source of its own and comes last;
-an empty table gives an empty result; rows that share doc_id, size and source are taken or left together;
-other columns of the input are ignored whatever their names.
+Each source gets a target number of words. A document's expected copies are in proportion to its size measure,
+the number of binary digits of its words, so that of two documents of one source the longer one is likelier
+to come in, with the factor that makes the source's expected words its target, and ``cap`` copies at most.
+The whole part of that number is given as certain copies; the rest is the document's inclusion probability
+``p`` for one copy more. Documents are ordered by the ratio of their random odds ``u / (1 - u)`` to their
+inclusion odds ``p / (1 - p)``. The sample's fixed size is a number of words, those that the certain copies
+leave of the target: the order is followed up to the first document that does not fit. While more than
+``NEAR`` of the target is missing, that document is passed over and the order is followed on, ``ROUNDS``
+times at most. The sample is closed by the document passed over that would have come nearest, in its place in
+the order, or by the first one not taken that leaves less missing than that, on either side. ``u`` is a hash
+of the document's id, so that reruns agree.
+
+The order is never sorted as a whole. The place of the next document that does not fit is found by counting
+words in fine slices of the order, then in slices of the slice that holds it; only the rows of one slice
+of a slice are sorted, so a source that holds most rows is no burden to one task. The plan has a row for each
+source and number of digits, a few dozen for a source; that many sources must fit into one task.
+
+Defined cases: a null or empty text has size 0 and is not taken; a null source is a source of its own and comes
+last; an empty table gives an empty result; rows that share doc_id, size and source are taken or left together,
+and fit only together; a very long document that does not fit is passed over for those behind it; other
+columns of the input are ignored whatever their names.
 """
 
 from __future__ import annotations
@@ -28,8 +35,11 @@ from strataflow.llm.words import n_words
 #: Fixed by the task: weights of the sources in their order, repeating; copies per document at most.
 WEIGHTS = (5, 2, 1)
 CAP = 3
-#: Parts into which the order is cut, twice.
+#: Parts into which the order is cut, twice; documents passed over in each source before its sample is closed.
 SLICES = 4096
+ROUNDS = 6
+#: Share of a target that may be missing when the order is followed no further.
+NEAR = 0.0005
 SEED = "mix-1"
 
 
@@ -67,37 +77,6 @@ def targets(sizes: DataFrame, weights: tuple[int, ...] = WEIGHTS, cap: int = CAP
     return level.select("source", "source_size", target.alias("target"))
 
 
-def _cut(docs: DataFrame, plan: DataFrame) -> DataFrame:
-    """Of each source, the place and key of the last document that gets one copy more."""
-    part = _join(docs, plan.select("source", "p"))
-    part = part.where(F.col("p") > 0).withColumn("place", _place(F.col("u"), F.col("p")))
-    part = part.withColumn("s1", F.floor(F.col("place") * SLICES))
-    part = part.withColumn("s2", F.floor((F.col("place") * SLICES - F.col("s1")) * SLICES))
-    keys: list[str] = []
-    edge = plan.select("source", "rest", F.lit(0).cast("long").alias("spent"))
-    for k in ("s1", "s2"):
-        sums = _join(part, edge.select("source", *keys), ("source", *keys), "left_semi") if keys else part
-        sums = _join(sums.groupBy("source", k).agg(F.sum("size").alias("words")), edge)
-        run = F.col("spent") + F.sum("words").over(W.partitionBy("source").orderBy(k))
-        first = sums.withColumn("upto", run).where(F.col("upto") > F.col("rest"))
-        found = F.min(F.struct(k, (F.col("upto") - F.col("words")).alias("spent"), "rest", *keys)).alias("at")
-        edge = first.groupBy("source").agg(found).select("source", "at.rest", "at.spent", *[f"at.{x}" for x in keys], f"at.{k}")
-        edge = scratch.write(edge, f"mix-{k}")
-        keys.append(k)
-    rows = _join(part, edge.select("source", *keys, "rest", "spent"), ("source", *keys))
-    run = F.col("spent") + F.sum("size").over(W.partitionBy("source").orderBy("place", "doc_id", "size"))
-    rows = rows.withColumn("upto", run).where(F.col("upto") <= F.col("rest"))
-    last = rows.groupBy("source").agg(F.max(F.struct("place", "doc_id", "size", "upto")).alias("last"))
-    last = _join(edge, last, how="left")
-    return last.select(
-        "source",
-        F.coalesce("last.place", (F.col("s1") + F.col("s2") / F.lit(float(SLICES))) / F.lit(float(SLICES))).alias("cut_place"),
-        F.col("last.doc_id").alias("cut_id"),
-        F.col("last.size").alias("cut_size"),
-        F.coalesce("last.upto", "spent").alias("spent"),
-    )
-
-
 def _join(a: DataFrame, b: DataFrame, keys: tuple[str, ...] = ("source",), how: str = "inner") -> DataFrame:
     """``a`` with the columns of ``b`` by keys of which null is a value."""
     b = b.withColumnsRenamed({k: f"_{k}" for k in keys})
@@ -107,44 +86,126 @@ def _join(a: DataFrame, b: DataFrame, keys: tuple[str, ...] = ("source",), how:
     return a.join(b, on, how).drop(*[f"_{k}" for k in keys])
 
 
-def _before_cut() -> Column:
-    """Whether a row's place is at or before its source's cut; a source without a cut takes all."""
-    here = F.struct("place", "doc_id", "size")
-    cut = F.struct(F.col("cut_place").alias("place"), F.col("cut_id").alias("doc_id"), F.col("cut_size").alias("size"))
-    within = F.when(F.col("cut_size").isNull(), F.col("place") < F.col("cut_place")).otherwise(here <= cut)
-    return F.col("cut_place").isNull() | within
+def measure(size: Column) -> Column:
+    """The size measure: binary digits of the number of words, 0 for none."""
+    return F.when(size > 0, F.length(F.bin(size))).otherwise(0).cast("int")
+
+
+def odds(grades: DataFrame, goal: DataFrame, cap: int = CAP) -> DataFrame:
+    """Certain copies and inclusion probability, ``whole`` and ``p``, by (source, grade), from words by grade and targets.
+
+    Expected copies are ``rate * grade``, ``cap`` at most, with the rate that spends the target. Grades are capped from
+    the largest down; the first one that the rate for all not yet capped leaves below the cap gives the rate.
+    """
+    down = W.partitionBy("source").orderBy(F.desc("grade"))
+    capped = F.coalesce(F.sum("words").over(down.rowsBetween(W.unboundedPreceding, -1)), F.lit(0))
+    open_ = F.sum(F.col("words") * F.col("grade")).over(down.rowsBetween(0, W.unboundedFollowing))
+    out = _join(grades, goal).withColumn("rate", (F.col("target") - (cap * capped).cast("double")) / F.nullif(open_, F.lit(0)).cast("double"))
+    every = W.partitionBy("source")
+    out = out.withColumn("best", F.max(F.when(F.col("rate") * F.col("grade") < cap, F.struct("grade", "rate"))).over(every))
+    e = F.when(F.col("best").isNull() | (F.col("grade") > F.col("best.grade")), F.lit(float(cap))).otherwise(F.col("best.rate") * F.col("grade"))
+    out = out.withColumn("e", F.when(F.col("grade") == 0, 0.0).otherwise(F.greatest(e, F.lit(0.0))))
+    out = out.withColumn("whole", F.floor("e").cast("long")).withColumn("p", F.col("e") - F.col("whole"))
+    rest = F.col("target") - F.sum(F.col("whole") * F.col("words")).over(every).cast("double")
+    return out.select("source", "grade", "source_size", "target", "whole", "p", rest.alias("rest"))
+
+
+_PLACE = ("place", "doc", "size")
+
+
+def _here(prefix: str = "") -> Column:
+    return F.struct(*[F.col(f"{prefix}{x}").alias(x) for x in _PLACE])
+
+
+def _keyed(docs: DataFrame) -> DataFrame:
+    return docs.withColumn("grade", measure(F.col("size"))).withColumn("doc", F.coalesce(F.col("doc_id").cast("long"), F.lit(-(2**63))))
+
+
+def _follow(units: DataFrame, state: DataFrame, name: str) -> DataFrame:
+    """``state`` (source, left, from_*) with the next unit of each source that does not fit, as to_*, and what is left before it.
+
+    ``to_place`` is null where all units that are left fit.
+    """
+    live = _join(units, state).where((F.col("size") <= F.col("left")) & (F.col("from_place").isNull() | (_here() > _here("from_"))))
+    live = live.select("source", *_PLACE, "words", "left")
+    live = live.withColumn("s1", F.floor(F.col("place") * SLICES))
+    live = live.withColumn("s2", F.floor((F.col("place") * SLICES - F.col("s1")) * SLICES))
+    keys: list[str] = []
+    edge = None
+    for k in ("s1", "s2"):
+        part = live if edge is None else _join(live.drop("left"), edge, ("source", *keys))
+        sums = part.groupBy("source", "left", *keys, k).agg(F.sum("words").alias("words"), *([F.first("spent").alias("spent")] if keys else []))
+        run = (F.col("spent") if keys else F.lit(0)) + F.sum("words").over(W.partitionBy("source").orderBy(k))
+        sums = sums.withColumn("upto", run)
+        if not keys:
+            totals = scratch.write(sums, f"mix-{name}-sums")
+            sums = totals
+        found = F.min(F.struct(k, (F.col("upto") - F.col("words")).alias("spent"), "left", *keys)).alias("at")
+        edge = sums.where(F.col("upto") > F.col("left")).groupBy("source").agg(found)
+        edge = scratch.write(edge.select("source", "at.left", "at.spent", *[f"at.{x}" for x in keys], f"at.{k}"), f"mix-{name}-{k}")
+        keys.append(k)
+    rows = _join(live.drop("left"), edge, ("source", *keys))
+    run = F.col("spent") + F.sum("words").over(W.partitionBy("source").orderBy(*_PLACE))
+    stop = rows.withColumn("upto", run).where(F.col("upto") > F.col("left")).groupBy("source")
+    stop = stop.agg(F.min(F.struct(*_PLACE, (F.col("upto") - F.col("words")).alias("spent"), "words")).alias("stop"))
+    all_fit = totals.groupBy("source").agg(F.max("upto").alias("total"))
+    out = _join(_join(state, stop, how="left"), all_fit, how="left")
+    spent = F.coalesce("stop.spent", "total", F.lit(0))
+    return scratch.write(
+        out.select(*state.columns, *[F.col(f"stop.{x}").alias(f"to_{x}") for x in (*_PLACE, "words")], (F.col("left") - spent.cast("double")).alias("then")), f"mix-{name}"
+    )
 
 
 def fit(docs: DataFrame, weights: tuple[int, ...] = WEIGHTS, cap: int = CAP) -> DataFrame:
-    """The plan of a mix, a row for each source, from (doc_id, source, size, u)."""
-    sizes = docs.groupBy("source").agg(F.sum("size").alias("source_size"))
-    plan = targets(sizes, weights, cap)
-    e = F.when(F.col("source_size") > 0, F.col("target") / F.col("source_size")).otherwise(0.0)
-    plan = plan.withColumn("whole", F.least(F.floor(e), F.lit(cap)).cast("long"))
-    plan = plan.withColumn("p", F.when(F.col("whole") < cap, e - F.col("whole")).otherwise(0.0))
-    plan = plan.withColumn("rest", F.col("target") - F.col("whole") * F.col("source_size"))
-    plan = scratch.write(plan, "mix-targets")
-    cut = _cut(docs, plan)
-    plan = _join(plan, cut, how="left")
-    plan = scratch.write(plan, "mix-cuts")
-    after = _join(docs, plan).where((F.col("p") > 0) & F.col("cut_place").isNotNull())
-    after = after.withColumn("place", _place(F.col("u"), F.col("p"))).where(~_before_cut())
-    miss = F.col("rest") - F.col("spent")
-    # rows that are taken together close together
-    tie = ("source", "place", "doc_id", "size", "rest", "spent")
-    after = after.where(F.col("size") > 0).groupBy(*tie).agg(F.sum("size").alias("words"))
-    off = F.abs(F.col("words") - miss)
-    after = after.where(off < miss)
-    close = after.groupBy("source").agg(F.min(F.struct(off.alias("off"), "place", "doc_id", "size")).alias("closing"))
-    return scratch.write(_join(plan, close, how="left"), "mix-plan")
+    """The plan of a mix, a row for each source and grade, from (doc_id, source, size, u)."""
+    docs = _keyed(docs)
+    grades = scratch.write(docs.groupBy("source", "grade").agg(F.sum("size").alias("words")), "mix-grades")
+    goal = targets(grades.groupBy("source").agg(F.sum("words").alias("source_size")), weights, cap)
+    plan = scratch.write(odds(grades, goal, cap), "mix-odds")
+    units = _join(docs, plan.select("source", "grade", "p"), ("source", "grade")).where(F.col("p") > 0)
+    units = units.groupBy("source", _place(F.col("u"), F.col("p")).alias("place"), "doc", "size").agg(F.sum("size").alias("words"))
+    units = scratch.write(units, "mix-units")
+    state = plan.groupBy("source").agg(F.max("rest").alias("left"), F.max("target").alias("goal"))
+    for x, t in zip(_PLACE, ("double", "long", "long"), strict=True):
+        state = state.withColumn(f"from_{x}", F.lit(None).cast(t))
+    rounds: DataFrame | None = None
+    for k in range(ROUNDS + 1):
+        done = _follow(units, state, f"round-{k}")
+        this = done.select("source", F.struct(F.lit(k).alias("k"), "left", "then", *[f"from_{x}" for x in _PLACE], *[f"to_{x}" for x in (*_PLACE, "words")]).alias("round"))
+        rounds = this if rounds is None else rounds.unionByName(this)
+        state = done.where(F.col("to_place").isNotNull() & (F.col("then") > NEAR * F.col("goal")))
+        state = state.select("source", F.col("then").alias("left"), "goal", *[F.col(f"to_{x}").alias(f"from_{x}") for x in _PLACE])
+    rounds = scratch.write(rounds.groupBy("source").agg(F.collect_list("round").alias("rounds")), "mix-rounds")
+    miss = F.array_min(F.transform("rounds", lambda r: r["then"]))
+    after = _join(units, rounds.withColumn("miss", miss)).where((F.col("words") < 2 * F.col("miss")) & ~_fits())
+    closing = after.groupBy("source").agg(F.min(F.struct(*_PLACE, "words")).alias("last"))
+    out = _join(_join(plan, rounds, how="left"), closing, how="left")
+    stops = F.filter("rounds", lambda r: r["to_place"].isNotNull())
+    nearest = F.array_min(F.transform(stops, lambda r: F.struct(F.abs(r["to_words"] - r["then"]).alias("off"), r["k"].alias("k"), *[r[f"to_{x}"].alias(x) for x in _PLACE])))
+    out = out.withColumn("nearest", nearest)
+    other = F.coalesce(F.abs(F.col("last.words") - miss), miss)
+    back = F.coalesce(F.col("nearest.off") <= other, F.lit(False))
+    out = out.withColumn("closing", F.when(back, F.struct(*[F.col(f"nearest.{x}").alias(x) for x in _PLACE])).otherwise(F.struct(*[F.col(f"last.{x}").alias(x) for x in _PLACE])))
+    out = out.withColumn("rounds", F.when(back, F.filter("rounds", lambda r: r["k"] <= F.col("nearest.k"))).otherwise(F.col("rounds")))
+    return scratch.write(out.drop("last", "nearest"), "mix-plan")
+
+
+def _fits() -> Column:
+    """Whether a row was taken when its source's order was followed."""
+
+    def within(r: Column) -> Column:
+        after = r["from_place"].isNull() | (_here() > F.struct(*[r[f"from_{x}"].alias(x) for x in _PLACE]))
+        before = r["to_place"].isNull() | (_here() < F.struct(*[r[f"to_{x}"].alias(x) for x in _PLACE]))
+        return (F.col("size") <= r["left"]) & after & before
+
+    return F.coalesce(F.exists("rounds", within), F.lit(False))
 
 
 def copies(docs: DataFrame, plan: DataFrame) -> DataFrame:
     """``docs`` (source, doc_id, size, u and others) with source_size, target and copies."""
-    out = _join(docs, plan)
+    out = _join(_keyed(docs), plan, ("source", "grade"))
     out = out.withColumn("place", F.when(F.col("p") > 0, _place(F.col("u"), F.col("p"))))
-    closes = F.coalesce((F.col("doc_id").eqNullSafe(F.col("closing.doc_id"))) & (F.col("size") == F.col("closing.size")) & (F.col("place") == F.col("closing.place")), F.lit(False))
-    more = F.when(F.col("p") > 0, F.coalesce((_before_cut() | closes), F.lit(False)).cast("long")).otherwise(0)
+    more = F.when(F.col("p") > 0, (_fits() | F.coalesce(_here() == F.col("closing"), F.lit(False))).cast("long")).otherwise(0)
     return out.withColumn("copies", F.col("whole") + more)
 
 
@@ -155,10 +216,10 @@ def measured(docs: DataFrame, seed: str = SEED) -> DataFrame:
 
 
 def mix(docs: DataFrame, weights: tuple[int, ...] = WEIGHTS, cap: int = CAP, seed: str = SEED) -> DataFrame:
-    """A row for each document: doc_id, size, source_size, target, copies, taken."""
+    """A row for each document: doc_id, size, source_size, target, p, copies, taken."""
     narrow = measured(docs, seed)
     out = copies(narrow, fit(narrow, weights, cap))
-    return out.select("doc_id", "size", "source_size", "target", "copies", (F.col("copies") * F.col("size")).alias("taken"))
+    return out.select("doc_id", "size", "source_size", "target", "p", "copies", (F.col("copies") * F.col("size")).alias("taken"))
 
 
 def mixed_documents(docs: DataFrame, weights: tuple[int, ...] = WEIGHTS, cap: int = CAP, seed: str = SEED) -> DataFrame:
@@ -173,32 +234,72 @@ def mixed_documents(docs: DataFrame, weights: tuple[int, ...] = WEIGHTS, cap: in
     return again.select("row.*")
 
 
-ORACLE = r"""
+_ROUND = """l{k} AS (
+  SELECT u.*, r.words_left, CAST(sum(u.words) OVER (PARTITION BY u.source ORDER BY u.place, u.doc, u.size) AS BIGINT) AS upto
+  FROM u JOIN q{k} r ON u.source IS NOT DISTINCT FROM r.source
+  WHERE u.size <= r.words_left AND (r.place IS NULL OR (u.place, u.doc, u.size) > (r.place, r.doc, r.size))),
+r{n} AS (
+  SELECT r.source, r.goal, r.words_left - CAST(coalesce(max(l.upto) FILTER (WHERE l.upto <= l.words_left), 0) AS DOUBLE) AS words_left,
+         arg_min(l.place, l.upto) FILTER (WHERE l.upto > l.words_left) AS place,
+         arg_min(l.doc, l.upto) FILTER (WHERE l.upto > l.words_left) AS doc,
+         arg_min(l.size, l.upto) FILTER (WHERE l.upto > l.words_left) AS size, arg_min(l.words, l.upto) FILTER (WHERE l.upto > l.words_left) AS words
+  FROM q{k} r LEFT JOIN l{k} l ON r.source IS NOT DISTINCT FROM l.source GROUP BY r.source, r.goal, r.words_left),
+q{n} AS (SELECT * FROM r{n} WHERE place IS NOT NULL AND words_left > {near} * goal),
+"""
+ORACLE = (
+    r"""
 WITH d AS (
   SELECT doc_id, source, CAST(coalesce(len(regexp_extract_all(text, '[^\x20\x09-\x0D]+')), 0) AS BIGINT) AS size,
-         (CAST(CAST('0x' || substr(md5(coalesce(CAST(doc_id AS VARCHAR), '') || ':mix-1'), 1, 13) AS BIGINT) AS DOUBLE) + 0.5) / 4503599627370496.0 AS u
+         (CAST(CAST('0x' || substr(md5(coalesce(CAST(doc_id AS VARCHAR), '') || ':mix-1'), 1, 13) AS BIGINT) AS DOUBLE) + 0.5) / 4503599627370496.0 AS u,
+         coalesce(CAST(doc_id AS BIGINT), -9223372036854775808) AS doc
   FROM documents),
+g AS (SELECT *, CASE WHEN size > 0 THEN length(bin(size)) ELSE 0 END AS grade FROM d),
 s AS (SELECT source, CAST(sum(size) AS BIGINT) AS source_size FROM d GROUP BY source),
-r AS (SELECT *, row_number() OVER (ORDER BY source IS NULL, source) - 1 AS rk FROM s),
-w AS (SELECT *, CASE rk % 3 WHEN 0 THEN 5 WHEN 1 THEN 2 ELSE 1 END AS wt, 3 * source_size AS most FROM r),
-l AS (SELECT *, CAST(sum(source_size) OVER () - coalesce(sum(most) OVER o, 0) AS DOUBLE) / CAST(sum(wt) OVER () - coalesce(sum(wt) OVER o, 0) AS DOUBLE) AS lvl
+k AS (SELECT *, row_number() OVER (ORDER BY source IS NULL, source) - 1 AS rk FROM s),
+w AS (SELECT *, CASE rk % 3 WHEN 0 THEN 5 WHEN 1 THEN 2 ELSE 1 END AS wt, 3 * source_size AS most FROM k),
+v AS (SELECT *, CAST(sum(source_size) OVER () - coalesce(sum(most) OVER o, 0) AS DOUBLE) / CAST(sum(wt) OVER () - coalesce(sum(wt) OVER o, 0) AS DOUBLE) AS lvl
       FROM w WINDOW o AS (ORDER BY CAST(most AS DOUBLE) / wt, rk ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING)),
-f AS (SELECT *, lvl * wt >= most AS stops FROM l),
-g AS (SELECT (arg_min(lvl, (CAST(most AS DOUBLE) / wt, rk)) FILTER (WHERE NOT stops)) AS open_lvl FROM f),
-t AS (SELECT source, source_size, CASE WHEN stops OR open_lvl IS NULL THEN CAST(most AS DOUBLE) ELSE open_lvl * wt END AS target FROM f, g),
-e AS (SELECT *, least(CAST(floor(CASE WHEN source_size > 0 THEN target / source_size ELSE 0 END) AS BIGINT), 3) AS whole FROM t),
-p AS (SELECT *, CASE WHEN whole < 3 AND source_size > 0 THEN target / source_size - whole ELSE 0.0 END AS p, target - whole * source_size AS rest FROM e),
-q AS (SELECT d.*, p.source_size, p.target, p.whole, p.p, p.rest,
-             CASE WHEN p.p > 0 THEN ((u / (1.0 - u)) / (p.p / (1.0 - p.p))) END AS odds
-      FROM d JOIN p ON d.source IS NOT DISTINCT FROM p.source),
-z AS (SELECT *, odds / (1.0 + odds) AS place FROM q),
-c AS (SELECT *, CASE WHEN p > 0 THEN sum(size) OVER (PARTITION BY source ORDER BY place, doc_id, size) <= rest ELSE false END AS inside FROM z),
-m AS (SELECT source, any_value(rest) - coalesce(sum(size) FILTER (WHERE inside), 0) AS miss FROM c WHERE p > 0 GROUP BY source),
-k AS (SELECT c.doc_id, c.size, c.source, row_number() OVER (PARTITION BY c.source ORDER BY abs(c.size - m.miss), c.place, c.doc_id, c.size) AS n
-      FROM c JOIN m ON c.source IS NOT DISTINCT FROM m.source
-      WHERE c.p > 0 AND NOT c.inside AND c.size > 0 AND abs(c.size - m.miss) < m.miss)
-SELECT c.doc_id, c.size, c.source_size, c.target,
-       CAST(c.whole + CASE WHEN c.inside OR k.n IS NOT NULL THEN 1 ELSE 0 END AS BIGINT) AS copies,
-       CAST((c.whole + CASE WHEN c.inside OR k.n IS NOT NULL THEN 1 ELSE 0 END) * c.size AS BIGINT) AS taken
-FROM c LEFT JOIN k ON k.n = 1 AND c.source IS NOT DISTINCT FROM k.source AND c.doc_id IS NOT DISTINCT FROM k.doc_id AND c.size = k.size
+f AS (SELECT *, lvl * wt >= most AS stops FROM v),
+h AS (SELECT (arg_min(lvl, (CAST(most AS DOUBLE) / wt, rk)) FILTER (WHERE NOT stops)) AS open_lvl FROM f),
+t AS (SELECT source, source_size, CASE WHEN stops OR open_lvl IS NULL THEN CAST(most AS DOUBLE) ELSE open_lvl * wt END AS target FROM f, h),
+gw AS (SELECT source, grade, CAST(sum(size) AS BIGINT) AS words FROM g GROUP BY ALL),
+rt AS (SELECT gw.*, t.source_size, t.target,
+              (t.target - CAST(3 * coalesce(sum(gw.words) OVER (q ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS DOUBLE))
+              / CAST(nullif(sum(gw.words * gw.grade) OVER (q ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING), 0) AS DOUBLE) AS rate
+       FROM gw JOIN t ON gw.source IS NOT DISTINCT FROM t.source WINDOW q AS (PARTITION BY gw.source ORDER BY gw.grade DESC)),
+bt AS (SELECT *, max(CASE WHEN rate * grade < 3 THEN grade END) OVER (PARTITION BY source) AS best_grade,
+              arg_max(rate, CASE WHEN rate * grade < 3 THEN grade END) OVER (PARTITION BY source) AS best_rate FROM rt),
+e AS (SELECT *, CASE WHEN grade = 0 THEN 0.0 WHEN best_grade IS NULL OR grade > best_grade THEN 3.0 ELSE greatest(best_rate * grade, 0.0) END AS e FROM bt),
+p AS (SELECT source, grade, words, source_size, target, CAST(floor(e) AS BIGINT) AS whole, e - floor(e) AS p FROM e),
+c AS (SELECT g.*, p.source_size, p.target, p.whole, p.p,
+             CASE WHEN p.p > 0 THEN ((g.u / (1.0 - g.u)) / (p.p / (1.0 - p.p))) END AS odds
+      FROM g JOIN p ON g.source IS NOT DISTINCT FROM p.source AND g.grade = p.grade),
+z AS (SELECT *, odds / (1.0 + odds) AS place FROM c),
+u AS (SELECT source, place, doc, size, CAST(sum(size) AS BIGINT) AS words FROM z WHERE p > 0 GROUP BY ALL),
+r0 AS (SELECT source, target AS goal, target - CAST(sum(whole * words) AS DOUBLE) AS words_left, CAST(NULL AS DOUBLE) AS place, CAST(NULL AS BIGINT) AS doc, CAST(NULL AS BIGINT) AS size
+       FROM p GROUP BY source, target),
+q0 AS (SELECT * FROM r0),
+"""
+    + "".join(_ROUND.format(k=k, n=k + 1, near=NEAR) for k in range(ROUNDS + 1))
+    + "i AS ("
+    + " UNION ALL ".join(f"SELECT {k} AS k, source, doc, size, place FROM l{k} WHERE upto <= words_left" for k in range(ROUNDS + 1))
+    + "),\nends AS ("
+    + " UNION ALL ".join(f"SELECT {k} AS k, * FROM r{k + 1}" for k in range(ROUNDS + 1))
+    + """),
+m AS (SELECT source, min(words_left) AS miss FROM ends GROUP BY source),
+o AS (SELECT u.*, m.miss, row_number() OVER (PARTITION BY u.source ORDER BY u.place, u.doc, u.size) AS nth
+      FROM u JOIN m ON u.source IS NOT DISTINCT FROM m.source
+      ANTI JOIN i ON u.source IS NOT DISTINCT FROM i.source AND u.doc = i.doc AND u.size = i.size AND u.place = i.place
+      WHERE u.words < 2 * m.miss),
+a AS (SELECT *, row_number() OVER (PARTITION BY source ORDER BY abs(words - words_left), k) AS nth FROM ends WHERE place IS NOT NULL),
+y AS (SELECT m.source, a.k, a.place, a.doc, a.size
+      FROM m LEFT JOIN o ON o.nth = 1 AND m.source IS NOT DISTINCT FROM o.source JOIN a ON a.nth = 1 AND m.source IS NOT DISTINCT FROM a.source
+      WHERE abs(a.words - a.words_left) <= coalesce(abs(o.words - m.miss), m.miss)),
+n AS (SELECT i.source, i.doc, i.size, i.place FROM i LEFT JOIN y ON i.source IS NOT DISTINCT FROM y.source WHERE y.k IS NULL OR i.k <= y.k
+      UNION ALL SELECT source, doc, size, place FROM y
+      UNION ALL SELECT o.source, o.doc, o.size, o.place FROM o ANTI JOIN y ON o.source IS NOT DISTINCT FROM y.source WHERE o.nth = 1)
+SELECT z.doc_id, z.size, z.source_size, z.target, z.p, CAST(z.whole + CASE WHEN i.doc IS NULL THEN 0 ELSE 1 END AS BIGINT) AS copies,
+       CAST((z.whole + CASE WHEN i.doc IS NULL THEN 0 ELSE 1 END) * z.size AS BIGINT) AS taken
+FROM z LEFT JOIN n i ON z.source IS NOT DISTINCT FROM i.source AND z.doc = i.doc AND z.size = i.size AND z.place = i.place
 """
+)

@@ -155,7 +155,10 @@ def test_mixing_targets_and_copies(spark):
         assert x.target == pytest.approx(want[source[x.doc_id]]) and x.taken == x.copies * x["size"] and 0 <= x.taken <= 3 * x["size"]
         taken[source[x.doc_id]] += x.taken
     for s in want:
-        assert abs(taken[s] - want[s]) <= 10
+        # near the target, or no document that could come in once more would bring it nearer
+        miss = want[s] - taken[s]
+        more = [x["size"] for x in got if source[x.doc_id] == s and x.p > 0 and x.copies == 0]
+        assert abs(miss) <= 10 or (abs(miss) <= 0.01 * want[s] and not any(abs(n - miss) < abs(miss) for n in more))
     assert sorted(map(tuple, got)) == sorted(map(tuple, mixing.mix(d.repartition(2)).collect()))
     copies = {x.doc_id: x.copies for x in got}
     again = mixing.mixed_documents(d)

@@ -12,7 +12,8 @@ texts are labelled whole, in one pass, a block of texts at a time; long sequence
 whose transfer matrices are chained, which gives exactly what a walk along the sequence would.
 
 Defined cases: null texts and texts without letters are ``und`` with score 0; so is everything if no labelled
-row is left to learn from; ties go to the language first in code-point order; documents without id count as
+row is left to learn from; very long texts are labelled whole, block by block, at a few dozen bytes of memory for
+each byte of the longest text; ties go to the language first in code-point order; documents without id count as
 id '' for the fold; repeated rows come back as often; other columns are ignored.
 """
 
@@ -42,8 +43,6 @@ BATCH = 256
 RATE = 0.5
 DECAY = 1e-6
 LEXICON_COUNT, LEXICON_SHARE = 5, 0.95
-#: Below this share of its words a document has no language that the pipeline would keep.
-MIN_SCORE = 0.5
 _LETTER = re.compile(r"[^\W\d_]")
 
 
@@ -182,6 +181,33 @@ def posteriors(emit: np.ndarray, at: np.ndarray, trans: np.ndarray) -> np.ndarra
     return result
 
 
+def marginals(emit: np.ndarray, at: np.ndarray, trans: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Distributions over languages and expected transitions of short sequences, all walked at once."""
+    n, k = emit.shape
+    sizes = np.diff(at)
+    m, longest = len(sizes), int(sizes.max(initial=0))
+    p, expected = np.zeros((n, k)), np.zeros((k, k))
+    if not n:
+        return p, expected
+    spot = np.minimum(at[:-1, None] + np.arange(longest), n - 1)
+    inside = np.arange(longest) < sizes[:, None]
+    x = np.exp(emit - emit.max(axis=1, keepdims=True))[spot]
+    step = np.exp(trans - trans.max())
+    alpha = np.empty((m, longest, k))
+    alpha[:, 0] = _normal(x[:, 0], (1,))
+    for t in range(1, longest):
+        alpha[:, t] = _normal((alpha[:, t - 1] @ step) * x[:, t], (1,))
+    beta = np.ones((m, k))
+    for t in range(longest - 1, -1, -1):
+        on = inside[:, t]
+        p[spot[on, t]] = _normal(alpha[on, t] * beta[on], (1,))
+        if t:
+            after = x[on, t] * beta[on]
+            expected += _normal(alpha[on, t - 1][:, :, None] * step * after[:, None, :], (1, 2)).sum(axis=0)
+            beta[on] = _normal(after @ step.T, (1,))
+    return p, expected
+
+
 def fit(texts: list[str], labels: list[str], seed: int = 7) -> Model:
     """Learn from labelled texts; the driver's part, on a bounded sample."""
     model = Model(sorted(set(labels)))
@@ -237,7 +263,7 @@ def _step(model: Model, words: Words, hit: np.ndarray, w: np.ndarray, y: np.ndar
     known = np.flatnonzero(lex >= 0)
     emit_used[known, lex[known]] += model.lexicon_weight[lex[known]]
     emit = emit_used[back].astype(np.float64)
-    p = posteriors(emit, at, model.trans)
+    p, expected = marginals(emit, at, model.trans)
     truth = np.zeros_like(p)
     truth[np.arange(len(y)), y] = 1
     diff = truth - p
@@ -251,27 +277,14 @@ def _step(model: Model, words: Words, hit: np.ndarray, w: np.ndarray, y: np.ndar
     grads[1 << BITS] = 0
     own = np.stack([np.bincount(words.own[used], by_word[:, j], len(model.own)) for j in range(k)], axis=1)
     lexicon = np.bincount(lex[known], by_word[known, lex[known]], k)
-    # expected against seen transitions, with pair marginals from the two neighbours' messages
     inner = np.setdiff1d(np.arange(len(y) - 1), at[1:-1] - 1)
     seen = np.zeros((k, k))
     np.add.at(seen, (y[inner], y[inner + 1]), 1)
-    expected = _pairs(emit, p, inner, model.trans)
     for x, g, s in ((model.grams, grads / n, squares[0]), (model.own, own / n, squares[1]), (model.lexicon_weight, lexicon / n, squares[2]), (model.trans, (seen - expected) / n, squares[3])):
         s += g * g
         x += RATE * (g / np.sqrt(s) - DECAY * x)
 
 
-def _pairs(emit: np.ndarray, p: np.ndarray, inner: np.ndarray, trans: np.ndarray) -> np.ndarray:
-    """Expected transitions: of the pairs consistent with both marginals, the one of the model's odds (iterative scaling)."""
-    base = np.exp(trans - trans.max())[None]
-    left, right = p[inner], p[inner + 1]
-    joint = left[:, :, None] * base * right[:, None, :]
-    for _ in range(3):
-        joint *= (left / np.maximum(joint.sum(axis=2), 1e-300))[:, :, None]
-        joint *= (right / np.maximum(joint.sum(axis=1), 1e-300))[:, None, :]
-    return joint.sum(axis=0)
-
-
 def label_block(model: Model, texts: list[str | None]) -> tuple[list[str], list[float]]:
     """Language and score of each text of a block."""
     words = Words(texts)
@@ -294,13 +307,14 @@ def label_block(model: Model, texts: list[str | None]) -> tuple[list[str], list[
 def sample(docs: DataFrame, per_language: int = DOCS_PER_LANGUAGE) -> list[tuple[str, str]]:
     """About ``per_language`` (text, lang) of each language outside the held-out fold, by a hash of the id."""
     rows = docs.where(F.col("lang").isNotNull() & F.col("text").isNotNull() & ~held_out(F.col("doc_id")))
-    rows = rows.where(F.length("text").between(20, MAX_CHARS)).withColumn("h", F.pmod(F.xxhash64("doc_id", F.lit("language")), F.lit(1 << 30)))
+    rows = rows.where(F.length("text") <= MAX_CHARS).withColumn("h", F.pmod(F.xxhash64("doc_id", F.lit("language")), F.lit(1 << 30)))
     counts = rows.groupBy("lang").count().collect()
     if not counts:
         return []
     share = F.coalesce(*[F.when(F.col("lang") == r["lang"], F.lit(min(1.0, per_language / r["count"]))) for r in counts])
-    # a hash, and then a cap for the case of one id on many rows
-    found = rows.where(F.col("h") < share * (1 << 30)).select("text", "lang", "doc_id").limit(2 * per_language * len(counts)).collect()
+    # by a hash; where one id is on many rows, the sample's bound cuts it in a fixed order
+    found = rows.where(F.col("h") < share * (1 << 30)).orderBy("h", "doc_id", "lang", "text").select("text", "lang", "doc_id")
+    found = found.limit(2 * per_language * len(counts)).collect()
     found.sort(key=lambda r: (r["doc_id"] is None, r["doc_id"], r["text"]))
     return [(r["text"], r["lang"]) for r in found]
 
@@ -343,9 +357,11 @@ def identify(docs: DataFrame) -> DataFrame:
     return out.select("doc_id", held_out(F.col("doc_id")).alias("held_out"), "lang_pred", F.col("lang_score").alias("score"))
 
 
-def passing(docs: DataFrame, least: float = MIN_SCORE) -> DataFrame:
-    """The documents with a language, with the columns of the input."""
+def passing(docs: DataFrame) -> DataFrame:
+    """The documents that have a language, with the columns of the input; all of them if there is none to learn from."""
     cols = docs.columns
-    packed = docs.select(F.struct(*[F.col(f"`{c}`") for c in cols]).alias("row"), "text")
-    out = apply(packed, train(docs))
-    return out.where((F.col("lang_pred") != UNKNOWN) & (F.col("lang_score") >= least)).select("row.*")
+    model = train(docs)
+    if model is None:
+        return docs
+    out = apply(docs.select(F.struct(*[F.col(f"`{c}`") for c in cols]).alias("row"), "text"), model)
+    return out.where(F.col("lang_pred") != UNKNOWN).select("row.*")

@@ -1,18 +1,21 @@
 """Packing documents into training sequences by harmonic classes.
 
-A document is its token ids and a closing id. It is cut freely: whole sequences first, then halves,
-quarters and so on while they are at least ``SMALLEST`` ids, then one last piece. A piece of length n
-belongs to the class k = floor(capacity / n), that of the lengths in (capacity / (k + 1), capacity / k],
-and a bin of class k holds exactly k pieces, so that a bin needs a counter and nothing else. Every task
-fills its own bins, without looking at those of others; a sequence's id holds its task's number.
-Pieces of bins that a task leaves part-filled are laid end to end and cut at sequence ends; what
+A document is its token ids and a closing id. Whole sequences are cut from its front; its rest, shorter than a
+sequence, stays one piece. A piece of length n belongs to the class k = floor(capacity / n), that of the lengths
+in (capacity / (k + 1), capacity / k], and a bin of class k holds exactly k such pieces, so that a bin needs
+a counter and nothing else. The room that a full bin leaves, less than 1 / (k + 1) of it, is filled with a cut
+from the front of one more rest, the filler, which goes on into the next bins until it is used up; the next
+rest that comes then takes its place. So a document costs hardly more than one piece beside its whole
+sequences. Every task fills its own bins, without looking at those of others; a sequence's id holds its task's
+number. Pieces of bins that a task leaves part-filled are laid end to end and cut at sequence ends; what
 remains is cut into powers of two, which need no padding.
 
-Tasks hold one Arrow batch and at most k - 1 pieces of each class below capacity; results depend on
-the rows of a task only, so a lost task is simply run again.
+Tasks hold one Arrow batch and at most k pieces of each class below capacity; results depend on the rows of a
+task only, so a lost task is simply run again.
 
-Defined cases: a null text is an empty one; an empty document is the closing id alone; equal rows are packed
-once each; an empty table gives no rows; other columns of the input are not read.
+Defined cases: a null text is an empty one; an empty document is the closing id alone; a very long text is encoded
+whole, by one task; equal rows are packed once each; an empty table gives no rows; other columns of the input are
+not read.
 """
 
 from __future__ import annotations
@@ -27,8 +30,6 @@ from pyspark.sql import functions as F
 
 CAPACITY = 1024
 END_ID = 0
-#: Remainders are not cut into pieces below this length, but for the last.
-SMALLEST = 64
 
 SCHEMA = (
     "doc_id long, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long, class int, padded_to int"
@@ -70,35 +71,51 @@ class Encoder:
         return self.fast.encode_ordinary(text)
 
 
-def cuts(n: int, capacity: int = CAPACITY, smallest: int = SMALLEST) -> list[int]:
-    """Lengths of the pieces of a document of n ids, in order."""
-    whole, rest = divmod(n, capacity)
-    out = [capacity] * whole
-    part = capacity // 2
-    while part >= smallest:
-        if rest >= part:
-            out.append(part)
-            rest -= part
-        part //= 2
-    if rest:
-        out.append(rest)
-    return out
-
-
 class Bins:
     """The open bins of one task. A piece is (doc_id, start, ids, doc_tokens)."""
 
     def __init__(self, task: int, capacity: int = CAPACITY, with_ids: bool = False):
         self.next, self.capacity, self.with_ids = task << 36, capacity, with_ids
         self.open: dict[int, list[tuple]] = {}
+        #: Bins with all their pieces and room left, until a filler comes; the filler that is being used up.
+        self.waiting: list[tuple[int, list[tuple]]] = []
+        self.filler: tuple | None = None
         self.rows: list[tuple] = []
 
-    def add(self, piece: tuple) -> None:
+    def add(self, doc_id: int | None, ids: np.ndarray) -> None:
+        """A document: whole sequences, then its rest."""
+        rest = len(ids) - len(ids) % self.capacity
+        for start in range(0, rest, self.capacity):
+            self._close(1, [(doc_id, start, ids[start : start + self.capacity].copy(), len(ids))])
+        if rest == len(ids):
+            return
+        piece = (doc_id, rest, ids[rest:].copy(), len(ids))
+        if self.waiting and self.filler is None:
+            self.filler = piece
+            self._fill()
+            return
         k = self.capacity // len(piece[2])
         held = self.open.setdefault(k, [])
         held.append(piece)
         if len(held) == k:
-            self._close(k, self.open.pop(k))
+            self.waiting.append((k, self.open.pop(k)))
+            self._fill()
+
+    def _fill(self) -> None:
+        """Close waiting bins, with cuts from the filler where they have room."""
+        while self.waiting:
+            k, pieces = self.waiting[-1]
+            room = self.capacity - sum(len(p[2]) for p in pieces)
+            if room and self.filler is None:
+                return
+            if room:
+                doc_id, start, ids, doc_tokens = self.filler
+                pieces.append((doc_id, start, ids[:room], doc_tokens))
+                self.filler = (doc_id, start + room, ids[room:], doc_tokens) if room < len(ids) else None
+                room -= len(pieces[-1][2])
+            if not room:
+                self.waiting.pop()
+                self._close(k, pieces)
 
     def _close(self, k: int, pieces: list[tuple]) -> None:
         at, full = 0, sum(len(p[2]) for p in pieces)
@@ -111,8 +128,9 @@ class Bins:
 
     def finish(self) -> None:
         """Lay the pieces of open bins end to end; the last, part-filled sequence goes out in powers of two."""
-        left = sorted((p for held in self.open.values() for p in held), key=lambda p: -len(p[2]))
-        self.open = {}
+        held = [*self.open.values(), *(pieces for _, pieces in self.waiting), [self.filler] if self.filler else []]
+        left = sorted((p for pieces in held for p in pieces), key=lambda p: -len(p[2]))
+        self.open, self.waiting, self.filler = {}, [], None
         total = sum(len(p[2]) for p in left)
         whole, rest = divmod(total, self.capacity)
         sizes = [self.capacity] * whole + [1 << b for b in range(rest.bit_length() - 1, -1, -1) if rest >> b & 1]
@@ -151,11 +169,7 @@ def pack(docs: DataFrame, tokenizer_path: str | None = None, ranks_path: str | N
         for batch in batches:
             encoder = encoder or Encoder(tokenizer_path, ranks_path)
             for doc_id, text in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
-                ids = np.array([*encoder.ids(text.as_py() or ""), END_ID], dtype="<u4")
-                start = 0
-                for n in cuts(len(ids)):
-                    bins.add((doc_id, start, ids[start : start + n].copy(), len(ids)))
-                    start += n
+                bins.add(doc_id, np.array([*encoder.ids(text.as_py() or ""), END_ID], dtype="<u4"))
                 if len(bins.rows) >= 20_000:
                     yield out(bins.rows)
                     bins.rows = []

@@ -230,10 +230,34 @@ def test_fast_and_slow_ids_agree():
 def test_harmonic_bins_hold_a_fixed_count():
     bins = packing.Bins(0)
     for i in range(100):
-        bins.add((i, 0, np.zeros(300, "<u4"), 300))
-    assert len(bins.rows) == 99 and len({r[5] for r in bins.rows}) == 33
+        bins.add(i, np.zeros(300, "<u4"))
+    # three to a bin, and one cut from a filler, which lasts for two bins and a part of the third
+    by_bin = Counter(r[5] for r in bins.rows)
+    assert set(by_bin.values()) == {4, 5} and {r[7] for r in bins.rows} == {3} and all(sum(r[2] for r in bins.rows if r[5] == b) == 1024 for b in by_bin)
     bins.finish()
-    assert len(bins.rows) > 99 and sum(r[2] for r in bins.rows) == 100 * 300
+    assert sum(r[2] for r in bins.rows) == 100 * 300
+
+
+def test_rests_stay_whole_but_for_fillers():
+    rng, bins = random.Random(5), packing.Bins(7)
+    sizes = [rng.choice([rng.randrange(1, 1024), rng.randrange(1, 200), rng.randrange(1, 4000)]) for _ in range(3000)]
+    for i, n in enumerate(sizes):
+        bins.add(i, np.full(n, i, "<u4"))
+    held = sum(len(x) for x in bins.open.values()) + 4 * len(bins.waiting)
+    bins.finish()
+    whole = sum(n // 1024 for n in sizes)
+    assert len(bins.rows) - whole < 2 * len(sizes) and held < 3100
+    padded = {r[5]: r[8] for r in bins.rows}
+    assert sum(padded.values()) <= 1.001 * sum(sizes)
+    spans = Counter()
+    for r in bins.rows:
+        spans[r[0]] += r[2]
+    assert all(spans[i] == n for i, n in enumerate(sizes))
+    # counts of a class's own pieces, without the cuts of fillers
+    for b in {r[5] for r in bins.rows if r[7] > 1}:
+        mine = [r for r in bins.rows if r[5] == b]
+        own = [r for r in mine if 1024 // r[2] == mine[0][7] and r[1] + r[2] == r[4]]
+        assert len(own) >= mine[0][7]
 
 
 def brute_quality(t):
@@ -400,3 +424,39 @@ def test_toxicity_odd_inputs(spark, odd_docs, no_docs):
     assert toxicity.classify(no_docs, labels).count() == 0
     one_kind = spark.createDataFrame([(i, 1, 0) for i in range(1, 9)], "doc_id long, quality int, toxic int")
     assert all(r.predicted == 0 for r in toxicity.classify(odd_docs, one_kind).collect())
+
+
+def test_expected_transitions_and_gradient_are_exact():
+    """Against all paths of short sequences, and against differences of the log-likelihood."""
+    import itertools
+
+    rng = np.random.default_rng(4)
+    sizes, k = [1, 4, 5, 2], 3
+    at = np.concatenate([[0], np.cumsum(sizes)])
+    emit, trans = rng.normal(size=(sum(sizes), k)) * 2, rng.normal(size=(k, k)) * 4
+
+    def score(path, a, trans):
+        return sum(emit[a + t, y] for t, y in enumerate(path)) + sum(trans[x, y] for x, y in itertools.pairwise(path))
+
+    def log_z(trans):
+        return sum(np.logaddexp.reduce([score(p, a, trans) for p in itertools.product(range(k), repeat=n)]) for a, n in zip(at[:-1], sizes, strict=True))
+
+    p, expected = language.marginals(emit, at, trans)
+    want = np.zeros((k, k))
+    for a, n in zip(at[:-1], sizes, strict=True):
+        paths = list(itertools.product(range(k), repeat=n))
+        weights = np.exp([score(x, a, trans) for x in paths])
+        for path, w in zip(paths, weights / weights.sum(), strict=True):
+            for x, y in itertools.pairwise(path):
+                want[x, y] += w
+    assert np.allclose(expected, want)
+    assert np.allclose(p, language.posteriors(emit, at, trans))
+    for i, j in itertools.product(range(k), repeat=2):
+        step = np.zeros((k, k))
+        step[i, j] = 1e-5
+        assert (log_z(trans + step) - log_z(trans - step)) / 2e-5 == pytest.approx(expected[i, j], abs=1e-6)
+
+
+def test_language_stage_keeps_everything_without_a_model(spark, odd_docs):
+    unlabelled = odd_docs.withColumn("lang", F.lit(None).cast("string"))
+    assert language.passing(unlabelled).count() == odd_docs.count()

@@ -339,18 +339,22 @@ def _verify(table: pa.Table) -> pa.Table:
     return pa.table({"label": pa.array([a for a, _ in merged], pa.int64()), "merged": pa.array([b for _, b in merged], pa.int64())})
 
 
-def _compare(guests: DataFrame, sets: DataFrame) -> DataFrame:
+#: Narrow rows that one row with prefixes weighs as much as, for the number of files.
+_HEADS = 10
+
+
+def _compare(guests: DataFrame, sets: DataFrame, count: int) -> DataFrame:
     """(label, merged) for all groups of ``guests``: prefixes are sent and intersected first, then the sets that are left."""
     first = guests.select("grp", "node", "chunk", "family", "label", F.col("side").cast("long").alias("side"), "n", "heads")
-    left = first.groupBy("grp").applyInArrow(_filter, _LEFT)
+    left = scratch.write(first.groupBy("grp").applyInArrow(_filter, _LEFT), "jaccard-candidates", count * _HEADS)
     whole = left.join(sets.select("node", "chunk", "tokens"), ["node", "chunk"])
-    return scratch.write(whole.groupBy("grp").applyInArrow(_verify, "label long, merged long"), "jaccard-links")
+    return scratch.write(whole.groupBy("grp").applyInArrow(_verify, "label long, merged long"), "jaccard-links", count * _HEADS)
 
 
-def _relabel(nodes: DataFrame, merged: DataFrame) -> DataFrame:
+def _relabel(nodes: DataFrame, merged: DataFrame, count: int) -> DataFrame:
     """``nodes`` with the labels that ``merged`` (label, merged) gives them."""
     out = nodes.join(merged, "label", "left").withColumn("label", F.coalesce("merged", "label")).select(*nodes.columns)
-    return scratch.write(out, "jaccard-labels")
+    return scratch.write(out, "jaccard-labels", count)
 
 
 def families(index: DataFrame) -> DataFrame:
@@ -376,15 +380,15 @@ def link_components(sets: DataFrame) -> DataFrame:
     chosen = sets.groupBy("node").agg(F.min("chunk").alias("chunk"))
     nodes = family.join(sizes, "family").join(chosen, "node")
     nodes = nodes.join(sets.select("node", "chunk", "n", "heads"), ["node", "chunk"])
-    nodes = scratch.write(nodes.select("node", "chunk", "family", "m", "n", "heads"), "jaccard-placed")
+    nodes = scratch.write(nodes.select("node", "chunk", "family", "m", "n", "heads"), "jaccard-placed", count * _HEADS)
     shared = F.pmod(F.xxhash64("family"), F.lit(-(-count // BLOCK)))
     guests = nodes.withColumn("grp", F.when(F.col("m") > BLOCK, _block("m", 0)).otherwise(shared))
-    merged = _compare(guests.withColumn("label", F.col("node")).withColumn("side", F.lit(3)), sets)
-    labels = _relabel(nodes.select("node", "family", "m", F.col("node").alias("label")), merged)
+    merged = _compare(guests.withColumn("label", F.col("node")).withColumn("side", F.lit(3)), sets, count)
+    labels = _relabel(nodes.select("node", "family", "m", F.col("node").alias("label")), merged, count)
     large = labels.where(F.col("m") > BLOCK)
     if not large.isEmpty():
         small = labels.where(F.col("m") <= BLOCK)
-        large = _join_blocks(large.select("node", "family", "label"), nodes.where(F.col("m") > BLOCK), sets, index)
+        large = _join_blocks(large.select("node", "family", "label"), nodes.where(F.col("m") > BLOCK), sets, index, count)
         labels = small.select("node", "label").unionByName(large.select("node", "label"))
     return labels.select("node", "label")
 
@@ -394,7 +398,7 @@ def _block(size: str, salt: int) -> Column:
     return F.xxhash64("family", F.pmod(F.xxhash64("node", F.lit(salt)), F.ceil(F.col(size) / BLOCK)))
 
 
-def _join_blocks(large: DataFrame, nodes: DataFrame, sets: DataFrame, index: DataFrame) -> DataFrame:
+def _join_blocks(large: DataFrame, nodes: DataFrame, sets: DataFrame, index: DataFrame, count: int) -> DataFrame:
     """Families of several blocks (node, family, label), with the labels that links between blocks give."""
     prefixes = nodes.select("node", "chunk", "n", "heads")
     for step in range(ROUNDS):
@@ -402,18 +406,18 @@ def _join_blocks(large: DataFrame, nodes: DataFrame, sets: DataFrame, index: Dat
         counts = alone.groupBy("family").agg(F.count(F.lit(1)).alias("k")).where("k > 1")
         guests = alone.join(counts, "family")
         guests = guests.withColumn("grp", _block("k", step + 1)).withColumn("side", F.lit(3))
-        merged = _compare(guests.join(prefixes, "node"), sets)
+        merged = _compare(guests.join(prefixes, "node"), sets, count)
         if merged.isEmpty():
             break
-        large = _relabel(large, merged)
-    merged = _compare(_last_meetings(large, index).join(prefixes, "node"), sets)
+        large = _relabel(large, merged, count)
+    merged = _compare(_last_meetings(large, index, count).join(prefixes, "node"), sets, count)
     if merged.isEmpty():
         return large
     joined = components(merged.select(F.col("label").alias("a"), F.col("merged").alias("b")))
-    return _relabel(large, joined.select(F.col("id").alias("label"), F.col("comp").alias("merged")))
+    return _relabel(large, joined.select(F.col("id").alias("label"), F.col("comp").alias("merged")), count)
 
 
-def _last_meetings(large: DataFrame, index: DataFrame) -> DataFrame:
+def _last_meetings(large: DataFrame, index: DataFrame, count: int) -> DataFrame:
     """Blocks of different components that have a prefix token in common, as guests of a group for each two."""
     by_label = large.groupBy("family", "label").agg(F.count(F.lit(1)).alias("k"))
     top = by_label.groupBy("family").agg(F.max_by("label", F.struct("k", "label")).alias("top"), F.sum("k").alias("all"), F.max("k").alias("most"))
@@ -421,7 +425,7 @@ def _last_meetings(large: DataFrame, index: DataFrame) -> DataFrame:
     apart = F.col("label") != F.col("top")
     deal = F.ceil(F.when(apart, F.col("all") - F.col("most")).otherwise(F.col("most")) / BLOCK).cast("long")
     nodes = large.join(top, "family").withColumn("block", F.pmod(F.xxhash64("node", F.lit(-1)), deal) * 2 + apart.cast("long"))
-    nodes = scratch.write(nodes.select("node", "family", "block", "label"), "jaccard-dealt")
+    nodes = scratch.write(nodes.select("node", "family", "block", "label"), "jaccard-dealt", count)
     spans = nodes.join(index, "node").groupBy("family", "token", "block").agg(F.min("label").alias("lo"), F.max("label").alias("hi"))
     spans = scratch.write(spans, "jaccard-spans")
     mixed = spans.groupBy("family", "token").agg(F.min("lo").alias("l"), F.max("hi").alias("h")).where("l < h").select("family", "token")

@@ -25,10 +25,19 @@ def new_dir(spark: SparkSession, name: str) -> str:
     return f"{shared_dir(spark)}/strataflow/{name}-{uuid.uuid4().hex}"
 
 
-def write(df: DataFrame, name: str) -> DataFrame:
-    """Write ``df`` as Parquet to the shared folder and read it again: cuts the lineage, survives lost executors."""
+#: Rows of a file and files at least, where the number of narrow rows is known.
+ROWS_PER_FILE, LEAST_FILES = 200_000, 8
+
+
+def write(df: DataFrame, name: str, rows: int | None = None) -> DataFrame:
+    """Write ``df`` as Parquet to the shared folder and read it again: cuts the lineage, survives lost executors.
+
+    With a bound on the number of rows, small tables come in few files whatever the number of shuffle partitions.
+    """
     spark = df.sparkSession
     path = new_dir(spark, name)
+    if rows is not None:
+        df = df.coalesce(max(LEAST_FILES, -(-rows // ROWS_PER_FILE)))
     df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 

@@ -28,6 +28,7 @@ def axis_scales(points: DataFrame) -> tuple[float, float, dict[str, float]]:
     r = points.agg(
         F.stddev_pop("x").alias("sx"), F.stddev_pop("y").alias("sy"), F.count(F.lit(1)).alias("n"),
         F.min("x").alias("x0"), F.max("x").alias("x1"), F.min("y").alias("y0"), F.max("y").alias("y1"),
+        F.percentile_approx("x", [0.05, 0.95]).alias("xm"), F.percentile_approx("y", [0.05, 0.95]).alias("ym"),
     ).first()
     scale = lambda s: s if s is not None and s >= 1e-3 else 1.0
     return scale(r["sx"]), scale(r["sy"]), r.asDict()
@@ -44,7 +45,9 @@ def knn_join(queries: DataFrame, points: DataFrame, k: int, query_id: str = "que
         empty = queries.select(query_id).join(points.limit(0).select("point_id", "value", F.col("x").alias("px"), F.col("y").alias("py")))
         return empty.withColumns({"dist": F.lit(0.0), "rank": F.lit(1)})
     across = max((extent["x1"] - extent["x0"]) / sx, (extent["y1"] - extent["y0"]) / sy, 1e-9)
-    cell = across / max(1.0, math.sqrt(extent["n"] / max(2.0 * k, 8.0)))
+    # first cells by where nine tenths of the points are, so that a few far ones do not put the cloud into one cell
+    dense = max((extent["xm"][1] - extent["xm"][0]) / sx, (extent["ym"][1] - extent["ym"][0]) / sy) or across
+    cell = dense / max(1.0, math.sqrt(extent["n"] / max(2.0 * k, 8.0)))
     own, other = exclude or (None, None)
     q = queries.select(query_id, (F.col("x") / sx).alias("qx"), (F.col("y") / sy).alias("qy"), *([F.col(own).alias("_own")] if own else []))
     p = points.select("point_id", "value", F.col("x").alias("px"), F.col("y").alias("py"), *([F.col(other).alias("_other")] if other else []))

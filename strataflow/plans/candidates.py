@@ -235,10 +235,10 @@ def x8(spark, sf_dir):
     return t.select("step", "weight", R(F.col("rmse"), 3).alias("rmse"))
 
 
-@query("g7_soft_targets", f"""WITH {WELLS}, q AS (SELECT well_id, row_idx, tvt FROM h WHERE row_idx % 10 = 0), l AS (SELECT CAST(x AS DOUBLE) AS lev FROM (SELECT unnest(range(60, 141)) AS x)),
+@query("g7_soft_targets", f"""WITH {WELLS}, q AS (SELECT well_id, row_idx, tvt FROM h), l AS (SELECT CAST(x AS DOUBLE) AS lev FROM (SELECT unnest(range(60, 141)) AS x)),
 d AS (SELECT q.*, lev, exp(-(lev - tvt) * (lev - tvt) / 8.0) AS e FROM q, l) SELECT well_id, row_idx, lev AS level, round(e / t, 8) AS p FROM (SELECT *, sum(e) OVER (PARTITION BY well_id, row_idx) AS t FROM d) WHERE abs(lev - tvt) <= 10""")
 def g7(spark, sf_dir):
     from strataflow.operators.posterior import soft_targets
 
-    t = soft_targets(wells(spark, sf_dir).where("row_idx % 10 = 0"), "tvt", 60, 140, 1.0, 2.0, 10.0)
+    t = soft_targets(wells(spark, sf_dir), "tvt", 60, 140, 1.0, 2.0, 10.0)
     return t.select("well_id", "row_idx", "level", R(F.col("p"), 8).alias("p"))

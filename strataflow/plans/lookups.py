@@ -14,11 +14,11 @@ from strataflow.tables import table
 R = lambda c, n=6: F.round(c, n)
 SEG = "s AS (SELECT curve_id, tvt AS t0, gr AS g0, lead(tvt) OVER (PARTITION BY curve_id ORDER BY tvt) AS t1, lead(gr) OVER (PARTITION BY curve_id ORDER BY tvt) AS g1 FROM c)"
 ENDS = "b AS (SELECT curve_id, min(tvt) AS lo, max(tvt) AS hi, arg_min(gr, tvt) AS glo, arg_max(gr, tvt) AS ghi FROM c GROUP BY curve_id)"
-Q = "q AS (SELECT well_id, row_idx, curve_id, tvt, gr FROM h WHERE row_idx % 3 = 0)"
+Q = "q AS (SELECT well_id, row_idx, curve_id, tvt, gr FROM h)"
 
 
 def queries_of(spark, sf_dir):
-    return wells(spark, sf_dir).where("row_idx % 3 = 0").select("well_id", "row_idx", "curve_id", F.col("tvt").alias("at"), F.col("gr").alias("obs"))
+    return wells(spark, sf_dir).select("well_id", "row_idx", "curve_id", F.col("tvt").alias("at"), F.col("gr").alias("obs"))
 
 
 def lookup_sql(outside: str, at: str = "tvt") -> str:
@@ -89,18 +89,21 @@ def p7(spark, sf_dir):
 
 
 KNN = """sc AS (SELECT stddev_pop(x) AS sx, stddev_pop(y) AS sy FROM pts),
-kq AS (SELECT well_id, well_id * 1000 + row_idx AS query_id, x, y FROM h WHERE row_idx % 16 = 3),
-kn AS (SELECT q.query_id, p.point_id, p.value, p.x AS px, p.y AS py, q.x AS qx, q.y AS qy,
- sqrt((p.x / sx - q.x / sx) * (p.x / sx - q.x / sx) + (p.y / sy - q.y / sy) * (p.y / sy - q.y / sy)) AS dist FROM kq q, pts p, sc WHERE q.well_id <> p.well_id),
-kr AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY round(dist, 9), point_id)::INTEGER AS rank FROM kn),
-kk AS (SELECT * FROM kr WHERE rank <= 10)"""
+kq AS (SELECT well_id, well_id * 1000 + row_idx AS query_id, x, y FROM h),
+ka AS (SELECT query_id, min(struct_pack(d := round(dist, 9), p := point_id), 10) AS near FROM (
+ SELECT q.query_id, p.point_id, sqrt((p.x / sx - q.x / sx) * (p.x / sx - q.x / sx) + (p.y / sy - q.y / sy) * (p.y / sy - q.y / sy)) AS dist
+ FROM kq q, pts p, sc WHERE q.well_id <> p.well_id) GROUP BY query_id),
+ku AS (SELECT query_id, unnest(near).p AS point_id, unnest(range(1, len(near) + 1))::INTEGER AS rank FROM ka),
+kk AS (SELECT ku.query_id, ku.rank, p.point_id, p.value, p.x AS px, p.y AS py, q.x AS qx, q.y AS qy,
+ sqrt((p.x / sx - q.x / sx) * (p.x / sx - q.x / sx) + (p.y / sy - q.y / sy) * (p.y / sy - q.y / sy)) AS dist
+ FROM ku JOIN kq q USING (query_id) JOIN pts p USING (point_id), sc)"""
 
 
 def near_points(spark, sf_dir, k=10):
     """Queries and their neighbours, keyed by the pair of well and row; ``numbered`` gives the number that the SQL makes of a pair."""
     p = points(spark, sf_dir).withColumn("point_id", F.struct("well_id", (F.col("point_id") - F.col("well_id") * 100000).alias("row_idx")))
     sx, sy, extent = P.axis_scales(p)
-    q = wells(spark, sf_dir).where("row_idx % 16 = 3").select("well_id", F.struct("well_id", "row_idx").alias("query_id"), "x", "y")
+    q = wells(spark, sf_dir).select("well_id", F.struct("well_id", "row_idx").alias("query_id"), "x", "y")
     return q, P.knn_join(q, p, k, exclude=("well_id", "well_id"), sx=sx, sy=sy, extent=extent)
 
 

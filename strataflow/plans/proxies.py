@@ -54,12 +54,12 @@ CURVES = "c AS (SELECT p_partkey % 5 AS curve_id, CAST(p_size + 75 AS DOUBLE) AS
 
 
 def points(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """A spatial cloud: well_id, point_id, x, y, value, every eighth row of each well."""
-    h = wells(spark, sf_dir).where("row_idx % 8 = 0")
+    """A spatial cloud: well_id, point_id, x, y, value, all rows of all wells."""
+    h = wells(spark, sf_dir)
     return h.select("well_id", (F.col("well_id") * 100000 + F.col("row_idx")).alias("point_id"), "x", "y", (F.col("tvt") + F.col("z")).alias("value"))
 
 
-POINTS = "pts AS (SELECT well_id, well_id * 100000 + row_idx AS point_id, x, y, tvt + z AS value FROM h WHERE row_idx % 8 = 0)"
+POINTS = "pts AS (SELECT well_id, well_id * 100000 + row_idx AS point_id, x, y, tvt + z AS value FROM h)"
 
 
 def scored(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -94,30 +94,32 @@ def _blur(p: np.ndarray, sigma: float, axis: int) -> np.ndarray:
     return sum(k[i] * np.take(q, np.arange(i, i + p.shape[axis]), axis=axis) for i in range(2 * r + 1))
 
 
-def grid_filter(dm: np.ndarray, z: np.ndarray, gr: np.ndarray, curve: Curve, sigma: float, level: float, z0: float, rate: float, reach: float = 50.0, step: float = 0.5) -> np.ndarray:
-    """Mean level by a filter on a grid of levels and rates (no randomness)."""
-    levels = level + np.arange(-reach, reach + step / 2, step)
-    rates = rate + np.arange(-0.05, 0.05 + 1e-9, 0.0025)
-    p = np.zeros((len(rates), len(levels)))
-    p[len(rates) // 2, len(levels) // 2] = 1.0
+def grid_filter(dm: np.ndarray, z: np.ndarray, gr: np.ndarray, curve, sigma: float, level: float, z0: float, rate: float, reach: float = 50.0, step: float = 0.5) -> np.ndarray:
+    """Mean level by a filter on a grid of levels and rates (no randomness).
+
+    It begins with Gaussian spreads of 0.3 around the level and 0.01 around the rate. What would leave the grid stays in
+    its last cell. A column of which nothing is left goes back to the beginning's spread; a missing value weighs nothing.
+    """
+    levels = level + np.arange(-reach, reach + 1e-9, step)
+    offsets = np.arange(-0.05, 0.05 + 1e-9, 0.0025)
+    rates = rate + offsets
+    prior = np.exp(-0.5 * (offsets / 0.01) ** 2)[:, None] * np.exp(-0.5 * ((levels - level) / 0.3) ** 2)[None, :]
+    prior /= prior.sum()
+    p, expected = prior, curve(levels)
     dz = np.diff(z, prepend=z0)
     out = np.empty(len(dm))
-    cells = np.arange(len(levels))
+    cells, last = np.arange(len(levels)), len(levels) - 1
     for t in range(len(dm)):
         p = _blur(p, max(0.002 / 0.0025, 0.3), 0)
         shift = (rates * dm[t] - dz[t]) / step
         whole = np.floor(shift).astype(int)
         part = (shift - whole)[:, None]
-        moved = np.zeros_like(p)
-        for k, share in ((0, 1 - part), (1, part)):
-            src = cells[None, :] - (whole + k)[:, None]
-            ok = (src >= 0) & (src < len(levels))
-            moved += share * np.where(ok, np.take_along_axis(p, np.clip(src, 0, len(levels) - 1), 1), 0.0)
-        p = _blur(moved, max(0.005 / step, 0.3), 1)
+        near, far = (np.take_along_axis(p, np.clip(cells[None, :] - (whole + k)[:, None], 0, last), 1) for k in (0, 1))
+        p = _blur((1 - part) * near + part * far, max(0.005 / step, 0.3), 1)
         if np.isfinite(gr[t]):
-            p = p * likelihood(gr[t] - curve(levels), sigma)[None, :]
+            p = p * np.exp(-0.5 * np.minimum(((gr[t] - expected) / sigma) ** 2, 600.0))[None, :]
         total = p.sum()
-        p = p / total if total > 0 else np.full_like(p, 1.0 / p.size)
+        p = p / total if total > 1e-300 else prior
         out[t] = (p.sum(0) * levels).sum()
     return out
 

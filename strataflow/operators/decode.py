@@ -56,14 +56,21 @@ class Well:
 
     @property
     def rate(self) -> float:
-        """Median of the last 30 known rates of level plus z."""
-        u = (self.rows["tvt_input"] + self.rows["z"])[: self.h][-31:]
-        md = self.rows["md"][: self.h][-31:]
-        return float(np.median(np.diff(u) / np.maximum(np.diff(md), 1.0))) if len(u) > 3 else 0.0
+        """Median of the rates of level plus z over the last 30 known rows, of those that move along the well; 0 with fewer than three."""
+        u = np.diff((self.rows["tvt_input"] + self.rows["z"])[: self.h][-30:])
+        dm = np.diff(self.rows["md"][: self.h][-30:])
+        return float(np.median(u[dm > 0] / dm[dm > 0])) if (dm > 0).sum() >= 3 else 0.0
 
     def hidden(self, name: str) -> np.ndarray:
         return self.rows[name][self.h :]
 
+    @property
+    def hidden_gr(self) -> np.ndarray:
+        """The signal of the hidden rows, filled from these alone; as it is where all are missing."""
+        gr = self.hidden("gr")
+        have, i = np.isfinite(gr), np.arange(len(gr))
+        return np.interp(i, i[have], gr[have]) if have.any() else gr
+
     @property
     def dm(self) -> np.ndarray:
         return K.steps(self.hidden("md"), self.rows["md"][self.h - 1])
@@ -78,13 +85,20 @@ def pack(wells: DataFrame, curves: DataFrame, value: float = 1.0) -> DataFrame:
     rows = wells.groupBy("well_id", "curve_id").agg(F.sort_array(F.collect_list(F.struct(*COLS))).alias("r"))
     rows = rows.select("well_id", "curve_id", *[F.transform(F.col(f"r.{c}"), lambda v: v.cast("double")).alias(c) for c in COLS])
     pts = curves.groupBy("curve_id").agg(F.sort_array(F.collect_list(F.struct("tvt", (F.col("gr") / value).alias("gr")))).alias("c"))
-    return rows.join(pts.select("curve_id", F.col("c.tvt").alias("curve_t"), F.col("c.gr").alias("curve_g")), "curve_id")
+    out = rows.join(pts.select("curve_id", F.col("c.tvt").alias("curve_t"), F.col("c.gr").alias("curve_g")), "curve_id")
+    return _spread(out, "well_id")
+
+
+def _spread(packed: DataFrame, *keys: str) -> DataFrame:
+    """Packed wells over a stated number of tasks: they are few bytes and much work, so they must not be merged by size."""
+    spark = packed.sparkSession
+    tasks = max(int(spark.conf.get("spark.sql.shuffle.partitions")), 4 * spark.sparkContext.defaultParallelism)
+    return packed.repartition(tasks, *keys)
 
 
 def fan(packed: DataFrame, seeds: int) -> DataFrame:
-    """A row for each well and seed, spread over tasks."""
-    out = packed.withColumn("seed", F.explode(F.sequence(F.lit(0), F.lit(seeds - 1))))
-    return out.repartition("well_id", "seed")
+    """A row for each well and seed (or block of seeds), spread over tasks."""
+    return _spread(packed.withColumn("seed", F.explode(F.sequence(F.lit(0), F.lit(seeds - 1)))), "well_id", "seed")
 
 
 def per_well(packed: DataFrame, kernel: Callable[[Well], dict | None], schema: str) -> DataFrame:
@@ -109,24 +123,38 @@ def _path(w: Well, value: np.ndarray) -> dict:
     return {"row_idx": w.hidden("row_idx").astype(np.int64), "value": value}
 
 
-def paths(packed: DataFrame, decode: Callable[[Well], np.ndarray]) -> DataFrame:
-    """A decoded level for every hidden row of each usable well."""
-    return per_well(packed, lambda w: _path(w, decode(w)) if w.usable else None, PATH)
+def paths(packed: DataFrame, decode: Callable[[Well], np.ndarray | None]) -> DataFrame:
+    """A decoded level for every hidden row of each usable well that ``decode`` has a path for."""
+
+    def kernel(w: Well) -> dict | None:
+        value = decode(w) if w.usable else None
+        return None if value is None else _path(w, value)
 
+    return per_well(packed, kernel, PATH)
 
-def beam(w: Well, preset: str = "middle") -> np.ndarray:
+
+def beam(w: Well, preset: str = "mid") -> np.ndarray:
+    """Beam search over the curve's own points, from the one nearest to the last known level."""
     width, move, scale, radius = M.BEAMS[preset]
-    grid = np.arange(w.curve_t[0], w.curve_t[-1] + 0.25, 0.5)
-    start = M.nearest(grid, w.level)
-    return grid[M.beam(M.smooth(w.gr[w.h :], radius), np.interp(grid, w.curve_t, w.curve_g), start, width, move, scale)]
+    signal = w.hidden_gr
+    signal = np.where(np.isfinite(signal), signal, float(np.mean(w.curve_g)))
+    return w.curve_t[M.beam(M.smooth(signal, radius), w.curve_g, M.nearest(w.curve_t, w.level), width, move, scale)]
 
 
-def templates(w: Well) -> np.ndarray:
-    return M.template_ensemble(w.gr[: w.h], w.rows["tvt_input"][: w.h], w.gr[w.h :], halves=(3, 5, 8))[0]
+def templates(w: Well) -> np.ndarray | None:
+    """Template matches at half-widths 8, 15 and 25, those that fit into the known rows; none if none does."""
+    found = M.template_ensemble(w.gr[: w.h], w.rows["tvt_input"][: w.h], w.gr[w.h :])[0]
+    return None if np.isnan(found).any() else found
 
 
-def grid_filter(w: Well) -> np.ndarray:
-    return K.grid_filter(w.dm, w.hidden("z"), w.hidden("gr"), w.curve, w.sigma, w.level, w.rows["z"][w.h - 1], w.rate)
+def grid_filter(w: Well) -> np.ndarray | None:
+    """None with fewer than five hidden rows or curve points."""
+    if len(w.rows["md"]) - w.h < 5 or len(w.curve_t) < 5:
+        return None
+    at = lambda v: np.interp(v, w.curve_t, w.curve_g)
+    sigma = K.noise(w.rows["gr"][: w.h] - at(w.rows["tvt_input"][: w.h]))
+    dm = np.diff(w.hidden("md"), prepend=w.rows["md"][w.h - 1])
+    return K.grid_filter(np.where(dm == 0, 1.0, dm), w.hidden("z"), w.hidden_gr, at, sigma, w.level, w.rows["z"][w.h - 1], w.rate)
 
 
 def levels_of(w: Well, reach: float = 40.0, step: float = 0.5) -> np.ndarray:
@@ -143,7 +171,7 @@ def log_emission(w: Well, levels: np.ndarray, weight: float = 1.0) -> np.ndarray
 SMOOTHERS = {"fine": (0.2, 41, 150.0), "coarse": (0.7, 31, 80.0)}
 
 
-def state_smoother(w: Well, preset: str = "coarse", reach: float | None = 20.0) -> dict[str, np.ndarray]:
+def state_smoother(w: Well, preset: str = "coarse", reach: float | None = None) -> dict[str, np.ndarray]:
     step, k, wide = SMOOTHERS[preset]
     levels = levels_of(w, reach or wide, step)
     rates = w.rate + np.linspace(-0.06, 0.06, k)
@@ -181,14 +209,20 @@ def dips(w: Well) -> np.ndarray:
     return M.dip_search(w.hidden("md"), w.hidden("z"), w.gr[w.h :], w.curve, w.level)
 
 
-def filtered(w: Well, particles: int = 200, base: int = 42, pull: float | None = None) -> tuple[np.ndarray, float]:
+def filtered(w: Well, particles: int = 600, base: int = 42, pull: float | None = None) -> tuple[np.ndarray, float]:
     """Path and log-evidence of the filter of a well's seed."""
     rate = w.rate if pull is None else pull
     out, evidence = K.particle_filters(w.dm, w.hidden("z"), w.hidden("gr"), w.curve, w.sigma, w.level, w.rows["z"][w.h - 1], rate, [K.seed_of(w.well_id, base + w.seed)], particles)
     return out[0], float(evidence[0])
 
 
-def velocity_filter(w: Well, particles: int = 200) -> np.ndarray:
+def filtered_block(w: Well, seeds: int, particles: int = 400, base: int = 42) -> tuple[np.ndarray, np.ndarray]:
+    """Paths and log-evidence of the filters of a well's block of seeds, in one batch; each block draws on its own."""
+    mine = [K.seed_of(w.well_id, base + w.seed * seeds + i) for i in range(seeds)]
+    return K.particle_filters(w.dm, w.hidden("z"), w.hidden("gr"), w.curve, w.sigma, w.level, w.rows["z"][w.h - 1], w.rate, mine, particles, spread=4.5)
+
+
+def velocity_filter(w: Well, particles: int = 600) -> np.ndarray:
     """A filter whose rate is that of a regression of level steps on z steps, and that also sees a smoothed signal."""
     t, z = w.rows["tvt_input"][: w.h], w.rows["z"][: w.h]
     dz = np.diff(z)
@@ -200,11 +234,11 @@ def velocity_filter(w: Well, particles: int = 200) -> np.ndarray:
     return out[0]
 
 
-def heat_map(w: Well, bin_rows: int = 4, step: float = 2.0, particles: int = 200) -> dict | None:
+def heat_map(w: Well, bin_rows: int = 4, step: float = 2.0, filters: int = 48, particles: int = 400) -> dict | None:
     """Share of the filters' paths by bin of rows and level."""
     if not w.usable:
         return None
-    seeds = [K.seed_of(w.well_id, 42 + i) for i in range(8)]
+    seeds = [K.seed_of(w.well_id, 42 + i) for i in range(filters)]
     path, evidence = K.particle_filters(w.dm, w.hidden("z"), w.hidden("gr"), w.curve, w.sigma, w.level, w.rows["z"][w.h - 1], w.rate, seeds, particles)
     weight = K.evidence_weights(evidence)
     b = np.broadcast_to(np.arange(path.shape[1]) // bin_rows, path.shape).ravel()

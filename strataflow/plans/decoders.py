@@ -29,7 +29,6 @@ _path_query("q10_grid_filter", D.grid_filter)
 _path_query("q11_state_smoother", lambda w: D.state_smoother(w)["mean"])
 _path_query("q14_viterbi", D.viterbi)
 _path_query("q15_banded_decode", D.banded)
-_path_query("q16_beam_search", D.beam)
 _path_query("q17_template_match", D.templates)
 _path_query("q18_warp_path", D.warped)
 _path_query("q19_dip_search", D.dips)
@@ -42,6 +41,24 @@ _path_query("x7a_rectified", lambda w: S.shrink_to_chord(S.rectify(D.viterbi(w),
 _path_query("g3_piecewise_planes", lambda w: S.piecewise_planes(w.hidden("x"), w.hidden("y"), w.hidden("z"), 3.0).astype(float))
 
 
+#: The wells made of events have some forty known and twenty hidden rows: smaller windows than the operators' own.
+SHORT_WINDOW, SHORT_SEGMENT = 11, 8
+
+
+@query("q16_beam_search")
+def q16(spark, sf_dir):
+    """One path by each preset."""
+
+    def kernel(w):
+        if not w.usable:
+            return None
+        at = w.hidden("row_idx").astype(np.int64)
+        return {"preset": np.repeat(list(M.BEAMS), len(at)), "row_idx": np.tile(at, len(M.BEAMS)), "level": np.concatenate([D.beam(w, p) for p in M.BEAMS])}
+
+    t = D.per_well(packed(spark, sf_dir), kernel, "well_id long, preset string, row_idx long, level double")
+    return t.select("well_id", "preset", "row_idx", R(F.col("level")).alias("level"))
+
+
 @query("q12_level_smoother")
 def q12(spark, sf_dir):
     def kernel(w):
@@ -60,23 +77,24 @@ def q25(spark, sf_dir):
         if not w.usable:
             return None
         levels = D.levels_of(w)
-        return {"row_idx": w.hidden("row_idx").astype(np.int64), **M.five_decoders(D.misfit_map(w, levels), len(levels) // 2, levels, 11, 3)}
+        return {"row_idx": w.hidden("row_idx").astype(np.int64), **M.five_decoders(D.misfit_map(w, levels), len(levels) // 2, levels, SHORT_WINDOW, 3)}
 
     names = ("argmin", "viterbi_10", "viterbi_05", "smooth", "dual")
     t = D.per_well(packed(spark, sf_dir), kernel, "well_id long, row_idx long, " + ", ".join(f"{n} double" for n in names))
     return t.select("well_id", "row_idx", *[R(F.col(c)).alias(c) for c in names])
 
 
-def seeded(spark, sf_dir, seeds=8):
-    """Paths of several filters by well, with their weight by evidence."""
+def seeded(spark, sf_dir, seeds=48, block=8):
+    """Paths of 48 filters of 400 particles by well, in blocks that are rows of their own, with their weight by evidence."""
 
     def kernel(w):
         if not w.usable:
             return None
-        path, evidence = D.filtered(w)
-        return {"seed": w.seed, "row_idx": w.hidden("row_idx").astype(np.int64), "value": path, "evidence": evidence}
+        path, evidence = D.filtered_block(w, block)
+        at, n = w.hidden("row_idx").astype(np.int64), path.shape[1]
+        return {"seed": np.repeat(w.seed * block + np.arange(block), n), "row_idx": np.tile(at, block), "value": path.ravel(), "evidence": np.repeat(evidence, n)}
 
-    t = D.per_well(D.fan(packed(spark, sf_dir), seeds), kernel, "well_id long, seed int, row_idx long, value double, evidence double")
+    t = D.per_well(D.fan(packed(spark, sf_dir), seeds // block), kernel, "well_id long, seed int, row_idx long, value double, evidence double")
     from pyspark.sql import Window as W
 
     w = W.partitionBy("well_id", "row_idx")
@@ -158,7 +176,7 @@ def q23(spark, sf_dir):
         if not w.usable:
             return None
         paths = np.array([np.full(len(w.dm), w.level), D.viterbi(w), D.banded(w)])
-        seg = np.arange(len(w.dm)) // 8
+        seg = np.arange(len(w.dm)) // SHORT_SEGMENT
         n = int(seg[-1]) + 1
         miss = ((w.gr[w.h :][None, :] - w.curve(paths)) / w.sigma) ** 2
         emit = np.array([[-0.15 * miss[k, seg == s].mean() for k in range(3)] for s in range(n)])

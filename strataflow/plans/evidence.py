@@ -112,7 +112,7 @@ def q6(spark, sf_dir):
     def kernel(w):
         if not w.usable:
             return None
-        path, evidence = N.particle_filters(w.dm, w.hidden("z"), w.hidden("gr"), w.curve, w.sigma, w.level, w.rows["z"][w.h - 1], w.rate, [N.seed_of(w.well_id, i) for i in range(16)], 100)
+        path, evidence = N.particle_filters(w.dm, w.hidden("z"), w.hidden("gr"), w.curve, w.sigma, w.level, w.rows["z"][w.h - 1], w.rate, [N.seed_of(w.well_id, i) for i in range(48)], 400)
         weight = N.evidence_weights(evidence)
         return {"row_idx": w.hidden("row_idx").astype("int64"), "value": weight @ path}
 

@@ -3,13 +3,16 @@
 A text is the set of its words and of the first letters of its words. Learning: of a bounded sample of
 labelled texts, the features that tell the labels apart by more than chance (likelihood ratio) are kept,
 and the identity terms that occur. Every labelled sentence that names an identity is copied with the term
-swapped for another one, and besides the log-loss the fit pays for the squared difference between the scores
-of both. A term that only goes along with toxic sentences therefore gets no weight of its own, and neutral
-mentions of a group score as they would without it.
+swapped for others of its kind, and besides the log-loss the fit pays for the squared difference between the
+scores of both. The same is paid for neutral sentences that are made of templates, with a term and with its
+neighbours in its kind, and with a term and without one. A term that only goes along with toxic sentences
+therefore gets no weight of its own, and neutral mentions of a group score as they would without it. Terms come
+in English, German, French and Spanish; they are a parameter, as are the templates.
 
 The sample is about ``PER_LABEL`` texts of each label, of at most ``MAX_CHARS`` characters, drawn by a hash of
-the id outside the held-out fold; the model is a few thousand weights. All texts are then scored whole, in
-one pass over the table.
+the id outside the held-out fold; longer labelled texts are not learned from. The model is a few thousand
+weights. All texts are then scored whole, in one pass over the table, at a few dozen bytes of memory for each
+byte of the longest text.
 
 Defined cases: null and empty texts score as a text without known features; documents without a label are
 scored too and never learned from; a document with several labels counts as toxic if one says so; without
@@ -56,10 +59,28 @@ IDENTITIES = (
     ("american", "mexican", "chinese", "indian", "russian", "german", "french", "turkish", "polish"),
     ("disabled", "deaf", "blind", "autistic"),
     ("elderly", "young", "old", "teenage"),
+    ("frauen", "männer", "mädchen", "jungen"),
+    ("schwule", "lesben", "bisexuelle", "heterosexuelle", "transsexuelle"),
+    ("muslime", "christen", "juden", "hindus", "buddhisten", "katholiken", "protestanten", "atheisten"),
+    ("ausländer", "einwanderer", "flüchtlinge", "migranten", "einheimische"),
+    ("deutsche", "türken", "polen", "russen", "franzosen", "araber"),
+    ("femmes", "hommes", "filles", "garçons"),
+    ("homosexuels", "lesbiennes", "bisexuels", "hétérosexuels", "transgenres"),
+    ("musulmans", "chrétiens", "juifs", "hindous", "bouddhistes", "catholiques", "protestants", "athées"),
+    ("étrangers", "immigrés", "réfugiés", "migrants"),
+    ("allemands", "français", "arabes", "africains", "européens", "asiatiques"),
+    ("mujeres", "hombres", "niñas", "niños"),
+    ("homosexuales", "lesbianas", "bisexuales", "heterosexuales", "transexuales"),
+    ("musulmanes", "cristianos", "judíos", "hindúes", "budistas", "católicos", "protestantes", "ateos"),
+    ("extranjeros", "inmigrantes", "refugiados", "migrantes"),
+    ("alemanes", "españoles", "gitanos", "africanos", "europeos", "asiáticos"),
 )
+#: Sentences that mention a group and say nothing about it.
+TEMPLATES = (
+    "there are {} here .", "many {} live in this town .", "we spoke with {} today .",
+    "hier leben {} .", "ici vivent des {} .", "aquí viven {} .",
+)
 _SENTENCE = re.compile(r"[^.!?\n]+[.!?]*")
-_TERM = {t: group for group in IDENTITIES for t in group}
-_TERMS = re.compile(r"\b(" + "|".join(sorted(_TERM, key=len, reverse=True)) + r")\b", re.I)
 
 
 class Weights:
@@ -90,20 +111,44 @@ def features(texts: list[str | None], sieve: np.ndarray | None = None) -> tuple[
     return o[new], h[new]
 
 
-def swaps(texts: list[str]) -> list[tuple[str, str]]:
-    """Sentences that name an identity, each with one in which every term is another of its kind."""
-    out = []
-    for t in texts:
-        for s in _SENTENCE.findall(t):
-            if _TERMS.search(s):
-                for shift in (1, 2):
-                    change = lambda m, k=shift: (g := _TERM[m[1].lower()])[(g.index(m[1].lower()) + k) % len(g)]
-                    out.append((s, _TERMS.sub(change, s)))
-    return out
+class Identities:
+    """Groups of terms by kind, and what a swap makes of a text."""
 
+    def __init__(self, groups: tuple[tuple[str, ...], ...] = IDENTITIES, templates: tuple[str, ...] = TEMPLATES):
+        self.of = {t: group for group in groups for t in group}
+        self.templates = templates
+        self.pattern = re.compile(r"\b(" + "|".join(map(re.escape, sorted(self.of, key=len, reverse=True))) + r")\b", re.I) if self.of else None
 
-def fit(texts: list[str], labels: list[int], prior: float) -> Weights:
-    """Learn from labelled texts; ``prior`` is the share of toxic ones among all."""
+    def swapped(self, text: str, shift: int) -> str:
+        """``text`` with every term replaced by the one ``shift`` places on in its kind."""
+
+        def change(m: re.Match) -> str:
+            group = self.of[m[1].lower()]
+            return group[(group.index(m[1].lower()) + shift) % len(group)]
+
+        return self.pattern.sub(change, text)
+
+    def swaps(self, texts: list[str]) -> list[tuple[str, str]]:
+        """Sentences that name an identity, each with one in which every term is another of its kind."""
+        if self.pattern is None:
+            return []
+        named = [s for t in texts for s in _SENTENCE.findall(t) if self.pattern.search(s)]
+        return [(s, self.swapped(s, shift)) for s in named for shift in (1, 2)]
+
+    def neutral(self) -> list[tuple[str, str]]:
+        """Neutral sentences with a term, against the next of its kind and against none."""
+        out = []
+        for template in self.templates:
+            for term in self.of:
+                s = template.format(term)
+                out += [(s, self.swapped(s, 1)), (s, template.format(""))]
+        return out
+
+
+def fit(texts: list[str], labels: list[int], prior: float, identities: Identities | None = None, penalty: float | None = None) -> Weights:
+    """Learn from labelled texts; ``prior`` is the share of toxic ones among all, ``penalty`` what a change of score by a swap costs."""
+    identities = identities or Identities()
+    penalty = SWAP_PENALTY if penalty is None else penalty
     y = np.array(labels, np.float64)
     n, n1 = len(y), float(y.sum())
     if not n1 or n1 == n:
@@ -115,9 +160,9 @@ def fit(texts: list[str], labels: list[int], prior: float) -> Weights:
     keys, index, count = np.unique(h, return_inverse=True, return_counts=True)
     toxic = np.bincount(index, y[o], len(keys))
     gain = _gain(toxic, count - toxic, n1, n - n1)
-    pairs = swaps(texts)
+    pairs = identities.swaps(texts) + identities.neutral()
     po, ph = features([x for pair in pairs for x in pair])
-    terms = np.unique(features([" ".join(_TERM)])[1])
+    terms = np.unique(features([" ".join(identities.of)])[1])
     good = (count >= MIN_COUNT) & (gain >= MIN_GAIN) | (np.isin(keys, terms) & (count >= MIN_COUNT))
     order = np.flatnonzero(good)
     order = order[np.argsort(-gain[order], kind="stable")[:MAX_FEATURES]]
@@ -132,10 +177,10 @@ def fit(texts: list[str], labels: list[int], prior: float) -> Weights:
         z = x @ w + b
         p = 1.0 / (1.0 + np.exp(-np.clip(z, -30, 30)))
         r = p - y
-        grad = x.T @ r + lam * w + SWAP_PENALTY * (delta.T @ (delta @ w))
+        grad = x.T @ r + lam * w + penalty * (delta.T @ (delta @ w))
         gb = r.sum()
         v = np.maximum(p * (1 - p), 1e-6)
-        hess = lambda d: x.T @ (v * (x @ d)) + lam * d + SWAP_PENALTY * (delta.T @ (delta @ d))  # noqa: B023, E731
+        hess = lambda d: x.T @ (v * (x @ d)) + lam * d + penalty * (delta.T @ (delta @ d))  # noqa: B023, E731
         move = _solve(hess, grad)
         w -= move
         b -= gb / v.sum()
@@ -223,13 +268,14 @@ def sample(docs: DataFrame, labels: DataFrame, per_label: int = PER_LABEL) -> tu
     chosen = marked.where(h < share * (1 << 30)).select(F.col("doc_id").alias("_id"), "toxic")
     # the sample's size is bounded by per_label, so it may be sent to every task
     rows = docs.where(F.col("text").isNotNull() & (F.length("text") <= MAX_CHARS)).join(F.broadcast(chosen), F.col("doc_id") == F.col("_id"))
-    found = rows.select("doc_id", "text", "toxic").limit(4 * per_label).collect()
+    # where one id is on many rows, the sample's bound cuts it in a fixed order
+    found = rows.select("doc_id", "text", "toxic").orderBy(F.xxhash64("doc_id"), "doc_id", "text").limit(4 * per_label).collect()
     found.sort(key=lambda r: (r["doc_id"], r["text"]))
     return [r["text"] for r in found], [r["toxic"] for r in found], counts.get(1, 0) / total
 
 
-def train(docs: DataFrame, labels: DataFrame) -> Weights:
-    model = fit(*sample(docs.select("doc_id", "text"), labels.select("doc_id", "toxic")))
+def train(docs: DataFrame, labels: DataFrame, identities: Identities | None = None) -> Weights:
+    model = fit(*sample(docs.select("doc_id", "text"), labels.select("doc_id", "toxic")), identities)
     hashing.release()
     return model
 
@@ -249,6 +295,6 @@ def score(docs: DataFrame, model: Weights) -> DataFrame:
     return rows.select("doc_id", held_out(F.col("doc_id")).alias("held_out"), "score", (F.col("score") >= 0.5).cast("int").alias("predicted"))
 
 
-def classify(docs: DataFrame, labels: DataFrame) -> DataFrame:
+def classify(docs: DataFrame, labels: DataFrame, identities: Identities | None = None) -> DataFrame:
     """Learn from the labelled documents and score all."""
-    return score(docs, train(docs, labels))
+    return score(docs, train(docs, labels, identities))

@@ -8,6 +8,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
+from strataflow.operators.order import running, tile
+
 
 def rmse(err: Column) -> Column:
     return F.sqrt(F.avg(err * err))
@@ -169,8 +171,8 @@ def weighted_stats(df: DataFrame, key: str, value: str, weight: str) -> DataFram
 def auc(df: DataFrame, label: str, score: str) -> DataFrame:
     """Area under the ROC curve by rank sums over distinct scores, and average precision; one row."""
     t = df.groupBy(score).agg(F.sum(F.col(label)).alias("p"), F.count(F.lit(1)).alias("n"))
-    o = W.orderBy(F.desc(score)).rowsBetween(W.unboundedPreceding, 0)
-    t = t.withColumns({"tp": F.sum("p").over(o), "seen": F.sum("n").over(o)})
+    t = running(t, [F.desc(score)], {"_p": F.col("p"), "_n": F.col("n")})
+    t = t.withColumns({"tp": F.col("_p") + F.col("p"), "seen": F.col("_n") + F.col("n")})
     t = t.withColumns({"fp": F.col("seen") - F.col("tp"), "neg": F.col("n") - F.col("p")})
     area = F.sum(F.col("neg") * (F.col("tp") - F.col("p") / 2.0))
     return t.agg((area / (F.sum("p") * F.sum("neg"))).alias("auc"), (F.sum(F.col("p") * F.col("tp") / F.col("seen")) / F.sum("p")).alias("average_precision"))
@@ -178,7 +180,7 @@ def auc(df: DataFrame, label: str, score: str) -> DataFrame:
 
 def deciles(df: DataFrame, score: str, label: str, parts: int = 10) -> DataFrame:
     """Rows, mean score and rate of the label by tenth of the score."""
-    r = df.withColumn("decile", F.ntile(parts).over(W.orderBy(score, "id")))
+    r = tile(df, [F.col(score), F.col("id")], parts, "decile")
     return r.groupBy("decile").agg(F.count(F.lit(1)).alias("n"), F.avg(score).alias("mean_score"), F.avg(label).alias("rate"))
 
 

@@ -6,6 +6,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
+from strataflow.operators.order import running
+
 
 def modulo_folds(df: DataFrame, key: str, k: int) -> DataFrame:
     """(key, fold) by the key's remainder."""
@@ -15,8 +17,8 @@ def modulo_folds(df: DataFrame, key: str, k: int) -> DataFrame:
 def balanced_folds(df: DataFrame, key: str, k: int) -> DataFrame:
     """(key, fold): groups by falling size, dealt back and forth so that the folds' rows even out."""
     sizes = df.groupBy(key).agg(F.count(F.lit(1)).alias("n"))
-    r = F.row_number().over(W.orderBy(F.desc("n"), key)) - 1
-    turn, place = F.floor(r / k) % 2, r % k
+    sizes = running(sizes, [F.desc("n"), F.col(key)], {"r": F.lit(1)})
+    turn, place = F.floor(F.col("r") / k) % 2, F.col("r") % k
     return sizes.select(key, "n", F.when(turn == 0, place).otherwise(k - 1 - place).cast("int").alias("fold"))
 
 

@@ -3,11 +3,11 @@
 from __future__ import annotations
 
 from pyspark.sql import functions as F
-from pyspark.sql import Window as W
 
 from strataflow.operators import lookup as L
 from strataflow.operators import ranking as K
 from strataflow.operators import sequence as S
+from strataflow.operators.order import tile
 from strataflow.plans.proxies import PREDICTIONS, SCORED, WELLS, curves, predictions, scored, wells
 from strataflow.plans.registry import query
 from strataflow.tables import table
@@ -31,8 +31,7 @@ def sensitivity(spark, sf_dir):
 @query("a24_interactions", f"""WITH {PREDICTIONS}, {BAD}, q AS (SELECT *, CAST(ntile(3) OVER (ORDER BY level, well) AS INTEGER) AS a, CAST(ntile(3) OVER (ORDER BY n, well) AS INTEGER) AS b FROM g)
 SELECT a, b, count(*) AS n, round(avg(rmse), 4) AS rmse FROM q GROUP BY a, b""")
 def interactions(spark, sf_dir):
-    part = lambda c: F.ntile(3).over(W.orderBy(c, "well"))
-    q = by_well(spark, sf_dir).withColumns({"a": part("level"), "b": part("n")})
+    q = tile(tile(by_well(spark, sf_dir), [F.col("level"), F.col("well")], 3, "a"), [F.col("n"), F.col("well")], 3, "b")
     return q.groupBy("a", "b").agg(F.count(F.lit(1)).alias("n"), R(F.avg("rmse"), 4).alias("rmse"))
 
 

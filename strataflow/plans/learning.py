@@ -7,8 +7,10 @@ import random
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
+
 from strataflow.operators import crossfit as X
 from strataflow.operators import sequence as S
+from strataflow.operators.order import running
 from strataflow.plans.proxies import CURVES, PREDICTIONS, WELLS, curves, predictions, wells
 from strataflow.plans.registry import query
 from strataflow.sources import wells as io
@@ -124,8 +126,7 @@ def w20(spark, sf_dir):
 @query("w26_slices", f"WITH {WELLS}, c AS (SELECT well_id, count(*) AS n FROM h GROUP BY well_id) SELECT well_id, coalesce(sum(n) OVER (ORDER BY well_id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0)::BIGINT AS start, n FROM c")
 def w26(spark, sf_dir):
     c = wells(spark, sf_dir).groupBy("well_id").agg(F.count(F.lit(1)).alias("n"))
-    before = F.sum("n").over(W.orderBy("well_id").rowsBetween(W.unboundedPreceding, -1))
-    return c.select("well_id", F.coalesce(before, F.lit(0)).cast("long").alias("start"), "n")
+    return running(c, [F.col("well_id")], {"start": F.col("n")}).select("well_id", F.col("start").cast("long").alias("start"), "n")
 
 
 @query("j7_two_level_prior", f"""WITH {WELLS}, a AS (SELECT well_id, avg(x) AS x, avg(y) AS y, avg(tvt + z) AS s FROM h GROUP BY well_id),

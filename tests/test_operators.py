@@ -193,3 +193,22 @@ def test_streams(spark, tmp_path):
         q.stop()
     assert spark.table("f").count() == 40 and spark.table("f").agg(F.max("n")).first()[0] == 20
     assert spark.table("w").count() > 0
+
+
+def test_running_sums_and_tiles_match_a_plain_walk(spark):
+    from strataflow.operators import order
+
+    rng = np.random.default_rng(2)
+    rows = [(i, int(rng.integers(0, 4)), int(rng.integers(-5, 9))) for i in range(101)]
+    d = spark.createDataFrame(rows, "id long, k int, v int").repartition(5)
+    by = sorted(rows, key=lambda r: (-r[1], r[0]))
+    got = {r.id: r for r in order.tile(order.running(d, [F.desc("k"), F.col("id")], {"s": F.col("v"), "n": F.lit(1)}), [F.desc("k"), F.col("id")], 7, "t").collect()}
+    sizes = [101 // 7 + (i < 101 % 7) for i in range(7)]
+    tiles = [t + 1 for t, n in enumerate(sizes) for _ in range(n)]
+    total = 0
+    for i, r in enumerate(by):
+        assert (got[r[0]].s, got[r[0]].n, got[r[0]].t) == (total, i, tiles[i])
+        total += r[2]
+    few = order.tile(d.where("id < 3"), [F.col("id")], 7, "t")
+    assert sorted((r.id, r.t) for r in few.collect()) == [(0, 1), (1, 2), (2, 3)]
+    assert order.tile(d.where("id < 0"), [F.col("id")], 7, "t").count() == 0

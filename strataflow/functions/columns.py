@@ -53,3 +53,14 @@ def variant_part(name: Column, part: str) -> Column:
     """The number after a keyword in a variant's name such as pf_scale_5_beam_0.2_hold_0.1; null without it."""
     found = F.regexp_extract(name, rf"(?:^|_){part}_([0-9]+(?:\.[0-9]+)?)", 1)
     return F.when(found != "", found.cast("double"))
+
+
+def hash_unit(*parts: Column | str) -> Column:
+    """A number in (0, 1) from the values of columns, the same in any engine: the first 52 bits of an MD5 digest."""
+    text = F.concat_ws(":", *[(F.col(p) if isinstance(p, str) else p).cast("string") for p in parts])
+    return (F.conv(F.substring(F.md5(text.cast("binary")), 1, 13), 16, 10).cast("long").cast("double") + 0.5) / float(2**52)
+
+
+def hash_unit_sql(*parts: str) -> str:
+    """``hash_unit`` in SQL."""
+    return f"((CAST(CAST('0x' || substr(md5(concat_ws(':', {', '.join(parts)})), 1, 13) AS BIGINT) AS DOUBLE) + 0.5) / 4503599627370496.0)"

@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
+from strataflow.functions.columns import hash_unit
 from strataflow.operators.order import running, tile
 
 
@@ -184,11 +185,16 @@ def deciles(df: DataFrame, score: str, label: str, parts: int = 10) -> DataFrame
     return r.groupBy("decile").agg(F.count(F.lit(1)).alias("n"), F.avg(score).alias("mean_score"), F.avg(label).alias("rate"))
 
 
-def hash_draws(df: DataFrame, key: str, draws: int, share: float, seed: int = 0) -> DataFrame:
-    """(draw, key): groups drawn by a hash, the same ones whatever the partitioning."""
-    d = df.select(key).distinct().withColumn("draw", F.explode(F.sequence(F.lit(0), F.lit(draws - 1))))
-    u = F.pmod(F.xxhash64(key, "draw", F.lit(seed)), F.lit(1 << 20)) / float(1 << 20)
-    return d.where(u < share)
+def subsamples(df: DataFrame, key: str, draws: int, size: int) -> DataFrame:
+    """``df`` (a row for each key) drawn ``draws`` times: ``draw`` and its rows, ``size`` places each, of which equal ones count once.
+
+    Places are hashed, not rows, so the work is that of the draws however many keys there are.
+    """
+    total = df.count()
+    placed = running(df, [F.col(key)], {"_place": F.lit(1)})
+    ids = df.sparkSession.range(draws * size).select(F.floor(F.col("id") / size).alias("draw"), (F.col("id") % size).alias("_j"))
+    picks = ids.select("draw", F.floor(hash_unit("draw", "_j") * F.lit(total)).cast("long").alias("_place")).distinct()
+    return picks.join(placed, "_place").drop("_place")
 
 
 def tukey(r: Column, c: float) -> Column:

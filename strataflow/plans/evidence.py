@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from strataflow.functions import columns as C
 from strataflow.operators import lookup as L
 from strataflow.operators import ranking as K
 from strataflow.operators import sequence as S
@@ -35,11 +36,17 @@ def interactions(spark, sf_dir):
     return q.groupBy("a", "b").agg(F.count(F.lit(1)).alias("n"), R(F.avg("rmse"), 4).alias("rmse"))
 
 
-@query("a24_bootstrap")
+@query(
+    "a24_bootstrap",
+    f"""WITH {PREDICTIONS}, {BAD}, u AS (SELECT draw, rmse, {C.hash_unit_sql('well', 'draw')} AS u FROM g, (SELECT unnest(range(100)) AS draw)),
+k AS (SELECT draw, rmse, CASE WHEN u < 0.3679 THEN 0 WHEN u < 0.7358 THEN 1 WHEN u < 0.9197 THEN 2 WHEN u < 0.9810 THEN 3 ELSE 4 END AS k FROM u),
+d AS (SELECT draw, sum(k * rmse) / sum(k) AS mean FROM k GROUP BY draw)
+SELECT round(avg(mean), 4) AS mean, round(quantile_cont(mean, 0.05), 4) AS low, round(quantile_cont(mean, 0.95), 4) AS high FROM d""",
+)
 def bootstrap(spark, sf_dir):
     """Spread of the mean error over resampled wells; each draw's counts come from a hash, one for each well and draw."""
     g = by_well(spark, sf_dir).withColumn("draw", F.explode(F.sequence(F.lit(0), F.lit(99))))
-    u = (F.pmod(F.xxhash64("well", "draw"), F.lit(1 << 30)) + 0.5) / float(1 << 30)
+    u = C.hash_unit("well", "draw")
     times = F.when(u < 0.3679, 0).when(u < 0.7358, 1).when(u < 0.9197, 2).when(u < 0.9810, 3).otherwise(4)
     d = g.withColumn("k", times).groupBy("draw").agg((F.sum(F.col("k") * F.col("rmse")) / F.sum("k")).alias("mean"))
     return d.agg(R(F.avg("mean"), 4).alias("mean"), R(F.percentile("mean", F.lit(0.05)), 4).alias("low"), R(F.percentile("mean", F.lit(0.95)), 4).alias("high"))

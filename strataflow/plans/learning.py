@@ -7,7 +7,7 @@ import random
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
-
+from strataflow.functions import columns as C
 from strataflow.operators import crossfit as X
 from strataflow.operators import sequence as S
 from strataflow.operators.order import running
@@ -299,7 +299,14 @@ def g1(spark, sf_dir):
     return shifted.where("kept").drop("kept")
 
 
-@query("g5_donor_audit")
+@query(
+    "g5_donor_audit",
+    f"""WITH {WELLS}, a AS (SELECT well_id, avg(x) AS x, avg(y) AS y FROM h GROUP BY well_id),
+n AS (SELECT a.well_id, b.well_id AS other, sqrt((a.x-b.x)*(a.x-b.x)+(a.y-b.y)*(a.y-b.y)) AS d FROM a, a b WHERE a.well_id <> b.well_id),
+r AS (SELECT *, row_number() OVER (PARTITION BY well_id ORDER BY round(d, 9), other) AS rank FROM n),
+p AS (SELECT well_id, arg_min(other, {C.hash_unit_sql('well_id', 'other')}) AS donor FROM r WHERE rank <= 5 GROUP BY well_id)
+SELECT donor, count(*) AS given FROM p GROUP BY donor""",
+)
 def g5(spark, sf_dir):
     """For each well a donor among its nearest wells, drawn by a hash, and how often each well gives."""
     from strataflow.operators import spatial as P
@@ -307,14 +314,18 @@ def g5(spark, sf_dir):
     c = P.centroids(wells(spark, sf_dir))
     q = c.select(F.col("well_id").alias("query_id"), F.col("well_id").alias("w"), "x", "y")
     near = P.knn_join(q, c.select(F.col("well_id").alias("point_id"), F.lit(0.0).alias("value"), "x", "y", F.col("well_id").alias("o")), 5, exclude=("w", "o"))
-    pick = near.groupBy("query_id").agg(F.min_by("point_id", F.xxhash64("query_id", "point_id")).alias("donor"))
+    pick = near.groupBy("query_id").agg(F.min_by("point_id", C.hash_unit("query_id", "point_id")).alias("donor"))
     return pick.groupBy("donor").agg(F.count(F.lit(1)).alias("given"))
 
 
-@query("g6_pseudo_split")
+@query(
+    "g6_pseudo_split",
+    f"""WITH {WELLS}, g AS (SELECT well_id, count(tvt_input) AS known FROM h GROUP BY well_id)
+SELECT well_id, CAST(greatest(10, floor(known * (0.4 + 0.5 * {C.hash_unit_sql('well_id', "'split'")}))) AS BIGINT) AS split FROM g""",
+)
 def g6(spark, sf_dir):
     g = wells(spark, sf_dir).groupBy("well_id").agg(F.count("tvt_input").alias("known"))
-    u = F.pmod(F.xxhash64("well_id", F.lit("split")), F.lit(1000)) / 1000.0
+    u = C.hash_unit("well_id", F.lit("split"))
     return g.select("well_id", F.greatest(F.lit(10), F.floor(F.col("known") * (0.4 + 0.5 * u))).cast("long").alias("split"))
 
 

@@ -24,13 +24,14 @@ COLS = ("row_idx", "md", "x", "y", "z", "gr", "tvt_input")
 
 @dataclass
 class Well:
-    """One well as arrays; missing values are NaN. ``h`` is where the hidden rows begin."""
+    """One well as arrays; missing values are NaN. ``h`` is where the hidden rows begin, ``extra`` what else its row holds."""
 
     well_id: int
     rows: dict[str, np.ndarray]
     curve_t: np.ndarray
     curve_g: np.ndarray
     seed: int = 0
+    extra: dict | None = None
 
     def __post_init__(self):
         known = np.isfinite(self.rows["tvt_input"])
@@ -86,10 +87,10 @@ def pack(wells: DataFrame, curves: DataFrame, value: float = 1.0) -> DataFrame:
     rows = rows.select("well_id", "curve_id", *[F.transform(F.col(f"r.{c}"), lambda v: v.cast("double")).alias(c) for c in COLS])
     pts = curves.groupBy("curve_id").agg(F.sort_array(F.collect_list(F.struct("tvt", (F.col("gr") / value).alias("gr")))).alias("c"))
     out = rows.join(pts.select("curve_id", F.col("c.tvt").alias("curve_t"), F.col("c.gr").alias("curve_g")), "curve_id")
-    return _spread(out, "well_id")
+    return spread(out, "well_id")
 
 
-def _spread(packed: DataFrame, *keys: str) -> DataFrame:
+def spread(packed: DataFrame, *keys: str) -> DataFrame:
     """Packed wells over a stated number of tasks: they are few bytes and much work, so they must not be merged by size."""
     spark = packed.sparkSession
     tasks = max(int(spark.conf.get("spark.sql.shuffle.partitions")), 4 * spark.sparkContext.defaultParallelism)
@@ -98,7 +99,7 @@ def _spread(packed: DataFrame, *keys: str) -> DataFrame:
 
 def fan(packed: DataFrame, seeds: int) -> DataFrame:
     """A row for each well and seed (or block of seeds), spread over tasks."""
-    return _spread(packed.withColumn("seed", F.explode(F.sequence(F.lit(0), F.lit(seeds - 1)))), "well_id", "seed")
+    return spread(packed.withColumn("seed", F.explode(F.sequence(F.lit(0), F.lit(seeds - 1)))), "well_id", "seed")
 
 
 def per_well(packed: DataFrame, kernel: Callable[[Well], dict | None], schema: str) -> DataFrame:
@@ -108,7 +109,7 @@ def per_well(packed: DataFrame, kernel: Callable[[Well], dict | None], schema: s
         for f in frames:
             for r in f.to_dict("records"):
                 rows = {c: np.asarray(r[c], float) for c in COLS}
-                w = Well(r["well_id"], rows, np.asarray(r["curve_t"], float), np.asarray(r["curve_g"], float), int(r.get("seed", 0)))
+                w = Well(r["well_id"], rows, np.asarray(r["curve_t"], float), np.asarray(r["curve_g"], float), int(r.get("seed", 0)), r)
                 made = kernel(w)
                 if made is not None:
                     yield pd.DataFrame({"well_id": w.well_id, **made})

@@ -119,6 +119,38 @@ def cramer3() -> list[Column]:
     return out
 
 
+def local_gradient(queries: DataFrame, support: DataFrame, points: DataFrame, k: int = 112, eps: float = 1e-6, tukey: float = 3.0) -> DataFrame:
+    """(well_id, row_idx, gx, gy, n_near): the gradient of a surface by the k nearest steps of a query's support wells.
+
+    ``queries`` (well_id, row_idx, x, y), ``support`` (well_id, other), ``points`` (well_id, row_idx, x, y, dx, dy, ds). Steps
+    weigh by inverse squared distance; a second fit weighs them by Tukey's biweight of the first one's residuals too.
+    Null where the steps have one direction only. Work is that of a query and its support wells' points.
+    """
+    p = points.select(F.col("well_id").alias("other"), F.col("row_idx").alias("_row"), F.col("x").alias("_px"), F.col("y").alias("_py"), "dx", "dy", "ds")
+    near = queries.join(support.select("well_id", "other"), "well_id").join(p, "other")
+    near = near.withColumn("dist", F.sqrt((F.col("x") - F.col("_px")) * (F.col("x") - F.col("_px")) + (F.col("y") - F.col("_py")) * (F.col("y") - F.col("_py"))))
+    order = W.partitionBy("well_id", "row_idx").orderBy(F.round("dist", 9), "other", "_row")
+    near = near.withColumn("_rank", F.row_number().over(order)).where(F.col("_rank") <= k)
+    near = near.withColumn("w", 1.0 / (F.greatest("dist", F.lit(eps)) * F.greatest("dist", F.lit(eps))))
+    own = W.partitionBy("well_id", "row_idx")
+    weighed = lambda w, e: F.sum(w * e).over(own)
+
+    def solve(w: Column) -> tuple[Column, Column]:
+        dx, dy, ds = F.col("dx"), F.col("dy"), F.col("ds")
+        xx, xy, yy, xs, ys = (weighed(w, e) for e in (dx * dx, dx * dy, dy * dy, dx * ds, dy * ds))
+        det = xx * yy - xy * xy
+        good = det > 1e-6 * xx * yy
+        return F.when(good, (xs * yy - ys * xy) / det), F.when(good, (ys * xx - xs * xy) / det)
+
+    first = dict(zip(("_gx", "_gy"), solve(F.col("w")), strict=True))
+    near = near.withColumns(first)
+    u = (F.col("ds") - F.col("_gx") * F.col("dx") - F.col("_gy") * F.col("dy")) / tukey
+    near = near.withColumn("w2", F.when(F.abs(u) < 1.0, F.col("w") * (1.0 - u * u) * (1.0 - u * u)).otherwise(0.0))
+    second = dict(zip(("_hx", "_hy"), solve(F.col("w2")), strict=True))
+    near = near.withColumns(second).where(F.col("_rank") == 1).select("well_id", "row_idx", *first, *second)
+    return near.select("well_id", "row_idx", F.coalesce("_hx", "_gx").alias("gx"), F.coalesce("_hy", "_gy").alias("gy"))
+
+
 def rotate(df: DataFrame, degrees: float, ratio: float) -> DataFrame:
     """ax, ay: coordinates turned by an angle, the second axis stretched by ``ratio``."""
     a = math.radians(degrees)

@@ -4,11 +4,13 @@ from __future__ import annotations
 
 import numpy as np
 from pyspark.sql import functions as F
+from pyspark.sql import Window as W
 
 from strataflow.kernels import filters as K
 from strataflow.kernels import matching as M
 from strataflow.kernels import series as S
 from strataflow.operators import decode as D
+from strataflow.operators import spatial as P
 from strataflow.plans.proxies import WELLS, curves, wells
 from strataflow.plans.registry import query
 
@@ -95,8 +97,6 @@ def seeded(spark, sf_dir, seeds=48, block=8):
         return {"seed": np.repeat(w.seed * block + np.arange(block), n), "row_idx": np.tile(at, block), "value": path.ravel(), "evidence": np.repeat(evidence, n)}
 
     t = D.per_well(D.fan(packed(spark, sf_dir), seeds // block), kernel, "well_id long, seed int, row_idx long, value double, evidence double")
-    from pyspark.sql import Window as W
-
     w = W.partitionBy("well_id", "row_idx")
     t = t.withColumn("_e", F.exp((F.col("evidence") - F.max("evidence").over(w)) / 5.0))
     return t.withColumn("weight", F.col("_e") / F.sum("_e").over(w))
@@ -110,8 +110,6 @@ def q3(spark, sf_dir):
 
 @query("q5_scaled_ensembles")
 def q5(spark, sf_dir):
-    from pyspark.sql import Window as W
-
     t = seeded(spark, sf_dir)
     w = W.partitionBy("well_id", "row_idx", "scale")
     s = t.withColumn("scale", F.explode(F.array(F.lit(1.0), F.lit(5.0), F.lit(20.0))))
@@ -135,6 +133,45 @@ def q7(spark, sf_dir):
     return t.select("well_id", "row_idx", R(F.col("level")).alias("level"), "offset", R(F.col("mixed")).alias("mixed"))
 
 
+#: Spans of the hidden rows, offsets around each rate, largest rate.
+SPANS = ((0.0, 1.0), (0.0, 0.25), (0.0, 0.5), (0.25, 0.75), (0.5, 1.0), (0.75, 1.0))
+RATE_OFFSETS, RATE_CLIP = (-0.02, 0.0, 0.02), 0.2
+
+
+def surface_rates(spark, sf_dir):
+    """(well_id, rates): slopes along the well of the surface that planes through other wells' points give, by span of its hidden rows."""
+    h = wells(spark, sf_dir)
+    hidden = h.where("tvt_input is null").select("well_id", F.struct("well_id", "row_idx").alias("query_id"), "row_idx", "md", "n", "x", "y")
+    cloud = h.select("well_id", F.struct("well_id", "row_idx").alias("point_id"), "x", "y", (F.col("tvt") + F.col("z")).alias("value"))
+    sx, sy, extent = P.axis_scales(cloud)
+    near = P.knn_join(hidden.select("query_id", "well_id", "x", "y"), cloud, 10, exclude=("well_id", "well_id"), sx=sx, sy=sy, extent=extent)
+    s = P.local_plane(near, hidden.select("query_id", "x", "y"), weighted=False).select("query_id", "plane")
+    rows = hidden.join(s, "query_id").where("plane is not null")
+    place = (F.col("row_idx") - F.min("row_idx").over(W.partitionBy("well_id"))) / F.count(F.lit(1)).over(W.partitionBy("well_id"))
+    rows = rows.withColumn("place", place)
+    slopes = [F.regr_slope(F.when(F.col("place").between(a, b), F.col("plane")), F.when(F.col("place").between(a, b), F.col("md"))) for a, b in SPANS]
+    return rows.groupBy("well_id").agg(F.array_compact(F.array(*slopes)).alias("rates"))
+
+
+@query("x7b_surface_rate_bank")
+def x7b(spark, sf_dir):
+    """A filter for each rate of the well's own end and of the surface, and offsets; paths weighted by evidence, and the best one."""
+
+    def kernel(w):
+        if not w.usable:
+            return None
+        bank = [w.rate, *list(w.extra["rates"] if w.extra["rates"] is not None else [])[:4]]
+        bank = np.unique(np.round(np.clip([r + o for r in bank for o in RATE_OFFSETS], -RATE_CLIP, RATE_CLIP), 6))
+        tried = [D.filtered(w, particles=400, pull=float(r)) for r in bank]
+        weight = K.evidence_weights(np.array([e for _, e in tried]))
+        paths = np.array([p for p, _ in tried])
+        return {"row_idx": w.hidden("row_idx").astype(np.int64), "level": weight @ paths, "best": paths[int(weight.argmax())], "rates": len(bank)}
+
+    wide = packed(spark, sf_dir).join(surface_rates(spark, sf_dir), "well_id", "left")
+    t = D.per_well(D.spread(wide, "well_id"), kernel, "well_id long, row_idx long, level double, best double, rates int")
+    return t.select("well_id", "row_idx", R(F.col("level")).alias("level"), R(F.col("best")).alias("best"), "rates")
+
+
 @query("q8_heat_map")
 def q8(spark, sf_dir):
     t = D.per_well(packed(spark, sf_dir), D.heat_map, "well_id long, bin long, level double, prob double")

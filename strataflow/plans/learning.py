@@ -141,6 +141,37 @@ def j7(spark, sf_dir):
     return P.inverse_distance(near, power=2.0, offset=0.0, floor=1e-6).select(F.col("query_id").alias("well_id"), R(F.col("idw"), 4).alias("prior"))
 
 
+@query("j7_local_gradient", f"""WITH {WELLS}, a AS (SELECT well_id, avg(x) AS x, avg(y) AS y FROM h GROUP BY well_id),
+n AS (SELECT a.well_id, b.well_id AS other, sqrt((a.x-b.x)*(a.x-b.x)+(a.y-b.y)*(a.y-b.y)) AS d FROM a, a b WHERE a.well_id <> b.well_id),
+s AS (SELECT well_id, other FROM (SELECT *, row_number() OVER (PARTITION BY well_id ORDER BY round(d, 9), other) AS r FROM n) WHERE r <= 12),
+t AS (SELECT well_id, row_idx, x, y, x - lag(x) OVER o AS dx, y - lag(y) OVER o AS dy, tvt + z - lag(tvt + z) OVER o AS ds FROM h WINDOW o AS (PARTITION BY well_id ORDER BY row_idx)),
+m AS (SELECT q.well_id, q.row_idx, s.other, t.row_idx AS prow, t.dx, t.dy, t.ds, sqrt((q.x - t.x) * (q.x - t.x) + (q.y - t.y) * (q.y - t.y)) AS dist
+      FROM h q JOIN s USING (well_id) JOIN t ON t.well_id = s.other AND t.ds IS NOT NULL WHERE q.tvt_input IS NULL),
+k AS (SELECT *, 1 / (greatest(dist, 1e-6) * greatest(dist, 1e-6)) AS w FROM (SELECT *, row_number() OVER (PARTITION BY well_id, row_idx ORDER BY round(dist, 9), other, prow) AS r FROM m) WHERE r <= 112),
+f AS (SELECT well_id, row_idx, sum(w*dx*dx) AS xx, sum(w*dx*dy) AS xy, sum(w*dy*dy) AS yy, sum(w*dx*ds) AS xs, sum(w*dy*ds) AS ys FROM k GROUP BY ALL),
+g AS (SELECT well_id, row_idx, CASE WHEN xx*yy - xy*xy > 1e-6*xx*yy THEN (xs*yy - ys*xy) / (xx*yy - xy*xy) END AS gx,
+      CASE WHEN xx*yy - xy*xy > 1e-6*xx*yy THEN (ys*xx - xs*xy) / (xx*yy - xy*xy) END AS gy FROM f),
+u AS (SELECT k.*, g.gx, g.gy, (ds - gx*dx - gy*dy) / 3.0 AS u FROM k JOIN g USING (well_id, row_idx)),
+v AS (SELECT *, CASE WHEN abs(u) < 1 THEN w * (1 - u*u) * (1 - u*u) ELSE 0 END AS w2 FROM u),
+v2 AS (SELECT well_id, row_idx, any_value(gx) AS gx, any_value(gy) AS gy, sum(w2*dx*dx) AS xx, sum(w2*dx*dy) AS xy, sum(w2*dy*dy) AS yy, sum(w2*dx*ds) AS xs, sum(w2*dy*ds) AS ys FROM v GROUP BY ALL)
+SELECT well_id, row_idx, round(CASE WHEN xx*yy - xy*xy > 1e-6*xx*yy THEN (xs*yy - ys*xy) / (xx*yy - xy*xy) ELSE gx END, 6) + 0.0 AS gx,
+ round(CASE WHEN xx*yy - xy*xy > 1e-6*xx*yy THEN (ys*xx - xs*xy) / (xx*yy - xy*xy) ELSE gy END, 6) + 0.0 AS gy FROM v2""")
+def j7_gradient(spark, sf_dir):
+    """The second level of the spatial prior: of the 12 nearest wells, the 112 nearest steps at every hidden row."""
+    from strataflow.operators import spatial as P
+
+    h = wells(spark, sf_dir)
+    c = h.groupBy("well_id").agg(F.avg("x").alias("x"), F.avg("y").alias("y"))
+    q = c.select(F.col("well_id").alias("query_id"), F.col("well_id").alias("w"), "x", "y")
+    near = P.knn_join(q, c.select(F.col("well_id").alias("point_id"), F.lit(0.0).alias("value"), "x", "y", F.col("well_id").alias("o")), 12, exclude=("w", "o"))
+    o = W.partitionBy("well_id").orderBy("row_idx")
+    s = F.col("tvt") + F.col("z")
+    step = lambda v: v - F.lag(v).over(o)
+    t = h.select("well_id", "row_idx", "x", "y", step(F.col("x")).alias("dx"), step(F.col("y")).alias("dy"), step(s).alias("ds")).where("ds is not null")
+    g = P.local_gradient(h.where("tvt_input is null").select("well_id", "row_idx", "x", "y"), near.select(F.col("query_id").alias("well_id"), F.col("point_id").alias("other")), t)
+    return g.select("well_id", "row_idx", (R(F.col("gx")) + 0.0).alias("gx"), (R(F.col("gy")) + 0.0).alias("gy"))
+
+
 @query("c2_rate_candidates", f"""WITH {WELLS}, t AS (SELECT *, row_number() OVER (PARTITION BY well_id ORDER BY row_idx DESC) AS back FROM h WHERE tvt_input IS NOT NULL),
 w AS (SELECT t.*, win FROM t, (SELECT unnest([16, 32, 64]) AS win) WHERE back <= win), s AS (SELECT well_id, win, regr_slope(tvt_input + z, md) AS s FROM w GROUP BY ALL)
 SELECT well_id, win AS "window", o AS "offset", round(s + o, 7) + 0.0 AS rate FROM s, (SELECT unnest([-0.012, -0.006, 0, 0.006, 0.012]::DOUBLE[]) AS o)""")

@@ -13,7 +13,8 @@ neighbours of the best unexpanded ones are scored together.
 
 Defined cases: vectors that are null, empty, zero or hold null or non-finite components are neither queries nor
 candidates; so are rows without id; vectors of another length are no candidates; ties go to the smaller id;
-rows that repeat the query's id are its own; an empty table gives no rows; other columns are ignored.
+rows that repeat the query's id are its own; of several vectors of one id the best counts; scores are exact in the
+input's precision, graphs are in single precision; an empty table gives no rows; other columns are ignored.
 """
 
 from __future__ import annotations
@@ -34,7 +35,7 @@ QUERY_STEP = 20
 #: Shards at least, and rows that a shard holds at most on average; queries of a block.
 MIN_SHARDS = 8
 SHARD_ROWS = 50_000
-BLOCK_QUERIES = 4096
+BLOCK_QUERIES = 65_536
 #: Links of a node above layer 0 (twice as many there), beam widths, nodes expanded at once, nodes inserted at once.
 LINKS = 16
 BUILD_BEAM = 64
@@ -197,11 +198,11 @@ def _build(table: pa.Table) -> pa.Table:
     """The index row of one shard."""
     ids = table.column("vec_id").to_numpy()
     dim = table.column("dim")[0].as_py()
-    x = table.column("embedding").combine_chunks().flatten().to_numpy().astype(np.float32).reshape(len(ids), dim)
+    x = table.column("embedding").combine_chunks().flatten().to_numpy().astype(np.float64).reshape(len(ids), dim)
     order = np.argsort(ids, kind="stable")
     ids, x = ids[order], x[order]
     # equal vectors: one node, with the smallest ids that a query can need
-    key = np.ascontiguousarray(x + 0.0).view(f"V{4 * dim}").ravel()
+    key = np.ascontiguousarray(x + 0.0).view(f"V{8 * dim}").ravel()
     _, node, count = np.unique(key, return_inverse=True, return_counts=True)
     by_node = np.argsort(node, kind="stable")
     start = np.concatenate([[0], np.cumsum(count)])
@@ -222,21 +223,22 @@ def _build(table: pa.Table) -> pa.Table:
     row = [
         pa.array([dim], pa.int32()),
         pa.array([table.column("shard")[0].as_py()], pa.int64()),
-        *[pa.array([v.tobytes()], pa.binary()) for v in (ids[shuffle].astype("<i8"), np.concatenate([[0], np.cumsum(sizes)]).astype("<i8"), nodes[by_level].astype("<f4"), np.array([len(a) for a in graph.layers], "<i8"), np.concatenate([a.ravel() for a in graph.layers]).astype("<i4"))],
+        *[pa.array([v.tobytes()], pa.binary()) for v in (ids[shuffle].astype("<i8"), np.concatenate([[0], np.cumsum(sizes)]).astype("<i8"), nodes[by_level].astype("<f8"), np.array([len(a) for a in graph.layers], "<i8"), np.concatenate([a.ravel() for a in graph.layers]).astype("<i4"))],
     ]
     return pa.table(row, names=["dim", "shard", "ids", "first", "vectors", "sizes", "links"])
 
 
 def level_norms(x: np.ndarray) -> np.ndarray:
-    """Vectors with one more component that gives all of them the norm of the longest."""
+    """Vectors, scaled together into the range of single precision, with one more component that gives all the norm of the longest."""
+    x = x / max(float(np.abs(x).max(initial=0.0)), 1e-300)
     square = (x.astype(np.float64) ** 2).sum(axis=1)
     rest = np.sqrt(np.maximum(square.max(initial=0.0) - square, 0.0))
-    return np.concatenate([x, rest[:, None].astype(np.float32)], axis=1)
+    return np.concatenate([x, rest[:, None]], axis=1).astype(np.float32)
 
 
 def load(row: dict) -> tuple[Graph, np.ndarray, np.ndarray, np.ndarray]:
     """Graph, original vectors, ids, and where each node's ids begin."""
-    x = np.frombuffer(row["vectors"], "<f4").reshape(-1, row["dim"])
+    x = np.frombuffer(row["vectors"], "<f8").reshape(-1, row["dim"])
     flat, layers, at = np.frombuffer(row["links"], "<i4").astype(np.int64), [], 0
     for level, size in enumerate(np.frombuffer(row["sizes"], "<i8").tolist()):
         width = LINKS if level else 2 * LINKS
@@ -247,7 +249,8 @@ def load(row: dict) -> tuple[Graph, np.ndarray, np.ndarray, np.ndarray]:
 
 def match(graph: Graph, x: np.ndarray, ids: np.ndarray, first: np.ndarray, query_ids: np.ndarray, q: np.ndarray, k: int = K, width: int = BEAM):
     """Up to k (query, id, score) of one shard for each query."""
-    padded = np.concatenate([q.astype(np.float32), np.zeros((len(q), 1), np.float32)], axis=1)
+    small = q / np.maximum(np.abs(q).max(axis=1, keepdims=True), 1e-300)
+    padded = np.concatenate([small, np.zeros((len(q), 1))], axis=1).astype(np.float32)
     found, _ = graph.search(padded, min(width, max(EXPAND, len(x))))
     rows, cols = np.nonzero(found >= 0)
     node = found[rows, cols]
@@ -276,7 +279,7 @@ def _search(index: pa.Table, queries: pa.Table) -> pa.Table:
         row = index.to_pylist()[0]
         graph, x, ids, first = load(row)
         qid = queries.column("query_id").to_numpy()
-        q = queries.column("embedding").combine_chunks().flatten().to_numpy().astype(np.float32).reshape(len(qid), row["dim"])
+        q = queries.column("embedding").combine_chunks().flatten().to_numpy().astype(np.float64).reshape(len(qid), row["dim"])
         size = max(16, min(BATCH, (1 << 26) // max(len(x), 1)))
         for a in range(0, len(qid), size):
             for col, part in zip(out, match(graph, x, ids, first, qid[a : a + size], q[a : a + size]), strict=True):
@@ -292,7 +295,7 @@ def valid(vectors: DataFrame) -> DataFrame:
     bad = F.exists(x, lambda v: v.isNull() | F.isnan(v) | (F.abs(v) == float("inf")))
     some = F.exists(x, lambda v: v != 0)
     rows = vectors.where(F.col("vec_id").isNotNull() & x.isNotNull() & ~bad & some)
-    return rows.select(F.col("vec_id").cast("long").alias("vec_id"), x.cast("array<float>").alias("embedding"), F.size(x).alias("dim")).distinct()
+    return rows.select(F.col("vec_id").cast("long").alias("vec_id"), x.cast("array<double>").alias("embedding"), F.size(x).alias("dim")).distinct()
 
 
 def nearest(vectors: DataFrame, k: int = K, step: int = QUERY_STEP) -> DataFrame:

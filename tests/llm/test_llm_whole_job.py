@@ -42,3 +42,16 @@ def test_repeated_document_does_not_overshoot_the_mix(spark):
     got = mixing.copies(docs, plan).where("source = 'a'")
     words, target = got.agg(F.sum(F.col("copies") * F.col("size")), F.max("target")).first()
     assert words == 98 and abs(target - 100) < 1
+
+
+def test_doubles_keep_their_precision_and_range(spark):
+    x = np.random.default_rng(6).normal(size=(120, 6)) * 1e60
+    x[3] = x[4] * (1 + 1e-12)
+    d = spark.createDataFrame([(i, [float(v) for v in row]) for i, row in enumerate(x)], "vec_id long, embedding array<double>")
+    got = neighbours.nearest(d).collect()
+    s = x @ x.T
+    for q in range(0, 120, 20):
+        best = sorted((-s[q, v], v) for v in range(120) if v != q)[:20]
+        mine = sorted((r["rank"], r.vec_id, r.score) for r in got if r.query_id == q)
+        assert [v for _, v, _ in mine] == [v for _, v in best]
+        assert np.allclose([m[2] for m in mine], [-b for b, _ in best], rtol=1e-12)

@@ -9,8 +9,9 @@ large as the two conversations.
 
 Defined cases: rows without conversation or turn number are dropped; null roles and texts are empty; of rows that
 repeat a turn the least (role, text) counts; a conversation without counterpart is completed against
-nothing; equal conversations give a prompt and two empty completions; an empty table gives no rows; other
-columns are ignored.
+nothing; equal conversations give a prompt and two empty completions; turns after the last assistant turn are left
+out by ``against_next``; very long texts are rendered whole, within the memory of one pair's row; an empty table
+gives no rows; other columns are ignored.
 """
 
 from __future__ import annotations

@@ -43,6 +43,8 @@ BATCH = 256
 RATE = 0.5
 DECAY = 1e-6
 LEXICON_COUNT, LEXICON_SHARE = 5, 0.95
+#: Share of its words that a document's language must hold for ``passing``; at 0 only documents without a language go.
+MIN_SCORE = 0.0
 _LETTER = re.compile(r"[^\W\d_]")
 
 
@@ -357,11 +359,11 @@ def identify(docs: DataFrame) -> DataFrame:
     return out.select("doc_id", held_out(F.col("doc_id")).alias("held_out"), "lang_pred", F.col("lang_score").alias("score"))
 
 
-def passing(docs: DataFrame) -> DataFrame:
+def passing(docs: DataFrame, least: float = MIN_SCORE) -> DataFrame:
     """The documents that have a language, with the columns of the input; all of them if there is none to learn from."""
     cols = docs.columns
     model = train(docs)
     if model is None:
         return docs
     out = apply(docs.select(F.struct(*[F.col(f"`{c}`") for c in cols]).alias("row"), "text"), model)
-    return out.where(F.col("lang_pred") != UNKNOWN).select("row.*")
+    return out.where((F.col("lang_pred") != UNKNOWN) & (F.col("lang_score") >= least)).select("row.*")

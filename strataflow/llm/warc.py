@@ -11,7 +11,9 @@ files count once the job's manifest names them, so that retried and lost tasks l
 reader would see. Paths are opened through Arrow's file systems, whose store all executors must share.
 
 Defined cases: null payloads are empty; null headers are left out and read as null; an empty table makes an
-archive without records; a truncated last record ends its file with an error; unknown headers are ignored.
+archive without records; a truncated last record ends its file with an error; unknown headers are ignored. Rows that
+repeat a page's id and payload are records of their own, all responses where that page is the largest of its copies;
+a payload is one Python object, of at most 4 GB with its headers; other columns of the pages are not archived.
 """
 
 from __future__ import annotations

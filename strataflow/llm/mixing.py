@@ -175,6 +175,8 @@ def fit(docs: DataFrame, weights: tuple[int, ...] = WEIGHTS, cap: int = CAP) ->
         rounds = this if rounds is None else rounds.unionByName(this)
         state = done.where(F.col("to_place").isNotNull() & (F.col("then") > NEAR * F.col("goal")))
         state = state.select("source", F.col("then").alias("left"), "goal", *[F.col(f"to_{x}").alias(f"from_{x}") for x in _PLACE])
+        if state.isEmpty():
+            break
     rounds = scratch.write(rounds.groupBy("source").agg(F.collect_list("round").alias("rounds")), "mix-rounds")
     miss = F.array_min(F.transform("rounds", lambda r: r["then"]))
     after = _join(units, rounds.withColumn("miss", miss)).where((F.col("words") < 2 * F.col("miss")) & ~_fits())

@@ -41,11 +41,12 @@ MIN_WORDS = 50
 #: Bits that hold a window's place beside its hash; texts of more words are sorted by whole hashes.
 PLACE_BITS = 20
 #: Parameters of the estimate: share of the nearest, C-steps at most after the starts' two, change of the logarithm of
-#: the determinant that ends them, documents that the coarser estimate weighs as much as.
+#: the determinant that ends them, how many are made between looking, documents that the coarser estimate weighs as much as.
 KEEP = 0.75
 START_STEPS = 2
 C_STEPS = 12
-SETTLED = 1e-3
+SETTLED = 1e-2
+LOOK = 3
 SHRINK = 30
 #: Quantiles of the chi-squared distribution with 5 degrees of freedom, at 0.5 and 0.999.
 CHI2_MEDIAN = 4.351460191
@@ -243,6 +244,9 @@ def fit(features: DataFrame) -> DataFrame:
     model = scratch.write(best.select(*KEYS, "best.*"), "mcd-best")
     for step in range(C_STEPS):
         after = _c_step(rows, model, f"mcd-{step}")
+        if step % LOOK < LOOK - 1:
+            model = after
+            continue
         moved = _attach(after.select(*KEYS, "logdet"), model.select(*KEYS, F.col("logdet").alias("was")))
         moved = moved.agg(F.max(F.abs(F.col("logdet") - F.col("was")))).first()[0]
         model = after

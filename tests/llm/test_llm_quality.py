@@ -57,11 +57,11 @@ def _models(groups: dict, steps: int | None = None):
     """The estimates of all groups, in as many C-steps as the one that settles last."""
     state = {g: _estimate(x) for g, x in groups.items()}
     now = {g: s[0] for g, s in state.items()}
-    for _ in range(quality.C_STEPS):
+    for k in range(quality.C_STEPS):
         after = {g: state[g][1](*now[g]) for g in now}
         moved = max(abs(np.linalg.slogdet(after[g][1])[1] - np.linalg.slogdet(now[g][1])[1]) for g in now)
         now = after
-        if moved < quality.SETTLED:
+        if k % quality.LOOK == quality.LOOK - 1 and moved < quality.SETTLED:
             break
     out = {}
     for g, (m, c) in now.items():

@@ -78,7 +78,7 @@ def w24(spark, sf_dir):
 @query("c7_unique_candidates", "SELECT min(p_partkey) AS cand, p_brand, p_size FROM part GROUP BY p_brand, p_size")
 def c7(spark, sf_dir):
     p = table(spark, sf_dir, "part").withColumn("digest", F.md5(F.concat_ws("|", "p_brand", F.col("p_size").cast("string")).cast("binary")))
-    return p.groupBy("digest").agg(F.min("p_partkey").alias("cand"), F.first("p_brand").alias("p_brand"), F.first("p_size").alias("p_size")).drop("digest")
+    return p.groupBy("digest").agg(F.min("p_partkey").alias("cand"), F.min_by("p_brand", "p_partkey").alias("p_brand"), F.min_by("p_size", "p_partkey").alias("p_size")).drop("digest")
 
 
 @query("c8_diverse_keep", f"""WITH {SCORED}, r AS (SELECT *, row_number() OVER (PARTITION BY grp ORDER BY score DESC, cand) AS a, row_number() OVER (PARTITION BY grp, family ORDER BY score DESC, cand) AS f,

@@ -134,7 +134,7 @@ def _follow(units: DataFrame, state: DataFrame, name: str) -> DataFrame:
     edge = None
     for k in ("s1", "s2"):
         part = live if edge is None else _join(live.drop("left"), edge, ("source", *keys))
-        sums = part.groupBy("source", "left", *keys, k).agg(F.sum("words").alias("words"), *([F.first("spent").alias("spent")] if keys else []))
+        sums = part.groupBy("source", "left", *keys, k).agg(F.sum("words").alias("words"), *([F.max("spent").alias("spent")] if keys else []))
         run = (F.col("spent") if keys else F.lit(0)) + F.sum("words").over(W.partitionBy("source").orderBy(k))
         sums = sums.withColumn("upto", run)
         if not keys:

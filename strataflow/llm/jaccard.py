@@ -287,10 +287,10 @@ def _candidates(allowed: np.ndarray, n: np.ndarray, raw: list[bytes]) -> np.ndar
     return pairs
 
 
-def _links(pairs: np.ndarray, n: np.ndarray, tokens: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
+def _links(pairs: np.ndarray, n: np.ndarray, tokens: list[np.ndarray], num: int = NUM, den: int = DEN) -> tuple[np.ndarray, np.ndarray]:
     """Those of the candidate pairs whose sets are similar enough."""
     both = _meets(np.repeat(np.arange(len(n)), [len(x) for x in tokens]), np.concatenate(tokens), len(n))
-    return np.nonzero(pairs & (DEN * both >= NUM * (n[:, None] + n[None, :] - both)))
+    return np.nonzero(pairs & (den * both >= num * (n[:, None] + n[None, :] - both)))
 
 
 def _merge(labels: list[int], links: tuple[np.ndarray, np.ndarray]) -> dict[int, int]:

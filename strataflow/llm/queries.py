@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 import corpus_pipeline
-from strataflow.llm import chat, extraction, jaccard, language, mixing, neighbours, packing, quality, toxicity, warc
+from strataflow.llm import chat, clustering, extraction, hyperminhash, jaccard, language, mixing, neighbours, packing, quality, toxicity, trie, warc
 from strataflow.tables import table
 
 
@@ -51,6 +51,18 @@ def op10_language_crf(spark: SparkSession, sf_dir: str) -> DataFrame:
     return language.identify(table(spark, sf_dir, "documents"))
 
 
+def op11_block_norm_clusters(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return clustering.cluster(table(spark, sf_dir, "embeddings"))
+
+
+def op12_hyperminhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return hyperminhash.near_duplicates(table(spark, sf_dir, "documents"))
+
+
+def op13_prefix_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return trie.prefixes(table(spark, sf_dir, "conversations"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op1_warc_archive": op1_warc_archive,
@@ -63,6 +75,9 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op8_robust_quality": op8_robust_quality,
         "op9_counterfactual_toxicity": op9_counterfactual_toxicity,
         "op10_language_crf": op10_language_crf,
+        "op11_block_norm_clusters": op11_block_norm_clusters,
+        "op12_hyperminhash": op12_hyperminhash,
+        "op13_prefix_trie": op13_prefix_trie,
         "pipeline": corpus_pipeline.run,
     }
 
@@ -73,4 +88,7 @@ def oracles() -> dict[str, str]:
         "op2_preference_chat": chat.ORACLE,
         "op4_source_mixing": mixing.ORACLE,
         "op5_ngram_jaccard": jaccard.ORACLE,
+        "op11_block_norm_clusters": clustering.ORACLE,
+        "op12_hyperminhash": hyperminhash.ORACLE,
+        "op13_prefix_trie": trie.ORACLE,
     }

@@ -13,8 +13,8 @@ pairs are counted on their whole sets, and these counts alone decide.
 
 Equal sets are one node, named by the least doc_id. Nodes that bands connect are a family. Families of up to
 ``BLOCK`` nodes are compared in one block (small ones share blocks); larger ones are dealt into blocks, and go on
-with one node for each component found until nothing joins. What is left are bands whose nodes are in different
-components: each is compared as a block of up to ``BUCKET`` nodes, a larger one as several blocks that meet. So
+with one node for each component found as long as that joins many. What is left are bands whose nodes are in different
+components: each is compared as a block of up to ``BLOCK`` nodes, a larger one as several blocks that meet. So
 registers travel once for each node and once more for each such band, whole sets only for nodes with a candidate.
 
 Defined cases: null, empty or blank texts have an empty set and link with nothing; rows with a null doc_id come back
@@ -37,7 +37,7 @@ from pyspark.sql import functions as F
 
 from strataflow.llm import hashing, scratch
 from strataflow.llm.components import components
-from strataflow.llm.jaccard import _links, _merge, _runs
+from strataflow.llm.jaccard import _planes, _runs, _unplaned
 
 #: Fixed by the task: words of a shingle; similarity of at least NUM / DEN.
 WORDS = 3
@@ -45,16 +45,18 @@ NUM, DEN = 85, 100
 #: Registers of a sketch (a power of two), mantissa bits of a register, registers of a band.
 REGISTERS, MANTISSA, ROWS = 256, 10, 5
 BANDS = REGISTERS // ROWS
+#: Bytes of a token of a whole set: two sets of 400 shingles differ in a comparison by a clash once in 2e9.
+WIDTH = 6
 #: Standard deviations below the limit at which an estimate rules a pair out.
 DEVIATIONS = 6.0
-#: Nodes of a block and of a band that is compared at once; rounds before bands of different components are compared.
-BLOCK, BUCKET = 512, 2048
-STEPS = 8
+#: Nodes of a block; nodes of the small families that share one. Rounds go on while they join a share of the components.
+BLOCK, SHARED = 4096, 512
+GOES_ON = 0.25
 _BITS = REGISTERS.bit_length() - 1
 
 _SKETCHES = pa.schema([("doc_id", pa.int64()), ("n_shingles", pa.int64()), ("key", pa.binary()), ("registers", pa.binary())])
 _INDEX = pa.schema([("band", pa.int64()), ("node", pa.int64())])
-_SETS = pa.schema([("node", pa.int64()), ("key", pa.binary()), ("tokens", pa.binary())])
+_GUESTS = pa.schema([("grp", pa.int64()), ("node", pa.int64()), ("key", pa.binary()), ("label", pa.int64()), ("n", pa.int64()), ("place", pa.int32()), ("mates", pa.binary()), ("tokens", pa.binary())])
 _LEFT = "grp long, node long, key binary, label long, n long, place int, mates binary"
 
 
@@ -160,13 +162,22 @@ def _index(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def _whole(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """(node, key, tokens) of whole texts."""
+    """Guests with the tokens of their whole texts; a row that repeats a document's text comes once from each task."""
+    seen: set[tuple[int, bytes, int]] = set()
     for batch in batches:
-        ids, texts = batch.column(0), batch.column(1)
+        texts = batch.column("text")
         for a, b in _runs(texts):
             sets = hashing.shingle_sets(texts[a:b].to_pylist(), WORDS)
-            cols = ids[a:b], [_key(s) for s in sets], [s.astype("<u8").tobytes() for s in sets]
-            yield pa.RecordBatch.from_arrays([pa.array(c, t.type) for c, t in zip(cols, _SETS, strict=True)], schema=_SETS)
+            keys, part = [_key(s) for s in sets], batch.slice(a, b - a)
+            on, named = [], list(zip(part.column("node").to_pylist(), keys, part.column("grp").to_pylist(), strict=True))
+            for i, key in enumerate(part.column("key").to_pylist()):
+                # a document's other texts have other keys
+                if key == keys[i] and named[i] not in seen:
+                    seen.add(named[i])
+                    on.append(i)
+            left = part.take(pa.array(on, pa.int64()))
+            tokens = pa.array([_planes(sets[i] >> np.uint64(64 - 8 * WIDTH), WIDTH) for i in on], pa.binary())
+            yield pa.RecordBatch.from_arrays([*(left.column(c) for c in _GUESTS.names[:-1]), tokens], schema=_GUESTS)
     hashing.release()
 
 
@@ -195,19 +206,49 @@ def _filter(table: pa.Table) -> pa.Table:
 
 def _verify(table: pa.Table) -> pa.Table:
     """(label, merged) for the components that links of one block join."""
-    place = table.column("place").to_numpy()
+    places = table.column("place").to_numpy()
+    once = np.unique(places, return_index=True)[1]
+    table, place = table.take(pa.array(once)), places[once]
     mates = np.unpackbits(np.stack([np.frombuffer(x, np.uint8) for x in table.column("mates").to_pylist()]), axis=1)
-    tokens = [np.frombuffer(x, "<u8") for x in table.column("tokens").to_pylist()]
-    links = _links(mates[:, place] > 0, table.column("n").to_numpy(), tokens, NUM, DEN)
-    merged = [(a, b) for a, b in _merge(table.column("label").to_pylist(), links).items() if a != b]
-    return pa.table({"label": pa.array([a for a, _ in merged], pa.int64()), "merged": pa.array([b for _, b in merged], pa.int64())})
+    tokens = [_unplaned(x, WIDTH) for x in table.column("tokens").to_pylist()]
+    merged = joined(mates[:, place] > 0, table.column("label").to_pylist(), tokens)
+    return pa.table({"label": pa.array(list(merged), pa.int64()), "merged": pa.array(list(merged.values()), pa.int64())})
+
+
+def joined(pairs: np.ndarray, labels: list[int], tokens: list[np.ndarray]) -> dict[int, int]:
+    """Labels that links between candidates join, with the least of their component; pairs that are joined already are not counted."""
+    root: dict[int, int] = {}
 
+    def find(x: int) -> int:
+        while (y := root.get(x, x)) != x:
+            root[x] = root.get(y, y)
+            x = y
+        return x
 
-def _compare(guests: DataFrame, sets: DataFrame, count: int) -> DataFrame:
-    """(label, merged) for all groups of ``guests``: registers are compared first, then the sets that have a candidate."""
+    sizes = np.array([len(t) for t in tokens])
+    for i in np.flatnonzero(pairs.any(axis=1)).tolist():
+        own = find(labels[i])
+        j = np.array([k for k in np.flatnonzero(pairs[i]).tolist() if find(labels[k]) != own], np.int64)
+        if not len(j):
+            continue
+        mine = np.sort(tokens[i])
+        flat = np.concatenate([tokens[k] for k in j])
+        at = np.minimum(np.searchsorted(mine, flat), len(mine) - 1)
+        both = np.add.reduceat((mine[at] == flat).astype(np.int64), np.append(0, np.cumsum(sizes[j])[:-1]))
+        for k in j[DEN * both >= NUM * (sizes[i] + sizes[j] - both)].tolist():
+            a, b = find(labels[i]), find(labels[k])
+            if a != b:
+                root[max(a, b)] = min(a, b)
+    return {x: find(x) for x in root if find(x) != x}
+
+
+def _compare(guests: DataFrame, docs: DataFrame, count: int) -> DataFrame:
+    """(label, merged) for all groups of ``guests``: registers are compared first, then the whole sets that have a candidate."""
     first = guests.select("grp", "node", "key", "family", "label", F.col("side").cast("long").alias("side"), "n", "registers")
     left = scratch.write(first.groupBy("grp").applyInArrow(_filter, _LEFT), "hmh-candidates", count)
-    whole = left.join(sets, ["node", "key"])
+    # sets are made where the texts are read, and travel once
+    texts = docs.select(F.col("doc_id").alias("node"), "text").join(left, "node")
+    whole = texts.select(*_GUESTS.names[:-1], "text").mapInArrow(_whole, f"{_LEFT}, tokens binary")
     return scratch.write(whole.groupBy("grp").applyInArrow(_verify, "label long, merged long"), "hmh-links", count)
 
 
@@ -216,17 +257,22 @@ def _relabel(labels: DataFrame, merged: DataFrame, count: int) -> DataFrame:
     return scratch.write(out, "hmh-labels", count)
 
 
+def _shared_bands(nodes: DataFrame) -> DataFrame:
+    """(band, node, low) for the bands of several nodes, with the least of them."""
+    index = scratch.write(nodes.select("node", "registers").mapInArrow(_index, "band long, node long"), "hmh-bands")
+    low = index.groupBy("band").agg(F.min("node").alias("low"), F.max("node").alias("high")).where("low < high")
+    return scratch.write(index.join(low.select("band", "low"), "band"), "hmh-shared")
+
+
 def _families(index: DataFrame) -> DataFrame:
     """(node, family) for the nodes that share a band with another one."""
-    low = index.groupBy("band").agg(F.min("node").alias("low"), F.max("node").alias("high")).where("low < high")
-    edges = index.join(low.select("band", "low"), "band").where("node <> low").select(F.col("node").alias("a"), F.col("low").alias("b"))
-    found = components(edges)
+    found = components(index.where("node <> low").select(F.col("node").alias("a"), F.col("low").alias("b")))
     return scratch.write(found.select(F.col("id").alias("node"), F.col("comp").alias("family")), "hmh-families")
 
 
 def link_components(nodes: DataFrame, docs: DataFrame) -> DataFrame:
     """(node, label) for the nodes (node, key, n, registers) that may link; a label is the least node of its component."""
-    index = scratch.write(nodes.select("node", "registers").mapInArrow(_index, "band long, node long"), "hmh-bands")
+    index = _shared_bands(nodes)
     family = _families(index)
     count = family.count()
     if not count:
@@ -234,34 +280,33 @@ def link_components(nodes: DataFrame, docs: DataFrame) -> DataFrame:
     sizes = family.groupBy("family").agg(F.count(F.lit(1)).alias("m"))
     placed = nodes.select("node", "key", "n", "registers").join(family.join(sizes, "family"), "node")
     placed = scratch.write(placed, "hmh-placed", count)
-    texts = docs.select(F.col("doc_id").alias("node"), "text").join(family.select("node"), "node", "left_semi")
-    sets = texts.mapInArrow(_whole, "node long, key binary, tokens binary").groupBy("node", "key").agg(F.first("tokens").alias("tokens"))
-    sets = scratch.write(sets, "hmh-sets")
-    shared = F.pmod(F.xxhash64("family"), F.lit(-(-count // BLOCK)))
+    shared = F.pmod(F.xxhash64("family"), F.lit(-(-count // SHARED)))
     dealt = F.xxhash64("family", F.pmod(F.xxhash64("node"), F.ceil(F.col("m") / BLOCK)))
-    guests = placed.withColumn("grp", F.when(F.col("m") > BLOCK, dealt).otherwise(shared)).withColumn("side", F.lit(3))
-    merged = _compare(guests.withColumn("label", F.col("node")), sets, count)
+    guests = placed.withColumn("grp", F.when(F.col("m") > SHARED, dealt).otherwise(shared)).withColumn("side", F.lit(3))
+    merged = _compare(guests.withColumn("label", F.col("node")), docs, count)
     labels = _relabel(placed.select("node", "family", "m", F.col("node").alias("label")), merged, count)
     large = labels.where(F.col("m") > BLOCK)
     if large.isEmpty():
         return labels.select("node", "label")
-    joined = _join_blocks(large.select("node", "family", "label"), placed, sets, index, count)
+    joined = _join_blocks(large.select("node", "family", "label"), placed, docs, index, count)
     return labels.where(F.col("m") <= BLOCK).select("node", "label").unionByName(joined.select("node", "label"))
 
 
-def _join_blocks(large: DataFrame, placed: DataFrame, sets: DataFrame, index: DataFrame, count: int) -> DataFrame:
+def _join_blocks(large: DataFrame, placed: DataFrame, docs: DataFrame, index: DataFrame, count: int) -> DataFrame:
     """Families of several blocks (node, family, label), with the labels that links between blocks give."""
     sketches = placed.select("node", "key", "n", "registers")
-    for step in range(STEPS):
+    step = 0
+    while True:
+        step += 1
         alone = large.where("node = label")
-        counts = alone.groupBy("family").agg(F.count(F.lit(1)).alias("k")).where("k > 1")
-        grp = F.xxhash64("family", F.pmod(F.xxhash64("node", F.lit(step + 1)), F.ceil(F.col("k") / BLOCK)))
+        counts = scratch.write(alone.groupBy("family").agg(F.count(F.lit(1)).alias("k")).where("k > 1"), "hmh-counts")
+        grp = F.xxhash64("family", F.pmod(F.xxhash64("node", F.lit(step)), F.ceil(F.col("k") / BLOCK)))
         guests = alone.join(counts, "family").withColumn("grp", grp).withColumn("side", F.lit(3))
-        merged = _compare(guests.join(sketches, "node"), sets, count)
-        if merged.isEmpty():
-            break
+        merged = _compare(guests.join(sketches, "node"), docs, count)
         large = _relabel(large, merged, count)
-    merged = _compare(_mixed_bands(large, index).join(sketches, "node"), sets, count)
+        if merged.count() <= GOES_ON * (counts.agg(F.sum("k")).first()[0] or 0):
+            break
+    merged = _compare(_mixed_bands(large, index).join(sketches, "node"), docs, count)
     if merged.isEmpty():
         return large
     joined = components(merged.select(F.col("label").alias("a"), F.col("merged").alias("b")))
@@ -270,9 +315,9 @@ def _join_blocks(large: DataFrame, placed: DataFrame, sets: DataFrame, index: Da
 
 def _mixed_bands(large: DataFrame, index: DataFrame) -> DataFrame:
     """The nodes of each band that has several components, as guests of one group or, by blocks, of a group for each two."""
-    members = scratch.write(index.join(large, "node"), "hmh-members")
+    members = scratch.write(index.select("band", "node").join(large, "node"), "hmh-members")
     mixed = members.groupBy("band").agg(F.count(F.lit(1)).alias("k"), F.min("label").alias("lo"), F.max("label").alias("hi")).where("lo < hi")
-    blocks = F.ceil(F.col("k") / BUCKET).cast("long")
+    blocks = F.ceil(F.col("k") / BLOCK).cast("long")
     members = members.join(mixed.select("band", blocks.alias("blocks")), "band").withColumn("block", F.pmod(F.xxhash64("node", F.lit(-1)), "blocks"))
     # a block meets itself and every other one of its band
     other = F.explode(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1))

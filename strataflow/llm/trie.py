@@ -3,7 +3,8 @@
 Turns are digested where they are read; only digests and lengths travel. A conversation is rebuilt from the
 first turns of another one and its own later turns, equal ones become one path with a count, and paths are
 dealt out by the digest of their first turn. Where more turns than ``LIMIT`` share a first turn, its paths are
-dealt again by the next turn, and so on; the node that was cut there is an upper node. A task puts the paths of its
+dealt again by the next turn in which they differ, and so on; the nodes above such a cut, a chain up to the one before
+it, are upper nodes. A task puts the paths of its
 first turns (or cut prefixes) into pointer tries, nodes with a dictionary of children, and sums them up in an
 iterative postorder. Upper nodes, of which there are few, get the sums of their children level by level, from the
 deepest up to the root.
@@ -182,54 +183,67 @@ def _tries(rows: pd.DataFrame) -> pd.DataFrame:
     return frame
 
 
-def _upper(rows: DataFrame, depth: int) -> DataFrame:
-    """Upper nodes of one depth with what their paths say of them."""
-    here = F.size("path") == depth
-    length = F.element_at("bytes", depth) if depth else F.lit(0)
+def _upper(rows: DataFrame) -> DataFrame:
+    """Chains of upper nodes from depth ``cut`` to ``last``, with what their paths say of them; ``bottom`` is what hangs on the last."""
+    own = F.when(F.col("cut") > 0, F.expr("slice(bytes, cut, last - cut + 1)")).otherwise(F.array(F.lit(0).cast("long")))
     return rows.groupBy("key").agg(
-        F.min("conv").alias("conv_id"), F.sum("n").alias("n_convs"), F.first("above").alias("above"), F.first(length).cast("long").alias("length"),
-        F.coalesce(F.max(F.when(here, F.col("ends_sha256"))), F.lit(NO_ENDS)).alias("ends_sha256"),
+        F.min("conv").alias("conv_id"), F.sum("n").alias("n_convs"), F.first("above").alias("above"), F.first("cut").alias("cut"),
+        F.first(own).alias("lengths"), F.first(_digest(F.expr("slice(path, 1, last)"))).alias("bottom"),
+        F.coalesce(F.max(F.when(F.size("path") == F.col("last"), F.col("ends_sha256"))), F.lit(NO_ENDS)).alias("ends_sha256"),
     )
 
 
+#: The turns that the least and the greatest path of a group share, and so all of its paths.
+_COMMON = "aggregate(sequence(1, least(size(lo), size(hi))), 0, (k, i) -> IF(k = i - 1 AND element_at(lo, i) = element_at(hi, i), i, k))"
+
+
 def _cut(paths: DataFrame, limit: int) -> tuple[list[DataFrame], list[DataFrame]]:
-    """(paths with the prefix they are dealt by, in several tables; upper nodes of depth 0, 1, ...)."""
-    root = _digest(F.slice("path", 1, 0))
-    everything = paths.withColumn("key", root).withColumn("above", F.lit(None).cast("string"))
-    uppers, dealt = [scratch.write(_upper(everything, 0), "trie-upper")], []
-    rest, depth = everything.where(F.size("path") > 0), 1
+    """(paths with the prefix they are dealt by, in several tables; upper nodes from the root down)."""
+    root = paths.withColumns({"key": _digest(F.slice("path", 1, 0)), "above": F.lit(None).cast("string"), "cut": F.lit(0), "last": F.lit(0)})
+    uppers, dealt = [scratch.write(_upper(root), "trie-upper")], []
+    rest = root
     while True:
-        rest = scratch.write(rest.withColumn("above", F.col("key")).withColumn("key", _digest(F.slice("path", 1, depth))).withColumn("cut", F.lit(depth)), "trie-paths")
-        sizes = rest.groupBy("key").agg(F.sum(F.size("path")).alias("turns"), F.count(F.lit(1)).alias("k"))
-        big = scratch.write(sizes.where((F.col("turns") > limit) & (F.col("k") > 1)).select("key"), "trie-big")
+        rest = rest.where(F.size("path") > F.col("last")).withColumn("above", _digest(F.expr("slice(path, 1, last)"))).withColumn("cut", F.col("last") + 1)
+        rest = scratch.write(rest.drop("last").withColumn("key", _digest(F.expr("slice(path, 1, cut)"))), "trie-paths")
+        facts = F.sum(F.size("path")).alias("turns"), F.count(F.lit(1)).alias("k"), F.min("path").alias("lo"), F.max("path").alias("hi")
+        big = rest.groupBy("key").agg(*facts).where((F.col("turns") > limit) & (F.col("k") > 1))
+        big = scratch.write(big.select("key", F.expr(_COMMON).alias("last")), "trie-big")
         if big.isEmpty():
             return [*dealt, rest], uppers
         dealt.append(rest.join(big, "key", "left_anti"))
-        rest = rest.join(big, "key", "left_semi")
-        uppers.append(scratch.write(_upper(rest, depth), "trie-upper"))
-        rest, depth = rest.where(F.size("path") > depth), depth + 1
+        rest = rest.join(big, "key")
+        uppers.append(scratch.write(_upper(rest), "trie-upper"))
 
 
 def _summed(uppers: list[DataFrame], tops: DataFrame) -> list[DataFrame]:
-    """Upper nodes with the sums of their children, from the deepest level up."""
+    """Chains of upper nodes with the sums of the children of their last one, from the deepest cut up."""
     facts = F.sum("n_children").alias("n_children"), F.sum("n_leaves").alias("n_leaves"), F.sum("saved_tokens").alias("saved_tokens")
-    below = tops.withColumn("n_children", F.lit(1)).groupBy("above").agg(*facts)
-    below = scratch.write(below, "trie-tops")
+    below = scratch.write(tops.withColumn("n_children", F.lit(1)).groupBy("above").agg(*facts), "trie-tops")
     out = []
-    for depth in range(len(uppers) - 1, -1, -1):
+    for level in reversed(uppers):
         children = below
         if out:
-            children = below.unionByName(out[-1].select("above", F.lit(1).alias("n_children"), "n_leaves", "saved_tokens")).groupBy("above").agg(*facts)
-        joined = uppers[depth].join(children.withColumnRenamed("above", "key"), "key", "left")
-        saved = F.coalesce("saved_tokens", F.lit(0)) + (F.col("n_convs") - 1) * F.col("length")
-        own = joined.select(
-            "key", "above", "conv_id", F.lit(depth).cast("long").alias("depth"), "n_convs", F.coalesce("n_children", F.lit(0)).cast("long").alias("n_children"),
-            F.coalesce("n_leaves", F.lit(1)).cast("long").alias("n_leaves"), saved.cast("long").alias("saved_tokens"), "ends_sha256",
-        )
-        out.append(scratch.write(own, "trie-level"))
+            own = F.col("saved_tokens") + (F.col("n_convs") - 1) * F.expr("aggregate(lengths, 0L, (a, b) -> a + b)")
+            chain = out[-1].select("above", F.lit(1).alias("n_children"), "n_leaves", own.alias("saved_tokens"))
+            children = below.unionByName(chain).groupBy("above").agg(*facts)
+        joined = level.join(children.withColumnRenamed("above", "bottom"), "bottom", "left")
+        whole = {"n_children": 0, "n_leaves": 1, "saved_tokens": 0}
+        out.append(scratch.write(joined.withColumns({c: F.coalesce(c, F.lit(v)).cast("long") for c, v in whole.items()}), "trie-level"))
     return out
 
 
+def _chains(upper: DataFrame) -> DataFrame:
+    """A row for each node of the chains; ``above`` is set for the first ones only."""
+    rows = upper.withColumn("i", F.explode(F.expr("sequence(0, size(lengths) - 1)")))
+    last = F.col("i") == F.size("lengths") - 1
+    saved = F.col("saved_tokens") + (F.col("n_convs") - 1) * F.expr("aggregate(slice(lengths, i + 1, size(lengths)), 0L, (a, b) -> a + b)")
+    return rows.select(
+        "conv_id", (F.col("cut") + F.col("i")).cast("long").alias("depth"), F.when(F.col("i") > 0, F.col("conv_id")).alias("parent_conv_id"), "n_convs",
+        F.when(last, F.col("n_children")).otherwise(1).cast("long").alias("n_children"), "n_leaves", saved.alias("saved_tokens"),
+        F.when(last, F.col("ends_sha256")).otherwise(NO_ENDS).alias("ends_sha256"), F.when(F.col("i") == 0, F.col("above")).alias("above"),
+    )
+
+
 def prefixes(conversations: DataFrame, limit: int = LIMIT) -> DataFrame:
     """A row for each node: conv_id, depth, parent_conv_id, n_convs, n_children, n_leaves, saved_tokens, ends_sha256."""
     convs = scratch.write(rebuilt(conversations), "trie-convs")
@@ -248,10 +262,10 @@ def prefixes(conversations: DataFrame, limit: int = LIMIT) -> DataFrame:
     upper = levels[0]
     for more in levels[1:]:
         upper = upper.unionByName(more)
-    parents = upper.select(F.col("key").alias("above"), F.col("conv_id").alias("parent"))
-    hung = nodes.where("above is not null").drop("parent_conv_id").unionByName(upper.drop("key"))
-    hung = hung.join(parents, "above", "left").withColumnRenamed("parent", "parent_conv_id")
-    return nodes.where("above is null").select(*COLUMNS).unionByName(hung.select(*COLUMNS))
+    parents = upper.select(F.col("bottom").alias("above"), F.col("conv_id").alias("parent"))
+    every = nodes.unionByName(_chains(upper))
+    hung = every.where("above is not null").drop("parent_conv_id").join(parents, "above").withColumnRenamed("parent", "parent_conv_id")
+    return every.where("above is null").select(*COLUMNS).unionByName(hung.select(*COLUMNS))
 
 
 ORACLE = f"""

@@ -50,8 +50,8 @@ def _resample(rng: np.random.Generator, w: np.ndarray) -> np.ndarray:
     return np.array([np.searchsorted(c[i], u[i]) for i in range(s)])
 
 
-def particle_filters(dm: np.ndarray, z: np.ndarray, gr: np.ndarray, curve: Curve, sigma: float, level: float, z0: float, rate: float, seeds: list[int], particles: int = 600, spread: float = 0.3, momentum: float = 0.998, rate_noise: float = 0.002, level_noise: float = 0.005) -> tuple[np.ndarray, np.ndarray]:
-    """Mean path of each of several filters and their log-evidence. States are level plus z, and its rate."""
+def particle_filters(dm: np.ndarray, z: np.ndarray, gr: np.ndarray, curve: Curve, sigma: float, level: float, z0: float, rate: float, seeds: list[int], particles: int = 600, spread: float = 0.3, momentum: float = 0.998, rate_noise: float = 0.002, level_noise: float = 0.005, power: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray]:
+    """Mean path of each of several filters and their log-evidence. States are level plus z, and its rate; ``power`` is each row's exponent of its likelihood."""
     rng = np.random.default_rng(seed_of(*seeds))
     s, n = len(seeds), particles
     pos = level + z0 + spread * rng.standard_normal((s, n))
@@ -64,7 +64,7 @@ def particle_filters(dm: np.ndarray, z: np.ndarray, gr: np.ndarray, curve: Curve
         tvt = np.clip(pos - z[t], curve.lo - 50, curve.hi + 50)
         pos = tvt + z[t]
         if np.isfinite(gr[t]):
-            w = w * likelihood(gr[t] - curve(tvt), sigma)
+            w = w * (likelihood(gr[t] - curve(tvt), sigma) if power is None else likelihood(gr[t] - curve(tvt), sigma) ** power[t])
             total = w.sum(axis=1, keepdims=True)
             evidence += np.log(np.maximum(total[:, 0], 1e-300))
             w = np.where(total > 0, w / np.maximum(total, 1e-300), 1.0 / n)
@@ -78,6 +78,50 @@ def particle_filters(dm: np.ndarray, z: np.ndarray, gr: np.ndarray, curve: Curve
     return out, evidence
 
 
+def curve_powers(gr: np.ndarray, level: float, curve_t: np.ndarray, curve_g: np.ndarray, sigma: float, window: float = 60.0, sharpness: float = 1.0, least: float = 0.35, contrast: float = 1.0, information: float = 1.0, centre: float = 0.75, low: float = 0.75, high: float = 1.25, slope: float = 0.0) -> tuple[np.ndarray, np.ndarray]:
+    """How far each observation should count: (by how few levels fit it, by how much it tells).
+
+    A scan of the curve's points within ``window`` of the last known level gives each observation a likelihood for each of
+    them. The first number rises from ``least`` to 1 with the share of the best one; the second one is the likelihoods'
+    missing entropy, mixed with the slope of the curve where they lie, over ``centre`` and within ``low`` and ``high``. Both
+    are 1 for missing observations, and with fewer than four points.
+    """
+    one, two = np.ones(len(gr)), np.ones(len(gr))
+    near = np.isfinite(curve_t) & np.isfinite(curve_g) & (np.abs(curve_t - level) <= window)
+    if near.sum() < 4 or not (np.isfinite(sigma) and sigma > 0):
+        return one, two
+    order = np.argsort(curve_t[near], kind="stable")
+    t, g = curve_t[near][order], curve_g[near][order]
+    seen = np.flatnonzero(np.isfinite(gr))
+    d = -0.5 * ((gr[seen, None] - g) / sigma) ** 2
+    p = np.exp(d - d.max(axis=1, keepdims=True))
+    p /= p.sum(axis=1, keepdims=True)
+    alone = np.clip(np.maximum(p.max(axis=1), (p**2).sum(axis=1)) * contrast, 0, 1)
+    one[seen] = least + (1 - least) * alone**sharpness
+    told = np.clip(1 + (p * np.log(np.maximum(p, 1e-300))).sum(axis=1) / np.log(len(g)), 0, 1)
+    if slope > 0:
+        steep = p @ np.abs(np.gradient(g, t)) / sigma
+        told = (1 - slope) * told + slope * steep / (1 + steep)
+    two[seen] = np.clip(np.maximum(told / centre, 1e-6) ** information, low, high)
+    return one, two
+
+
+def shape_bonus(gr: np.ndarray, expected: np.ndarray, power: float = 0.1, window: int = 0, least: int = 7, floor: float = 0.35) -> float:
+    """What a path's evidence gains by going up and down with the observations: ``power`` times their number times the correlation, if positive.
+
+    Only the last ``window`` observations count (0: all); 0 with fewer than ``least`` or next to no variation.
+    """
+    seen = np.flatnonzero(np.isfinite(gr) & np.isfinite(expected))
+    if len(seen) < least:
+        return 0.0
+    seen = seen[-window:] if window else seen
+    a, b = gr[seen] - gr[seen].mean(), expected[seen] - expected[seen].mean()
+    va, vb = np.mean(a * a), np.mean(b * b)
+    if min(va, vb) <= floor**2:
+        return 0.0
+    return float(power * len(seen) * max(np.clip(np.mean(a * b) / np.sqrt(va * vb), -1, 1), 0))
+
+
 def evidence_weights(evidence: np.ndarray, scale: float = 5.0) -> np.ndarray:
     w = np.exp((evidence - evidence.max()) / scale)
     return w / w.sum()

@@ -236,12 +236,17 @@ def velocity_filter(w: Well, particles: int = 600) -> np.ndarray:
 
 
 def heat_map(w: Well, bin_rows: int = 4, step: float = 2.0, filters: int = 48, particles: int = 400) -> dict | None:
-    """Share of the filters' paths by bin of rows and level."""
+    """Share of the filters' paths by bin of rows and level.
+
+    Observations that many levels fit, or that tell little, count less; paths that follow their ups and downs count more.
+    """
     if not w.usable:
         return None
     seeds = [K.seed_of(w.well_id, 42 + i) for i in range(filters)]
-    path, evidence = K.particle_filters(w.dm, w.hidden("z"), w.hidden("gr"), w.curve, w.sigma, w.level, w.rows["z"][w.h - 1], w.rate, seeds, particles)
-    weight = K.evidence_weights(evidence)
+    gr = w.hidden("gr")
+    few, told = K.curve_powers(gr, w.level, w.curve_t, w.curve_g, w.sigma)
+    path, evidence = K.particle_filters(w.dm, w.hidden("z"), gr, w.curve, w.sigma, w.level, w.rows["z"][w.h - 1], w.rate, seeds, particles, power=few * told)
+    weight = K.evidence_weights(evidence + [K.shape_bonus(gr, w.curve(p)) for p in path])
     b = np.broadcast_to(np.arange(path.shape[1]) // bin_rows, path.shape).ravel()
     lev = np.round(path / step).astype(np.int64).ravel()
     mass = np.repeat(weight, path.shape[1])
@@ -250,6 +255,14 @@ def heat_map(w: Well, bin_rows: int = 4, step: float = 2.0, filters: int = 48, p
     return {"bin": t["bin"].to_numpy(), "level": t["level"].to_numpy() * step, "prob": t["prob"].to_numpy()}
 
 
+def powers(w: Well, slope: float = 0.0) -> dict | None:
+    """By hidden row how far its observation counts: by how few levels fit it, and by how much it tells."""
+    if not w.usable:
+        return None
+    few, told = K.curve_powers(w.hidden("gr"), w.level, w.curve_t, w.curve_g, w.sigma, slope=slope)
+    return {"row_idx": w.hidden("row_idx").astype(np.int64), "ambiguity": few, "information": told}
+
+
 def pseudo_curve(w: Well, weight: float = 0.5) -> dict | None:
     """The reference curve blended with what the known rows saw at the same levels."""
     if not w.usable:

@@ -11,7 +11,7 @@ from strataflow.kernels import matching as M
 from strataflow.kernels import series as S
 from strataflow.operators import decode as D
 from strataflow.operators import spatial as P
-from strataflow.plans.proxies import WELLS, curves, wells
+from strataflow.plans.proxies import CURVES, WELLS, curves, wells
 from strataflow.plans.registry import query
 
 R = lambda c, n=6: F.round(c, n)
@@ -178,6 +178,31 @@ def q8(spark, sf_dir):
     return t.select("well_id", "bin", "level", R(F.col("prob")).alias("prob"))
 
 
+@query(
+    "q8_curve_powers",
+    f"""WITH {WELLS}, {CURVES}, k AS (SELECT well_id, curve_id, arg_max(tvt_input, row_idx) AS l, count(tvt_input) AS h, count(*) AS n FROM h WHERE n > 0 GROUP BY ALL),
+u AS (SELECT * FROM k WHERE l IS NOT NULL AND h >= 10 AND h < n),
+f AS (SELECT well_id, row_idx, tvt_input, curve_id, gr FROM h WHERE tvt_input IS NOT NULL),
+b AS (SELECT f.well_id, f.row_idx, f.gr, f.tvt_input, max(c.tvt) FILTER (WHERE c.tvt <= f.tvt_input) AS t0, min(c.tvt) FILTER (WHERE c.tvt >= f.tvt_input) AS t1, min(c.tvt) AS ta, max(c.tvt) AS tb, any_value(f.curve_id) AS curve_id
+      FROM f JOIN c USING (curve_id) GROUP BY ALL),
+p AS (SELECT well_id, b.gr, x.gr / 20.0 AS g0, y.gr / 20.0 AS g1, CASE WHEN y.tvt > x.tvt THEN (tvt_input - x.tvt) / (y.tvt - x.tvt) ELSE 0 END AS s
+      FROM b JOIN c x ON x.curve_id = b.curve_id AND x.tvt = coalesce(t0, ta) JOIN c y ON y.curve_id = b.curve_id AND y.tvt = coalesce(t1, tb)),
+q AS (SELECT well_id, CASE WHEN count(gr) >= 20 THEN least(greatest(stddev_pop(gr - (g0 + s * (g1 - g0))), 10), 60) ELSE 30 END AS sigma FROM p GROUP BY well_id),
+o AS (SELECT h.well_id, row_idx, gr, u.curve_id, l, coalesce(sigma, 30) AS sigma FROM h JOIN u USING (well_id) LEFT JOIN q USING (well_id) WHERE tvt_input IS NULL),
+d AS (SELECT o.well_id, row_idx, -0.5 * pow((o.gr - c.gr / 20.0) / sigma, 2) AS e FROM o JOIN c ON c.curve_id = o.curve_id AND abs(c.tvt - l) <= 60 WHERE o.gr IS NOT NULL),
+m AS (SELECT *, exp(e - max(e) OVER (PARTITION BY well_id, row_idx)) AS x FROM d),
+r AS (SELECT *, x / sum(x) OVER (PARTITION BY well_id, row_idx) AS p FROM m),
+a AS (SELECT well_id, row_idx, greatest(max(p), sum(p * p)) AS alone, 1 + sum(p * ln(greatest(p, 1e-300))) / ln(count(*)) AS told FROM r GROUP BY ALL HAVING count(*) >= 4)
+SELECT o.well_id, o.row_idx, round(CASE WHEN alone IS NULL THEN 1 ELSE 0.35 + 0.65 * least(alone, 1) END, 5) AS ambiguity,
+ round(CASE WHEN told IS NULL THEN 1 ELSE least(greatest(told / 0.75, 0.75), 1.25) END, 5) AS information
+FROM o LEFT JOIN a USING (well_id, row_idx)""",
+)
+def q8_powers(spark, sf_dir):
+    """How far each hidden row's observation counts, by a scan of the curve around the last known level."""
+    t = D.per_well(packed(spark, sf_dir), D.powers, "well_id long, row_idx long, ambiguity double, information double")
+    return t.select("well_id", "row_idx", R(F.col("ambiguity"), 5).alias("ambiguity"), R(F.col("information"), 5).alias("information"))
+
+
 @query("q9_block_merge", f"""WITH {WELLS} SELECT well_id, row_idx // 4 AS block, max(md) AS md, round(avg(z), 6) + 0.0 AS z, round(avg(gr), 6) AS gr, round(pow(count(gr) / 4.0, 0.5), 6) AS power FROM h WHERE tvt_input IS NULL GROUP BY ALL""")
 def q9(spark, sf_dir):
     h = wells(spark, sf_dir).where("tvt_input is null")

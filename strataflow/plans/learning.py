@@ -19,21 +19,9 @@ from strataflow.tables import table
 R = lambda c, n=6: F.round(c, n)
 
 
-def folder(spark, name):
-    import tempfile
-    import uuid
-
-    root = spark.conf.get("spark.checkpoint.dir", None)
-    if not root:
-        if not spark.sparkContext.master.startswith("local"):
-            raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
-        root = f"file://{tempfile.mkdtemp(prefix='strataflow-')}"
-    return f"{root.rstrip('/')}/strataflow/{name}-{uuid.uuid4().hex}"
-
-
 @query("s1_scan_logs", f"WITH {WELLS} SELECT CAST(well_id AS VARCHAR) AS well_id, count(*) AS n, count(gr) AS n_gr, round(sum(md), 3) AS md, round(sum(tvt_input), 3) AS tvt FROM h GROUP BY well_id")
 def s1(spark, sf_dir):
-    path = folder(spark, "logs")
+    path = io.folder(spark, "logs")
     io.write_logs(wells(spark, sf_dir).repartition("well_id"), path)
     return io.scan_logs(spark, path).groupBy("well_id").agg(F.count(F.lit(1)).alias("n"), F.count("gr").alias("n_gr"), R(F.sum("md"), 3).alias("md"), R(F.sum("tvt_input"), 3).alias("tvt"))
 
@@ -58,9 +46,10 @@ def s4(spark, sf_dir):
 @query("s5_feature_cache", f"WITH {WELLS} SELECT well_id, count(*) AS n, round(avg(z), 6) AS z FROM h GROUP BY well_id")
 def s5(spark, sf_dir):
     build = lambda: wells(spark, sf_dir).groupBy("well_id").agg(F.count(F.lit(1)).alias("n"), R(F.avg("z")).alias("z"))
-    root = folder(spark, "features")
-    io.cached(spark, build, root, table=sf_dir, version=1)
-    return io.cached(spark, build, root, table=sf_dir, version=1)
+    root = io.folder(spark, "features")
+    about = {"files": io.files_digest(table(spark, sf_dir, "events")), "version": 1}
+    io.cached(spark, build, root, **about)
+    return io.cached(spark, build, root, **about)
 
 
 @query("s6_path_arrays", f"WITH {WELLS} SELECT well_id, row_idx, md FROM h")
@@ -191,13 +180,6 @@ def c3(spark, sf_dir):
     return D.paths(D.pack(wells(spark, sf_dir), curves(spark, sf_dir), 20.0), D.templates).groupBy("well_id").agg(R(F.avg("value")).alias("level"), F.count(F.lit(1)).alias("n"))
 
 
-@query("c4_contact_candidates", f"WITH {WELLS}, k AS (SELECT well_id, median(tvt_input + z) AS s FROM h WHERE tvt_input IS NOT NULL GROUP BY well_id) SELECT h.well_id, row_idx, round(s - z, 6) AS level FROM h JOIN k USING (well_id) WHERE tvt_input IS NULL")
-def c4(spark, sf_dir):
-    h = wells(spark, sf_dir)
-    k = h.where("tvt_input is not null").groupBy("well_id").agg(F.median(F.col("tvt_input") + F.col("z")).alias("s"))
-    return h.where("tvt_input is null").join(k, "well_id").select("well_id", "row_idx", R(F.col("s") - F.col("z")).alias("level"))
-
-
 @query("c5_piecewise_candidates", f"""WITH {WELLS}, a AS (SELECT *, arg_max(tvt_input, row_idx) FILTER (WHERE tvt_input IS NOT NULL) OVER (PARTITION BY well_id) AS l FROM h), i AS (SELECT well_id, l, row_number() OVER (PARTITION BY well_id ORDER BY row_idx) - 1 AS i, count(*) OVER (PARTITION BY well_id) - 1 AS n FROM a WHERE tvt_input IS NULL AND l IS NOT NULL)
 SELECT well_id, e AS "end", c AS curvature, round(avg(l + e * i / greatest(n, 1) + c * 4 * (i / greatest(n, 1)) * (1 - i / greatest(n, 1))), 5) AS level FROM i, (SELECT unnest([-24, -12, 0, 12, 24]::DOUBLE[]) AS e), (SELECT unnest([-10, 0, 10]::DOUBLE[]) AS c) GROUP BY ALL""")
 def c5(spark, sf_dir):
@@ -263,9 +245,7 @@ def _learned(name, learner):
         return out_of_fold(d, "well", folds, ["l_quantity", "l_discount", "l_tax", "gap"], "l_extendedprice", learner).select("well", "row", "fold", R(F.col("prediction"), 4).alias("prediction"))
 
 
-_learned("x5_boosted_out_of_fold", "boosted")
 _learned("x9_ridge_out_of_fold", "ridge")
-_learned("c12_forest_out_of_fold", "forest")
 
 
 @query("x1_place_folds")
@@ -285,27 +265,6 @@ def x7d(spark, sf_dir):
     return spark.createDataFrame([(k, round(v, 6)) for k, v in w.items()], "arm string, weight double")
 
 
-@query("x10_risk_detector")
-def x10(spark, sf_dir):
-    from pyspark.ml.classification import LogisticRegression
-
-    from strataflow.operators.aggregates import error_table
-    from strataflow.operators.learning import features, vector_columns
-
-    g = error_table(predictions(spark, sf_dir)).withColumn("label", (F.col("bias") > 0).cast("double"))
-    f = features(g, ["n", "rmse"])
-    scored = None
-    # three repeats of five folds; a well is scored by models that have not seen it
-    for repeat in range(3):
-        dealt = f.withColumn("fold", F.pmod(F.xxhash64("well", F.lit(repeat)), F.lit(5)))
-        for fold in range(5):
-            model = LogisticRegression(labelCol="label", regParam=0.01).fit(dealt.where(F.col("fold") != fold))
-            part = model.transform(dealt.where(F.col("fold") == fold)).select("well", "label", "probability")
-            scored = part if scored is None else scored.unionByName(part)
-    risk = vector_columns(scored, "probability").withColumn("p", F.get("probability", F.lit(1)))
-    return risk.groupBy("well", "label").agg(R(F.avg("p"), 5).alias("risk"), F.count(F.lit(1)).alias("repeats"))
-
-
 @query("x11_random_specs")
 def x11(spark, sf_dir):
     space = {"step": (0.2, 0.5, 0.7), "rates": (31, 41), "reach": (80.0, 150.0)}

@@ -91,3 +91,23 @@ def predictions(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 PREDICTIONS = """p AS (SELECT l_suppkey AS well, l_orderkey * 10 + l_linenumber AS row, l_extendedprice AS y, l_quantity * 1500.0 AS pred, l_suppkey % 5 AS fold FROM lineitem)"""
+
+
+def geology(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """curve_id, tvt, formation: the curves' points in five formations of ten levels."""
+    return curves(spark, sf_dir).select("curve_id", "tvt", F.concat(F.lit("F"), F.floor((F.col("tvt") - 76) / 10).cast("string")).alias("formation"))
+
+
+GEOLOGY = "geo AS (SELECT curve_id, tvt, 'F' || CAST(floor((tvt - 76) / 10) AS BIGINT) AS formation FROM c)"
+
+
+def tops(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """well_id, row_idx, formation, top: six tilted surfaces at each row with gaps; the last one is on no curve, the fifth mostly missing."""
+    h = wells(spark, sf_dir).select("well_id", "row_idx", "n", "x", "y").withColumn("f", F.explode(F.sequence(F.lit(0), F.lit(5))))
+    top = -(F.col("n") * 5) / 20.0 + F.col("x") * 0.125 - F.col("y") * 0.0625 - F.col("f") * 10 + (F.col("row_idx") * 7 + F.col("f")) % 5
+    gap = ((F.col("row_idx") + F.col("f") * 3 + F.col("well_id")) % 11 == 0) | ((F.col("f") == 4) & (F.col("row_idx") % 10 != 3))
+    return h.select("well_id", "row_idx", F.concat(F.lit("F"), F.col("f").cast("string")).alias("formation"), F.when(~gap, top).alias("top"))
+
+
+TOPS = """tops AS (SELECT well_id, row_idx, 'F' || f AS formation, CASE WHEN (row_idx + f * 3 + well_id) % 11 <> 0 AND (f <> 4 OR row_idx % 10 = 3) THEN
+ -(n * 5) / 20.0 + x * 0.125 - y * 0.0625 - f * 10 + (row_idx * 7 + f) % 5 END AS top FROM h, (SELECT unnest(range(0, 6)) AS f))"""

@@ -4,6 +4,8 @@ from __future__ import annotations
 
 import hashlib
 import json
+import tempfile
+import uuid
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -56,6 +58,32 @@ def masked(wells: DataFrame, cut: Column) -> DataFrame:
     return hidden.select(*[c for c in SCORING if c in hidden.columns])
 
 
+def folder(spark: SparkSession, name: str) -> str:
+    """A new path in the folder that driver and executors share; a temporary one only for local masters."""
+    root = spark.conf.get("spark.checkpoint.dir", None)
+    if not root:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
+        root = f"file://{tempfile.mkdtemp(prefix='strataflow-')}"
+        spark.conf.set("spark.checkpoint.dir", root)
+    return f"{root.rstrip('/')}/strataflow/{name}-{uuid.uuid4().hex}"
+
+
+def written(df: DataFrame, name: str) -> DataFrame:
+    """``df`` as a Parquet table in the shared folder, read again: its rows stay what they are when executors are lost."""
+    path = folder(df.sparkSession, name)
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
+def files_digest(df: DataFrame) -> str:
+    """A digest of the names, sizes and times of the files that a table is read from."""
+    f = df.select("_metadata.file_path", "_metadata.file_size", "_metadata.file_modification_time").distinct()
+    text = F.concat_ws("|", "file_path", F.col("file_size").cast("string"), F.unix_micros("file_modification_time").cast("string"))
+    digest = F.conv(F.substring(F.md5(text.cast("binary")), 1, 15), 16, 10).cast("decimal(38,0)")
+    return "-".join(map(str, f.agg(F.count(F.lit(1)), F.sum(digest)).first()))
+
+
 def fingerprint(**parts) -> str:
     return hashlib.sha256(json.dumps(parts, sort_keys=True, default=str).encode()).hexdigest()[:16]
 

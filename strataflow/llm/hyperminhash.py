@@ -4,8 +4,8 @@ A set of 3-word shingles is hashed; the lowest bits of a hash say which of 256 b
 least of the other bits in a bucket becomes a register of 16 bits, the number of leading zeros and the ten bits
 after them. A bucket without shingle takes the register of another one, the first that has any in an order of its
 own, so that short sets have all registers too. Five registers are a band. Sets with a Jaccard similarity of
-0.85 miss each other in all 51 bands about once in 1e7 (registers agree less often by chance where sets are
-about as large as the number of buckets; that is counted in).
+just 0.85 miss each other in all 36 bands about once in 1e6, at 0.9 less than once in 1e10 (registers agree less
+often by chance where sets are about as large as the number of buckets; that is counted in).
 
 Sets that share a band are compared by registers first: the share of equal ones, less what unlike registers
 share by collision, estimates the similarity. Six standard deviations below the limit a pair is ruled out; all other
@@ -42,9 +42,8 @@ from strataflow.llm.jaccard import _planes, _runs, _unplaned
 #: Fixed by the task: words of a shingle; similarity of at least NUM / DEN.
 WORDS = 3
 NUM, DEN = 85, 100
-#: Registers of a sketch (a power of two), mantissa bits of a register, registers of a band.
-REGISTERS, MANTISSA, ROWS = 256, 10, 5
-BANDS = REGISTERS // ROWS
+#: Registers of a sketch (a power of two), mantissa bits of a register, registers of a band, bands.
+REGISTERS, MANTISSA, ROWS, BANDS = 256, 10, 5, 36
 #: Bytes of a token of a whole set: two sets of 400 shingles differ in a comparison by a clash once in 2e9.
 WIDTH = 6
 #: Standard deviations below the limit at which an estimate rules a pair out.
@@ -52,11 +51,13 @@ DEVIATIONS = 6.0
 #: Nodes of a block; nodes of the small families that share one. Rounds go on while they join a share of the components.
 BLOCK, SHARED = 4096, 512
 GOES_ON = 0.25
+#: Candidates, of some 80 bytes each, up to which their names go to all executors; more are joined by a shuffle of the texts.
+BROADCAST = 500_000
 _BITS = REGISTERS.bit_length() - 1
 
 _SKETCHES = pa.schema([("doc_id", pa.int64()), ("n_shingles", pa.int64()), ("key", pa.binary()), ("registers", pa.binary())])
 _INDEX = pa.schema([("band", pa.int64()), ("node", pa.int64())])
-_GUESTS = pa.schema([("grp", pa.int64()), ("node", pa.int64()), ("key", pa.binary()), ("label", pa.int64()), ("n", pa.int64()), ("place", pa.int32()), ("mates", pa.binary()), ("tokens", pa.binary())])
+_WHOLE = pa.schema([("grp", pa.int64()), ("node", pa.int64()), ("key", pa.binary()), ("tokens", pa.binary())])
 _LEFT = "grp long, node long, key binary, label long, n long, place int, mates binary"
 
 
@@ -177,7 +178,7 @@ def _whole(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                     on.append(i)
             left = part.take(pa.array(on, pa.int64()))
             tokens = pa.array([_planes(sets[i] >> np.uint64(64 - 8 * WIDTH), WIDTH) for i in on], pa.binary())
-            yield pa.RecordBatch.from_arrays([*(left.column(c) for c in _GUESTS.names[:-1]), tokens], schema=_GUESTS)
+            yield pa.RecordBatch.from_arrays([*(left.column(c) for c in _WHOLE.names[:-1]), tokens], schema=_WHOLE)
     hashing.release()
 
 
@@ -204,14 +205,14 @@ def _filter(table: pa.Table) -> pa.Table:
     return left.append_column("place", pa.array(on, pa.int32())).append_column("mates", pa.array(mates, pa.binary()))
 
 
-def _verify(table: pa.Table) -> pa.Table:
+def _verify(left: pa.Table, whole: pa.Table) -> pa.Table:
     """(label, merged) for the components that links of one block join."""
-    places = table.column("place").to_numpy()
-    once = np.unique(places, return_index=True)[1]
-    table, place = table.take(pa.array(once)), places[once]
-    mates = np.unpackbits(np.stack([np.frombuffer(x, np.uint8) for x in table.column("mates").to_pylist()]), axis=1)
-    tokens = [_unplaned(x, WIDTH) for x in table.column("tokens").to_pylist()]
-    merged = joined(mates[:, place] > 0, table.column("label").to_pylist(), tokens)
+    merged: dict[int, int] = {}
+    if left.num_rows:
+        sets = {(n, k): t for n, k, t in zip(*(whole.column(c).to_pylist() for c in ("node", "key", "tokens")), strict=True)}
+        tokens = [_unplaned(sets[n, k], WIDTH) for n, k in zip(left.column("node").to_pylist(), left.column("key").to_pylist(), strict=True)]
+        mates = np.unpackbits(np.stack([np.frombuffer(x, np.uint8) for x in left.column("mates").to_pylist()]), axis=1)
+        merged = joined(mates[:, left.column("place").to_numpy()] > 0, left.column("label").to_pylist(), tokens)
     return pa.table({"label": pa.array(list(merged), pa.int64()), "merged": pa.array(list(merged.values()), pa.int64())})
 
 
@@ -247,9 +248,13 @@ def _compare(guests: DataFrame, docs: DataFrame, count: int) -> DataFrame:
     first = guests.select("grp", "node", "key", "family", "label", F.col("side").cast("long").alias("side"), "n", "registers")
     left = scratch.write(first.groupBy("grp").applyInArrow(_filter, _LEFT), "hmh-candidates", count)
     # sets are made where the texts are read, and travel once
-    texts = docs.select(F.col("doc_id").alias("node"), "text").join(left, "node")
-    whole = texts.select(*_GUESTS.names[:-1], "text").mapInArrow(_whole, f"{_LEFT}, tokens binary")
-    return scratch.write(whole.groupBy("grp").applyInArrow(_verify, "label long, merged long"), "hmh-links", count)
+    names = left.select("grp", "node", "key")
+    if left.count() <= BROADCAST:
+        names = F.broadcast(names)
+    texts = docs.select(F.col("doc_id").alias("node"), "text").join(names, "node").select("grp", "node", "key", "text")
+    whole = texts.mapInArrow(_whole, "grp long, node long, key binary, tokens binary")
+    found = left.groupBy("grp").cogroup(whole.groupBy("grp")).applyInArrow(_verify, "label long, merged long")
+    return scratch.write(found, "hmh-links", count)
 
 
 def _relabel(labels: DataFrame, merged: DataFrame, count: int) -> DataFrame:

@@ -78,6 +78,63 @@ def particle_filters(dm: np.ndarray, z: np.ndarray, gr: np.ndarray, curve: Curve
     return out, evidence
 
 
+#: Fixed values of the velocity filter: momentum, noises of rate and level, weight of the smoothed curve, jitters.
+VELOCITY = {"momentum": 0.993, "rate_noise": 0.005, "level_noise": 0.01, "smooth_weight": 0.3, "level_jitter": 0.2, "rate_jitter": 0.003}
+
+
+def velocity_model(t: np.ndarray, z: np.ndarray, md: np.ndarray) -> tuple[float, float, float, float]:
+    """(slope, intercept, deviation, last rate) of level steps over z steps along the known rows.
+
+    Steps that do not move along the well are left out; with fewer than ten others the rate is -1 times that of z, with a
+    deviation of 0.1. The last rate is the median of the last 19 steps, 0 with fewer than three.
+    """
+    dm, move = np.diff(md), np.diff(md) > 0
+    slope, icpt, dev = -1.0, 0.0, 0.1
+    if move.sum() >= 10:
+        vz, vt = np.diff(z)[move] / dm[move], np.diff(t)[move] / dm[move]
+        slope, icpt = np.linalg.lstsq(np.stack([vz, np.ones_like(vz)], axis=1), vt, rcond=None)[0].tolist()
+        dev = max(float(np.std(vt - slope * vz - icpt)), 0.001)
+    tail, on = np.diff(t[-20:]), np.diff(md[-20:]) > 0
+    return slope, icpt, dev, float(np.median(tail[on] / np.diff(md[-20:])[on])) if on.sum() >= 3 else 0.0
+
+
+def velocity_weights(level: np.ndarray, rate: np.ndarray, gr: float, smooth: float, sharp_curve, smooth_curve, sigma: float, expected: float, dev: float, weight: float = 0.3) -> tuple[np.ndarray, np.ndarray]:
+    """Likelihoods of the signal, mixed of the signal on the curve and of the smoothed one on the smoothed curve, and of the rates."""
+    one = np.ones(level.shape)
+    if np.isfinite(gr):
+        one = likelihood(gr - sharp_curve(level), sigma)
+        if np.isfinite(smooth):
+            one = np.maximum((1 - weight) * one + weight * likelihood(smooth - smooth_curve(level), 1.5 * sigma), 1e-300)
+    return one, likelihood(rate - expected, max(2.0 * dev, 0.005))
+
+
+def velocity_filters(dm: np.ndarray, dz: np.ndarray, gr: np.ndarray, smooth: np.ndarray, sharp_curve, smooth_curve, sigma: float, level: float, rate: float, slope: float, icpt: float, dev: float, seeds: list[int], particles: int = 600) -> np.ndarray:
+    """Mean path of the filters: levels with rates of their own, weighed by two curves and by how near a rate is to that of z."""
+    rng = np.random.default_rng(seed_of(*seeds))
+    v, shape = VELOCITY, (len(seeds), particles)
+    pos = level + 0.5 * rng.standard_normal(shape)
+    vel = rate + 0.02 * rng.standard_normal(shape)
+    w, out = np.full(shape, 1.0 / particles), np.empty((len(seeds), len(dm)))
+
+    def normal(x: np.ndarray) -> np.ndarray:
+        total = x.sum(axis=1, keepdims=True)
+        return np.where(total > 0, x / np.maximum(total, 1e-300), 1.0 / particles)
+
+    for t in range(len(dm)):
+        vel = v["momentum"] * vel + v["rate_noise"] * rng.standard_normal(shape)
+        pos = np.clip(pos + vel * dm[t] + v["level_noise"] * rng.standard_normal(shape), sharp_curve.lo - 50, sharp_curve.hi + 50)
+        seen, fits = velocity_weights(pos, vel, gr[t], smooth[t], sharp_curve, smooth_curve, sigma, slope * dz[t] / dm[t] + icpt, dev, v["smooth_weight"])
+        w = normal(normal(w * seen) * fits)
+        out[:, t] = (w * pos).sum(axis=1)
+        poor = np.flatnonzero(1.0 / (w * w).sum(axis=1) < 0.5 * particles)
+        if len(poor):
+            pick = _resample(rng, w[poor])
+            pos[poor] = np.take_along_axis(pos[poor], pick, 1) + v["level_jitter"] * rng.standard_normal((len(poor), particles))
+            vel[poor] = np.take_along_axis(vel[poor], pick, 1) + v["rate_jitter"] * rng.standard_normal((len(poor), particles))
+            w[poor] = 1.0 / particles
+    return out.mean(axis=0)
+
+
 def curve_powers(gr: np.ndarray, level: float, curve_t: np.ndarray, curve_g: np.ndarray, sigma: float, window: float = 60.0, sharpness: float = 1.0, least: float = 0.35, contrast: float = 1.0, information: float = 1.0, centre: float = 0.75, low: float = 0.75, high: float = 1.25, slope: float = 0.0) -> tuple[np.ndarray, np.ndarray]:
     """How far each observation should count: (by how few levels fit it, by how much it tells).
 
@@ -138,92 +195,126 @@ def _blur(p: np.ndarray, sigma: float, axis: int) -> np.ndarray:
     return sum(k[i] * np.take(q, np.arange(i, i + p.shape[axis]), axis=axis) for i in range(2 * r + 1))
 
 
-def grid_filter(dm: np.ndarray, z: np.ndarray, gr: np.ndarray, curve, sigma: float, level: float, z0: float, rate: float, reach: float = 50.0, step: float = 0.5) -> np.ndarray:
-    """Mean level by a filter on a grid of levels and rates (no randomness).
+class GridFilter:
+    """A filter on a grid of levels and rates, one step at a time (no randomness).
 
     It begins with Gaussian spreads of 0.3 around the level and 0.01 around the rate. What would leave the grid stays in
     its last cell. A column of which nothing is left goes back to the beginning's spread; a missing value weighs nothing.
     """
-    levels = level + np.arange(-reach, reach + 1e-9, step)
-    offsets = np.arange(-0.05, 0.05 + 1e-9, 0.0025)
-    rates = rate + offsets
-    prior = np.exp(-0.5 * (offsets / 0.01) ** 2)[:, None] * np.exp(-0.5 * ((levels - level) / 0.3) ** 2)[None, :]
-    prior /= prior.sum()
-    p, expected = prior, curve(levels)
-    dz = np.diff(z, prepend=z0)
-    out = np.empty(len(dm))
-    cells, last = np.arange(len(levels)), len(levels) - 1
-    for t in range(len(dm)):
+
+    def __init__(self, expected, sigma: float, level: float, rate: float, reach: float = 50.0, step: float = 0.5):
+        self.levels, self.step, self.sigma = level + np.arange(-reach, reach + 1e-9, step), step, sigma
+        offsets = np.arange(-0.05, 0.05 + 1e-9, 0.0025)
+        self.rates, self.expected = rate + offsets, expected(self.levels)
+        first = np.exp(-0.5 * (offsets / 0.01) ** 2)[:, None] * np.exp(-0.5 * ((self.levels - level) / 0.3) ** 2)[None, :]
+        self.first = first / first.sum()
+        self.cells = np.arange(len(self.levels))
+
+    def forward(self, p: np.ndarray, gr: float, dm: float, dz: float) -> tuple[np.ndarray, float]:
+        """The next message and its mean level."""
         p = _blur(p, max(0.002 / 0.0025, 0.3), 0)
-        shift = (rates * dm[t] - dz[t]) / step
+        shift = (self.rates * dm - dz) / self.step
         whole = np.floor(shift).astype(int)
         part = (shift - whole)[:, None]
-        near, far = (np.take_along_axis(p, np.clip(cells[None, :] - (whole + k)[:, None], 0, last), 1) for k in (0, 1))
-        p = _blur((1 - part) * near + part * far, max(0.005 / step, 0.3), 1)
-        if np.isfinite(gr[t]):
-            p = p * np.exp(-0.5 * np.minimum(((gr[t] - expected) / sigma) ** 2, 600.0))[None, :]
+        near, far = (np.take_along_axis(p, np.clip(self.cells[None, :] - (whole + k)[:, None], 0, len(self.cells) - 1), 1) for k in (0, 1))
+        p = _blur((1 - part) * near + part * far, max(0.005 / self.step, 0.3), 1)
+        if np.isfinite(gr):
+            p = p * np.exp(-0.5 * np.minimum(((gr - self.expected) / self.sigma) ** 2, 600.0))[None, :]
         total = p.sum()
-        p = p / total if total > 1e-300 else prior
-        out[t] = (p.sum(0) * levels).sum()
+        p = p / total if total > 1e-300 else self.first
+        return p, float((p.sum(0) * self.levels).sum())
+
+
+def grid_filter(dm: np.ndarray, z: np.ndarray, gr: np.ndarray, curve, sigma: float, level: float, z0: float, rate: float, reach: float = 50.0, step: float = 0.5) -> np.ndarray:
+    """Mean level of each row by a filter on a grid of levels and rates."""
+    grid = GridFilter(curve, sigma, level, rate, reach, step)
+    p, dz, out = grid.first, np.diff(z, prepend=z0), np.empty(len(dm))
+    for t in range(len(dm)):
+        p, out[t] = grid.forward(p, gr[t], dm[t], dz[t])
     return out
 
 
-def smooth_states(log_emit: np.ndarray, dm: np.ndarray, dz: np.ndarray, rates: np.ndarray, step: float, rate_noise: float = 0.002, level_noise: float = 0.05, momentum: float = 0.998, start: int | None = None) -> tuple[np.ndarray, float]:
-    """Posterior over levels by column, and the log-evidence, of a chain of (rate, level) by forward-backward.
+class StateChain:
+    """A chain of (rate, level) cells, one step at a time.
 
-    The rate walks by at most one cell with momentum toward 0; the level moves by rate * dm - dz, spread over five cells.
+    The rate moves by at most one cell: with a mean toward 0, a variance that grows with the way, chances of at least
+    1e-12 and of 0.9 together at most. Then the level moves by rate * dm - dz, spread over the five cells around it by a
+    Gaussian. What leaves either grid is lost.
     """
-    cols, n = log_emit.shape
-    k = len(rates)
-    dr = rates[1] - rates[0] if k > 1 else 1.0
-    e = np.exp(log_emit - log_emit.max(axis=1, keepdims=True))
-    cells = np.arange(n)
 
-    def rate_moves(t: int) -> np.ndarray:
-        mean, var = -(1 - momentum) * rates * dm[t], (rate_noise * np.sqrt(dm[t])) ** 2
-        second = (var + mean * mean) / dr**2
-        up, down = np.clip((second + mean / dr) / 2, 1e-12, 0.45), np.clip((second - mean / dr) / 2, 1e-12, 0.45)
-        m = np.zeros((k, k))
-        i = np.arange(k)
+    def __init__(self, rates: np.ndarray, levels: int, step: float, rate_noise: float = 0.002, level_noise: float = 0.02, momentum: float = 0.998):
+        self.rates, self.n, self.step = rates, levels, step
+        self.rate_noise, self.level_noise, self.momentum = rate_noise, level_noise, momentum
+        self.cells = np.arange(levels)
+
+    def start(self, level: float, rate: float, level_spread: float = 0.75, rate_spread: float = 0.01) -> np.ndarray:
+        """Gaussian around a cell of the level and around a rate; cells farther off than exp(-60) are empty."""
+        at = -0.5 * ((self.cells - level) * self.step / level_spread) ** 2
+        a = np.where(at < -60, 0.0, np.exp(at))[None, :] * np.exp(-0.5 * ((self.rates - rate) / rate_spread) ** 2)[:, None]
+        return a / max(a.sum(), 1e-300)
+
+    def moves(self, dm: float) -> np.ndarray:
+        """Chances from each rate to each."""
+        k = len(self.rates)
+        width = self.rates[1] - self.rates[0] if k > 1 else 1.0
+        var, mean = (self.rate_noise * np.sqrt(dm) / width) ** 2, -(1 - self.momentum) * self.rates * dm / width
+        up, down = np.maximum(0.5 * (var + mean), 1e-12), np.maximum(0.5 * (var - mean), 1e-12)
+        scale = 0.9 / np.maximum(up + down, 0.9)
+        up, down = up * scale, down * scale
+        i, m = np.arange(k), np.zeros((k, k))
         m[i, i] = 1 - up - down
-        m[i, np.minimum(i + 1, k - 1)] += up
-        m[i, np.maximum(i - 1, 0)] += down
+        m[i[:-1], i[:-1] + 1] = up[:-1]
+        m[i[1:], i[1:] - 1] = down[1:]
         return m
 
-    def kernel(t: int) -> tuple[np.ndarray, np.ndarray]:
-        shift = (rates * dm[t] - dz[t]) / step
-        mid = np.round(shift).astype(int)
-        s = max(level_noise, 0.35 * step) / step
-        w = np.exp(-0.5 * ((mid[:, None] + np.arange(-2, 3) - shift[:, None]) / s) ** 2)
-        return mid, w / w.sum(1, keepdims=True)
-
-    def push(a: np.ndarray, t: int, sign: int) -> np.ndarray:
-        mid, w = kernel(t)
+    def _shift(self, a: np.ndarray, dm: float, dz: float, sign: int) -> np.ndarray:
+        shift = (self.rates * dm - dz) / self.step
+        mid = np.floor(shift + 0.5).astype(int)
+        spread = max(self.level_noise, 0.35 * self.step) / self.step
+        w = np.exp(-0.5 * ((mid[:, None] + np.arange(-2, 3) - shift[:, None]) / spread) ** 2)
+        w /= w.sum(axis=1, keepdims=True)
         out = np.zeros_like(a)
         for j in range(5):
-            src = cells[None, :] - sign * (mid + j - 2)[:, None]
-            ok = (src >= 0) & (src < n)
-            out += w[:, j : j + 1] * np.where(ok, np.take_along_axis(a, np.clip(src, 0, n - 1), 1), 0.0)
+            src = self.cells[None, :] - sign * (mid + j - 2)[:, None]
+            ok = (src >= 0) & (src < self.n)
+            out += w[:, j : j + 1] * np.where(ok, np.take_along_axis(a, np.clip(src, 0, self.n - 1), 1), 0.0)
         return out
 
-    alpha = np.zeros((cols, k, n))
-    a = np.zeros((k, n))
-    a[k // 2, n // 2 if start is None else start] = 1.0
-    evidence = 0.0
+    def forward(self, a: np.ndarray, emit: np.ndarray, dm: float, dz: float) -> tuple[np.ndarray, float]:
+        """The next forward message, summing to 1, and the log of what it summed to; an empty one starts again everywhere."""
+        a = self._shift(self.moves(dm).T @ a, dm, dz, 1) * emit[None, :]
+        total = float(a.sum())
+        return (a / total, float(np.log(total))) if total > 0 else (np.full(a.shape, 1.0 / a.size), float(np.log(1e-300)))
+
+    def backward(self, b: np.ndarray, emit: np.ndarray, dm: float, dz: float) -> np.ndarray:
+        """The backward message before a step, at most 1."""
+        b = self.moves(dm) @ self._shift(emit[None, :] * b, dm, dz, -1)
+        return b / max(b.max(), 1e-300)
+
+
+def smooth_chunk(chain: StateChain, log_emit: np.ndarray, dm: np.ndarray, dz: np.ndarray, first: np.ndarray, last: np.ndarray) -> tuple[np.ndarray, float, np.ndarray]:
+    """Posterior over levels by column, the log-evidence, and the backward message before the first column.
+
+    ``first`` is the forward message before the first column, ``last`` the backward one after the last.
+    """
+    cols = len(log_emit)
+    top = log_emit.max(axis=1, keepdims=True)
+    e = np.exp(log_emit - top)
+    alpha, a, evidence = np.empty((cols, *first.shape)), first, 0.0
     for t in range(cols):
-        a = push(rate_moves(t).T @ a, t, 1) * e[t][None, :]
-        total = a.sum()
-        evidence += float(np.log(max(total, 1e-300)) + log_emit[t].max())
-        a = a / total if total > 0 else np.full((k, n), 1.0 / (k * n))
-        alpha[t] = a
-    post = np.empty((cols, n))
-    b = np.ones((k, n))
+        a, gain = chain.forward(a, e[t], dm[t], dz[t])
+        alpha[t], evidence = a, evidence + gain + float(top[t, 0])
+    post, b = np.empty((cols, chain.n)), last
     for t in range(cols - 1, -1, -1):
         p = alpha[t] * b
-        post[t] = p.sum(0) / max(p.sum(), 1e-300)
-        b = rate_moves(t) @ push(e[t][None, :] * b, t, -1)
-        b /= max(b.max(), 1e-300)
-    return post, evidence
+        post[t] = p.sum(axis=0) / max(p.sum(), 1e-300)
+        b = chain.backward(b, e[t], dm[t], dz[t])
+    return post, evidence, b
+
+
+def smooth_states(chain: StateChain, log_emit: np.ndarray, dm: np.ndarray, dz: np.ndarray, first: np.ndarray) -> tuple[np.ndarray, float]:
+    """Posterior over levels by column, and the log-evidence, by forward-backward from a first message."""
+    return smooth_chunk(chain, log_emit, dm, dz, first, np.ones_like(first))[:2]
 
 
 def smooth_levels(log_emit: np.ndarray, shift: np.ndarray, sigma: float, band: int, start: int) -> np.ndarray:

@@ -175,8 +175,9 @@ SMOOTHERS = {"fine": (0.2, 41, 150.0), "coarse": (0.7, 31, 80.0)}
 def state_smoother(w: Well, preset: str = "coarse", reach: float | None = None) -> dict[str, np.ndarray]:
     step, k, wide = SMOOTHERS[preset]
     levels = levels_of(w, reach or wide, step)
-    rates = w.rate + np.linspace(-0.06, 0.06, k)
-    post, _ = K.smooth_states(log_emission(w, levels, 0.5), w.dm, w.dz, rates, step, start=len(levels) // 2)
+    rates = w.rate + np.linspace(-0.1, 0.1, k)
+    chain = K.StateChain(rates, len(levels), step)
+    post, _ = K.smooth_states(chain, log_emission(w, levels), w.dm, w.dz, chain.start(len(levels) // 2, w.rate))
     return K.summary(post, levels)
 
 
@@ -223,16 +224,16 @@ def filtered_block(w: Well, seeds: int, particles: int = 400, base: int = 42) ->
     return K.particle_filters(w.dm, w.hidden("z"), w.hidden("gr"), w.curve, w.sigma, w.level, w.rows["z"][w.h - 1], w.rate, mine, particles, spread=4.5)
 
 
-def velocity_filter(w: Well, particles: int = 600) -> np.ndarray:
-    """A filter whose rate is that of a regression of level steps on z steps, and that also sees a smoothed signal."""
-    t, z = w.rows["tvt_input"][: w.h], w.rows["z"][: w.h]
-    dz = np.diff(z)
-    slope = float(np.polyfit(dz, np.diff(t), 1)[0]) if np.ptp(dz) > 1e-9 else 0.0
-    expected = np.cumsum(slope * w.dz) + w.level
-    two = 0.5 * (w.gr[w.h :] + M.smooth(w.gr, 4)[w.h :])
-    rate = float(np.median(np.diff(expected + w.hidden("z")) / w.dm[1:])) if len(w.dm) > 1 else 0.0
-    out, _ = K.particle_filters(w.dm, w.hidden("z"), two, w.curve, w.sigma, w.level, w.rows["z"][w.h - 1], rate, [K.seed_of(w.well_id, "v")], particles)
-    return out[0]
+def velocity_filter(w: Well, particles: int = 600, window: int = 5) -> np.ndarray:
+    """The filter whose rate follows that of z as a regression of the known rows has it, and that sees the signal and its mean over a window."""
+    slope, icpt, dev, rate = K.velocity_model(w.rows["tvt_input"][: w.h], w.rows["z"][: w.h], w.rows["md"][: w.h])
+    mean = lambda x: pd.Series(x).rolling(window, center=True, min_periods=1).mean().to_numpy()
+    smooth_curve = K.Curve(w.curve_t, mean(w.curve_g))
+    # the first step of depth and z is one, as from a row before
+    dm = np.append(1.0, np.maximum(np.diff(w.hidden("md")), 1.0))
+    dz = np.append(1.0, np.diff(w.hidden("z")))
+    seeds = [K.seed_of(w.well_id, "v")]
+    return K.velocity_filters(dm, dz, w.hidden("gr"), mean(w.rows["gr"])[w.h :], w.curve, smooth_curve, w.sigma, w.level, rate, slope, icpt, dev, seeds, particles)
 
 
 def heat_map(w: Well, bin_rows: int = 4, step: float = 2.0, filters: int = 48, particles: int = 400) -> dict | None:

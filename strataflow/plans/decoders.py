@@ -9,6 +9,7 @@ from pyspark.sql import Window as W
 from strataflow.kernels import filters as K
 from strataflow.kernels import matching as M
 from strataflow.kernels import series as S
+from strataflow.operators import chunks as H
 from strataflow.operators import decode as D
 from strataflow.operators import spatial as P
 from strataflow.plans.proxies import CURVES, WELLS, curves, wells
@@ -47,6 +48,18 @@ _path_query("g3_piecewise_planes", lambda w: S.piecewise_planes(w.hidden("x"), w
 SHORT_WINDOW, SHORT_SEGMENT = 11, 8
 
 
+def _chunked(name, run, kernel, column):
+    @query(name)
+    def q(spark, sf_dir):
+        """Wells in chunks of sixteen rows, with a state carried from each to the next."""
+        chunks = H.chunked(wells(spark, sf_dir), curves(spark, sf_dir), 20.0, size=16)
+        return run(chunks, kernel()).select("well_id", "row_idx", R(F.col(column)).alias("level"))
+
+
+_chunked("q10_chunked_filter", H.filter_wells, H.Grid, "level")
+_chunked("q11_chunked_smoother", H.smooth_wells, H.States, "mean")
+
+
 @query("q16_beam_search")
 def q16(spark, sf_dir):
     """One path by each preset."""

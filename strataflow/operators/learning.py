@@ -51,29 +51,3 @@ def place_folds(points: DataFrame, key: str, clusters: int = 8, k: int = 5, seed
 
 def vector_columns(df: DataFrame, col: str = "features") -> DataFrame:
     return df.withColumn(col, vector_to_array(col))
-
-
-def convex_blend(df: DataFrame, arms: list[str], y: str, rounds: int = 400) -> dict[str, float]:
-    """Weights that are not negative and sum to one of the least squared error, from one pass of moments (projected gradient on the driver)."""
-    import numpy as np
-
-    pairs = [(a, b) for i, a in enumerate(arms) for b in arms[i:]]
-    m = df.agg(*[F.avg((F.col(a) - F.col(y)) * (F.col(b) - F.col(y))).alias(f"{i}") for i, (a, b) in enumerate(pairs)]).first()
-    g = np.zeros((len(arms), len(arms)))
-    for v, (a, b) in zip(m, pairs, strict=True):
-        i, j = arms.index(a), arms.index(b)
-        g[i, j] = g[j, i] = v
-    w = np.full(len(arms), 1.0 / len(arms))
-    rate = 1.0 / max(np.linalg.eigvalsh(g).max(), 1e-12)
-    for _ in range(rounds):
-        w = _simplex(w - rate * (g @ w))
-    return dict(zip(arms, map(float, w), strict=True))
-
-
-def _simplex(v):
-    """The nearest point with parts that are not negative and sum to one."""
-    import numpy as np
-
-    u = np.sort(v)[::-1]
-    c = (np.cumsum(u) - 1) / np.arange(1, len(v) + 1)
-    return np.maximum(v - c[np.flatnonzero(u > c)[-1]], 0)

@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from strataflow.operators import trees as T
 from strataflow.plans.learning import lines
+from strataflow.plans.proxies import PREDICTIONS
 from strataflow.plans.registry import query
 
 R = lambda c, n=6: F.round(c, n)
@@ -39,3 +40,36 @@ def x10(spark, sf_dir):
     g = error_table(predictions(spark, sf_dir)).withColumn("label", (F.col("bias") > 0).cast("double"))
     out, _ = nested_detection(g, "well", ["n", "rmse"], "label")
     return out.select("well", "label", R(F.col("risk"), 5).alias("risk"), R(F.col("flagged"), 5).alias("flagged"), "repeats")
+
+
+ARMS = ["pred", "flat", "half"]
+
+
+def arms(spark, sf_dir):
+    """Three guesses of a price: by quantity, always the same, and between both."""
+    from strataflow.plans.proxies import predictions
+
+    return predictions(spark, sf_dir).withColumns({"flat": F.lit(38000.0), "half": F.col("pred") * 0.25 + 12000.0})
+
+
+@query(
+    "x7d_fold_moments",
+    f"""WITH {PREDICTIONS}, a AS (SELECT fold, y, pred AS a0, 38000.0::DOUBLE AS a1, pred * 0.25 + 12000.0 AS a2 FROM p),
+m AS (SELECT *, a0 + a1 + a2 - greatest(a0, a1, a2) - least(a0, a1, a2) AS mid FROM a),
+w AS (SELECT fold, y, greatest(least(a0, mid + 15000), mid - 15000) - y AS e0, greatest(least(a1, mid + 15000), mid - 15000) - y AS e1, greatest(least(a2, mid + 15000), mid - 15000) - y AS e2 FROM m)
+SELECT fold, count(*) AS n, round(sum(e0 * e0) / count(*), 2) AS m_0_0, round(sum(e0 * e1) / count(*), 2) AS m_0_1, round(sum(e0 * e2) / count(*), 2) AS m_0_2,
+ round(sum(e1 * e1) / count(*), 2) AS m_1_1, round(sum(e1 * e2) / count(*), 2) AS m_1_2, round(sum(e2 * e2) / count(*), 2) AS m_2_2 FROM w GROUP BY fold""",
+)
+def x7d_moments(spark, sf_dir):
+    from strataflow.operators import blending as B
+
+    m = B.fold_moments(B.winsorised(arms(spark, sf_dir), ARMS, 15000.0), ARMS, "y", "fold")
+    return m.select("fold", "n", *[R(F.col(c) / F.col("n"), 2).alias(c) for c in m.columns if c.startswith("m_")])
+
+
+@query("x7d_gated_blend")
+def x7d(spark, sf_dir):
+    from strataflow.operators import blending as B
+
+    out, _ = B.gated_blend(arms(spark, sf_dir), ARMS, "y", "well", "fold", 5, 15000.0, [0.0, 5000.0, 10000.0, 20000.0])
+    return out.select("well", "row", "fold", *[R(F.col(c), 4).alias(c) for c in ("blend", "calibrated", "prediction")])

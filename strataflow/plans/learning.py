@@ -224,12 +224,6 @@ def c20(spark, sf_dir):
     return e.select("vec_id", R(F.array_max("m")).alias("high"), R(F.array_min("m")).alias("low"), R(F.get(F.array_sort("m"), F.floor((F.size("m") - 1) / 2).cast("int"))).alias("middle"), F.size(F.filter("m", lambda v: v > 0)).alias("positive"))
 
 
-@query("c21_structural_choice", f"WITH {PREDICTIONS}, g AS (SELECT well, avg(abs(pred - y)) AS a, avg(abs(30000 - y)) AS b FROM p GROUP BY well) SELECT well, CASE WHEN a <= b THEN 'model' ELSE 'constant' END AS mode, round(least(a, b), 4) AS error FROM g")
-def c21(spark, sf_dir):
-    g = predictions(spark, sf_dir).groupBy("well").agg(F.avg(F.abs(F.col("pred") - F.col("y"))).alias("a"), F.avg(F.abs(30000 - F.col("y"))).alias("b"))
-    return g.select("well", F.when(F.col("a") <= F.col("b"), "model").otherwise("constant").alias("mode"), R(F.least("a", "b"), 4).alias("error"))
-
-
 def lines(spark, sf_dir):
     li = table(spark, sf_dir, "lineitem")
     return li.select(F.col("l_suppkey").alias("well"), (F.col("l_orderkey") * 10 + F.col("l_linenumber")).alias("row"), "l_quantity", "l_discount", "l_tax", F.when(F.col("l_linenumber") != 3, F.col("l_partkey") % 100).alias("gap"), "l_extendedprice")
@@ -256,15 +250,6 @@ def x1_place(spark, sf_dir):
     return place_folds(centroids(wells(spark, sf_dir)), "well_id")
 
 
-@query("x7d_convex_blend")
-def x7d(spark, sf_dir):
-    from strataflow.operators.learning import convex_blend
-
-    d = predictions(spark, sf_dir).withColumns({"flat": F.lit(38000.0), "half": F.col("pred") * 0.5 + 15000.0})
-    w = convex_blend(d, ["pred", "flat", "half"], "y")
-    return spark.createDataFrame([(k, round(v, 6)) for k, v in w.items()], "arm string, weight double")
-
-
 @query("x11_random_specs")
 def x11(spark, sf_dir):
     space = {"step": (0.2, 0.5, 0.7), "rates": (31, 41), "reach": (80.0, 150.0)}

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import importlib
 
-NAMES: tuple[str, ...] = ("sequences", "lookups", "statistics", "candidates", "decoders", "learning", "contacts", "learners", "evidence")
+NAMES: tuple[str, ...] = ("sequences", "lookups", "statistics", "candidates", "decoders", "learning", "contacts", "learners", "structural", "evidence")
 
 
 def load() -> None:

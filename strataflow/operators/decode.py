@@ -148,6 +148,18 @@ def templates(w: Well) -> np.ndarray | None:
     return None if np.isnan(found).any() else found
 
 
+def self_matches(w: Well, **options) -> dict | None:
+    """Candidate paths where the hidden signal looks like the known one; the anchor stays at the last level and goes with z."""
+    if not w.usable:
+        return None
+    anchor = w.level - (w.hidden("z") - w.rows["z"][w.h - 1]) * 0.1
+    found = M.self_candidates(w.rows["tvt_input"][: w.h], w.gr[: w.h], w.hidden_gr, anchor, w.level, **options)
+    if not found:
+        return None
+    at = w.hidden("row_idx").astype(np.int64)
+    return {"candidate": np.repeat(list(found), len(at)), "row_idx": np.tile(at, len(found)), "value": np.concatenate(list(found.values()))}
+
+
 def grid_filter(w: Well) -> np.ndarray | None:
     """None with fewer than five hidden rows or curve points."""
     if len(w.rows["md"]) - w.h < 5 or len(w.curve_t) < 5:

@@ -173,13 +173,6 @@ def c2(spark, sf_dir):
     return s.withColumn("offset", o).select("well_id", "window", "offset", R(F.col("s") + F.col("offset"), 7).alias("rate"))
 
 
-@query("c3_self_match_candidates")
-def c3(spark, sf_dir):
-    from strataflow.operators import decode as D
-
-    return D.paths(D.pack(wells(spark, sf_dir), curves(spark, sf_dir), 20.0), D.templates).groupBy("well_id").agg(R(F.avg("value")).alias("level"), F.count(F.lit(1)).alias("n"))
-
-
 @query("c5_piecewise_candidates", f"""WITH {WELLS}, a AS (SELECT *, arg_max(tvt_input, row_idx) FILTER (WHERE tvt_input IS NOT NULL) OVER (PARTITION BY well_id) AS l FROM h), i AS (SELECT well_id, l, row_number() OVER (PARTITION BY well_id ORDER BY row_idx) - 1 AS i, count(*) OVER (PARTITION BY well_id) - 1 AS n FROM a WHERE tvt_input IS NULL AND l IS NOT NULL)
 SELECT well_id, e AS "end", c AS curvature, round(avg(l + e * i / greatest(n, 1) + c * 4 * (i / greatest(n, 1)) * (1 - i / greatest(n, 1))), 5) AS level FROM i, (SELECT unnest([-24, -12, 0, 12, 24]::DOUBLE[]) AS e), (SELECT unnest([-10, 0, 10]::DOUBLE[]) AS c) GROUP BY ALL""")
 def c5(spark, sf_dir):

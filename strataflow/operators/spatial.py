@@ -1,26 +1,36 @@
 """Nearest neighbours in the plane without a cross join, and what is fitted to them.
 
-Points and queries are put into square cells. A query looks at its own cell and the eight around it; if its
-k-th neighbour there is no farther than the cell is wide, no point outside can be nearer and it is done. The
-others try again with cells four times as wide, until none is left. Cells hold a few points each to begin with, so a crowded cloud
-stays spread over tasks, and only queries far from all points see wide cells.
+The plane is cut into square cells by count: cells of about sixteen times k points to begin with, and those that hold
+far more into smaller ones. A query is sought in its own cell with a margin of a quarter of it, where a point is at most
+once in each cell; cells are compared in NumPy, a block of queries with a block of points at a time. A query whose k-th
+neighbour is no farther than the margin's edge is done, the others try again in cells sixteen times as large. A crowded
+place is thus many small cells; one where many points coincide keeps as many of them as a query can need.
 """
 
 from __future__ import annotations
 
 import math
 
-from pyspark import StorageLevel
+import numpy as np
+import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
+from pyspark.sql import types as T
+
+from strataflow.sources.wells import written
+
+#: Points of a cell for each neighbour asked for, and how many times as many it holds before it is split; the finest cells.
+CELL_POINTS, SPLIT, FINEST = 16, 4, 26
+#: Points and queries of a block; distances that are held at once.
+POINT_BLOCK, QUERY_BLOCK, HELD = 65_536, 16_384, 2_000_000
+MARGIN = 0.25
 
 
 def cut(df: DataFrame) -> DataFrame:
-    """``df``, computed once: checkpointed where the cluster names a shared folder, else kept on disk by its executors."""
-    if df.sparkSession.sparkContext.getCheckpointDir() is not None:
-        return df.checkpoint()
-    return df.persist(StorageLevel.DISK_ONLY)
+    """``df``, computed once, as a table in the shared folder."""
+    return written(df, "cut")
 
 
 def axis_scales(points: DataFrame) -> tuple[float, float, dict[str, float]]:
@@ -38,45 +48,170 @@ def knn_join(queries: DataFrame, points: DataFrame, k: int, query_id: str = "que
     """(query_id, point_id, value, px, py, dist, rank) of the k nearest points; distances that agree to nine places are ties, which go to the smaller point_id.
 
     ``exclude`` names a query and a point column that must differ (own well, own fold). Distances are scaled by ``sx`` and ``sy``.
+    Queries and points without a coordinate take no part.
     """
+    own, other = exclude or (None, None)
+    # a struct's parts may be null as far as types go, which is what tables that are written and read again say
+    named = F.col(query_id).cast(queries.schema[query_id].dataType.simpleString()).alias(query_id)
+    q = queries.where("x is not null and y is not null").select(named, (F.col("x") / sx).alias("qx"), (F.col("y") / sy).alias("qy"), (F.col(own) if own else F.lit(None).cast("int")).alias("_own"))
+    p = points.where("x is not null and y is not null").select("point_id", "value", F.col("x").alias("px"), F.col("y").alias("py"), (F.col(other) if other else F.lit(None).cast("int")).alias("_other"))
     if extent is None:
         extent = axis_scales(points)[2]
-    if not extent["n"]:
-        empty = queries.select(query_id).join(points.limit(0).select("point_id", "value", F.col("x").alias("px"), F.col("y").alias("py")))
-        return empty.withColumns({"dist": F.lit(0.0), "rank": F.lit(1)})
-    across = max((extent["x1"] - extent["x0"]) / sx, (extent["y1"] - extent["y0"]) / sy, 1e-9)
-    # first cells by where nine tenths of the points are, so that a few far ones do not put the cloud into one cell
-    dense = max((extent["xm"][1] - extent["xm"][0]) / sx, (extent["ym"][1] - extent["ym"][0]) / sy) or across
-    cell = dense / max(1.0, math.sqrt(extent["n"] / max(2.0 * k, 8.0)))
-    own, other = exclude or (None, None)
-    q = queries.select(query_id, (F.col("x") / sx).alias("qx"), (F.col("y") / sy).alias("qy"), *([F.col(own).alias("_own")] if own else []))
-    p = points.select("point_id", "value", F.col("x").alias("px"), F.col("y").alias("py"), *([F.col(other).alias("_other")] if other else []))
-    far = queries.agg(F.max(F.greatest(F.abs(F.col("x")) / sx, F.abs(F.col("y")) / sy))).first()[0] or 0.0
-    reach = 2.0 * (across + far + abs(extent["x0"]) / sx + abs(extent["y0"]) / sy) + cell
+    fields = [q.schema[0], *p.schema[:4], T.StructField("dist", T.DoubleType()), T.StructField("rank", T.IntegerType())]
+    schema = T.StructType([T.StructField(f.name, f.dataType) for f in fields])
+    around = q.agg(F.min("qx").alias("x0"), F.max("qx").alias("x1"), F.min("qy").alias("y0"), F.max("qy").alias("y1")).first()
+    if not extent["n"] or around.x0 is None:
+        return q.sparkSession.createDataFrame([], schema)
+    x0, y0 = min(extent["x0"] / sx, around.x0), min(extent["y0"] / sy, around.y0)
+    grid = _Grid(x0, y0, max(extent["x1"] / sx - x0, extent["y1"] / sy - y0, around.x1 - x0, around.y1 - y0, 1e-9) * (1 + 1e-9), sx, sy)
+    p, q = cut(p), cut(q)
+    p, hot = _cells(p, grid, k, extent["n"], own is not None)
+    q = q.withColumn("level", F.lit(_first_level(extent["n"], k)))
+    for at, (crowded, finer) in sorted(hot.items()):
+        q = q.withColumns({"_i": grid.cell("qx", "x", at), "_j": grid.cell("qy", "y", at)}).join(crowded.select("_i", "_j", F.lit(finer).alias("_finer")), ["_i", "_j"], "left")
+        q = q.withColumn("level", F.coalesce("_finer", "level")).drop("_i", "_j", "_finer")
     found = None
     while True:
-        last = cell >= reach
-        ring = F.array(*[F.struct(F.lit(a).alias("i"), F.lit(b).alias("j")) for a in (-1, 0, 1) for b in (-1, 0, 1)])
-        cx = lambda c, s=1.0: F.floor(F.col(c) / (s * cell)).cast("long")  # noqa: E731, B023
-        around = q.withColumn("_c", F.explode(ring)).withColumns({"_i": cx("qx") + F.col("_c.i"), "_j": cx("qy") + F.col("_c.j")}).drop("_c")
-        placed = p.withColumns({"_i2": cx("px", sx), "_j2": cx("py", sy)})
-        on = (F.col("_i") == F.col("_i2")) & (F.col("_j") == F.col("_j2"))
-        if own:
-            on = on & ~F.col("_own").eqNullSafe(F.col("_other"))
-        near = around.join(placed, on)
-        dx, dy = F.col("px") / sx - F.col("qx"), F.col("py") / sy - F.col("qy")
-        near = near.withColumn("dist", F.sqrt(dx * dx + dy * dy))
-        near = near.withColumn("rank", F.row_number().over(W.partitionBy(query_id).orderBy(F.round("dist", 9), "point_id"))).where(F.col("rank") <= k)
-        near = cut(near.select(query_id, "point_id", "value", "px", "py", "dist", "rank"))
-        if last:
-            return near if found is None else found.unionByName(near)
-        full = near.where((F.col("rank") == k) & (F.col("dist") <= cell)).select(F.col(query_id).alias("_done"))
-        part = near.join(full, F.col(query_id) == F.col("_done"), "left_semi")
+        near = cut(_search(q, p, grid, k, query_id, own is not None, schema))
+        done = near.where((F.col("rank") == k) & (F.col("dist") <= F.col("edge")) | (F.col("edge") == float("inf"))).select(F.col(query_id).alias("_done")).distinct()
+        part = near.drop("edge").join(done, F.col(query_id) == F.col("_done"), "left_semi")
         found = part if found is None else found.unionByName(part)
-        q = cut(q.join(full, F.col(query_id) == F.col("_done"), "left_anti"))
+        # at level 0 a query has seen all points
+        q = q.where("level > 0").join(done, F.col(query_id) == F.col("_done"), "left_anti")
+        q = cut(q.withColumn("level", F.greatest(F.col("level") - 2, F.lit(0)).cast("int")))
         if q.isEmpty():
             return found
-        cell *= 4.0
+
+
+def _first_level(n: int, k: int) -> int:
+    return max(0, min(FINEST, round(math.log(max(n / (CELL_POINTS * k), 1.0), 4))))
+
+
+class _Grid:
+    """Square cells over the plane: 2 ** level in each direction, so that coordinates are shares of the whole."""
+
+    def __init__(self, x0: float, y0: float, across: float, sx: float, sy: float):
+        self.x0, self.y0, self.across, self.sx, self.sy = x0, y0, across, sx, sy
+
+    def share(self, col: str, axis: str) -> Column:
+        """A scaled coordinate as a share of the way across."""
+        return (F.col(col) - (self.x0 if axis == "x" else self.y0)) / self.across
+
+    def of_point(self, axis: str) -> Column:
+        col, scale, low = ("px", self.sx, self.x0) if axis == "x" else ("py", self.sy, self.y0)
+        return (F.col(col) / scale - low) / self.across
+
+    def cell(self, col: str, axis: str, level: int | Column) -> Column:
+        v = self.of_point(axis) if col in ("px", "py") else self.share(col, axis)
+        n = F.lit(2.0**level) if isinstance(level, int) else F.pow(F.lit(2.0), level)
+        return F.floor(v * n).cast("long")
+
+
+def _cells(p: DataFrame, grid: _Grid, k: int, n: int, grouped: bool) -> tuple[DataFrame, dict[int, tuple[DataFrame, int]]]:
+    """(points, by level the cells to be split and the level they are split to); where points coincide in a finest cell, points without those that no query needs."""
+    hot: dict[int, tuple[DataFrame, int]] = {}
+    level, most = _first_level(n, k), SPLIT * CELL_POINTS * k
+    rest = p
+    while True:
+        placed = rest.withColumns({"_i": grid.cell("px", "x", level), "_j": grid.cell("py", "y", level)})
+        crowded = cut(placed.groupBy("_i", "_j").agg(F.count(F.lit(1)).alias("_n")).where(F.col("_n") > most))
+        top = crowded.agg(F.max("_n")).first()[0]
+        if top is None:
+            return p, hot
+        if level >= FINEST:
+            return _thinned(p, grid, crowded, k, grouped), hot
+        rest = placed.join(crowded.select("_i", "_j"), ["_i", "_j"], "left_semi").drop("_i", "_j")
+        finer = min(FINEST, level + max(1, math.ceil(math.log(top / (CELL_POINTS * k), 4))))
+        hot[level], level = (crowded, finer), finer
+
+
+def _thinned(p: DataFrame, grid: _Grid, crowded: DataFrame, k: int, grouped: bool) -> DataFrame:
+    """Points without those of a crowded finest cell that coincide with enough others: of one place k of each group, and 2 k in all, have the nearest of any query."""
+    p = p.withColumns({"_i": grid.cell("px", "x", FINEST), "_j": grid.cell("py", "y", FINEST)})
+    inside = p.join(crowded.select("_i", "_j"), ["_i", "_j"], "left_semi")
+    place = ("px", "py", "_other") if grouped else ("px", "py")
+    # a group's rows are cut before they meet those of other groups
+    some = inside.withColumn("_r", F.row_number().over(W.partitionBy(*place).orderBy("point_id"))).where(F.col("_r") <= k)
+    some = some.withColumn("_r", F.row_number().over(W.partitionBy("px", "py").orderBy("point_id"))).where(F.col("_r") <= 2 * k)
+    return cut(p.join(crowded.select("_i", "_j"), ["_i", "_j"], "left_anti").unionByName(some.drop("_r")).drop("_i", "_j"))
+
+
+def _search(q: DataFrame, p: DataFrame, grid: _Grid, k: int, query_id: str, grouped: bool, schema: T.StructType) -> DataFrame:
+    """The k nearest points that each query's cell and margin hold, with ``edge``, up to where they are known to be the nearest."""
+    level = F.col("level")
+    asked = q.withColumns({"_i": grid.cell("qx", "x", level), "_j": grid.cell("qy", "y", level)})
+    tiles = cut(asked.groupBy("level", "_i", "_j").agg(F.count(F.lit(1)).alias("_nq")))
+    levels = [r.level for r in tiles.select("level").distinct().collect()]
+    size = F.pow(F.lit(2.0), level)
+    # a point goes to its cell, and to those whose margin it is in
+    at = lambda axis: F.array_distinct(F.transform(F.array(*[F.lit(v) for v in (-MARGIN, 0.0, MARGIN)]), lambda m: F.floor(grid.of_point(axis) * size + m).cast("long")))
+    copies = p.withColumn("level", F.explode(F.array(*[F.lit(v) for v in levels]))).withColumn("_i", F.explode(at("x"))).withColumn("_j", F.explode(at("y")))
+    keys = ["level", "_i", "_j"]
+    counts = copies.join(tiles.select(*keys), keys, "left_semi").groupBy(*keys).agg(F.count(F.lit(1)).alias("_np"))
+    blocks = cut(tiles.join(counts, keys).select(*keys, F.ceil(F.col("_nq") / QUERY_BLOCK).alias("_qb"), F.ceil(F.col("_np") / POINT_BLOCK).alias("_pb")))
+    spread = lambda n: F.explode(F.sequence(F.lit(0).cast("long"), F.col(n) - 1))
+    a = asked.join(blocks, keys).withColumns({"_q": F.pmod(F.xxhash64(query_id), "_qb")}).withColumn("_p", spread("_pb"))
+    b = copies.join(blocks, keys).withColumns({"_p": F.pmod(F.xxhash64("point_id"), "_pb")}).withColumn("_q", spread("_qb"))
+    group = [*keys, "_q", "_p"]
+    a = a.select(*group, query_id, "qx", "qy", "_own", "_pb").groupBy(*group)
+    b = b.select(*group, "point_id", "value", "px", "py", "_other").groupBy(*group)
+    near = a.cogroup(b).applyInArrow(_nearest(grid, k, query_id, grouped), T.StructType([*schema, T.StructField("edge", T.DoubleType()), T.StructField("parts", T.LongType())]))
+    whole = near.where("parts = 1")
+    order = W.partitionBy(query_id).orderBy(F.round("dist", 9), "point_id")
+    merged = near.where("parts > 1").withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k)
+    return whole.unionByName(merged).drop("parts")
+
+
+def _nearest(grid: _Grid, k: int, query_id: str, grouped: bool):
+    """The kernel of one block of queries and one of points."""
+
+    def run(a: pa.Table, b: pa.Table) -> pa.Table:
+        names = [query_id, "point_id", "value", "px", "py"]
+        types = [a.schema.field(query_id).type, *(b.schema.field(c).type for c in names[1:])]
+        b = b.sort_by("point_id")
+        n = b.num_rows
+        level = a.column("level")[0].as_py() if a.num_rows else 0
+        cells = 2.0**level
+        px, py = (b.column(c).to_numpy() / s for c, s in (("px", grid.sx), ("py", grid.sy)))
+        qx, qy = a.column("qx").to_numpy(), a.column("qy").to_numpy()
+        if grouped:
+            codes = pd.factorize(pd.concat([a.column("_own").to_pandas(), b.column("_other").to_pandas()]), use_na_sentinel=False)[0]
+            mine, theirs = codes[: len(qx)], codes[len(qx) :]
+        rows, cols, dists = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)], [np.zeros(0)]
+        step = max(1, HELD // max(n, 1))
+        for lo in range(0, len(qx) if n else 0, step):
+            d = np.sqrt((px[None, :] - qx[lo : lo + step, None]) ** 2 + (py[None, :] - qy[lo : lo + step, None]) ** 2)
+            if grouped:
+                d[mine[lo : lo + step, None] == theirs[None, :]] = np.inf
+            if n > k:
+                # all that may tie with the k-th one
+                limit = np.partition(d, k - 1, axis=1)[:, k - 1 : k] + 2e-9
+                r, c = np.nonzero((d <= limit) & np.isfinite(d))
+            else:
+                r, c = np.nonzero(np.isfinite(d))
+            v = d[r, c]
+            order = np.lexsort((c, np.round(v, 9), r))
+            r, c, v = r[order], c[order], v[order]
+            keep = np.arange(len(r)) - np.searchsorted(r, r, side="left") < k
+            rows.append(r[keep] + lo), cols.append(c[keep]), dists.append(v[keep])
+        r, c, v = np.concatenate(rows), np.concatenate(cols), np.concatenate(dists)
+        rank = np.arange(len(r)) - np.searchsorted(r, r, side="left") + 1
+        edge = np.full(len(qx), np.inf)
+        for x, low, axis in ((qx, grid.x0, "_i"), (qy, grid.y0, "_j")):
+            i = a.column(axis)[0].as_py() if a.num_rows else 0
+            at = (x - low) / grid.across * cells
+            # what is beyond the outermost cells is nothing
+            if i > 0:
+                edge = np.minimum(edge, at - (i - MARGIN))
+            if i < cells - 1:
+                edge = np.minimum(edge, i + 1 + MARGIN - at)
+        edge = edge * grid.across / cells * (1 - 1e-9) - 2e-9
+        out = [a.column(query_id).combine_chunks().take(pa.array(r)), *(b.column(x).combine_chunks().take(pa.array(c)) for x in names[1:])]
+        parts = a.column("_pb").to_numpy()[r] if len(r) else np.zeros(0, np.int64)
+        arrays = [*(x.cast(t) for x, t in zip(out, types, strict=True)), pa.array(v), pa.array(rank, pa.int32()), pa.array(edge[r]), pa.array(parts, pa.int64())]
+        return pa.table(arrays, names=[*names, "dist", "rank", "edge", "parts"])
+
+    return run
 
 
 def inverse_distance(near: DataFrame, query_id: str = "query_id", power: float = 1.0, offset: float = 1e-3, floor: float = 0.0) -> DataFrame:

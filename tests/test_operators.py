@@ -90,6 +90,28 @@ def test_knn_matches_brute_force_and_excludes(spark):
     assert spatial.knn_join(qs, pts.limit(0), 5).count() == 0
 
 
+@pytest.mark.parametrize("grouped", [True, False])
+def test_knn_with_a_third_of_the_points_in_one_place(spark, monkeypatch, grouped):
+    """A crowded place, a dense pad and a thin rest, with cells and blocks so small that all of them are split."""
+    monkeypatch.setattr(spatial, "CELL_POINTS", 2)
+    monkeypatch.setattr(spatial, "POINT_BLOCK", 40)
+    monkeypatch.setattr(spatial, "QUERY_BLOCK", 30)
+    rng = np.random.default_rng(5)
+    p = np.round(np.concatenate([np.full((200, 2), 7.25), rng.normal(size=(200, 2)) * 0.01 + 3, rng.normal(size=(200, 2)) * 50]), 4)
+    w = [0 if i % 3 else i % 9 for i in range(600)]
+    pts = spark.createDataFrame([(i, w[i], float(x), float(y), float(i)) for i, (x, y) in enumerate(p)], "point_id long, w long, x double, y double, value double").repartition(6)
+    chosen = [*range(0, 600, 7), 1, 2]
+    qs = spark.createDataFrame([(i, w[i], *map(float, p[i])) for i in chosen] + [(9999, 0, -900.0, 900.0), (9998, 1, None, 1.0)], "query_id long, w long, x double, y double")
+    got = {}
+    for r in spatial.knn_join(qs, pts, 6, exclude=("w", "w") if grouped else None).collect():
+        got.setdefault(r.query_id, []).append((r["rank"], r.point_id))
+    assert set(got) == {*chosen, 9999}
+    for i in got:
+        (x, y), own = ((-900.0, 900.0), 0) if i == 9999 else (p[i], w[i])
+        d = [(round(math.hypot(a - x, b - y), 9), j) for j, (a, b) in enumerate(p) if not grouped or w[j] != own]
+        assert [v for _, v in sorted(got[i])] == [j for _, j in sorted(d)[:6]], i
+
+
 def test_local_plane_recovers_a_plane_and_nulls_a_line(spark):
     pts = spark.createDataFrame([(i, float(i % 5), float(i // 5), 2.0 + 3 * (i % 5) - (i // 5)) for i in range(25)], "point_id long, x double, y double, value double")
     q = spark.createDataFrame([(0, 1.3, 2.2)], "query_id long, x double, y double")

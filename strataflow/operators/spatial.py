@@ -14,6 +14,7 @@ import math
 import numpy as np
 import pandas as pd
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
@@ -52,9 +53,9 @@ def knn_join(queries: DataFrame, points: DataFrame, k: int, query_id: str = "que
     """
     own, other = exclude or (None, None)
     # a struct's parts may be null as far as types go, which is what tables that are written and read again say
-    named = F.col(query_id).cast(queries.schema[query_id].dataType.simpleString()).alias(query_id)
-    q = queries.where("x is not null and y is not null").select(named, (F.col("x") / sx).alias("qx"), (F.col("y") / sy).alias("qy"), (F.col(own) if own else F.lit(None).cast("int")).alias("_own"))
-    p = points.where("x is not null and y is not null").select("point_id", "value", F.col("x").alias("px"), F.col("y").alias("py"), (F.col(other) if other else F.lit(None).cast("int")).alias("_other"))
+    named = lambda df, c: F.col(c).cast(df.schema[c].dataType.simpleString()).alias(c)
+    q = queries.where("x is not null and y is not null").select(named(queries, query_id), (F.col("x") / sx).alias("qx"), (F.col("y") / sy).alias("qy"), (F.col(own) if own else F.lit(None).cast("int")).alias("_own"))
+    p = points.where("x is not null and y is not null").select(named(points, "point_id"), "value", F.col("x").alias("px"), F.col("y").alias("py"), (F.col(other) if other else F.lit(None).cast("int")).alias("_other"))
     if extent is None:
         extent = axis_scales(points)[2]
     fields = [q.schema[0], *p.schema[:4], T.StructField("dist", T.DoubleType()), T.StructField("rank", T.IntegerType())]
@@ -162,13 +163,20 @@ def _search(q: DataFrame, p: DataFrame, grid: _Grid, k: int, query_id: str, grou
     return whole.unionByName(merged).drop("parts")
 
 
+def _ascending(ids: pa.Array) -> pa.Array:
+    """The order of ids, a struct's by its parts in turn."""
+    parts = ids.flatten() if pa.types.is_struct(ids.type) else [ids]
+    names = [f"c{i}" for i in range(len(parts))]
+    return pc.sort_indices(pa.table(parts, names=names), sort_keys=[(n, "ascending") for n in names])
+
+
 def _nearest(grid: _Grid, k: int, query_id: str, grouped: bool):
     """The kernel of one block of queries and one of points."""
 
     def run(a: pa.Table, b: pa.Table) -> pa.Table:
         names = [query_id, "point_id", "value", "px", "py"]
         types = [a.schema.field(query_id).type, *(b.schema.field(c).type for c in names[1:])]
-        b = b.sort_by("point_id")
+        b = b.take(_ascending(b.column("point_id").combine_chunks()))
         n = b.num_rows
         level = a.column("level")[0].as_py() if a.num_rows else 0
         cells = 2.0**level

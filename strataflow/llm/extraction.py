@@ -7,7 +7,8 @@ its share of link characters and link tags. A node's density sum is that of its
 largest sum is the core of the article; the least density on its path to the body is the threshold, at or
 above which further subtrees with several text children count as parts of the article. A core is widened to
 the article or main element, or to a parent, that holds little else. Inside the core, blocks below the
-threshold that are mostly links are left out.
+threshold that are mostly links, of which there are many, are left out. A first-level heading right before the article
+belongs to it with its block.
 
 What menus, headers, footers, asides, forms and dialogs are called, and words of class, id or role, are a weight
 and no verdict: their text counts as if it were link text, which lowers its density. A name does not count
@@ -79,6 +80,8 @@ PARENT_SHARE, ARTICLE_SHARE = 0.7, 0.5
 FREE_SHARE = 0.2
 #: Share of link characters from which a block inside the core that is below the threshold is left out.
 LINK_SHARE = 0.6
+#: Links that such a block has at least, unless a name marks it; fewer are references.
+MANY_LINKS = 5
 HIDDEN = "hidden"
 
 
@@ -91,6 +94,10 @@ class Page:
         #: (node, text, number of the block that the text is in)
         self.texts: list[tuple[int, str, int]] = []
         self.block, self.names = 0, names
+        #: Places on the stack of the open elements, by name; of blocks; of those that end a search for an open paragraph.
+        self.open: dict[str, list[int]] = {}
+        self.blocks: list[int] = [0]
+        self.scopes: list[int] = [0]
         self._parse(source)
 
     def _parse(self, source: str) -> None:
@@ -118,30 +125,28 @@ class Page:
 
     def _close(self, stack: list[int], k: int) -> None:
         """End the element at place k of the stack and all below it."""
-        if any(self.tag[i] in BLOCK for i in stack[k:]):
+        if self.blocks[-1] >= k:
             self.block += 1
+        for i in stack[k:]:
+            self.open[self.tag[i]].pop()
+        for places in (self.blocks, self.scopes):
+            while places[-1] >= k:
+                places.pop()
         del stack[k:]
 
+    def _last(self, *names: str) -> int:
+        """The place of the innermost open element of any name, 0 without one."""
+        return max((places[-1] for n in names if (places := self.open.get(n))), default=0)
+
     def _start(self, stack: list[int], name: str, attrs: str) -> None:
         if name in ("html", "head", "body"):
             return
-        if name in CLOSES_P:
-            for k in range(len(stack) - 1, 0, -1):
-                tag = self.tag[stack[k]]
-                if tag == "p":
-                    self._close(stack, k)
-                    break
-                if tag in SCOPE:
-                    break
+        if name in CLOSES_P and (k := self._last("p")) > self.scopes[-1]:
+            self._close(stack, k)
         if name in ENDS:
             ends, stop = ENDS[name]
-            for k in range(len(stack) - 1, 0, -1):
-                tag = self.tag[stack[k]]
-                if tag in ends:
-                    self._close(stack, k)
-                    break
-                if tag in stop:
-                    break
+            if (k := self._last(*ends)) > self._last(*stop):
+                self._close(stack, k)
         if name in BLOCK:
             self.block += 1
         elif name == "br":
@@ -151,17 +156,18 @@ class Page:
         mark = "" if name in ("article", "main") else name if name in MARK_TAGS else _marked(attrs) if attrs else ""
         self.mark.append(mark)
         if name not in VOID:
+            self.open.setdefault(name, []).append(len(stack))
+            if name in BLOCK:
+                self.blocks.append(len(stack))
+            if name in SCOPE:
+                self.scopes.append(len(stack))
             stack.append(len(self.tag) - 1)
 
     def _end(self, stack: list[int], name: str) -> None:
-        inline = name not in BLOCK
-        for k in range(len(stack) - 1, 0, -1):
-            tag = self.tag[stack[k]]
-            if tag == name:
-                self._close(stack, k)
-                return
-            if inline and tag in BLOCK:
-                return
+        """End the innermost open element of that name; an inline one only within its block."""
+        k = self._last(name)
+        if k and (name in BLOCK or k > self.blocks[-1]):
+            self._close(stack, k)
 
     def _kept(self) -> list[bool]:
         """Which nodes may hold prose: not those that are hidden or hold none, nor those below one."""
@@ -179,8 +185,8 @@ class Page:
         for i in range(n - 1, 0, -1):
             holds[parent[i]] |= holds[i]
         for i in range(1, n):
-            inside[i] = inside[parent[i]] or tag[i] == "article"
-        # a header inside an article belongs to it, one outside is a header whatever it holds
+            inside[i] = inside[parent[i]] or tag[i] in ("article", "main")
+        # a header inside an article or main element belongs to it, one outside is a header whatever it holds
         own = [m if m and ((tag[i] == "header" and not inside[i]) or not (holds[i] or tag[i] == "header")) else "" for i, m in enumerate(mark)]
         off: set[str] = set()
         while True:
@@ -227,11 +233,7 @@ class Page:
         if not chars[0]:
             return ""
         density, sums, filled = self._densities(chars, links, tags, link_tags)
-        core = max(range(n), key=lambda i: (sums[i], -i))
-        threshold, i = density[core], core
-        while i > 0:
-            i = parent[i]
-            threshold = min(threshold, density[i])
+        core, threshold = self._core(density, sums)
         # subtrees by their node of the largest sum, from the body down
         best = list(range(n))
         for i in range(n - 1, 0, -1):
@@ -242,12 +244,13 @@ class Page:
         while i >= 0:
             path.add(i)
             i = parent[i]
+        title = self._title(top, path, chars, links, weighed)
         covered = [False] * n
         for i in range(n):
-            covered[i] = i == top or (i > 0 and covered[parent[i]])
+            covered[i] = i in (top, title) or (i > 0 and covered[parent[i]])
             block = tag[i] in BLOCK and chars[i] and i not in path
             if covered[i] and block:
-                many = weighed[i] or link_tags[i] > 1
+                many = weighed[i] or link_tags[i] >= MANY_LINKS
                 covered[i] = not (many and density[i] < threshold and links[i] >= LINK_SHARE * chars[i])
             elif block:
                 covered[i] = density[i] >= threshold and filled[best[i]] > 1
@@ -266,6 +269,15 @@ class Page:
                     filled[parent[i]] += 1
         return density, sums, filled
 
+    def _core(self, density: list[float], sums: list[float]) -> tuple[int, float]:
+        """The node of the largest density sum, and the least density from it up to the body."""
+        core = i = max(range(len(sums)), key=lambda i: (sums[i], -i))
+        threshold = density[core]
+        while i > 0:
+            i = self.parent[i]
+            threshold = min(threshold, density[i])
+        return core, threshold
+
     def _widen(self, core: int, chars: list[int]) -> int:
         """The article, main element or parent that holds little else than the core, by characters that are no links."""
         i = core
@@ -277,6 +289,29 @@ class Page:
             core = self.parent[core]
         return core
 
+    def _title(self, top: int, path: set[int], chars: list[int], links: list[int], weighed: list[bool]) -> int:
+        """The block of the last first-level heading before the article, if that has none, and no name or links say that the block is something else; else -1."""
+        tag, parent = self.tag, self.parent
+        found = -1
+        for i in range(1, len(tag)):
+            if tag[i] == "h1" and chars[i] and not weighed[i]:
+                if i < top:
+                    found = i
+                else:
+                    at = i
+                    while at > top:
+                        at = parent[at]
+                    # nodes come in document order, so one below the article leads up to it
+                    if at == top:
+                        return -1
+        if found < 0:
+            return -1
+        marked = bool(self.names and self.mark[found])
+        while parent[found] not in path:
+            found = parent[found]
+            marked |= bool(self.names and self.mark[found])
+        return -1 if marked or links[found] >= LINK_SHARE * chars[found] else found
+
     @staticmethod
     def _render(texts: list[tuple[int, str, int]], covered: list[bool]) -> str:
         """The covered texts, those of one block joined."""

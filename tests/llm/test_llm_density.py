@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import math
 import random
+import time
 
 import pytest
 
@@ -130,3 +131,73 @@ def test_marked_text_beside_an_article_is_left_out_even_if_longer():
 def test_menus_inside_the_core_and_linked_paragraphs():
     text = extraction.main_text(f"<article><h1>T</h1>{PROSE}{MENU}<p>see <a href='/x'>this</a> page</p>{PROSE}</article>")
     assert "home page" not in text and "see this page" in text
+
+
+ARTICLE = "".join(f"<p>This is paragraph number {i} with quite some words in it, so that it is dense enough to be prose.</p>" for i in range(6))
+
+
+def test_titles_and_references_belong_to_the_article():
+    first = lambda page: extraction.main_text(page).split("\n")
+    assert first(f"<nav><a href=#>Home</a></nav><main><header><h1>Head</h1></header>{ARTICLE}</main>")[0] == "Head"
+    got = first(f"<div><h1>Head</h1><p>By Jane</p></div><div>{ARTICLE}</div>")
+    assert got[:2] == ["Head", "By Jane"] and len(got) == 8
+    got = first(f"<article>{ARTICLE}<ul><li><a href=#>First source</a></li><li><a href=#>Second source</a></li></ul></article>")
+    assert got[-2:] == ["First source", "Second source"]
+    # a site's header stays out, and so does a list of many links
+    assert first(f"<div class=header><h1>Site</h1></div><article>{ARTICLE}</article>")[0].startswith("This is paragraph")
+    many = "".join(f"<li><a href=#>Link {i}</a></li>" for i in range(8))
+    assert not any(x.startswith("Link") for x in first(f"<article>{ARTICLE}<ul>{many}</ul></article>"))
+
+
+@pytest.mark.parametrize("page", [lambda n: "<div>" * n + "x" + "</p>" * n, lambda n: "<i><div>" + "<b>" * n + "</i>" * n, lambda n: "<div>" * n + "x"])
+def test_broken_pages_are_parsed_in_linear_time(page):
+    """Four times as many unmatched or nested tags take about four times as long."""
+
+    def seconds(n):
+        began = time.perf_counter()
+        extraction.main_text(page(n))
+        return time.perf_counter() - began
+
+    seconds(2_000)
+    assert min(seconds(40_000) for _ in range(2)) < 12 * max(min(seconds(10_000) for _ in range(3)), 0.02)
+
+
+def plain_core(page):
+    """Core and threshold by loops over all nodes and their ancestors, from the tree alone."""
+    p = extraction.Page(page, names=False)
+    n = len(p.tag)
+    up = [[i] for i in range(n)]
+    for i in range(1, n):
+        up[i] = [i, *up[p.parent[i]]]
+    own = [sum(len(w) for node, t, _ in p.texts if node == i for w in t.split()) for i in range(n)]
+    below = [[j for j in range(n) if i in up[j]] for i in range(n)]
+    chars = [sum(own[j] for j in b) for b in below]
+    links = [sum(own[j] for j in b if any(p.tag[u] == "a" for u in up[j])) for b in below]
+    tags = [sum(1 for j in b if j) for b in below]
+    link_tags = [sum(1 for j in b if p.tag[j] == "a") for b in below]
+    share = links[0] / chars[0]
+    density = [0.0] * n
+    for i in range(n):
+        if chars[i]:
+            t = max(tags[i], 1)
+            adjusted = chars[i] / max(links[i], 1) * t / max(link_tags[i], 1)
+            base = math.log(chars[i] / max(chars[i] - links[i], 1) * links[i] + share * chars[i] + math.e)
+            density[i] = chars[i] / t * max(math.log(max(adjusted, 1)) / math.log(max(base, math.e)), 0)
+    sums = [sum(density[j] for j in range(1, n) if p.parent[j] == i) for i in range(n)]
+    core = max(range(n), key=lambda i: (sums[i], -i))
+    return p, core, min(density[u] for u in up[core]), density, sums
+
+
+def test_core_and_threshold_match_a_plain_walk():
+    r = random.Random(3)
+    for _ in range(40):
+        part = lambda: "".join(f"<{t}>{'word ' * r.randrange(1, 30)}<a href=#>{'link ' * r.randrange(0, 6)}</a></{t}>" for t in r.choices(("p", "li", "div", "span", "section"), k=r.randrange(1, 6)))
+        page = "".join(f"<div>{part()}</div>" for _ in range(r.randrange(2, 6)))
+        p, core, threshold, density, sums = plain_core(page)
+        found = p._core(density, sums)
+        assert found == (core, threshold)
+        # what the page itself reckons leads to the same place
+        seen = []
+        p._core = lambda d, s, seen=seen: seen.append((d, s)) or found
+        p.text()
+        assert seen[0][0] == pytest.approx(density) and seen[0][1] == pytest.approx(sums)

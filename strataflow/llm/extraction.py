@@ -7,7 +7,7 @@ its share of link characters and link tags. A node's density sum is that of its
 largest sum is the core of the article; the least density on its path to the body is the threshold, at or
 above which further subtrees with several text children count as parts of the article. A core is widened to
 the article or main element, or to a parent, that holds little else. Inside the core, blocks below the
-threshold that are mostly links, of which there are many, are left out. A first-level heading right before the article
+threshold that are mostly links are left out, but for a few links at the end. A first-level heading right before the article
 belongs to it with its block.
 
 What menus, headers, footers, asides, forms and dialogs are called, and words of class, id or role, are a weight
@@ -80,8 +80,8 @@ PARENT_SHARE, ARTICLE_SHARE = 0.7, 0.5
 FREE_SHARE = 0.2
 #: Share of link characters from which a block inside the core that is below the threshold is left out.
 LINK_SHARE = 0.6
-#: Links that such a block has at least, unless a name marks it; fewer are references.
-MANY_LINKS = 5
+#: Links up to which such a block at the very end of the article, unmarked, is one of references.
+MANY_LINKS = 4
 HIDDEN = "hidden"
 
 
@@ -215,7 +215,7 @@ class Page:
                 t = html.unescape(raw) if "&" in raw else raw
                 texts.append((node, t, block))
                 chars[node] += sum(map(len, t.split()))
-        weighed = self._weighed(chars)
+        weighed, own = self._weighed(chars), list(chars)
         links = [c if w else 0 for c, w in zip(chars, weighed, strict=True)]
         tags, link_tags = [0] * n, [0] * n
         for i in range(1, n):
@@ -245,12 +245,13 @@ class Page:
             path.add(i)
             i = parent[i]
         title = self._title(top, path, chars, links, weighed)
+        trail = self._trail(top, own)
         covered = [False] * n
         for i in range(n):
             covered[i] = i in (top, title) or (i > 0 and covered[parent[i]])
             block = tag[i] in BLOCK and chars[i] and i not in path
             if covered[i] and block:
-                many = weighed[i] or link_tags[i] >= MANY_LINKS
+                many = weighed[i] or link_tags[i] > (MANY_LINKS if i in trail else 1)
                 covered[i] = not (many and density[i] < threshold and links[i] >= LINK_SHARE * chars[i])
             elif block:
                 covered[i] = density[i] >= threshold and filled[best[i]] > 1
@@ -289,6 +290,20 @@ class Page:
             core = self.parent[core]
         return core
 
+    def _trail(self, top: int, own: list[int]) -> set[int]:
+        """The nodes below the article that its last text is in; ``own`` are the characters of each node alone."""
+        inside, last = [False] * len(own), -1
+        inside[top] = True
+        for i in range(top + 1, len(own)):
+            inside[i] = inside[self.parent[i]]
+            if inside[i] and own[i]:
+                last = i
+        found = set()
+        while last > top:
+            found.add(last)
+            last = self.parent[last]
+        return found
+
     def _title(self, top: int, path: set[int], chars: list[int], links: list[int], weighed: list[bool]) -> int:
         """The block of the last first-level heading before the article, if that has none, and no name or links say that the block is something else; else -1."""
         tag, parent = self.tag, self.parent

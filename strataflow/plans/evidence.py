@@ -85,11 +85,20 @@ def c13(spark, sf_dir):
     return t.select("grp", "cand", "fold", R(F.col("prediction")).alias("member_score"))
 
 
-@query("c16_disagreement", f"WITH {PREDICTIONS}, a AS (SELECT well, row, [pred, 30000, pred * 0.5 + 15000]::DOUBLE[] AS m FROM p) SELECT well, row, round(list_max(m) - list_min(m), 4) AS spread, round(list_avg(m), 4) AS mean FROM a")
+@query(
+    "c16_disagreement",
+    f"""WITH {PREDICTIONS}, a AS (SELECT well, row, pred AS a, 30000.0::DOUBLE AS b, pred * 0.5 + 15000.0 AS c FROM p), m AS (SELECT *, (a + b + c) / 3 AS mean, greatest(a, b, c) - least(a, b, c) AS spread FROM a),
+g AS (SELECT well, avg(spread) AS group_spread, round(avg(abs(a - mean)), 6) AS da, round(avg(abs(b - mean)), 6) AS db, round(avg(abs(c - mean)), 6) AS dc FROM m GROUP BY well)
+SELECT well, row, round(spread, 4) AS spread, round(mean, 4) AS mean, round(sqrt(((a - mean) * (a - mean) + (b - mean) * (b - mean) + (c - mean) * (c - mean)) / 3), 4) AS std, round(mean - a, 4) + 0.0 AS move,
+  round((CASE WHEN b > a THEN 1 ELSE 0 END + CASE WHEN c > a THEN 1 ELSE 0 END) / 3.0, 4) AS above, round(group_spread, 4) AS group_spread,
+  CASE WHEN da <= db AND da <= dc THEN 'a' WHEN db <= dc THEN 'b' ELSE 'c' END AS central FROM m JOIN g USING (well)""",
+)
 def c16(spark, sf_dir):
-    m = F.array(F.col("pred"), F.lit(30000.0), F.col("pred") * 0.5 + 15000.0)
-    mean = F.aggregate("m", F.lit(0.0), lambda a, v: a + v) / F.size("m")
-    return predictions(spark, sf_dir).withColumn("m", m).select("well", "row", R(F.array_max("m") - F.array_min("m"), 4).alias("spread"), R(mean, 4).alias("mean"))
+    from strataflow.operators.candidates import disagreement
+
+    arms = {"a": F.col("pred"), "b": F.lit(30000.0), "c": F.col("pred") * 0.5 + 15000.0}
+    d = disagreement(predictions(spark, sf_dir).withColumns(arms), list(arms), "a", "well")
+    return d.select("well", "row", *[(R(F.col(c), 4) + 0.0).alias(c) for c in ("spread", "mean", "std", "move", "above", "group_spread")], "central")
 
 
 @query("g2_trend_blocks")

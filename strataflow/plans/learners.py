@@ -67,6 +67,16 @@ def x7d_moments(spark, sf_dir):
     return m.select("fold", "n", *[R(F.col(c) / F.col("n"), 2).alias(c) for c in m.columns if c.startswith("m_")])
 
 
+@query("x7d_convex_blend")
+def x7d_weights(spark, sf_dir):
+    """The weights that the moments of all folds give."""
+    from strataflow.operators import blending as B
+
+    m = B.fold_moments(arms(spark, sf_dir).withColumn("all", F.lit(0)), ARMS, "y", "all")
+    w = B.outer_weights(m, ARMS, 2)[1]
+    return spark.createDataFrame([(a, round(float(v), 6)) for a, v in zip(ARMS, w, strict=True)], "arm string, weight double")
+
+
 @query("x7d_gated_blend")
 def x7d(spark, sf_dir):
     from strataflow.operators import blending as B

@@ -8,10 +8,11 @@ from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
 from strataflow.functions import columns as C
+from strataflow.operators import candidates as V
 from strataflow.operators import crossfit as X
 from strataflow.operators import sequence as S
 from strataflow.operators.order import running
-from strataflow.plans.proxies import CURVES, PREDICTIONS, WELLS, curves, predictions, wells
+from strataflow.plans.proxies import CURVES, PREDICTIONS, SCORED, WELLS, curves, predictions, scored, wells
 from strataflow.plans.registry import query
 from strataflow.sources import wells as io
 from strataflow.tables import table
@@ -161,27 +162,43 @@ def j7_gradient(spark, sf_dir):
     return g.select("well_id", "row_idx", (R(F.col("gx")) + 0.0).alias("gx"), (R(F.col("gy")) + 0.0).alias("gy"))
 
 
-@query("c2_rate_candidates", f"""WITH {WELLS}, t AS (SELECT *, row_number() OVER (PARTITION BY well_id ORDER BY row_idx DESC) AS back FROM h WHERE tvt_input IS NOT NULL),
-w AS (SELECT t.*, win FROM t, (SELECT unnest([16, 32, 64]) AS win) WHERE back <= win), s AS (SELECT well_id, win, regr_slope(tvt_input + z, md) AS s FROM w GROUP BY ALL)
-SELECT well_id, win AS "window", o AS "offset", round(s + o, 7) + 0.0 AS rate FROM s, (SELECT unnest([-0.012, -0.006, 0, 0.006, 0.012]::DOUBLE[]) AS o)""")
+@query(
+    "c2_rate_candidates",
+    f"""WITH {WELLS}, t AS (SELECT *, row_number() OVER (PARTITION BY well_id ORDER BY row_idx DESC) AS back, count(*) OVER (PARTITION BY well_id) AS known FROM h WHERE tvt_input IS NOT NULL),
+v AS (SELECT DISTINCT well_id, unnest([32, 64, 128, 256, 512, known]) AS win FROM t),
+s AS (SELECT t.well_id, win, coalesce(regr_slope(tvt_input + z, md), 0) AS s FROM t JOIN v ON v.well_id = t.well_id AND back <= win GROUP BY ALL),
+l AS (SELECT well_id, arg_max(tvt_input + z, row_idx) AS u, arg_max(md, row_idx) AS m, arg_max(tvt_input, row_idx) AS lv FROM t GROUP BY well_id HAVING count(*) >= 2),
+o AS (SELECT unnest([-0.012, -0.006, 0, 0.006, 0.012]::DOUBLE[]) AS o), b AS (SELECT unnest([0, 0.5]::DOUBLE[]) AS b),
+x AS (SELECT h.well_id, win, o, b, row_idx, u + (s + o) * (md - m) - z AS line, lv + 0.125 * row_idx AS anchor FROM h JOIN s USING (well_id) JOIN l USING (well_id) CROSS JOIN o CROSS JOIN b WHERE tvt_input IS NULL),
+g AS (SELECT well_id, win, o, b, avg(line) AS ml, avg(anchor) AS ma, max(row_idx) AS last FROM x GROUP BY ALL)
+SELECT well_id, win AS "window", o AS "offset", b AS blend, round((1 - b) * ml + b * ml, 5) AS level,
+  round((1 - b) * line + b * (ml + anchor - ma), 5) AS last FROM x JOIN g USING (well_id, win, o, b) WHERE row_idx = g.last""",
+)
 def c2(spark, sf_dir):
-    back = F.row_number().over(W.partitionBy("well_id").orderBy(F.desc("row_idx")))
-    t = wells(spark, sf_dir).where("tvt_input is not null").withColumn("back", back)
-    t = t.withColumn("window", F.explode(F.array(*[F.lit(w) for w in (16, 32, 64)]))).where("back <= window")
-    s = t.groupBy("well_id", "window").agg(F.regr_slope(F.col("tvt_input") + F.col("z"), F.col("md")).alias("s"))
-    o = F.explode(F.array(*[F.lit(float(x)) for x in (-0.012, -0.006, 0, 0.006, 0.012)]))
-    return s.withColumn("offset", o).select("well_id", "window", "offset", R(F.col("s") + F.col("offset"), 7).alias("rate"))
+    """All windows, offsets and blends; the mean level of each candidate and its last one."""
+    h = S.anchors(wells(spark, sf_dir), "tvt_input").withColumn("anchor", F.col("last_tvt_input") + 0.125 * F.col("row_idx"))
+    c = V.rate_candidates(h, "anchor")
+    return c.groupBy("well_id", "window", "offset", "blend").agg(R(F.avg("tvt"), 5).alias("level"), R(F.max_by("tvt", "row_idx"), 5).alias("last"))
 
 
-@query("c5_piecewise_candidates", f"""WITH {WELLS}, a AS (SELECT *, arg_max(tvt_input, row_idx) FILTER (WHERE tvt_input IS NOT NULL) OVER (PARTITION BY well_id) AS l FROM h), i AS (SELECT well_id, l, row_number() OVER (PARTITION BY well_id ORDER BY row_idx) - 1 AS i, count(*) OVER (PARTITION BY well_id) - 1 AS n FROM a WHERE tvt_input IS NULL AND l IS NOT NULL)
-SELECT well_id, e AS "end", c AS curvature, round(avg(l + e * i / greatest(n, 1) + c * 4 * (i / greatest(n, 1)) * (1 - i / greatest(n, 1))), 5) AS level FROM i, (SELECT unnest([-24, -12, 0, 12, 24]::DOUBLE[]) AS e), (SELECT unnest([-10, 0, 10]::DOUBLE[]) AS c) GROUP BY ALL""")
+@query(
+    "c5_piecewise_candidates",
+    f"""WITH {WELLS}, a AS (SELECT *, arg_max(tvt_input, row_idx) FILTER (WHERE tvt_input IS NOT NULL) OVER w AS l, arg_max(z, row_idx) FILTER (WHERE tvt_input IS NOT NULL) OVER w AS z0,
+  arg_max(md, row_idx) FILTER (WHERE tvt_input IS NOT NULL) OVER w AS m0 FROM h WINDOW w AS (PARTITION BY well_id)),
+i AS (SELECT *, row_number() OVER (PARTITION BY well_id ORDER BY row_idx) - 1 AS i, count(*) OVER (PARTITION BY well_id) AS nh FROM a WHERE tvt_input IS NULL AND l IS NOT NULL),
+k AS (SELECT well_id, j, CAST(floor(j * (nh - 1) / 11.0::DOUBLE) AS BIGINT) AS i FROM (SELECT DISTINCT well_id, nh FROM i), (SELECT unnest(range(0, 12)) AS j)),
+ee AS (SELECT unnest([-24, -12, 0, 12, 24]::DOUBLE[]) AS e), s AS (SELECT unnest([-0.012, 0, 0.012]::DOUBLE[]) AS s), c AS (SELECT unnest([-10, 0, 10]::DOUBLE[]) AS c),
+p AS (SELECT k.well_id, j, k.i, e, s, c, l + e * (j / 11.0) + s * (md - m0) + c * 4 * (j / 11.0) * (1 - j / 11.0) AS v FROM k JOIN i ON i.well_id = k.well_id AND i.i = k.i CROSS JOIN ee CROSS JOIN s CROSS JOIN c),
+q AS (SELECT p.*, lead(i) OVER o AS i1, lead(v) OVER o AS v1 FROM p WINDOW o AS (PARTITION BY well_id, e, s, c ORDER BY j)),
+r AS (SELECT i.well_id, i.row_idx, e, s, c, CASE WHEN i1 IS NULL THEN v ELSE v + (v1 - v) * (i.i - q.i) / (i1 - q.i) END AS t
+  FROM i JOIN q ON q.well_id = i.well_id AND i.i >= q.i AND (i.i < i1 OR (i1 IS NULL AND i.i = q.i)))
+SELECT well_id, e AS "end", s AS slope, c AS curvature, round(avg(t), 5) AS level, round(max(t) - min(t), 5) AS swing FROM r GROUP BY ALL""",
+)
 def c5(spark, sf_dir):
-    h = S.anchors(wells(spark, sf_dir), "tvt_input").where("tvt_input is null and last_tvt_input is not null")
-    s = (F.row_number().over(S.ordered()) - 1) / F.greatest(F.count(F.lit(1)).over(S.whole()) - 1, F.lit(1))
-    fan = F.array(*[F.struct(F.lit(float(e)).alias("end"), F.lit(float(c)).alias("curvature")) for e in (-24, -12, 0, 12, 24) for c in (-10, 0, 10)])
-    h = h.withColumn("s", s).withColumn("f", F.explode(fan)).select("*", "f.*")
-    level = F.col("last_tvt_input") + F.col("end") * F.col("s") + F.col("curvature") * 4 * F.col("s") * (1 - F.col("s"))
-    return h.groupBy("well_id", "end", "curvature").agg(R(F.avg(level), 5).alias("level"))
+    """Endpoints, slopes and curvatures at twelve knots, lines between; mean level and swing of each candidate."""
+    h = S.anchors(wells(spark, sf_dir), "tvt_input", "md")
+    c = V.piecewise_candidates(h)
+    return c.groupBy("well_id", "end", "slope", "curvature").agg(R(F.avg("tvt"), 5).alias("level"), R(F.max("tvt") - F.min("tvt"), 5).alias("swing"))
 
 
 @query("c6_score_paths", f"""WITH {WELLS}, {CURVES}, s AS (SELECT h.well_id, o, gr - v AS r FROM (SELECT well_id, curve_id, gr, round(tvt + o) AS t, o FROM h, (SELECT unnest([-5, 0, 5]::DOUBLE[]) AS o) WHERE gr IS NOT NULL) h JOIN (SELECT curve_id, tvt, gr / 20.0 AS v FROM c) c ON c.curve_id = h.curve_id AND c.tvt = h.t)
@@ -202,6 +219,22 @@ def c11(spark, sf_dir):
     return error_table(predictions(spark, sf_dir)).select("well", R(F.col("rmse"), 4).alias("path_rmse"), R(F.abs("bias"), 4).alias("level_error"))
 
 
+@query(
+    "c17_member_sidecar",
+    f"""WITH {SCORED}, r AS (SELECT *, row_number() OVER (PARTITION BY grp ORDER BY score DESC, cand) AS r, floor(delta / 6) AS bin FROM k),
+b AS (SELECT grp, bin, max(score) AS best, count(*) AS n, row_number() OVER (PARTITION BY grp ORDER BY max(score) DESC, bin) AS r FROM r GROUP BY grp, bin),
+t AS (SELECT grp, max(score) FILTER (WHERE r = 1) AS top1, max(score) FILTER (WHERE r = 2) AS top2, max(delta) FILTER (WHERE r = 1) AS d1, max(delta) FILTER (WHERE r = 2) AS d2,
+  max(family) FILTER (WHERE r = 1) AS f1, max(family) FILTER (WHERE r = 2) AS f2, count(*) AS n FROM r GROUP BY grp),
+near AS (SELECT r.grp, count(*) AS near FROM r JOIN t USING (grp) WHERE score >= top1 - 25 AND r.r > 1 GROUP BY r.grp),
+c AS (SELECT grp, max(best) FILTER (WHERE r = 1) - max(best) FILTER (WHERE r = 2) AS gap, max(n) FILTER (WHERE r = 1) AS members, count(*) AS clusters FROM b GROUP BY grp)
+SELECT grp, n, top1, top1 - top2 AS margin, round(abs(d1 - d2), 6) AS apart, f1 = f2 AS same_family, coalesce(near, 0) AS near_ties, c.gap AS cluster_gap, c.members, c.clusters
+FROM t JOIN c USING (grp) LEFT JOIN near USING (grp)""",
+)
+def c17(spark, sf_dir):
+    """Of each group the best members, how far the second is, how many nearly tie, and the same for clusters of levels."""
+    return V.member_sidecar(scored(spark, sf_dir), "grp", 6.0, 25.0)
+
+
 @query("c17_top_gaps", "WITH r AS (SELECT o_custkey AS k, o_totalprice AS v, row_number() OVER (PARTITION BY o_custkey ORDER BY o_totalprice DESC, o_orderkey) AS r FROM orders) SELECT k, max(v) FILTER (WHERE r = 1) AS top1, max(v) FILTER (WHERE r = 2) AS top2, count(*) AS n FROM r GROUP BY k")
 def c17(spark, sf_dir):
     o = table(spark, sf_dir, "orders").select(F.col("o_custkey").alias("k"), F.col("o_totalprice").alias("v"))
@@ -233,6 +266,7 @@ def _learned(name, learner):
 
 
 _learned("x9_ridge_out_of_fold", "ridge")
+_learned("c12_forest_out_of_fold", "forest")
 
 
 @query("x1_place_folds")

@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
+from strataflow.functions.columns import hash_unit
 from strataflow.operators.order import running
 
 
@@ -58,3 +59,10 @@ def blend_sweep(df: DataFrame, a: str, b: str, y: str, steps: int = 10) -> DataF
     w = F.col("step") / float(steps)
     m = m.withColumn("step", F.explode(F.sequence(F.lit(0), F.lit(steps))))
     return m.select("step", w.alias("weight"), F.sqrt(F.greatest(w * w * F.col("aa") + 2 * w * (1 - w) * F.col("ab") + (1 - w) * (1 - w) * F.col("bb"), F.lit(0.0))).alias("rmse"))
+
+
+def drawn_specs(draws: DataFrame, keys: list[str], draw: str, space: dict[str, tuple[float, ...]]) -> DataFrame:
+    """Specifications drawn by hash: for each draw of a key one value of each parameter; those that repeat within a key are one, by the first draw."""
+    pick = lambda name, v: F.element_at(F.array(*[F.lit(float(x)) for x in v]), (F.floor(hash_unit(*keys, draw, F.lit(name)) * len(v)) + 1).cast("int"))
+    specs = draws.select(*keys, draw, *[pick(n, v).alias(n) for n, v in space.items()])
+    return specs.groupBy(*keys, *space).agg(F.min(draw).alias(draw)).select(*keys, draw, *space)

@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-import random
-
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
@@ -277,15 +275,20 @@ def x1_place(spark, sf_dir):
     return place_folds(centroids(wells(spark, sf_dir)), "well_id")
 
 
-@query("x11_random_specs")
+#: Values that specifications are drawn from.
+SPACE = {"step": (0.2, 0.5, 0.7), "rates": (31.0, 41.0), "reach": (80.0, 150.0)}
+
+
+@query(
+    "x11_random_specs",
+    f"""WITH {WELLS}, d AS (SELECT well_id, draw FROM (SELECT DISTINCT well_id FROM h), (SELECT unnest(range(0, 6)) AS draw)),
+s AS (SELECT well_id, draw, {", ".join(f"([{', '.join(map(str, v))}]::DOUBLE[])[1 + CAST(floor({C.hash_unit_sql('well_id', 'draw', repr(k))} * {len(v)}) AS BIGINT)] AS {k}" for k, v in SPACE.items())} FROM d)
+SELECT well_id, min(draw) AS draw, step, rates, reach FROM s GROUP BY well_id, step, rates, reach""",
+)
 def x11(spark, sf_dir):
-    space = {"step": (0.2, 0.5, 0.7), "rates": (31, 41), "reach": (80.0, 150.0)}
-    seen = {}
-    for seed in range(20):
-        r = random.Random(seed)
-        spec = tuple(r.choice(v) for v in space.values())
-        seen.setdefault(spec, seed)
-    return spark.createDataFrame([(s, *k) for k, s in seen.items()], "seed int, step double, rates int, reach double")
+    """Six specifications drawn for each well; one that repeats counts once, by its first draw."""
+    d = wells(spark, sf_dir).select("well_id").distinct().withColumn("draw", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(5).cast("long"))))
+    return X.drawn_specs(d, ["well_id"], "draw", SPACE)
 
 
 @query("g1_simulated_logs")

@@ -230,10 +230,17 @@ def filtered(w: Well, particles: int = 600, base: int = 42, pull: float | None =
     return out[0], float(evidence[0])
 
 
-def filtered_block(w: Well, seeds: int, particles: int = 400, base: int = 42) -> tuple[np.ndarray, np.ndarray]:
-    """Paths and log-evidence of the filters of a well's block of seeds, in one batch; each block draws on its own."""
+def filtered_block(w: Well, seeds: int, particles: int = 400, base: int = 42, calibrate: bool = False, pull: float = 0.0, dips: np.ndarray | None = None, fit: str = "gauss") -> tuple[np.ndarray, np.ndarray]:
+    """Paths and log-evidence of the filters of a well's block of seeds, in one batch; each block draws on its own.
+
+    With ``calibrate`` the curve is mapped to the well's signal half way, by a line through the known rows; the noise is what is left.
+    """
     mine = [K.seed_of(w.well_id, base + w.seed * seeds + i) for i in range(seeds)]
-    return K.particle_filters(w.dm, w.hidden("z"), w.hidden("gr"), w.curve, w.sigma, w.level, w.rows["z"][w.h - 1], w.rate, mine, particles, spread=4.5)
+    expected, seen = w.curve(w.rows["tvt_input"][: w.h]), w.rows["gr"][: w.h]
+    gain = K.shrunk_affine(seen, expected) if calibrate else (1.0, 0.0)
+    # a missing value of a known row counts as 0 here
+    sigma = float(np.clip(np.std(np.nan_to_num(seen) - gain[0] * expected - gain[1]), 10, 60))
+    return K.particle_filters(w.dm, w.hidden("z"), w.gr[w.h :], w.curve, sigma, w.level, w.rows["z"][w.h - 1], w.rate, mine, particles, spread=4.5, gain=gain, dips=dips, pull=pull, fit=K.FITS[fit])
 
 
 def velocity_filter(w: Well, particles: int = 600, window: int = 5) -> np.ndarray:

@@ -107,13 +107,13 @@ def q25(spark, sf_dir):
     return t.select("well_id", "row_idx", *[R(F.col(c)).alias(c) for c in names])
 
 
-def seeded(spark, sf_dir, seeds=48, block=8):
+def seeded(spark, sf_dir, seeds=48, block=8, calibrate=False):
     """Paths of 48 filters of 400 particles by well, in blocks that are rows of their own, with their weight by evidence."""
 
     def kernel(w):
         if not w.usable:
             return None
-        path, evidence = D.filtered_block(w, block)
+        path, evidence = D.filtered_block(w, block, calibrate=calibrate)
         at, n = w.hidden("row_idx").astype(np.int64), path.shape[1]
         return {"seed": np.repeat(w.seed * block + np.arange(block), n), "row_idx": np.tile(at, block), "value": path.ravel(), "evidence": np.repeat(evidence, n)}
 
@@ -125,8 +125,20 @@ def seeded(spark, sf_dir, seeds=48, block=8):
 
 @query("q3_seed_ensemble")
 def q3(spark, sf_dir):
-    t = seeded(spark, sf_dir)
-    return t.groupBy("well_id", "row_idx").agg(R(F.sum(F.col("weight") * F.col("value"))).alias("level"), R(F.stddev_pop("value")).alias("spread"), F.count(F.lit(1)).alias("seeds"))
+    """Mean paths by evidence with the curve as it is and mapped half way to the signal, and both projected on a polynomial of level plus z."""
+    mean = F.sum(F.col("weight") * F.col("value"))
+    plain = seeded(spark, sf_dir).groupBy("well_id", "row_idx").agg(mean.alias("level"), F.stddev_pop("value").alias("spread"), F.count(F.lit(1)).alias("seeds"))
+    mapped = seeded(spark, sf_dir, calibrate=True).groupBy("well_id", "row_idx").agg(mean.alias("calibrated"))
+    rows = plain.join(mapped, ["well_id", "row_idx"]).join(wells(spark, sf_dir).select("well_id", "row_idx", "md", "z"), ["well_id", "row_idx"])
+
+    def project(f):
+        f = f.sort_values("row_idx")
+        for c in ("level", "calibrated"):
+            f[f"{c}_projected"] = S.projected(f["md"].to_numpy(), (f[c] + f["z"]).to_numpy()) - f["z"].to_numpy()
+        return f
+
+    out = rows.groupBy("well_id").applyInPandas(project, f"{', '.join(f'{f.name} {f.dataType.simpleString()}' for f in rows.schema)}, level_projected double, calibrated_projected double")
+    return out.select("well_id", "row_idx", "seeds", *[R(F.col(c)).alias(c) for c in ("level", "spread", "calibrated", "level_projected", "calibrated_projected")])
 
 
 @query("q5_scaled_ensembles")

@@ -8,6 +8,7 @@ from pyspark.sql import Window as W
 
 from strataflow.kernels import filters as K
 from strataflow.kernels import matching as M
+from strataflow.kernels import segments as G
 from strataflow.kernels import series as S
 from strataflow.operators import chunks as H
 from strataflow.operators import decode as D
@@ -267,20 +268,21 @@ def q22(spark, sf_dir):
 
 @query("q23_segment_posterior")
 def q23(spark, sf_dir):
+    """Nine candidates by well, put together by segments and moved to from the lattice path; the curves' formations are of ten levels each."""
+
     def kernel(w):
         if not w.usable:
             return None
-        paths = np.array([np.full(len(w.dm), w.level), D.viterbi(w), D.banded(w)])
-        seg = np.arange(len(w.dm)) // SHORT_SEGMENT
-        n = int(seg[-1]) + 1
-        miss = ((w.gr[w.h :][None, :] - w.curve(paths)) / w.sigma) ** 2
-        emit = np.array([[-0.15 * miss[k, seg == s].mean() for k in range(3)] for s in range(n)])
-        ends = [(paths[:, seg == s][:, -1], paths[:, seg == s + 1][:, 0]) for s in range(n - 1)]
-        trans = np.array([-np.abs(b[None, :] - a[:, None]) / 2 for a, b in ends]).reshape(n - 1, 3, 3)
-        p = K.segment_posterior(emit, trans)
-        return {"row_idx": w.hidden("row_idx").astype(np.int64), "value": (p[seg].T * paths).sum(0)}
-
-    return D.per_well(packed(spark, sf_dir), kernel, D.PATH).select("well_id", "row_idx", R(F.col("value")).alias("level"))
+        base = D.viterbi(w)
+        paths = np.array([*(np.full(len(w.dm), w.level + o) for o in (-12.0, -6.0, 0.0, 6.0, 12.0)), base, D.viterbi(w, 0.10), D.banded(w), D.beam(w)])
+        scores = -np.sqrt((((w.gr[w.h :][None, :] - w.curve(paths)) / w.sigma) ** 2).mean(axis=1))
+        formation = np.floor((w.curve_t - 76) / 10)
+        path = G.blended_path(paths, scores, w.curve_t, formation, formation, SHORT_SEGMENT)
+        level, made = G.moved(base, path, scores)
+        return {"row_idx": w.hidden("row_idx").astype(np.int64), "posterior": path, "level": level, "moved": np.full(len(level), made)}
+
+    t = D.per_well(packed(spark, sf_dir), kernel, "well_id long, row_idx long, posterior double, level double, moved boolean")
+    return t.select("well_id", "row_idx", R(F.col("posterior")).alias("posterior"), R(F.col("level")).alias("level"), "moved")
 
 
 @query("q26_prefix_replay")

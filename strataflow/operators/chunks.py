@@ -22,6 +22,7 @@ from pyspark.sql import Window as W
 
 from strataflow.kernels import filters as K
 from strataflow.kernels import matching as M
+from strataflow.operators.decode import spread
 from strataflow.sources.wells import written
 
 #: Rows of a chunk.
@@ -198,7 +199,8 @@ def _steps(rows: dict[str, np.ndarray], z: float, md: float) -> dict[str, np.nda
 
 
 def _in_order(chunks: DataFrame, *order) -> DataFrame:
-    return chunks.repartition("well_id").sortWithinPartitions("well_id", *order)
+    """Each well's chunks in order, over a stated number of tasks, as few bytes are much work."""
+    return spread(chunks, "well_id").sortWithinPartitions("well_id", *order)
 
 
 def filter_wells(chunks: DataFrame, kernel) -> DataFrame:

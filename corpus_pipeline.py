@@ -23,9 +23,9 @@ def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 
 
 def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that have a language.
+    """Documents that have a language, with the one identified in the text as their lang; the mix goes by it.
 
-    Null texts and texts without letters go; so do no others. Where no row has a language to learn from, all stay. Repeated
+    Null texts and texts without letters go; so do no others. Where no row has a language to learn from, all stay as they are. Repeated
     rows stay as often as they come; an empty table stays empty.
     """
     return language.passing(docs)
@@ -41,12 +41,12 @@ def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
 
 
 def source_mixing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Each document as often as the mix takes it, up to three times.
+    """Each document as often as the mix takes it, up to three times; languages keep their shares of each source's words.
 
-    Documents without words are never taken; a null source is a source of its own; rows that repeat doc_id, size and source
-    are taken together; an empty table stays empty.
+    Documents without words are never taken; a null source is a source of its own, a null language a language of its own;
+    rows that repeat doc_id, size, source and language are taken together; an empty table stays empty.
     """
-    return mixing.mixed_documents(docs)
+    return mixing.mixed_documents(docs, within="lang")
 
 
 def harmonic_packing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

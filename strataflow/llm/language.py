@@ -360,10 +360,14 @@ def identify(docs: DataFrame) -> DataFrame:
 
 
 def passing(docs: DataFrame, least: float = MIN_SCORE) -> DataFrame:
-    """The documents that have a language, with the columns of the input; all of them if there is none to learn from."""
+    """The documents that have a language, which is their ``lang`` then, with the columns of the input.
+
+    If there is none to learn from all of them, as they are.
+    """
     cols = docs.columns
     model = train(docs)
     if model is None:
         return docs
     out = apply(docs.select(F.struct(*[F.col(f"`{c}`") for c in cols]).alias("row"), "text"), model)
-    return out.where((F.col("lang_pred") != UNKNOWN) & (F.col("lang_score") >= least)).select("row.*")
+    out = out.where((F.col("lang_pred") != UNKNOWN) & (F.col("lang_score") >= least))
+    return out.select(*[F.col("lang_pred" if c == "lang" else f"row.`{c}`").alias(c) for c in cols])

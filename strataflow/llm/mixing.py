@@ -17,9 +17,14 @@ words in fine slices of the order, then in slices of the slice that holds it; on
 of a slice are sorted, so a source that holds most rows is no burden to one task. The plan has a row for each
 source and number of digits, a few dozen for a source; that many sources must fit into one task.
 
+A mix can keep the proportions of parts (languages) within each source: every part's share of the source's target is
+its share of the source's words, expected copies are worked out for each part, and each part's order is followed up to
+its first document that does not fit. What all parts of a source then miss is followed over the source as above, so that
+parts come within a document or so of their shares and sources as near to their targets as without parts.
+
 Defined cases: a null or empty text has size 0 and is not taken; a null source is a source of its own and comes
-last; an empty table gives an empty result; rows that share doc_id, size and source are taken or left together,
-and fit only together; a very long document that does not fit is passed over for those behind it; other
+last, and so is a null part; an empty table gives an empty result; rows that share doc_id, size, source (and part) are
+taken or left together, and fit only together; a very long document that does not fit is passed over for those behind it; other
 columns of the input are ignored whatever their names.
 """
 
@@ -91,23 +96,30 @@ def measure(size: Column) -> Column:
     return F.when(size > 0, F.length(F.bin(size))).otherwise(0).cast("int")
 
 
-def odds(grades: DataFrame, goal: DataFrame, cap: int = CAP) -> DataFrame:
-    """Certain copies and inclusion probability, ``whole`` and ``p``, by (source, grade), from words by grade and targets.
+def part_targets(sizes: DataFrame, goal: DataFrame) -> DataFrame:
+    """Target words by (source, part) from (source, part, words): the source's, by the parts' shares of its words."""
+    out = _join(sizes, goal)
+    share = F.col("words").cast("double") / F.nullif(F.col("source_size"), F.lit(0)).cast("double")
+    return out.select("source", "part", "source_size", (F.col("target") * F.coalesce(share, F.lit(0.0))).alias("target"))
+
+
+def odds(grades: DataFrame, goal: DataFrame, cap: int = CAP, keys: tuple[str, ...] = ("source",)) -> DataFrame:
+    """Certain copies and inclusion probability, ``whole`` and ``p``, by keys and grade, from words by grade and targets.
 
     Expected copies are ``rate * grade``, ``cap`` at most, with the rate that spends the target. Grades are capped from
     the largest down; the first one that the rate for all not yet capped leaves below the cap gives the rate.
     """
-    down = W.partitionBy("source").orderBy(F.desc("grade"))
+    down = W.partitionBy(*keys).orderBy(F.desc("grade"))
     capped = F.coalesce(F.sum("words").over(down.rowsBetween(W.unboundedPreceding, -1)), F.lit(0))
     open_ = F.sum(F.col("words") * F.col("grade")).over(down.rowsBetween(0, W.unboundedFollowing))
-    out = _join(grades, goal).withColumn("rate", (F.col("target") - (cap * capped).cast("double")) / F.nullif(open_, F.lit(0)).cast("double"))
-    every = W.partitionBy("source")
+    out = _join(grades, goal, keys).withColumn("rate", (F.col("target") - (cap * capped).cast("double")) / F.nullif(open_, F.lit(0)).cast("double"))
+    every = W.partitionBy(*keys)
     out = out.withColumn("best", F.max(F.when(F.col("rate") * F.col("grade") < cap, F.struct("grade", "rate"))).over(every))
     e = F.when(F.col("best").isNull() | (F.col("grade") > F.col("best.grade")), F.lit(float(cap))).otherwise(F.col("best.rate") * F.col("grade"))
     out = out.withColumn("e", F.when(F.col("grade") == 0, 0.0).otherwise(F.greatest(e, F.lit(0.0))))
     out = out.withColumn("whole", F.floor("e").cast("long")).withColumn("p", F.col("e") - F.col("whole"))
     rest = F.col("target") - F.sum(F.col("whole") * F.col("words")).over(every).cast("double")
-    return out.select("source", "grade", "source_size", "target", "whole", "p", rest.alias("rest"))
+    return out.select(*keys, "grade", "source_size", "target", "whole", "p", rest.alias("rest"))
 
 
 _PLACE = ("place", "doc", "size")
@@ -156,18 +168,43 @@ def _follow(units: DataFrame, state: DataFrame, name: str) -> DataFrame:
     )
 
 
+def _keys(table: DataFrame) -> tuple[str, ...]:
+    """What the targets are for: sources, or their parts."""
+    return ("source", "part") if "part" in table.columns else ("source",)
+
+
+def _from_the_top(state: DataFrame) -> DataFrame:
+    for x, t in zip(_PLACE, ("double", "long", "long"), strict=True):
+        state = state.withColumn(f"from_{x}", F.lit(None).cast(t))
+    return state
+
+
+def _follow_parts(units: DataFrame, state: DataFrame) -> DataFrame:
+    """(source, part, goal, then, first): each part's order followed once; ``first`` tells what was taken."""
+    both = F.struct("source", "part")
+    done = _follow(units.withColumn("source", both).drop("part"), _from_the_top(state.withColumn("source", both).drop("part")), "parts")
+    return done.select("source.source", "source.part", "goal", "then", F.struct("left", *[f"to_{x}" for x in _PLACE]).alias("first"))
+
+
 def fit(docs: DataFrame, weights: tuple[int, ...] = WEIGHTS, cap: int = CAP) -> DataFrame:
-    """The plan of a mix, a row for each source and grade, from (doc_id, source, size, u)."""
-    docs = _keyed(docs)
-    grades = scratch.write(docs.groupBy("source", "grade").agg(F.sum("size").alias("words")), "mix-grades")
+    """The plan of a mix, a row for each source and grade, from (doc_id, source, size, u), or with part for each part too."""
+    docs, keys = _keyed(docs), _keys(docs)
+    grades = scratch.write(docs.groupBy(*keys, "grade").agg(F.sum("size").alias("words")), "mix-grades")
     goal = targets(grades.groupBy("source").agg(F.sum("words").alias("source_size")), weights, cap)
-    plan = scratch.write(odds(grades, goal, cap), "mix-odds")
-    units = _join(docs, plan.select("source", "grade", "p"), ("source", "grade")).where(F.col("p") > 0)
-    units = units.groupBy("source", _place(F.col("u"), F.col("p")).alias("place"), "doc", "size").agg(F.sum("size").alias("words"))
+    if "part" in keys:
+        goal = part_targets(grades.groupBy(*keys).agg(F.sum("words").alias("words")), goal)
+    plan = scratch.write(odds(grades, goal, cap, keys), "mix-odds")
+    units = _join(docs, plan.select(*keys, "grade", "p"), (*keys, "grade")).where(F.col("p") > 0)
+    units = units.groupBy(*keys, _place(F.col("u"), F.col("p")).alias("place"), "doc", "size").agg(F.sum("size").alias("words"))
     units = scratch.write(units, "mix-units")
-    state = plan.groupBy("source").agg(F.max("rest").alias("left"), F.max("target").alias("goal"))
-    for x, t in zip(_PLACE, ("double", "long", "long"), strict=True):
-        state = state.withColumn(f"from_{x}", F.lit(None).cast(t))
+    state = plan.groupBy(*keys).agg(F.max("rest").alias("left"), F.max("target").alias("goal"))
+    if "part" in keys:
+        parts = _follow_parts(units, state)
+        plan = _join(plan, parts.select(*keys, "first"), keys)
+        units = _join(units, parts.select(*keys, "first"), keys).where(~_fits_part())
+        units = scratch.write(units.groupBy("source", *_PLACE).agg(F.sum("words").alias("words")), "mix-rest")
+        state = parts.groupBy("source").agg(F.sum("then").alias("left"), F.sum("goal").alias("goal"))
+    state = _from_the_top(state)
     rounds: DataFrame | None = None
     for k in range(ROUNDS + 1):
         done = _follow(units, state, f"round-{k}")
@@ -203,18 +240,33 @@ def _fits() -> Column:
     return F.coalesce(F.exists("rounds", within), F.lit(False))
 
 
+def _fits_part() -> Column:
+    """Whether a row was taken when its part's order was followed."""
+    first = F.col("first")
+    before = first["to_place"].isNull() | (_here() < F.struct(*[first[f"to_{x}"].alias(x) for x in _PLACE]))
+    return F.coalesce((F.col("size") <= first["left"]) & before, F.lit(False))
+
+
 def copies(docs: DataFrame, plan: DataFrame) -> DataFrame:
     """``docs`` (source, doc_id, size, u and others) with source_size, target and copies."""
-    out = _join(_keyed(docs), plan, ("source", "grade"))
+    keys = _keys(plan)
+    out = _join(_keyed(docs), plan, (*keys, "grade"))
     out = out.withColumn("place", F.when(F.col("p") > 0, _place(F.col("u"), F.col("p"))))
-    more = F.when(F.col("p") > 0, (_fits() | F.coalesce(_here() == F.col("closing"), F.lit(False))).cast("long")).otherwise(0)
+    taken = _fits() | F.coalesce(_here() == F.col("closing"), F.lit(False))
+    if "part" in keys:
+        taken = taken | _fits_part()
+    more = F.when(F.col("p") > 0, taken.cast("long")).otherwise(0)
     return out.withColumn("copies", F.col("whole") + more)
 
 
-def measured(docs: DataFrame, seed: str = SEED) -> DataFrame:
-    """(doc_id, source, size, u) of documents, in a table that is written once."""
-    narrow = docs.select("doc_id", "source", n_words(F.col("text")).alias("size"), _uniform(F.col("doc_id"), seed).alias("u"))
-    return scratch.write(narrow, "mix-sizes")
+def _measures(seed: str, within: str | None) -> list[Column]:
+    part = [] if within is None else [F.col(f"`{within}`").alias("part")]
+    return [F.col("doc_id"), F.col("source"), *part, n_words(F.col("text")).alias("size"), _uniform(F.col("doc_id"), seed).alias("u")]
+
+
+def measured(docs: DataFrame, seed: str = SEED, within: str | None = None) -> DataFrame:
+    """(doc_id, source, size, u) of documents, and part from the column ``within``, in a table that is written once."""
+    return scratch.write(docs.select(*_measures(seed, within)), "mix-sizes")
 
 
 def mix(docs: DataFrame, weights: tuple[int, ...] = WEIGHTS, cap: int = CAP, seed: str = SEED) -> DataFrame:
@@ -224,13 +276,14 @@ def mix(docs: DataFrame, weights: tuple[int, ...] = WEIGHTS, cap: int = CAP, see
     return out.select("doc_id", "size", "source_size", "target", "p", "copies", (F.col("copies") * F.col("size")).alias("taken"))
 
 
-def mixed_documents(docs: DataFrame, weights: tuple[int, ...] = WEIGHTS, cap: int = CAP, seed: str = SEED) -> DataFrame:
-    """The documents of the mix, each row as often as the mix takes it, with the columns of the input."""
+def mixed_documents(docs: DataFrame, weights: tuple[int, ...] = WEIGHTS, cap: int = CAP, seed: str = SEED, within: str | None = None) -> DataFrame:
+    """The documents of the mix, each row as often as the mix takes it, with the columns of the input.
+
+    ``within`` names a column, such as the language, whose values keep their shares of each source's words.
+    """
     cols = docs.columns
-    plan = fit(measured(docs, seed), weights, cap)
-    rows = docs.select(
-        F.struct(*[F.col(f"`{c}`") for c in cols]).alias("row"), "doc_id", "source", n_words(F.col("text")).alias("size"), _uniform(F.col("doc_id"), seed).alias("u")
-    )
+    plan = fit(measured(docs, seed, within), weights, cap)
+    rows = docs.select(F.struct(*[F.col(f"`{c}`") for c in cols]).alias("row"), *_measures(seed, within))
     taken = copies(rows, plan).where(F.col("copies") > 0)
     again = taken.withColumn("copy", F.explode(F.sequence(F.lit(1).cast("long"), F.col("copies"))))
     return again.select("row.*")

@@ -54,3 +54,32 @@ def test_expected_copies_stop_at_the_cap(spark):
     docs = spark.createDataFrame(rows, "doc_id long, source string, size long").withColumn("u", F.lit(0.5))
     got = mixing.copies(docs, mixing.fit(docs, weights=(5, 1))).collect()
     assert max(x.copies for x in got) <= 3 and {x.copies for x in got if x["size"] == 4000} == {3}
+
+
+def test_parts_keep_their_shares_within_each_source(spark):
+    r = random.Random(5)
+    rows = [(i, r.choice("abc"), r.choice(["x", "x", "x", "y", "z", None]), r.choice([5, 40, 200, 900])) for i in range(3000)]
+    rows += [(9000, "b", "rare", 700), (9001, "d", "x", 50), (9002, "d", "y", 0), (9003, "b", "x", 500_000), (9004, None, "x", 60), (17, "a", "rare", 40), (17, "a", "rare", 40)]
+    docs = spark.createDataFrame(rows, "doc_id long, source string, part string, size long").withColumn("u", mixing._uniform(F.col("doc_id"), "parts"))
+    out = mixing.copies(docs, mixing.fit(docs)).collect()
+    plain = {x.source: x for x in mixing.copies(docs.drop("part"), mixing.fit(docs.drop("part"))).groupBy("source").agg(F.max("source_size").alias("size")).collect()}
+    goal = {x.source: x.target for x in mixing.targets(docs.groupBy("source").agg(F.sum("size").alias("source_size"))).collect()}
+    assert len(out) == len(rows) and all(0 <= x.copies <= 3 for x in out)
+    sizes, taken, wanted = Counter(), Counter(), Counter()
+    for x in out:
+        assert x.source_size == plain[x.source]["size"]
+        sizes[x.source, x.part] += x["size"]
+        taken[x.source, x.part] += x.copies * x["size"]
+        wanted[x.source, x.part] = x.target
+    for (source, part), n in sizes.items():
+        share = goal[source] * n / plain[source]["size"] if n else 0
+        assert math.isclose(wanted[source, part], share, rel_tol=1e-9)
+        # a document that does not fit its part may be what its source lacks
+        if source in ("a", "c"):
+            assert abs(taken[source, part] - share) <= 2 * 900
+    for source in ("a", "c"):
+        assert abs(sum(n for (s, _), n in taken.items() if s == source) - goal[source]) <= 900
+    # repeated rows go together, and reruns agree
+    assert len({x.copies for x in out if x.doc_id == 17 and x.part == "rare"}) == 1
+    again = mixing.copies(docs.repartition(3), mixing.fit(docs.repartition(3))).collect()
+    assert sorted((x.doc_id, str(x.part), x.copies) for x in again) == sorted((x.doc_id, str(x.part), x.copies) for x in out)

@@ -6,9 +6,12 @@ Rows are (key, order) unique. Where a window has no rows for a value the result
 from __future__ import annotations
 
 import math
+from collections.abc import Callable
 
+import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 from pyspark.sql import Window as W
 from pyspark.sql.window import WindowSpec
 
@@ -122,15 +125,25 @@ def tortuosity(df: DataFrame, width: int) -> DataFrame:
     return out.withColumns({"_r": ratio, "_c": chord}).withColumn("tortuosity", F.when(F.col("_c") > 1e-9, F.col("_r")).otherwise(F.lit(1.0))).drop("_step", "_path", "_r", "_c")
 
 
-def azimuth(k: int) -> Column:
+def azimuth(k: int, atan2: Callable[[Column, Column], Column] = F.atan2) -> Column:
     """Direction of the move over the last ``k`` rows."""
     w = ordered()
     back = {c: F.coalesce(F.lag(c, k).over(w), F.first(c).over(so_far())) for c in ("x", "y")}
-    return F.atan2(F.col("y") - back["y"], F.col("x") - back["x"])
+    return atan2(F.col("y") - back["y"], F.col("x") - back["x"])
+
+
+def c_atan2(y: Column, x: Column) -> Column:
+    """The C library's atan2, which SQL engines call; the JVM's differs from it in the last bit of some angles, and so in which half turns count as jumps."""
+
+    def run(y: pd.Series, x: pd.Series) -> pd.Series:
+        return pd.Series([math.atan2(*v) for v in zip(y.tolist(), x.tolist(), strict=True)], dtype=float)
+
+    angle = F.pandas_udf(run, T.DoubleType())(y, x)
+    return F.when(y.isNotNull() & x.isNotNull(), angle)
 
 
 def unwrap(df: DataFrame, col: str) -> DataFrame:
-    """unwrapped_<col>: an angle without its jumps of whole turns."""
+    """unwrapped_<col>: an angle without its jumps of whole turns; for half turns to fall as in SQL it has to be ``c_atan2``'s."""
     d = F.col(col) - F.lag(col).over(ordered())
     turns = F.when(d > math.pi, -1).when(d < -math.pi, 1).otherwise(0)
     out = df.withColumn("_turn", F.coalesce(turns, F.lit(0)))

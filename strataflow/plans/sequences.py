@@ -148,7 +148,7 @@ def w7(spark, sf_dir):
 , a AS (SELECT well_id, row_idx, {AZ} AS a FROM h), d AS (SELECT *, a - lag(a) OVER ({O}) AS d FROM a)
 SELECT well_id, row_idx, round(a + coalesce(sum(CASE WHEN d > pi() THEN -1 WHEN d < -pi() THEN 1 ELSE 0 END) OVER ({O} {RUN}), 0) * 2 * pi(), 5) AS a FROM d"""))
 def w8(spark, sf_dir):
-    a = S.unwrap(wells(spark, sf_dir).withColumn("a", S.azimuth(5)), "a")
+    a = S.unwrap(wells(spark, sf_dir).withColumn("a", S.azimuth(5, S.c_atan2)), "a")
     return a.select("well_id", "row_idx", R(F.col("unwrapped_a"), 5).alias("a"))
 
 

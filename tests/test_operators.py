@@ -43,6 +43,23 @@ def test_unwrap(spark):
     assert np.allclose(col(S.unwrap(d, "gr"), "unwrapped_gr"), a)
 
 
+def test_half_turns_fall_as_in_the_c_library(spark):
+    """A move and its opposite: whether they are a jump is in the last bit of the angles (w8 on 60 x sf0.1, well 13023)."""
+    tenths = [(-49, 66), (3, 83), (-50, 149), (-139, 177), (-125, 207), (-201, 173), (-111, 150), (-157, 131), (-172, 127), (-169, 100), (-110, 92), (-22, 76)]
+    tenths += [(42, 109), (-46, 48), (-33, 45), (29, 34), (36, 85), (-2, 111), (90, 108), (190, 111), (112, 188), (69, 140), (-11, 96), (66, 64), (173, 133)]
+    xy = [(x / 10.0, y / 10.0) for x, y in tenths]
+    back = [xy[max(i - 5, 0)] for i in range(len(xy))]
+    a = [math.atan2(y - v, x - u) for (x, y), (u, v) in zip(xy, back, strict=True)]
+    turns = np.cumsum([0] + [-1 if q - p > math.pi else 1 if q - p < -math.pi else 0 for p, q in zip(a, a[1:], strict=False)])
+    d = wells(spark, [(1, i, 0.0, x, y, 0.0, None, None) for i, (x, y) in enumerate(xy)])
+    got = col(S.unwrap(d.withColumn("a", S.azimuth(5, S.c_atan2)), "a"), "unwrapped_a")
+    assert np.allclose(got, a + turns * 2 * math.pi, atol=1e-9)
+    wrong = col(S.unwrap(d.withColumn("a", S.azimuth(5)), "a"), "unwrapped_a")
+    assert not np.allclose(wrong, got, atol=1e-9)
+    gap = wells(spark, [(1, 0, 0.0, 1.0, None, 0.0, None, None)])
+    assert col(gap.withColumn("a", S.azimuth(5, S.c_atan2)), "a") == [None]
+
+
 def test_known_split_drops_short_wells(spark):
     assert S.known_counts(one(spark, [0.0] * 12, 9)).count() == 0
     assert S.known_counts(one(spark, [0.0] * 12, 12)).count() == 0

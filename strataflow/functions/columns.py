@@ -22,6 +22,12 @@ def standardise(c: Column, mean: Column, std: Column) -> Column:
     return (c - mean) / F.when(std > 1e-9, std).otherwise(F.lit(1.0))
 
 
+def round_scaled(c: Column, digits: int) -> Column:
+    """Rounded as SQL engines do it, which scale, round and scale back: 0.285 times 100 is 28.499999999999996, so it gives 0.28."""
+    scale = float(10**digits)
+    return F.round(c * scale, 0) / scale
+
+
 def fourier(c: Column, frequency: float) -> tuple[Column, Column]:
     """Sine and cosine of a coordinate."""
     a = c * (2.0 * math.pi * frequency)

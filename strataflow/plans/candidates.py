@@ -132,10 +132,13 @@ def c18(spark, sf_dir):
 @query("c19_safety_router", f"""WITH {SCORED}, s AS (SELECT grp, avg(abs(delta)) AS d, quantile_cont(abs(delta), 0.1) AS q10, avg(score) AS a FROM k GROUP BY grp)
 SELECT grp, d < 20 AND q10 < 6 AS safe, round(CASE WHEN d < 20 AND q10 < 6 THEN (0.25 * a + 0.25 * d + 1 * q10) / 1.5 ELSE (a + 0.5 * d) / 1.5 END, 5) AS blend FROM s""")
 def c19(spark, sf_dir):
-    s = scored(spark, sf_dir).groupBy("grp").agg(F.avg(F.abs("delta")).alias("d"), F.percentile(F.abs("delta"), F.lit(0.1)).alias("q10"), F.avg("score").alias("a"))
+    # summed in the order of the rows, as SQL does: means on a limit, or half way between two digits, hang on the last bit
+    run = F.sum(F.abs("delta")).over(W.partitionBy("grp").orderBy("cand").rowsBetween(W.unboundedPreceding, 0))
+    d = F.max("run") / F.count("delta")
+    s = scored(spark, sf_dir).withColumn("run", run).groupBy("grp").agg(d.alias("d"), F.percentile(F.abs("delta"), F.lit(0.1)).alias("q10"), F.avg("score").alias("a"))
     safe = (F.col("d") < 20) & (F.col("q10") < 6)
     blend = F.when(safe, (0.25 * F.col("a") + 0.25 * F.col("d") + F.col("q10")) / 1.5).otherwise((F.col("a") + 0.5 * F.col("d")) / 1.5)
-    return s.select("grp", safe.alias("safe"), R(blend, 5).alias("blend"))
+    return s.select("grp", safe.alias("safe"), C.round_scaled(blend, 5).alias("blend"))
 
 
 @query("q4_mode_summary", f"""WITH {SM}, b AS (SELECT *, coalesce(sum(p) OVER (PARTITION BY grp ORDER BY delta, cand ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) / sum(p) OVER (PARTITION BY grp) AS before FROM sm)

@@ -39,6 +39,23 @@ def test_query(spark, duck, name):
     assert sorted(names) == cols and canon(rows) == canon(want)
 
 
+def test_router_on_its_limits_agrees_with_its_sql(spark, tmp_path):
+    """Customers of 60 x sf0.1 whose mean is 20 but for the last bit, or whose blend is half way between two digits; rows come in another order."""
+    keys = {
+        6328: [2583, 4974, 6741, 35675, 55836, 83202, 98825, 104168, 137716],
+        7949: [1611, 6784, 25268, 25552, 35491, 42634, 68440, 89009, 113376, 136352],
+        13118: [27226, 42596, 79101, 80237, 82274],
+        26550: [156016, 168016, 169173, 174052, 178523, 180057, 190239, 201535, 214540, 220852, 224043, 250540, 266010, 273320, 279295, 285091],
+    }
+    rows = sorted((o, c, "1-URGENT") for c, orders in keys.items() for o in orders)
+    spark.createDataFrame(rows[::-1], "o_orderkey long, o_custkey long, o_orderpriority string").repartition(3).write.parquet(f"{tmp_path}/orders.parquet")
+    got = registry.queries()["c19_safety_router"](spark, str(tmp_path)).collect()
+    one = duckdb.connect()
+    one.execute("SET threads = 1; CREATE TABLE orders (o_orderkey BIGINT, o_custkey BIGINT, o_orderpriority VARCHAR)")
+    one.executemany("INSERT INTO orders VALUES (?, ?, ?)", rows)
+    assert canon((r.grp, r.safe, r.blend) for r in got) == canon(one.execute(registry.oracles()["c19_safety_router"]).fetchall())
+
+
 def test_entry_point_without_the_optional_package():
     import subprocess
     import sys

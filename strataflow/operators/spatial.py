@@ -26,6 +26,8 @@ from strataflow.sources.wells import written
 CELL_POINTS, SPLIT, FINEST = 16, 4, 26
 #: Points and queries of a block; distances that are held at once.
 POINT_BLOCK, QUERY_BLOCK, HELD = 65_536, 16_384, 2_000_000
+#: Queries of a block of wells, and points that a part of it has.
+WELL_ROWS, WELL_POINTS = 4_096, 262_144
 MARGIN = 0.25
 
 
@@ -262,16 +264,156 @@ def cramer3() -> list[Column]:
     return out
 
 
-def local_gradient(queries: DataFrame, support: DataFrame, points: DataFrame, k: int = 112, eps: float = 1e-6, tukey: float = 3.0) -> DataFrame:
-    """(well_id, row_idx, gx, gy, n_near): the gradient of a surface by the k nearest steps of a query's support wells.
+def local_gradient(queries: DataFrame, support: DataFrame, points: DataFrame, k: int = 112, eps: float = 1e-6, tukey: float = 3.0, block_rows: int = WELL_ROWS, block_points: int = WELL_POINTS) -> DataFrame:
+    """(well_id, row_idx, gx, gy): the gradient of a surface by the k nearest steps of a query's support wells.
 
     ``queries`` (well_id, row_idx, x, y), ``support`` (well_id, other), ``points`` (well_id, row_idx, x, y, dx, dy, ds). Steps
     weigh by inverse squared distance; a second fit weighs them by Tukey's biweight of the first one's residuals too.
-    Null where the steps have one direction only. Work is that of a query and its support wells' points.
+    Null where the steps have one direction only. Queries and points with a missing value take no part. Work is that of a query
+    and its support wells' points, but pairs are made in NumPy only: wells near each other are a block of about
+    ``block_rows`` queries, to which each of their support wells' points goes once. A block with more than ``block_points``
+    points, or a well with more queries, is dealt over parts, of which each gives the nearest steps it has.
     """
-    p = points.select(F.col("well_id").alias("other"), F.col("row_idx").alias("_row"), F.col("x").alias("_px"), F.col("y").alias("_py"), "dx", "dy", "ds")
-    near = queries.join(support.select("well_id", "other"), "well_id").join(p, "other")
-    near = near.withColumn("dist", F.sqrt((F.col("x") - F.col("_px")) * (F.col("x") - F.col("_px")) + (F.col("y") - F.col("_py")) * (F.col("y") - F.col("_py"))))
+    whole = lambda df: df.dropna()
+    q = whole(queries.select("well_id", "row_idx", "x", "y"))
+    p = whole(points.select(F.col("well_id").alias("other"), F.col("row_idx").alias("_row"), F.col("x").alias("_px"), F.col("y").alias("_py"), "dx", "dy", "ds"))
+    support = support.select("well_id", "other")
+    blocks = _well_blocks(q, block_rows)
+    need = cut(support.join(blocks.select("well_id", "_block"), "well_id").select("_block", "other").distinct())
+    held = need.join(p.groupBy("other").agg(F.count(F.lit(1)).alias("_n")), "other").groupBy("_block").agg(F.sum("_n").alias("_n"))
+    asked = blocks.groupBy("_block").agg(F.sum("_nq").alias("_nq"))
+    # a block ends with the well that fills it, so only a long well makes it twice as large
+    deal = asked.join(held, "_block").select("_block", F.ceil(F.col("_n") / block_points).alias("_pb"), F.ceil(F.col("_nq") / (2 * block_rows)).alias("_qb"))
+    deal = cut(deal)
+    spread = lambda n: F.explode(F.sequence(F.lit(0).cast("long"), F.col(n) - 1))
+    of = blocks.select("well_id", "_block").join(deal, "_block")
+    none = lambda n, df, c: F.lit(None).cast(df.schema[c].dataType).alias(n)
+    sought = q.join(of, "well_id").withColumns({"_q": F.pmod(F.xxhash64("row_idx"), "_qb")}).withColumn("_p", spread("_pb"))
+    sought = sought.select("_block", "_q", "_p", "_pb", "well_id", "row_idx", "x", "y", none("other", support, "other"))
+    pairs = support.join(of, "well_id").withColumn("_q", spread("_qb")).withColumn("_p", spread("_pb"))
+    pairs = pairs.select("_block", "_q", "_p", "_pb", "well_id", none("row_idx", q, "row_idx"), none("x", q, "x"), none("y", q, "y"), "other")
+    given = p.join(need, "other").join(deal, "_block").withColumns({"_p": F.pmod(F.xxhash64("other", "_row"), "_pb")}).withColumn("_q", spread("_qb"))
+    group = ["_block", "_q", "_p"]
+    kinds = {f.name: f.dataType.simpleString() for f in [*q.schema, *p.schema]}
+    names = lambda *c: ", ".join(f"`{n}` {kinds.get(n, 'double')}" for n in c)
+
+    def met(parts: Column, kernel, schema: str) -> DataFrame:
+        a = sought.unionByName(pairs).where(parts).groupBy(*group)
+        return a.cogroup(given.where(parts).drop("_pb", "_qb").groupBy(*group)).applyInArrow(kernel, schema)
+
+    out = met(F.col("_pb") == 1, _gradients(k, eps, tukey), names("well_id", "row_idx", "gx", "gy"))
+    if deal.where("_pb > 1").isEmpty():
+        return out
+    near = met(F.col("_pb") > 1, _nearest_steps(k), names("well_id", "row_idx", "other", "_row", "dist", "dx", "dy", "ds"))
+    return out.unionByName(_gradients_of_rows(near, k, eps, tukey))
+
+
+def _well_blocks(q: DataFrame, rows: int) -> DataFrame:
+    """(well_id, _nq, _block): wells in the order of a Z curve through their centres, and which block of about ``rows`` queries each is in."""
+    from strataflow.operators.order import running
+
+    w = cut(q.groupBy("well_id").agg(F.count(F.lit(1)).alias("_nq"), F.avg("x").alias("_x"), F.avg("y").alias("_y")))
+    r = w.agg(*[f(c).alias(f"{n}{c}") for c in ("_x", "_y") for n, f in (("lo", F.min), ("hi", F.max))]).first()
+
+    def bits(c: str) -> Column:
+        """A coordinate as sixteen bits with a gap after each."""
+        lo, hi = r[f"lo{c}"] or 0.0, r[f"hi{c}"] or 0.0
+        v = F.floor((F.col(c) - lo) / max(hi - lo, 1e-9) * 65535.0).cast("long")
+        for shift, mask in ((8, 0x00FF00FF), (4, 0x0F0F0F0F), (2, 0x33333333), (1, 0x55555555)):
+            v = v.bitwiseOR(F.shiftleft(v, shift)).bitwiseAND(F.lit(mask).cast("long"))
+        return v
+
+    w = w.withColumn("_z", bits("_x").bitwiseOR(F.shiftleft(bits("_y"), 1)))
+    w = running(w, [F.col("_z"), F.col("well_id")], {"_before": F.col("_nq")})
+    return cut(w.select("well_id", "_nq", F.floor(F.col("_before") / rows).cast("long").alias("_block")))
+
+
+def _wells_of_block(a: pa.Table, b: pa.Table, k: int):
+    """For some queries of a well at a time: (their rows in ``a``, points, distances, which of them are among the k nearest); all points sorted by well and row."""
+    b = b.take(pc.sort_indices(b, sort_keys=[("other", "ascending"), ("_row", "ascending")]))
+    a = a.append_column("_at", pa.array(np.arange(a.num_rows)))
+    queries = a.filter(pc.is_valid(a.column("row_idx"))).select(["_at", "well_id", "x", "y"]).to_pandas()
+    pairs = a.filter(pc.is_valid(a.column("other"))).select(["well_id", "other"]).to_pandas()
+    others = b.column("other").to_pandas()
+    codes, uniques = pd.factorize(others)
+    lo = np.searchsorted(codes, np.arange(len(uniques)))
+    hi = np.append(lo[1:], len(codes))
+    pairs["_c"] = pd.Index(uniques).get_indexer(pairs["other"])
+    wells = {w: np.unique(c) for w, c in pairs.loc[pairs["_c"] >= 0].groupby("well_id")["_c"]}
+    px, py = b.column("_px").to_numpy(), b.column("_py").to_numpy()
+    for well, f in queries.groupby("well_id"):
+        if well not in wells:
+            continue
+        # wells come in order, so that earlier points win ties
+        at = np.concatenate([np.arange(lo[c], hi[c]) for c in wells[well]])
+        rows, x, y = f["_at"].to_numpy(), f["x"].to_numpy(), f["y"].to_numpy()
+        step = max(1, HELD // len(at))
+        for i in range(0, len(rows), step):
+            dx, dy = x[i : i + step, None] - px[at], y[i : i + step, None] - py[at]
+            d = np.sqrt(dx * dx + dy * dy)
+            near = np.ones(d.shape, bool)
+            if len(at) > k:
+                r = np.round(d, 9)
+                last = np.partition(r, k - 1, axis=1)[:, k - 1 : k]
+                near, tied = r < last, r == last
+                room = k - near.sum(axis=1, keepdims=True)
+                over = np.flatnonzero(tied.sum(axis=1, keepdims=True) > room)
+                tied[over] &= np.cumsum(tied[over], axis=1) <= room[over]
+                near |= tied
+            yield b, rows[i : i + step], at, d, near
+
+
+def _solved(w: np.ndarray, dx: np.ndarray, dy: np.ndarray, ds: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Slopes by least squares for each row of weights; NaN where the steps have one direction only."""
+    xx, xy, yy, xs, ys = (w @ np.stack([dx * dx, dx * dy, dy * dy, dx * ds, dy * ds], axis=1)).T
+    det = xx * yy - xy * xy
+    good = det > 1e-6 * xx * yy
+    det = np.where(good, det, 1.0)
+    return np.where(good, (xs * yy - ys * xy) / det, np.nan), np.where(good, (ys * xx - xs * xy) / det, np.nan)
+
+
+def _gradients(k: int, eps: float, tukey: float):
+    """The kernel of a block whose points are in one part."""
+
+    def run(a: pa.Table, b: pa.Table) -> pa.Table:
+        rows, gx, gy = [np.zeros(0, np.int64)], [np.zeros(0)], [np.zeros(0)]
+        steps = [b.column(c).to_numpy() for c in ("dx", "dy", "ds")] if not b.num_rows else None
+        for points, at_rows, at, d, near in _wells_of_block(a, b, k):
+            if steps is None:
+                steps = [points.column(c).to_numpy() for c in ("dx", "dy", "ds")]
+            dx, dy, ds = (s[at] for s in steps)
+            far = np.maximum(d, eps)
+            w = np.where(near, 1.0 / (far * far), 0.0)
+            x, y = _solved(w, dx, dy, ds)
+            u = (ds - x[:, None] * dx - y[:, None] * dy) / tukey
+            v = 1.0 - u * u
+            hx, hy = _solved(np.where(np.abs(u) < 1.0, w * v * v, 0.0), dx, dy, ds)
+            rows.append(at_rows), gx.append(np.where(np.isnan(hx), x, hx)), gy.append(np.where(np.isnan(hy), y, hy))
+        taken = pa.array(np.concatenate(rows))
+        out = [a.column(c).combine_chunks().take(taken) for c in ("well_id", "row_idx")]
+        return pa.table([*out, *(pa.array(np.concatenate(g), from_pandas=True) for g in (gx, gy))], names=["well_id", "row_idx", "gx", "gy"])
+
+    return run
+
+
+def _nearest_steps(k: int):
+    """The kernel of one part of a block's points: the nearest steps of each query in it."""
+
+    def run(a: pa.Table, b: pa.Table) -> pa.Table:
+        points, rows, cols, dists = b, [np.zeros(0, np.int64)], [np.zeros(0, np.int64)], [np.zeros(0)]
+        for points, at_rows, at, d, near in _wells_of_block(a, b, k):  # noqa: B007
+            r, c = np.nonzero(near)
+            rows.append(at_rows[r]), cols.append(at[c]), dists.append(d[r, c])
+        r, c = pa.array(np.concatenate(rows)), pa.array(np.concatenate(cols))
+        out = {n: a.column(n).combine_chunks().take(r) for n in ("well_id", "row_idx")}
+        out |= {n: points.column(n).combine_chunks().take(c) for n in ("other", "_row")} | {"dist": pa.array(np.concatenate(dists))}
+        return pa.table(out | {n: points.column(n).combine_chunks().take(c) for n in ("dx", "dy", "ds")})
+
+    return run
+
+
+def _gradients_of_rows(near: DataFrame, k: int, eps: float, tukey: float) -> DataFrame:
+    """The gradients by a row for each query and step, of which the k nearest count."""
     order = W.partitionBy("well_id", "row_idx").orderBy(F.round("dist", 9), "other", "_row")
     near = near.withColumn("_rank", F.row_number().over(order)).where(F.col("_rank") <= k)
     near = near.withColumn("w", 1.0 / (F.greatest("dist", F.lit(eps)) * F.greatest("dist", F.lit(eps))))

@@ -148,15 +148,15 @@ def j7_gradient(spark, sf_dir):
     """The second level of the spatial prior: of the 12 nearest wells, the 112 nearest steps at every hidden row."""
     from strataflow.operators import spatial as P
 
-    h = wells(spark, sf_dir)
-    c = h.groupBy("well_id").agg(F.avg("x").alias("x"), F.avg("y").alias("y"))
-    q = c.select(F.col("well_id").alias("query_id"), F.col("well_id").alias("w"), "x", "y")
-    near = P.knn_join(q, c.select(F.col("well_id").alias("point_id"), F.lit(0.0).alias("value"), "x", "y", F.col("well_id").alias("o")), 12, exclude=("w", "o"))
     o = W.partitionBy("well_id").orderBy("row_idx")
     s = F.col("tvt") + F.col("z")
     step = lambda v: v - F.lag(v).over(o)
-    t = h.select("well_id", "row_idx", "x", "y", step(F.col("x")).alias("dx"), step(F.col("y")).alias("dy"), step(s).alias("ds")).where("ds is not null")
-    g = P.local_gradient(h.where("tvt_input is null").select("well_id", "row_idx", "x", "y"), near.select(F.col("query_id").alias("well_id"), F.col("point_id").alias("other")), t)
+    h = P.cut(wells(spark, sf_dir).select("well_id", "row_idx", "x", "y", F.col("tvt_input").isNull().alias("hidden"), step(F.col("x")).alias("dx"), step(F.col("y")).alias("dy"), step(s).alias("ds")))
+    c = h.groupBy("well_id").agg(F.avg("x").alias("x"), F.avg("y").alias("y"))
+    q = c.select(F.col("well_id").alias("query_id"), F.col("well_id").alias("w"), "x", "y")
+    near = P.knn_join(q, c.select(F.col("well_id").alias("point_id"), F.lit(0.0).alias("value"), "x", "y", F.col("well_id").alias("o")), 12, exclude=("w", "o"))
+    support = P.cut(near.select(F.col("query_id").alias("well_id"), F.col("point_id").alias("other")))
+    g = P.local_gradient(h.where("hidden"), support, h.where("ds is not null"))
     return g.select("well_id", "row_idx", (R(F.col("gx")) + 0.0).alias("gx"), (R(F.col("gy")) + 0.0).alias("gy"))
 
 

@@ -60,6 +60,47 @@ def test_half_turns_fall_as_in_the_c_library(spark):
     assert col(gap.withColumn("a", S.azimuth(5, S.c_atan2)), "a") == [None]
 
 
+def test_gradients_in_blocks_are_those_of_all_pairs(spark):
+    """Blocks of a few queries, and points in several parts, give what each query and all its support wells' steps give; pairs never are rows."""
+    rng = np.random.default_rng(5)
+    rows, steps = [], {}
+    for w in range(9):
+        xy = rng.integers(0, 40, 2) * 3 + np.cumsum(rng.integers(-3, 4, (14, 2)), axis=0) / 1.0
+        rows += [(w, i, float(x), float(y)) for i, (x, y) in enumerate(xy)]
+        for i in range(1, 14):
+            dx, dy = xy[i] - xy[i - 1]
+            steps[w, i] = (float(xy[i][0]), float(xy[i][1]), float(dx), float(dy), float(0.5 * dx - 0.25 * dy + (4.0 if i == 5 else 0.1 * (i % 3))))
+    q = spark.createDataFrame(rows, "well_id long, row_idx long, x double, y double").where("row_idx > 8 and well_id > 0")
+    p = spark.createDataFrame([(*k, *v) for k, v in steps.items()], "well_id long, row_idx long, x double, y double, dx double, dy double, ds double")
+    near = {w: [(w + j) % 9 for j in (1, 2, 4)] for w in range(1, 8)}
+    support = spark.createDataFrame([(w, o) for w, os in near.items() for o in os], "well_id long, other long")
+
+    def fit(w, dx, dy, ds):
+        xx, xy, yy, xs, ys = (float((w * v).sum()) for v in (dx * dx, dx * dy, dy * dy, dx * ds, dy * ds))
+        det = xx * yy - xy * xy
+        return ((xs * yy - ys * xy) / det, (ys * xx - xs * xy) / det) if det > 1e-6 * xx * yy else None
+
+    want = {}
+    for w, i, x, y in rows:
+        if i <= 8 or w not in near:
+            continue
+        some = sorted((round(math.hypot(x - v[0], y - v[1]), 9), o, r) for (o, r), v in steps.items() if o in near[w])[:10]
+        dx, dy, ds = np.array([steps[o, r][2:] for _, o, r in some]).T
+        weight = 1 / np.maximum([d for d, _, _ in some], 1e-6) ** 2
+        found = fit(weight, dx, dy, ds)
+        if found:
+            u = (ds - found[0] * dx - found[1] * dy) / 3.0
+            found = fit(np.where(abs(u) < 1, weight * (1 - u * u) ** 2, 0), dx, dy, ds) or found
+        want[w, i] = found
+    for block_rows, block_points in ((4096, 262_144), (7, 262_144), (7, 20), (1, 5)):
+        got = spatial.local_gradient(q, support, p, 10, block_rows=block_rows, block_points=block_points)
+        found = {(r.well_id, r.row_idx): None if r.gx is None else (r.gx, r.gy) for r in got.collect()}
+        assert found.keys() == want.keys()
+        assert all((found[k] is None) == (v is None) and (v is None or np.allclose(found[k], v, atol=1e-6)) for k, v in want.items())
+    whole = spatial.local_gradient(q, support, p, 10)._jdf.queryExecution().optimizedPlan().toString()
+    assert "CoGroup" in whole and "Window" not in whole
+
+
 def test_known_split_drops_short_wells(spark):
     assert S.known_counts(one(spark, [0.0] * 12, 9)).count() == 0
     assert S.known_counts(one(spark, [0.0] * 12, 12)).count() == 0

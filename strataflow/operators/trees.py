@@ -1,9 +1,11 @@
 """Regression trees for several folds at once: boosting that stops early, and extremely randomised trees.
 
-Features are put into bins once. A tree grows level by level; for each level tasks sum the targets of their rows by
-(model, tree, node, feature, bin), Spark adds these sums up, and each node's split is chosen where its sums meet. The models
-of all folds grow together, so a level is one pass over the rows however many folds and trees there are, and only the
-chosen splits come to the driver.
+Features are put into bins once. Rows of a fold with the same bins are in the same leaf of any tree, so that their number and
+the sum and spread of their targets are all that learning needs: they are one cell, and passes are over cells. There are
+never more cells than rows, and no more of them than combinations of bins, however long the table. A tree grows level by
+level; for each level tasks sum the targets of their cells by (model, tree, node, feature, bin), and each node's split is chosen
+where its sums meet. The models of all folds grow together, so a level is one pass over the cells however many folds and
+trees there are, and only the chosen splits come to the driver.
 
 Boosting: the pass for a tree's first level also sums the squared errors of each model's validation rows. A model
 whose error has not fallen for ``patience`` rounds grows no more, and is cut back to its best round. Every ``FOLD_IN``
@@ -32,6 +34,8 @@ from strataflow.sources.wells import written
 #: Bins of a feature beside the one for missing values; rounds whose trees a pass walks.
 BINS = 63
 FOLD_IN = 5
+#: Cells of a file, and of a block that a task holds at once.
+CELLS_PER_FILE, CELL_BLOCK = 200_000, 30_000
 
 _SUMS = pa.schema([("model", pa.int32()), ("tree", pa.int32()), ("node", pa.int32()), ("feature", pa.int32()), ("bin", pa.int32()), ("n", pa.int64()), ("s", pa.float64())])
 _SPLITS = "model int, tree int, node int, feature int, bin int, left_n long, left_s double, right_n long, right_s double"
@@ -54,10 +58,12 @@ class Tree:
     def nodes(self, bins: np.ndarray) -> np.ndarray:
         """Where the rows are, as far as the tree has grown."""
         at = np.zeros(len(bins), np.int64)
-        rows = np.arange(len(bins))
-        for _ in range(self.depth):
-            f = self.feature[at]
-            at = np.where(f >= 0, 2 * at + 1 + (bins[rows, f] > self.bin[at]), at)
+        inner = np.flatnonzero(self.feature >= 0)
+        flat, row = bins.reshape(-1), np.arange(len(bins)) * bins.shape[1]
+        for _ in range(int(inner[-1] + 1).bit_length() if len(inner) else 0):
+            f = self.feature.take(at)
+            down = 2 * at + 1 + (flat.take(row + np.maximum(f, 0)) > self.bin.take(at))
+            at = np.where(f >= 0, down, at)
         return at
 
     def predict(self, bins: np.ndarray) -> np.ndarray:
@@ -91,21 +97,49 @@ def binned(df: DataFrame, cols: list[str], target: str, fold: str, edges: list[l
     return written(x.mapInPandas(encode, f"{schema}, _bins binary"), "trees-rows")
 
 
+def cells(rows: DataFrame) -> DataFrame:
+    """Rows that can be learned from by fold and bins: their number _n, and of their targets the sum _s and the squared deviations from the mean _m, as a written table."""
+    if "_m" in rows.columns:
+        return rows
+    some = rows.where("_y is not null and not isnan(_y)").groupBy("_fold", "_bins")
+    found = written(some.agg(F.count(F.lit(1)).alias("_n"), F.sum("_y").alias("_s"), (F.var_pop("_y") * F.count(F.lit(1))).alias("_m")), "trees-cells")
+    # small files are read several to a task, few large ones leave cores idle
+    files = max(2 * rows.sparkSession.sparkContext.defaultParallelism, -(-found.count() // CELLS_PER_FILE))
+    return written(found.repartition(files, "_fold", "_bins"), "trees-cells")
+
+
+def _blocks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Arrow's batches put together to larger ones, as each tree is a few NumPy calls for each."""
+    held, n = [], 0
+    for batch in batches:
+        if batch.num_rows:
+            held.append(batch)
+            n += batch.num_rows
+        if n >= CELL_BLOCK:
+            yield pa.concat_batches(held)
+            held, n = [], 0
+    if held:
+        yield pa.concat_batches(held)
+
+
 def _matrix(column: pa.Array, width: int) -> np.ndarray:
-    return np.frombuffer(b"".join(column.to_pylist()), np.uint8).reshape(-1, width).astype(np.int64)
+    """The bytes of a binary column without nulls, a row for each value; read where Arrow has them."""
+    places = np.frombuffer(column.buffers()[1], np.int64 if pa.types.is_large_binary(column.type) else np.int32)[column.offset : column.offset + len(column) + 1]
+    return np.frombuffer(column.buffers()[2], np.uint8)[places[0] : places[-1]].reshape(-1, width)
 
 
-def _node_sums(bins: np.ndarray, at: np.ndarray, y: np.ndarray, nodes: np.ndarray, width: int) -> tuple[np.ndarray, np.ndarray]:
-    """(counts, sums) by node, feature and bin for rows that are in one of ``nodes``."""
+def _node_sums(bins: np.ndarray, at: np.ndarray, count: np.ndarray, total: np.ndarray, nodes: np.ndarray, width: int) -> tuple[np.ndarray, np.ndarray]:
+    """(counts, sums) by node, feature and bin for cells that are in one of ``nodes``."""
     place = np.full(int(max(at.max(initial=0), nodes.max(initial=0))) + 1, -1, np.int64)
     place[nodes] = np.arange(len(nodes))
     p = place[at]
     on = p >= 0
-    p, b, t = p[on], bins[on], y[on]
+    p, b, c, t = (p, bins, count, total) if on.all() else (p[on], bins[on], count[on], total[on])
+    p = p * width
     n, s = np.zeros((len(nodes), b.shape[1], width)), np.zeros((len(nodes), b.shape[1], width))
     for f in range(b.shape[1]):
-        key = p * width + b[:, f]
-        n[:, f] = np.bincount(key, minlength=len(nodes) * width).reshape(-1, width)
+        key = p + b[:, f]
+        n[:, f] = np.bincount(key, c, len(nodes) * width).reshape(-1, width)
         s[:, f] = np.bincount(key, t, len(nodes) * width).reshape(-1, width)
     return n, s
 
@@ -147,7 +181,9 @@ def _best(n: np.ndarray, s: np.ndarray, rule: dict, key: tuple[int, int, int]) -
 def _choose(rule: dict, features: int, width: int):
     def run(rows: pd.DataFrame) -> pd.DataFrame:
         n, s = np.zeros((features, width)), np.zeros((features, width))
-        n[rows["feature"], rows["bin"]], s[rows["feature"], rows["bin"]] = rows["n"], rows["s"]
+        # one row for each task that has any
+        at = rows["feature"].to_numpy(), rows["bin"].to_numpy()
+        np.add.at(n, at, rows["n"].to_numpy()), np.add.at(s, at, rows["s"].to_numpy())
         key = tuple(int(rows[c].iloc[0]) for c in ("model", "tree", "node"))
         # errors are not split, they pass through
         found = _best(n, s, rule, key) if key[1] >= 0 else None
@@ -161,7 +197,6 @@ def _choose(rule: dict, features: int, width: int):
 def _grow(rows: DataFrame, sums, rule: dict, features: int) -> tuple[list, list]:
     """The chosen splits of all nodes of a level, and the sums of errors, which come as tree -1."""
     added = rows.mapInArrow(sums, "model int, tree int, node int, feature int, bin int, n long, s double")
-    added = added.groupBy("model", "tree", "node", "feature", "bin").agg(F.sum("n").alias("n"), F.sum("s").alias("s"))
     found = added.groupBy("model", "tree", "node").applyInPandas(_choose(rule, features, BINS + 1), _SPLITS).collect()
     return [r for r in found if r.tree >= 0], [r for r in found if r.tree < 0]
 
@@ -192,7 +227,8 @@ class Boosted:
 
 def boost(rows: DataFrame, folds: int, features: int, rounds: int = 40, patience: int | None = 4, rate: float = 0.2, depth: int = 4, least: int = 20, ridge: float = 1.0) -> Boosted:
     """Models that learn from the rows outside their fold, and stop by the error on the rows inside it (never, without ``patience``)."""
-    by = {r["_fold"]: (r.n, r.s) for r in rows.where("_y is not null").groupBy("_fold").agg(F.count(F.lit(1)).alias("n"), F.sum("_y").alias("s")).collect()}
+    rows = cells(rows)
+    by = {r["_fold"]: (r.n, r.s) for r in rows.groupBy("_fold").agg(F.sum("_n").alias("n"), F.sum("_s").alias("s")).collect()}
     start = []
     for m in range(folds):
         n, s = (sum(v[i] for f, v in by.items() if f != m) for i in (0, 1))
@@ -236,26 +272,30 @@ def boost(rows: DataFrame, folds: int, features: int, rounds: int = 40, patience
     return out
 
 
+def _cell_columns(batch: pa.RecordBatch, features: int) -> tuple[np.ndarray, ...]:
+    """(bins, fold, number, sum and spread of targets) of cells."""
+    fold, count, total, spread = (batch.column(c).to_numpy(zero_copy_only=False) for c in ("_fold", "_n", "_s", "_m"))
+    return _matrix(batch.column("_bins"), features), fold, count.astype(float), total, spread
+
+
 def _boost_sums(trees, grown, frontier, held, features, first):
-    """Sums of residuals of training rows by node; with ``first``, squared errors of validation rows too."""
+    """Sums of residuals of training cells by node; with ``first``, squared errors of validation cells too."""
     width = BINS + 1
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         total, errors = {}, {}
-        for batch in batches:
-            if not batch.num_rows:
-                continue
-            bins = _matrix(batch.column("_bins"), features)
-            y, fold = batch.column("_y").to_numpy(zero_copy_only=False), batch.column("_fold").to_numpy(zero_copy_only=False)
-            pred = batch.column("_pred").flatten().to_numpy().reshape(len(y), -1)
+        for batch in _blocks(batches):
+            bins, fold, count, total_y, spread = _cell_columns(batch, features)
+            pred = batch.column("_pred").flatten().to_numpy().reshape(len(fold), -1)
             for (m, t), nodes in frontier.items():
-                on = (fold != m) & ~np.isnan(y)
-                rest = y - pred[:, m] - sum((tree.predict(bins) for tree in trees[m][held:]), np.zeros(len(y)))
+                on = fold != m
+                guess = pred[:, m] + sum((tree.predict(bins) for tree in trees[m][held:]), np.zeros(len(fold)))
+                rest = total_y - count * guess
                 if first:
-                    own = (fold == m) & ~np.isnan(y)
+                    own = ~on
                     e = errors.setdefault(m, [0, 0.0])
-                    e[0], e[1] = e[0] + int(own.sum()), e[1] + float((rest[own] ** 2).sum())
-                n, s = _node_sums(bins[on], grown[m].nodes(bins[on]), rest[on], nodes, width)
+                    e[0], e[1] = e[0] + int(count[own].sum()), e[1] + float((spread[own] + rest[own] ** 2 / count[own]).sum())
+                n, s = _node_sums(bins[on], grown[m].nodes(bins[on]), count[on], rest[on], nodes, width)
                 held_sums = total.setdefault((m, t), [0.0, 0.0])
                 held_sums[0], held_sums[1] = held_sums[0] + n, held_sums[1] + s
         if total:
@@ -271,7 +311,7 @@ def _folded(state: DataFrame, trees: list[list[Tree]], held: int, features: int)
     """``state`` with the trees since round ``held`` in its predictions."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in _blocks(batches):
             bins = _matrix(batch.column("_bins"), features)
             pred = batch.column("_pred").flatten().to_numpy().reshape(len(bins), len(trees)).copy()
             for m, grown in enumerate(trees):
@@ -285,6 +325,7 @@ def _folded(state: DataFrame, trees: list[list[Tree]], held: int, features: int)
 
 def extra_trees(rows: DataFrame, folds: int, features: int, trees: int = 20, depth: int = 6, least: int = 5, share: float = 1.0, seed: int = 7) -> list[list[Tree]]:
     """For each fold, trees that have learned from all rows outside it."""
+    rows = cells(rows)
     grown = {(m, t): Tree(depth) for m in range(folds) for t in range(trees)}
     frontier = {k: np.array([0]) for k in grown}
     rule = {"random": True, "ridge": 0.0, "least": least, "share": share, "seed": seed}
@@ -305,14 +346,12 @@ def _extra_sums(grown, frontier, features):
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         total = {}
-        for batch in batches:
-            if not batch.num_rows:
-                continue
-            bins = _matrix(batch.column("_bins"), features)
-            y, fold = batch.column("_y").to_numpy(zero_copy_only=False), batch.column("_fold").to_numpy(zero_copy_only=False)
+        for batch in _blocks(batches):
+            bins, fold, count, y, _ = _cell_columns(batch, features)
+            outside = {m: (bins[on], count[on], y[on]) for m in {m for m, _ in frontier} for on in (fold != m,)}
             for (m, t), nodes in frontier.items():
-                on = (fold != m) & ~np.isnan(y)
-                n, s = _node_sums(bins[on], grown[m, t].nodes(bins[on]), y[on], nodes, width)
+                b, c, v = outside[m]
+                n, s = _node_sums(b, grown[m, t].nodes(b), c, v, nodes, width)
                 held = total.setdefault((m, t), [0.0, 0.0])
                 held[0], held[1] = held[0] + n, held[1] + s
         if total:
@@ -329,7 +368,7 @@ def predicted(rows: DataFrame, models: dict[str, object], features: int) -> Data
 
     def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for f in frames:
-            bins = np.frombuffer(b"".join(f["_bins"]), np.uint8).reshape(len(f), features).astype(np.int64)
+            bins = np.frombuffer(b"".join(f["_bins"]), np.uint8).reshape(len(f), features)
             fold = f["_fold"].to_numpy()
             out = f[[k.name for k in kept]].copy()
             for name in names:
@@ -362,7 +401,8 @@ def selector_out_of_fold(df: DataFrame, fold: str, cols: list[str], target: str,
     The boosted half has a fixed number of rounds, so nothing of a row's fold has a say in it.
     """
     rows = binned(df, cols, target, fold, bin_edges(df, cols))
-    extra = extra_trees(rows, folds, len(cols), trees)
-    boosted = boost(rows, folds, len(cols), rounds=rounds, patience=None)
+    learned = cells(rows)
+    extra = extra_trees(learned, folds, len(cols), trees)
+    boosted = boost(learned, folds, len(cols), rounds=rounds, patience=None)
     out = predicted(rows, {"extra": extra, "boosted": boosted}, len(cols))
     return out.withColumn("prediction", 0.5 * F.col("extra") + 0.5 * F.col("boosted"))

@@ -168,6 +168,36 @@ def test_boosting_stops_where_more_rounds_get_worse(spark):
         assert all(abs(got[i] - at[models.best[m]][i]) < 1e-9 for i in np.flatnonzero(~train).tolist())
 
 
+def test_equal_rows_are_learned_from_once(spark, monkeypatch):
+    """Passes are over cells, whose number does not grow with repeated rows; trees and errors are those of the rows."""
+    x, y, fold = noisy(3, 60)
+    more, shift = 5, np.linspace(-0.2, 0.2, 5)
+    x5, y5, fold5 = np.repeat(x, more, axis=0), np.repeat(y, more) + np.tile(shift, len(y)), np.repeat(fold, more)
+    edges = [sorted(set(np.quantile(x[:, i][~np.isnan(x[:, i])], [0.2, 0.4, 0.6, 0.8]).tolist())) for i in range(3)]
+    cols = ["a", "b", "c"]
+    rows = T.binned(framed(spark, x5, y5, fold5).repartition(3), cols, "y", "fold", edges)
+    b = encoded(x5, edges)
+    kinds = {(int(f), *r) for f, r in zip(fold5, b.tolist(), strict=True)}
+    seen = []
+    monkeypatch.setattr(T, "_grow", lambda table, *a, grow=T._grow: seen.append(table.count()) or grow(table, *a))
+    boosted = T.boost(rows, 4, 3, rounds=2, patience=None, depth=2, least=5)
+    extra = T.extra_trees(rows, 4, 3, trees=2, depth=3, least=5, seed=3)
+    assert set(seen) == {len(kinds)} and len(kinds) <= 60
+    for m in range(4):
+        train, pred = fold5 != m, np.full(len(y5), y5[fold5 != m].mean())
+        for r, error in enumerate(boosted.errors[m]):
+            assert abs(error - np.sqrt(np.mean((y5 - pred)[~train] ** 2))) < 1e-9
+            if r < 2:
+                splits, value = plain_tree(b[train], (y5 - pred)[train], {"random": False, "ridge": 1.0, "least": 5}, (m, 0), 2, 0.2)
+                tree = boosted.trees[m][r]
+                assert {i: (int(tree.feature[i]), int(tree.bin[i])) for i in np.flatnonzero(tree.feature >= 0).tolist()} == splits
+                assert np.allclose(tree.predict(b[train]), value)
+                pred = pred + tree.predict(b)
+        for t, tree in enumerate(extra[m]):
+            rule = {"random": True, "ridge": 0.0, "least": 5, "share": 1.0, "seed": 3}
+            assert np.allclose(tree.predict(b[train]), plain_tree(b[train], y5[train], rule, (m, t), 3)[1])
+
+
 def test_odd_rows_of_trees(spark):
     df = spark.createDataFrame([(1, None, 0.0, None, None, 0), (2, 1.0, float("nan"), 2.0, 3.0, 1), (3, 1.0, 0.0, 2.0, 5.0, 1)], "id long, a double, b double, c double, y double, fold int")
     out = T.selector_out_of_fold(df, "fold", ["a", "b", "c"], "y", folds=2, trees=2, rounds=2)

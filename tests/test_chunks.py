@@ -45,3 +45,38 @@ def test_no_wells_give_no_rows(data):
     h, c = data
     assert C.smooth_wells(C.chunked(h.limit(0), c), C.Lattice()).count() == 0
     assert C.filter_wells(C.chunked(h.where("well_id = 4"), c), C.Grid()).count() == 0
+
+
+def every_path(packed, arm, seeds, block):
+    """(well, rows, all seeds' paths, their evidence) in one piece."""
+    for r in packed.collect():
+        w = D._well(r.asDict())
+        if w.usable:
+            paths, evidence = [], []
+            for w.seed in range(seeds // block):
+                p, e = arm(w)
+                paths.append(p), evidence.append(e)
+            yield w.well_id, w.hidden("row_idx").astype(int).tolist(), np.concatenate(paths), np.concatenate(evidence)
+
+
+def test_ensembles_by_blocks_are_those_of_all_paths(data):
+    """What blocks of seeds sum up gives the means by evidence and the deviations over all paths; nothing but a row for each block is dealt."""
+    h, c = data
+    packed, scales = D.pack(h, c), [1.0, 5.0]
+    arms = [lambda w: D.filtered_block(w, 2, particles=30), lambda w: D.filtered_block(w, 2, particles=30, calibrate=True)]
+
+    def finish(e):
+        (level, spread), (other, _) = e["arms"]
+        return {"row_idx": e["row_idx"].astype(int), "seeds": e["seeds"], "a": level[0], "b": level[1], "c": other[1], "s": spread}
+
+    out = D.ensembles(packed, 6, 2, arms, scales, finish, "well_id long, row_idx long, seeds int, a double, b double, c double, s double")
+    got = {(r.well_id, r.row_idx): (r.seeds, r.a, r.b, r.c, r.s) for r in out.collect()}
+    want = {}
+    for (well, rows, path, e), (_, _, other, f) in zip(every_path(packed, arms[0], 6, 2), every_path(packed, arms[1], 6, 2), strict=True):
+        weigh = lambda p, e, scale: (np.exp((e - e.max()) / scale) @ p) / np.exp((e - e.max()) / scale).sum()
+        for i, v in zip(rows, zip(weigh(path, e, 1.0), weigh(path, e, 5.0), weigh(other, f, 5.0), path.std(axis=0), strict=True), strict=True):
+            want[well, i] = (6, *v)
+    assert {k[0] for k in want} == {1, 2, 5} and got.keys() == want.keys()
+    assert all(np.allclose(got[k], v, atol=1e-9) for k, v in want.items())
+    with pytest.raises(ValueError, match="one size"):
+        D.ensembles(packed, 5, 2, arms, scales, finish, "well_id long")
